@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import url_filter
+from . import decontaminate, token_counts, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.query,
+    "op6_decontaminate": decontaminate.query,
+    "op10_token_counts": token_counts.query,
 }
 ORACLES = {
     "op1_url_filter": url_filter.SQL,
+    "op6_decontaminate": decontaminate.SQL,
 }
