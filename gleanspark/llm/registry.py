@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, token_counts, url_filter
+from . import decontaminate, quality_rules, token_counts, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.query,
     "op6_decontaminate": decontaminate.query,
+    "op8_quality_rules": quality_rules.query,
     "op10_token_counts": token_counts.query,
 }
 ORACLES = {
