@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, quality_rules, sharding, token_counts, url_filter
+from . import decontaminate, langid, quality_rules, sharding, simhash, token_counts, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.query,
+    "op3_simhash": simhash.query,
     "op4_language_id": langid.query,
     "op6_decontaminate": decontaminate.query,
     "op8_quality_rules": quality_rules.query,
