@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, quality_rules, secrets, sharding, simhash, token_counts, url_filter
+from . import decontaminate, langid, merge_dropout, quality_rules, secrets, sharding, simhash, token_counts, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.query,
+    "op2_merge_dropout": merge_dropout.query,
     "op3_simhash": simhash.query,
     "op4_language_id": langid.query,
     "op6_decontaminate": decontaminate.query,
