@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, merge_dropout, quality_rules, secrets, sharding, simhash, token_counts, url_filter
+from . import decontaminate, langid, merge_dropout, quality_rules, secrets, sharding, simhash, suffix_dedup, token_counts, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.query,
     "op2_merge_dropout": merge_dropout.query,
     "op3_simhash": simhash.query,
     "op4_language_id": langid.query,
+    "op5_suffix_dedup": suffix_dedup.query,
     "op6_decontaminate": decontaminate.query,
     "op7_secrets": secrets.query,
     "op8_quality_rules": quality_rules.query,
