@@ -155,13 +155,13 @@ def structured_from(found: DataFrame, rate: float = 0.05) -> dict[int, int]:
     return {r["level"]: r["bin"] for r in passed.groupBy("level").agg(F.min("bin").alias("bin")).collect()}
 
 
-def random_spans(limits: dict[int, int]) -> Column:
-    """Spans of the tokens in column ``tokens`` that are not structured."""
+def random_spans(limits: dict[int, int], tokens: str = "tokens") -> Column:
+    """Spans of the tokens in a column that are not structured."""
     least = F.lit(BINS + 1)
     cases = None
     for level, at in sorted(limits.items()):
         cases = (lambda t, l=level, a=at, rest=cases: F.when(t["level"] == l, F.lit(a)).otherwise(rest(t) if rest else least))
-    kept = F.filter(F.col("tokens"), lambda t: t["bin"] < (cases(t) if cases else least))
+    kept = F.filter(F.col(tokens), lambda t: t["bin"] < (cases(t) if cases else least))
     return F.transform(kept, lambda t: F.struct(t["start"].alias("start"), F.lit(3).alias("kind"), t["end"].alias("end")))
 
 
@@ -205,6 +205,22 @@ def redacted(text: Column, spans: Column, sign: str = "[SECRET]") -> Column:
     return F.when(F.size(spans) > 0, cut(spans)).otherwise(text)
 
 
+def redact(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars", rate: float = 0.05, sign: str = "[SECRET]") -> DataFrame:
+    """``docs`` with secrets in ``text`` replaced by ``sign`` and ``n_chars``, if it is a column, counted anew.
+
+    The texts are read twice: once for the limits of the random kind, once to
+    replace. Null texts stay null; other columns are as they were.
+    """
+    limits = structured_from(docs.select(tokens(F.coalesce(F.col(text), F.lit(""))).alias("tokens")), rate)
+    names = docs.columns
+    found = docs.withColumnRenamed(text, "_text").withColumn("_base", base_spans(F.coalesce("_text", F.lit("")))).withColumn("_tokens", tokens(F.coalesce("_text", F.lit(""))))
+    spanned = found.withColumn("_spans", F.array_sort(F.concat("_base", random_spans(limits, "_tokens"))))
+    out = spanned.withColumn(text, let(F.col("_spans"), lambda s: redacted(F.col("_text"), s, sign)))
+    if n_chars in names:
+        out = out.withColumn(n_chars, F.length(text).cast(docs.schema[n_chars].dataType))
+    return out.select(names)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """op7: secrets in every whole text of ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")

@@ -15,6 +15,7 @@ from itertools import combinations, repeat
 from math import ceil, comb, log
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -229,6 +230,170 @@ def fingerprint_classes(docs: DataFrame, width: int = 4, distance: int = 4, doc:
     return prints.join(named, "fp", "left").select(doc, "fp", "root")
 
 
+def wide_fingerprint(hashes: np.ndarray, blocks: int) -> bytes:
+    """``blocks`` independent 64-bit fingerprints of a set of shingle hashes, each from another mix of the hashes."""
+    h = hashes[None, :] + (np.arange(blocks, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    h ^= h >> np.uint64(31)
+    columns = h.view(np.uint8).reshape(blocks, -1, 8)
+    slots = columns + (np.arange(blocks * 8).reshape(blocks, 1, 8) << 8)
+    counts = np.bincount(slots.ravel(), minlength=blocks * 8 << 8).reshape(-1, 256) @ BITS
+    return np.packbits((2 * counts > hashes.size).ravel(), bitorder="little").tobytes()
+
+
+def agreement(similarity: float) -> float:
+    """Chance that a fingerprint bit agrees for two sets of this Jaccard similarity."""
+    return 1 - float(np.arccos(2 * similarity / (1 + similarity))) / np.pi
+
+
+def table_plan(n: int, similarity: float, miss: float) -> tuple[int, int]:
+    """(bits of a partition, partitions) so that a value has about 8 chance members and a pair
+    of the similarity agrees nowhere with probability ``miss`` at most."""
+    width = min(40, max(8, ceil(log(n + 2, 2)) - 3))
+    return width, ceil(log(miss) / log(1 - agreement(similarity) ** width))
+
+
+def bucket_forest(keys: np.ndarray, ids: np.ndarray, first: np.ndarray, second: np.ndarray, sizes: np.ndarray, similarity: float, bits: int, reach: int, fresh: int) -> set[tuple[int, int]]:
+    """Links of rows sorted by key: in each key's rows the closest pairs that span what is within ``bits``
+    of 128 bits of each other, among rows at most ``reach`` apart. Rows before ``fresh`` meet later ones only."""
+    found = []
+    for step in range(1, reach + 1):
+        i = np.arange(max(0, fresh - step), len(keys) - step)
+        i = i[keys[i] == keys[i + step]]
+        j = i + step
+        low, high = np.minimum(sizes[i], sizes[j]), np.maximum(sizes[i], sizes[j])
+        apart = sum(np.bitwise_count((x[i] ^ x[j]).view(np.uint64)).astype(np.int64) for x in (first, second))
+        ok = (low >= similarity * high - 1e-9) & (apart <= bits) & (ids[i] != ids[j])
+        found.append((apart[ok], i[ok], j[ok]))
+    apart, i, j = (np.concatenate(x) for x in zip(*found))
+    order = np.argsort(apart, kind="stable")
+    parent: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (p := parent.get(x, x)) != x:
+            parent[x] = x = parent.get(p, p)
+        return x
+
+    links = set()
+    for a, b in zip(i[order].tolist(), j[order].tolist()):
+        x, y = top(a), top(b)
+        if x != y:
+            parent[x] = y
+            links.add((min(int(ids[a]), int(ids[b])), max(int(ids[a]), int(ids[b]))))
+    return links
+
+
+def verified(docs: DataFrame, pairs: DataFrame, width: int, similarity: float, doc: str, text: str) -> DataFrame:
+    """The pairs (``a``, ``b``) whose shingle sets have the Jaccard similarity, counted exactly."""
+    needed = pairs.select(F.col("a").alias("d")).union(pairs.select("b")).distinct()
+    shown = docs.select(F.col(doc).cast("long").alias("d"), F.col(text).alias("t")).join(needed, "d", "left_semi")
+    schema = pa.schema([("d", pa.int64()), ("s", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, "t"):
+            sets = [np.unique(shingle_hashes(t, width)).view(np.int64) for t in utf8(batch.column("t"))]
+            yield pa.RecordBatch.from_arrays([batch.column("d"), pa.array(sets, pa.list_(pa.int64()))], schema=schema)
+
+    sets = stored(shown.mapInArrow(run, "d long, s array<long>").dropDuplicates(["d"]), "sets")
+
+    @F.pandas_udf("boolean")
+    def alike(x: pd.Series, y: pd.Series) -> pd.Series:
+        out = []
+        for a, b in zip(x, y):
+            both = len(np.intersect1d(a, b, assume_unique=True))
+            out.append(both >= similarity * (len(a) + len(b) - both) - 1e-9)
+        return pd.Series(out, dtype=bool)
+
+    left, right = (sets.select(F.col("d").alias(c), F.col("s").alias(f"s{c}")) for c in "ab")
+    return pairs.join(left, "a").join(right, "b").where(alike("sa", "sb")).select("a", "b")
+
+
+def similar_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8, miss: float = 0.002, reach: int = 16, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """(``id``, ``root``, ``k1``, ``k2``): one row per different word sequence, with the least id of its
+    copies and of its class; documents link at Jaccard similarity ``similarity`` of their sets of
+    ``width``-word shingles.
+
+    At this similarity fingerprints differ in too many bits for a guarantee
+    over 64 of them, so the principle is used with many partitions of a wide
+    fingerprint, thresholds 0, as many as bring the chance of a miss under
+    ``miss``. Rows with one value are compared with the ``reach`` next ones in a
+    hash order that changes by partition, and leave a spanning forest, so that a
+    group of near copies costs its size, not its square. Links are checked on
+    all bits of the wide fingerprints, then exactly on the shingle sets.
+
+    Equal word sequences are one row from the start. Texts without words, null
+    ones among them, are copies of each other. Null ids are left out.
+    """
+    n = docs.count()
+    bits, tables = table_plan(n, similarity, miss)
+    blocks = max(2, -(-bits * tables // 64))
+    doc_type = docs.schema[doc].dataType
+    schema = pa.schema([("d", to_arrow_type(doc_type)), ("k1", pa.int64()), ("k2", pa.int64()), ("n", pa.int32()), ("wide", pa.binary())])
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, "t"):
+            rows = []
+            for t in utf8(batch.column("t")):
+                key = xxhash.xxh3_128_digest(b" ".join(t.lower().split()))
+                shingles = np.unique(shingle_hashes(t, width))
+                rows.append((int.from_bytes(key[:8], "little", signed=True), int.from_bytes(key[8:], "little", signed=True), len(shingles), wide_fingerprint(shingles, blocks)))
+            columns = list(zip(*rows)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([batch.column("d").cast(schema.field(0).type), *(pa.array(c, f.type) for c, f in zip(columns, list(schema)[1:]))], schema=schema)
+
+    every = docs.where(F.col(doc).isNotNull()).select(F.col(doc).alias("d"), F.col(text).alias("t")).mapInArrow(prints, f"d {doc_type.simpleString()}, k1 long, k2 long, n int, wide binary")
+    words = stored(every.groupBy("k1", "k2").agg(F.min(F.col("d").cast("long")).alias("id"), F.first("n").alias("n"), F.first("wide").alias("wide")), "words")
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 2000):
+                part = batch.slice(start, 2000)
+                ids, sizes = part.column("id").to_numpy(), part.column("n").to_numpy()
+                raw = np.frombuffer(b"".join(part.column("wide").to_pylist()), dtype=np.uint8).reshape(len(ids), -1)
+                table = np.unpackbits(raw, axis=1, bitorder="little")[:, : bits * tables].reshape(len(ids), tables, bits)
+                value = table @ (np.int64(1) << np.arange(bits, dtype=np.int64)) + (np.arange(tables, dtype=np.int64) << bits)
+                lanes = raw[:, :16].copy().view("<i8")
+                yield pa.RecordBatch.from_arrays([pa.array(value.ravel()), *(pa.array(np.repeat(x, tables)) for x in (ids, lanes[:, 0], lanes[:, 1], sizes))], names=["key", "id", "f0", "f1", "n"])
+
+    allowed = ceil(128 * (1 - agreement(similarity)) + 4 * (128 * agreement(similarity) * (1 - agreement(similarity))) ** 0.5)
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            now = [batch.column(c).to_numpy() for c in ("key", "id", "f0", "f1", "n")]
+            fresh = 0 if held is None else len(held[0])
+            now = now if held is None else [np.concatenate(x) for x in zip(held, now)]
+            links = sorted(bucket_forest(*now, similarity, allowed, reach, fresh))
+            held = [x[-reach:] for x in now]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    rows = words.where("n > 0").select("id", "n", "wide").mapInArrow(probe, "key long, id long, f0 long, f1 long, n int")
+    met = rows.repartition("key").sortWithinPartitions("key", F.xxhash64("id", "key")).mapInArrow(link, "a long, b long").distinct()
+    left, right = (words.select(F.col("id").alias(c), F.col("wide").alias(f"w{c}")) for c in "ab")
+    total, p = 64 * blocks, agreement(similarity)
+    most = ceil(total * (1 - p) + 3.5 * (total * p * (1 - p)) ** 0.5)
+
+    @F.pandas_udf("int")
+    def apart(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([(int.from_bytes(a, "little") ^ int.from_bytes(b, "little")).bit_count() for a, b in zip(x, y)], dtype="int32")
+
+    likely = stored(met.join(left, "a").join(right, "b").where(apart("wa", "wb") <= most).select("a", "b"), "likely")
+    links = stored(verified(docs, likely, width, similarity, doc, text), "links")
+    roots = connected_components(links, "a", "b")
+    return words.join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root"), "k1", "k2")
+
+
+def keep_one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8, doc: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` whose id is the least of their class of near duplicates; columns as they were.
+
+    See :func:`similar_classes`. Rows with a null id stay; rows with one id stay or go together.
+    """
+    classes = similar_classes(docs, width, similarity, doc=doc, text=text, **options)
+    kept = stored(classes.where(F.col("id") == F.col("root")).select(F.col("id").alias(doc)), "kept")
+    named = docs.where(F.col(doc).isNotNull()).join(kept, doc, "left_semi").select(docs.columns)
+    return named.unionByName(docs.where(F.col(doc).isNull()))
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """op3: fingerprint and class of every document of ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
