@@ -208,14 +208,16 @@ def redacted(text: Column, spans: Column, sign: str = "[SECRET]") -> Column:
 def redact(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars", rate: float = 0.05, sign: str = "[SECRET]") -> DataFrame:
     """``docs`` with secrets in ``text`` replaced by ``sign`` and ``n_chars``, if it is a column, counted anew.
 
-    The texts are read twice: once for the limits of the random kind, once to
-    replace. Null texts stay null; other columns are as they were.
+    What is found is written with the rows between the pass that finds and the
+    one that replaces. Null texts stay null; other columns are as they were.
     """
-    limits = structured_from(docs.select(tokens(F.coalesce(F.col(text), F.lit(""))).alias("tokens")), rate)
+    from ..session import stored
+
     names = docs.columns
-    found = docs.withColumnRenamed(text, "_text").withColumn("_base", base_spans(F.coalesce("_text", F.lit("")))).withColumn("_tokens", tokens(F.coalesce("_text", F.lit(""))))
-    spanned = found.withColumn("_spans", F.array_sort(F.concat("_base", random_spans(limits, "_tokens"))))
+    found = stored(find(docs.withColumnRenamed(text, "_text").withColumnRenamed("base", "_base").withColumnRenamed("tokens", "_tokens"), "_text"), "findings")
+    spanned = found.withColumn("_spans", F.array_sort(F.concat("base", random_spans(structured_from(found, rate)))))
     out = spanned.withColumn(text, let(F.col("_spans"), lambda s: redacted(F.col("_text"), s, sign)))
+    out = out.drop("base", "tokens").withColumnRenamed("_base", "base").withColumnRenamed("_tokens", "tokens")
     if n_chars in names:
         out = out.withColumn(n_chars, F.length(text).cast(docs.schema[n_chars].dataType))
     return out.select(names)
