@@ -2,14 +2,300 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+from ..functions import timekey
+from ..operators import logs, netflow, series, similarity, summary_diff, tabular, text_safety
+from ..sources import readers
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        name = f.__name__.lstrip("_")
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _seconds(column: str) -> Column:
+    """Unix seconds of a zone-less timestamp, rounded down; no session zone takes part."""
+    day = F.datediff(F.col(column).cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
+    return day * 86400 + F.hour(column) * 3600 + F.minute(column) * 60 + F.floor(F.second(column)).cast("long")
+
+
+def _epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "events").select(F.col("event_type").alias("stream"), _seconds("ts").alias("epoch"))
+
+
+def _log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log made of events: ISO stamp, level word and message."""
+    level = F.when(F.col("event_type") == "error", "ERROR").when(F.col("event_type") == "signup", "warning").when(F.col("event_type") == "purchase", "[Info]").when(F.col("event_type") == "view", "DEBUG:").otherwise("level=error,")
+    stamp = timekey.iso_label(_seconds("ts"))
+    return _table(spark, sf_dir, "events").select("event_id", F.concat_ws(" ", stamp, level, F.concat(F.lit("user "), F.col("user_id"))).alias("value"))
+
+
+E = "epoch_us(ts) // 1000000"
+LINES = """lines AS (SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || ' ' || CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'signup' THEN 'warning' WHEN 'purchase' THEN '[Info]' WHEN 'view' THEN 'DEBUG:' ELSE 'level=error,' END || ' user ' || user_id AS value FROM events)"""
+
+
+@query("SELECT event_type AS key, count(*) AS count, sum(value) AS sum_value, avg(value) AS mean_value, min(value) AS min_value, max(value) AS max_value FROM events WHERE value > 10 GROUP BY 1")
+def events_groupby(spark, sf_dir):
+    return tabular.group_by(_table(spark, sf_dir, "events"), "event_type", "sum:value,mean:value,min:value,max:value", "value>10")
+
+
+@query("SELECT o_orderpriority AS key, count(*) AS count, sum(o_totalprice) AS sum_o_totalprice, max(o_totalprice) AS max_o_totalprice FROM orders WHERE o_orderstatus != 'F' GROUP BY 1")
+def orders_groupby_text_filter(spark, sf_dir):
+    return tabular.group_by(_table(spark, sf_dir, "orders"), "o_orderpriority", "sum:o_totalprice,max:o_totalprice", "o_orderstatus!=F")
+
+
+@query("SELECT l_returnflag AS key, count(*) AS count, avg(l_extendedprice) AS mean_l_extendedprice, sum(l_quantity) AS sum_l_quantity FROM lineitem GROUP BY 1")
+def lineitem_groupby(spark, sf_dir):
+    return tabular.group_by(_table(spark, sf_dir, "lineitem"), "l_returnflag", "mean:l_extendedprice,sum:l_quantity")
+
+
+@query("SELECT * FROM orders WHERE o_totalprice >= 400000 ")
+def orders_where(spark, sf_dir):
+    return tabular.where(_table(spark, sf_dir, "orders"), "o_totalprice>=400000")
+
+
+def _profile_sql(table: str, columns: list[str]) -> str:
+    return " UNION ALL ".join(f"SELECT '{c}' AS name, count({c}) AS count, min({c})::DOUBLE AS min, max({c})::DOUBLE AS max, avg({c}) AS mean, sum({c})::DOUBLE AS sum FROM {table}" for c in columns)
+
+
+@query(_profile_sql("lineitem", ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]))
+def profile_numbers(spark, sf_dir):
+    table = _table(spark, sf_dir, "lineitem")
+    return tabular.profile_numbers(table, tabular.number_columns(table))
+
+
+@query("""WITH c AS (SELECT 'o_orderstatus' AS name, o_orderstatus AS value FROM orders UNION ALL SELECT 'o_orderpriority', o_orderpriority FROM orders),
+n AS (SELECT name, value, count(*) AS k FROM c GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY k DESC, value) AS p FROM n)
+SELECT name, sum(k)::BIGINT AS count, count(*) AS "unique", list(value ORDER BY p) FILTER (p <= 3) AS top_values, list(k ORDER BY p) FILTER (p <= 3) AS top_counts FROM r GROUP BY name""")
+def profile_texts(spark, sf_dir):
+    found = tabular.profile_texts(_table(spark, sf_dir, "orders"), ["o_orderstatus", "o_orderpriority"])
+    return found.select("name", "count", "unique", F.col("top.value").alias("top_values"), F.col("top.count").alias("top_counts"))
+
+
+@query("""SELECT 'k' AS name, 'number' AS kind, count(*) AS count, 0::BIGINT AS null_count, min(v) AS min, max(v) AS max, avg(v) AS mean, sum(v) AS sum, 0::BIGINT AS "unique" FROM (SELECT CAST(json_extract(props, '$.k') AS DOUBLE) AS v FROM events)""")
+def json_profile(spark, sf_dir):
+    return tabular.json_profile(_table(spark, sf_dir, "events"), "props")
+
+
+@query("""SELECT 'value' AS name, count(*) AS count, count(*) - count(value) AS null_count, min(value) AS min, max(value) AS max FROM events
+UNION ALL SELECT 'user_id', count(*), count(*) - count(user_id), min(user_id)::DOUBLE, max(user_id)::DOUBLE FROM events""")
+def column_statistics(spark, sf_dir):
+    found = readers.parquet_statistics(_table(spark, sf_dir, "events").select("value", "user_id"))
+    return found.select("name", "count", "null_count", F.col("min").cast("double").alias("min"), F.col("max").cast("double").alias("max"))
+
+
+@query(f"SELECT h.range::INT AS hour, count({E}) AS n FROM range(24) h LEFT JOIN events ON hour(ts) = h.range GROUP BY 1")
+def time_hours(spark, sf_dir):
+    return series.hour_histogram(_epochs(spark, sf_dir))
+
+
+@query("SELECT d.range::INT AS weekday, count(ts) AS n FROM range(7) d LEFT JOIN events ON isodow(ts) - 1 = d.range GROUP BY 1")
+def time_weekdays(spark, sf_dir):
+    return series.weekday_histogram(_epochs(spark, sf_dir))
+
+
+SERIES = f"""e AS (SELECT {E} AS epoch FROM events), b AS (SELECT min(epoch) AS low, max(epoch) AS high FROM e),
+s AS (SELECT k.range AS bucket, low + k.range * 21600 AS start FROM b, LATERAL (SELECT unnest(range(0, (high - low) // 21600 + 1)) AS range) k),
+c AS (SELECT (epoch - low) // 21600 AS bucket, count(*) AS n FROM e, b GROUP BY 1),
+series AS (SELECT s.bucket, start, coalesce(n, 0) AS n FROM s LEFT JOIN c USING (bucket))"""
+
+
+@query(f"WITH {SERIES} SELECT * FROM series")
+def time_series(spark, sf_dir):
+    return series.dense_series(_epochs(spark, sf_dir))
+
+
+@query("""WITH t AS (SELECT date_diff('day', DATE '1992-01-01', o_orderdate::DATE) // 7 AS bucket, count(*) AS k FROM orders WHERE o_custkey % 7 < 2 GROUP BY 1),
+s AS (SELECT bucket, CASE WHEN bucket % 40 = 3 THEN k * 5 ELSE k END AS n FROM t), m AS (SELECT median(n) AS med, count(*) AS c FROM s), d AS (SELECT median(abs(n - med)) AS mad FROM s, m)
+SELECT bucket, n, med AS baseline, n / med AS ratio, (n - med) / (mad * 1.4826) AS score FROM s, m, d WHERE c >= 8 AND n > med AND (n - med) / (mad * 1.4826) >= 4""")
+def spikes(spark, sf_dir):
+    week = F.floor(F.datediff(F.col("o_orderdate").cast("date"), F.lit("1992-01-01").cast("date")) / 7)
+    weeks = _table(spark, sf_dir, "orders").where("o_custkey % 7 < 2").groupBy(week.alias("bucket")).agg(F.count(F.lit(1)).alias("k"))
+    planted = weeks.select("bucket", F.col("bucket").alias("start"), F.when(F.col("bucket") % 40 == 3, F.col("k") * 5).otherwise(F.col("k")).alias("n"))
+    return series.spikes(planted).drop("start")
+
+
+@query("""WITH t AS (SELECT date_diff('day', DATE '1992-01-01', o_orderdate::DATE) // 28 AS bucket, count(*) AS k FROM orders GROUP BY 1),
+s AS (SELECT bucket, CASE WHEN bucket % 20 = 3 THEN k // 20 ELSE k END AS n FROM t), m AS (SELECT median(n) AS med, count(*) AS c FROM s), d AS (SELECT median(abs(n - med)) AS mad FROM s, m),
+z AS (SELECT *, (med - n) / (mad * 1.4826) AS z FROM s, m, d)
+SELECT bucket, n, med AS baseline, z / (z + 4) AS strength FROM z WHERE c >= 8 AND med > 0 AND med - n >= 5 AND z >= 4""")
+def drops(spark, sf_dir):
+    month = F.floor(F.datediff(F.col("o_orderdate").cast("date"), F.lit("1992-01-01").cast("date")) / 28)
+    months = _table(spark, sf_dir, "orders").groupBy(month.alias("bucket")).agg(F.count(F.lit(1)).alias("k"))
+    planted = months.select("bucket", F.col("bucket").alias("start"), F.when(F.col("bucket") % 20 == 3, F.floor(F.col("k") / 20)).otherwise(F.col("k")).alias("n"))
+    return series.drops(planted).drop("start")
+
+
+@query(f"""WITH {LINES}, m AS (SELECT value, regexp_extract(value, '^\\S+ (\\S+)', 1) AS w FROM lines),
+c AS (SELECT count(*) AS k, count(*) FILTER (w = 'DEBUG:') AS d, count(*) FILTER (w = '[Info]') AS i, count(*) FILTER (w = 'warning') AS wa, count(*) FILTER (w = 'ERROR') AS e FROM m)
+SELECT unnest(['DEBUG', 'INFO', 'WARN', 'ERROR', 'FATAL']) AS level, unnest([d, i, wa, e, 0]) AS count, unnest([d * 100.0::DOUBLE / k, i * 100.0::DOUBLE / k, wa * 100.0::DOUBLE / k, e * 100.0::DOUBLE / k, 0.0::DOUBLE]) AS percent FROM c""")
+def log_severity(spark, sf_dir):
+    return logs.severity(_log_lines(spark, sf_dir))
+
+
+@query(f"WITH {LINES} SELECT event_id, value AS text FROM lines WHERE value LIKE '% ERROR %' ORDER BY event_id LIMIT 5")
+def log_samples(spark, sf_dir):
+    return logs.worst_lines(_log_lines(spark, sf_dir), "event_id")
+
+
+@query(f"SELECT event_id, {E} AS epoch FROM events")
+def log_epochs(spark, sf_dir):
+    return timekey.line_epochs(_log_lines(spark, sf_dir), "iso8601").select("event_id", "epoch")
+
+
+@query(f"""WITH a AS (SELECT {E} AS epoch, event_type, user_id FROM events), e AS (SELECT user_id, epoch FROM a WHERE event_type = 'error'), t AS (SELECT DISTINCT user_id, epoch AS stamp FROM a WHERE event_type = 'signup')
+SELECT e.user_id, e.epoch, max(stamp) AS stamp, count(*) // count(DISTINCT stamp) AS copies FROM e JOIN t ON e.user_id = t.user_id AND stamp <= epoch GROUP BY ALL""")
+def asof_backward(spark, sf_dir):
+    events = _table(spark, sf_dir, "events").select("user_id", "event_type", _seconds("ts").alias("epoch"))
+    stamps = events.where("event_type = 'signup'").select("user_id", F.col("epoch").alias("stamp"))
+    found = series.latest_before(events.where("event_type = 'error'"), stamps, ["user_id"], "epoch", "stamp")
+    return found.groupBy("user_id", "epoch", "stamp").agg(F.count(F.lit(1)).alias("copies"))
+
+
+@query(f"""WITH a AS (SELECT {E} AS epoch, event_type FROM events), t AS (SELECT epoch FROM a WHERE event_type = 'signup'), e AS (SELECT epoch AS f FROM a WHERE event_type = 'error')
+SELECT epoch, min(f) - epoch AS lag FROM (SELECT DISTINCT epoch FROM t) JOIN e ON f > epoch AND f <= epoch + 3600 GROUP BY epoch""")
+def asof_forward(spark, sf_dir):
+    epochs = _epochs(spark, sf_dir).withColumn("day", F.lit(0))
+    found = series.first_after(epochs.where("stream = 'signup'"), epochs.where("stream = 'error'"), ["day"], "epoch")
+    return found.select("epoch", "lag").distinct()
+
+
+FLOWS = "flows AS (SELECT l_suppkey AS src, l_partkey AS dst, l_linenumber % 2 * 11 + 6 AS proto, CAST(floor(l_quantity * 100) AS BIGINT) AS bytes FROM lineitem)"
+
+
+def _flows(spark, sf_dir):
+    return _table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"), (F.col("l_linenumber") % 2 * 11 + 6).alias("proto"), F.floor(F.col("l_quantity") * 100).alias("bytes"))
+
+
+@query(f"WITH {FLOWS} SELECT count(*) AS packets, sum(bytes)::BIGINT AS bytes, count(*) FILTER (proto = 6) AS tcp, count(*) FILTER (proto = 17) AS udp, count(DISTINCT (src, dst)) AS pairs FROM flows")
+def flow_totals(spark, sf_dir):
+    return netflow.totals(_flows(spark, sf_dir))
+
+
+@query(f"WITH {FLOWS} SELECT src, dst, sum(bytes)::BIGINT AS metric FROM flows GROUP BY ALL ORDER BY metric DESC, src, dst LIMIT 5")
+def flow_talkers(spark, sf_dir):
+    return netflow.top(netflow.pair_bytes(_flows(spark, sf_dir)), ["src", "dst"])
+
+
+@query(f"WITH {FLOWS} SELECT src, count(DISTINCT dst) AS metric FROM flows GROUP BY src ORDER BY metric DESC, src LIMIT 5")
+def flow_fan_out(spark, sf_dir):
+    return netflow.top(netflow.fan_out(netflow.pair_bytes(_flows(spark, sf_dir))), ["src"])
+
+
+@query(f"WITH {FLOWS} SELECT dst, count(DISTINCT src) AS metric FROM flows GROUP BY dst ORDER BY metric DESC, dst LIMIT 5")
+def flow_fan_in(spark, sf_dir):
+    return netflow.top(netflow.fan_in(netflow.pair_bytes(_flows(spark, sf_dir))), ["dst"])
+
+
+@query(f"WITH {FLOWS}, p AS (SELECT sum(bytes) AS metric FROM flows GROUP BY src, dst), r AS (SELECT metric, row_number() OVER (ORDER BY metric) - 1 AS k, count(*) OVER () AS n FROM p) SELECT metric::BIGINT AS baseline FROM r WHERE k = (n - 1) // 2")
+def flow_baseline(spark, sf_dir):
+    return netflow.baseline_without_top(netflow.pair_bytes(_flows(spark, sf_dir)))
+
+
+HALVES = "SELECT o_orderpriority AS name, o_totalprice AS v, o_orderkey % 2 AS half FROM orders WHERE NOT (o_orderkey % 2 = 0 AND o_orderpriority = '5-LOW')"
+
+
+@query(f"""WITH h AS ({HALVES}), s AS (SELECT half, name, count(*) AS count, min(v) AS min, max(v) AS max, avg(v) AS mean, sum(v) AS sum FROM h GROUP BY ALL),
+a AS (SELECT * FROM s WHERE half = 0), b AS (SELECT * FROM s WHERE half = 1)
+SELECT CASE WHEN a.name IS NULL THEN '[appeared] ' || b.name WHEN b.name IS NULL THEN '[disappeared] ' || a.name ELSE b.name END AS name, coalesce(b.count, a.count) AS count, b.min - a.min AS min, b.max - a.max AS max, b.mean - a.mean AS mean, b.sum - a.sum AS sum FROM a FULL JOIN b ON a.name = b.name""")
+def diff_numbers(spark, sf_dir):
+    orders = _table(spark, sf_dir, "orders").where("NOT (o_orderkey % 2 = 0 AND o_orderpriority = '5-LOW')")
+    v = F.col("o_totalprice")
+    parts = [orders.where(F.col("o_orderkey") % 2 == h).groupBy(F.col("o_orderpriority").alias("name")).agg(F.count(F.lit(1)).alias("count"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.sum(v).alias("sum")) for h in (0, 1)]
+    return summary_diff.diff_numbers(*parts)
+
+
+@query(f"""WITH h AS ({HALVES}), s AS (SELECT half, name, count(*) AS count FROM h GROUP BY ALL), a AS (SELECT * FROM s WHERE half = 0), b AS (SELECT * FROM s WHERE half = 1)
+SELECT CASE WHEN a.name IS NULL THEN '[appeared] ' || b.name WHEN b.name IS NULL THEN '[disappeared] ' || a.name WHEN b.count > a.count THEN '+' || b.name ELSE '-' || b.name END AS name, coalesce(abs(b.count - a.count), b.count, a.count) AS count
+FROM a FULL JOIN b ON a.name = b.name WHERE a.count IS NULL OR b.count IS NULL OR a.count <> b.count""")
+def diff_counts(spark, sf_dir):
+    orders = _table(spark, sf_dir, "orders").where("NOT (o_orderkey % 2 = 0 AND o_orderpriority = '5-LOW')")
+    parts = [orders.where(F.col("o_orderkey") % 2 == h).groupBy(F.col("o_orderpriority").alias("name")).agg(F.count(F.lit(1)).alias("count")) for h in (0, 1)]
+    return summary_diff.diff_counts(*parts)
+
+
+QUERY_VECTOR = [((7 * i) % 11 - 5) / 10 for i in range(64)]
+
+
+@query(f"""WITH q AS (SELECT {QUERY_VECTOR}::DOUBLE[] AS q), m AS (SELECT max(vec_id) AS newest FROM embeddings)
+SELECT vec_id, list_cosine_similarity(embedding::DOUBLE[], q) * (0.85 + 0.15 * (1 - (newest - vec_id) / greatest(1, newest))) AS score FROM embeddings, q, m
+WHERE list_cosine_similarity(embedding::DOUBLE[], q) * (0.85 + 0.15 * (1 - (newest - vec_id) / greatest(1, newest))) > 0.01 ORDER BY score DESC LIMIT 10""")
+def vector_top_k(spark, sf_dir):
+    return similarity.top_k(_table(spark, sf_dir, "embeddings"), QUERY_VECTOR, 10, order="vec_id").select("vec_id", "score")
+
+
+@query("""SELECT doc_id, list_distinct(list_filter(string_split(text, chr(10)), lambda l: strlen(l) <= 256 AND (contains(l, 'Licensed') OR contains(l, 'token')))) .len() AS n_lines FROM documents
+WHERE contains(text, 'Licensed') OR contains(text, 'token')""")
+def keyword_lines(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text").where(F.contains("text", F.lit("Licensed")) | F.contains("text", F.lit("token")))
+    return similarity.keyword_lines(docs, "Licensed token", most=1_000_000).select("doc_id", F.size("lines").cast("long").alias("n_lines"))
+
+
+@query("""WITH t AS (SELECT conv_id, turn, ' ' || trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')) || ' ' AS w, lower(text) AS l, text FROM conversations)
+SELECT conv_id, turn, (CASE WHEN contains(l, 'system:') THEN 2 ELSE 0 END + CASE WHEN contains(l, 'user:') THEN 2 ELSE 0 END + CASE WHEN contains(l, 'assistant:') THEN 2 ELSE 0 END
+ + CASE WHEN contains(w, ' system ') THEN 1 ELSE 0 END + CASE WHEN contains(l, '<|') THEN 2 ELSE 0 END + CASE WHEN contains(l, '|>') THEN 2 ELSE 0 END
+ + CASE WHEN contains(w, ' ignore ') THEN 1 ELSE 0 END + CASE WHEN contains(w, ' disregard ') THEN 2 ELSE 0 END) AS injection_score, regexp_matches(text, 'AKIA[A-Z0-9]{16,}(\\s|$)') AS has_key FROM t""")
+def text_safety_scores(spark, sf_dir):
+    found = text_safety.scan_texts(_table(spark, sf_dir, "conversations"))
+    return found.select("conv_id", "turn", "injection_score", (F.col("n_leaks") > 0).alias("has_key"))
+
+
+@query("SELECT page_id, length(regexp_replace(html, '<[^>]*(>|$)|>', '', 'g')) AS n_chars, len(list_filter(regexp_split_to_array(regexp_replace(html, '<[^>]*(>|$)|>', '', 'g'), '\\s+'), lambda w: w <> '')) AS n_words FROM pages")
+def page_texts(spark, sf_dir):
+    text = T.strip_html(F.col("html"))
+    return _table(spark, sf_dir, "pages").select("page_id", F.length(text).cast("long").alias("n_chars"), T.word_count(text).cast("long").alias("n_words"))
+
+
+@query("""SELECT doc_id, CAST(ceil(length(text) / CASE WHEN length(regexp_replace(text, '[^{}();=<>]', '', 'g')) > length(text) // 20 THEN 3.2::DOUBLE ELSE 3.8::DOUBLE END) AS BIGINT) AS tokens FROM documents""")
+def token_estimates(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", T.token_estimate(F.col("text")).alias("tokens"))
+
+
+@query("SELECT c_custkey, ((c_custkey * 2654435761) % 4294967296) // 16777216 || '.' || ((c_custkey * 2654435761) % 4294967296) // 65536 % 256 || '.' || ((c_custkey * 2654435761) % 4294967296) // 256 % 256 || '.' || (c_custkey * 2654435761) % 256 AS address FROM customer")
+def addresses(spark, sf_dir):
+    return _table(spark, sf_dir, "customer").select("c_custkey", T.ipv4(F.col("c_custkey") * F.lit(2654435761) % F.lit(4294967296)).alias("address"))
+
+
+@query("""WITH p AS (SELECT event_id AS i, value AS v FROM events), n AS (SELECT count(*) AS n FROM p), c AS (SELECT range AS c FROM range(48))
+SELECT c AS "column", min(v) AS min, max(v) AS max, avg(v) AS mean FROM p, n, c WHERE i >= c * n // 48 AND i < (c + 1) * n // 48 GROUP BY c""")
+def column_envelope(spark, sf_dir):
+    points = _table(spark, sf_dir, "events").select(F.col("event_id").alias("i"), F.col("value").alias("v"))
+    return series.envelope(points, 48)
+
 
-def _events_groupby(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("min_value"), F.max("value").alias("max_value"))
+@query()
+def stream_correlation(spark, sf_dir):
+    """Event types as streams; errors are given an echo ten minutes later, which the search finds."""
+    epochs = _epochs(spark, sf_dir)
+    burst = epochs.where("stream = 'signup' AND epoch % 7 = 0").select(F.lit("deploy").alias("stream"), "epoch")
+    echo = burst.select(F.lit("failure").alias("stream"), (F.col("epoch") + 21600).alias("epoch"))
+    return series.correlate(burst.unionByName(echo))
 
 
-QUERIES = {"events_groupby": _events_groupby}
-ORACLES = {"events_groupby": "SELECT event_type, count(*) AS n, min(value) AS min_value, max(value) AS max_value FROM events GROUP BY event_type"}
+@query("""WITH c AS (SELECT user_id, date_trunc('day', ts) AS day, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY ALL)
+SELECT user_id, day::DATE AS day, n, median(n) OVER (PARTITION BY user_id ORDER BY day ROWS BETWEEN 120 PRECEDING AND 1 PRECEDING) AS baseline FROM c""")
+def trailing_median(spark, sf_dir):
+    """Median of the counts before each, at most 120 of them, the count itself not among them."""
+    daily = _table(spark, sf_dir, "events").where("event_type = 'error'").groupBy("user_id", F.col("ts").cast("date").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    ring = F.array_sort(F.collect_list("n").over(Window.partitionBy("user_id").orderBy("day").rowsBetween(-120, -1)))
+    k = F.size(ring)
+    middle = (F.get(ring, F.floor((k - 1) / 2).cast("int")) + F.get(ring, F.floor(k / 2).cast("int"))) / 2
+    return daily.withColumn("baseline", F.when(k > 0, middle))
