@@ -147,30 +147,32 @@ def containment_pairs(docs: DataFrame, items: DataFrame, doc: str = "doc_id", te
     return pairs.select(F.col("d").alias(doc), F.col("i").alias(item), "n_shared", "n_item", (F.col("n_shared") / F.col("n_item")).alias("containment"))
 
 
-def _shingles(table: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
-    """Distinct shingles of each row: (key, s)."""
-    words = table.select(F.col(key).alias("k"), F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)).alias("w"))
-    m = F.least(F.lit(shingle), F.size("w"))
+def _words(table: DataFrame, key: str, text: str) -> DataFrame:
+    return table.select(F.col(key).alias("k"), F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)).alias("w")).where(F.size("w") > 0)
+
+
+def _shingles(words: DataFrame, m) -> DataFrame:
+    """Distinct shingles of ``m`` words of each row: (key, s)."""
     grams = F.transform(F.sequence(F.lit(1), F.size("w") - m + 1), lambda i: F.array_join(F.slice("w", i, m), " "))
-    return words.where(F.size("w") > 0).select("k", F.explode(F.array_distinct(grams)).alias("s"))
+    return words.select("k", F.explode(F.array_distinct(grams)).alias("s"))
 
 
 def _by_join(docs, items, doc, text, item, item_text, shingle, threshold):
     """The same search for item tables too large to broadcast: shingles meet by equality joins."""
-    of_items = _shingles(items.distinct(), item, item_text, shingle)
+    shortest = F.least(F.lit(shingle), F.size("w"))
+    of_items = _shingles(_words(items.select(item, item_text).distinct(), item, item_text), shortest)
     sizes = of_items.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
     ranked = of_items.join(sizes, "k").withColumn("h", F.xxhash64("s"))
     upper = F.udf(lambda n: kept(size_class(n), threshold), "int")
     limits = sizes.select("n").distinct().withColumn("keep", upper("n"))
     own = ranked.groupBy("k", "n").agg(F.sort_array(F.collect_list(F.struct("h", "s"))).alias("all")).join(limits, "n")
     minima = own.select(F.col("k").alias("i"), "n", F.explode(F.slice("all", F.lit(1), F.col("keep"))).alias("m")).select("i", "n", F.col("m.s").alias("s"))
-    of_docs = _shingles(docs.select(doc, text).distinct(), doc, text, shingle)
-    # A document's run of an item shorter than a shingle has other lengths than the document's own shingles.
-    short = minima.select(F.size(F.split("s", " ")).alias("m")).where(F.col("m") < shingle).distinct()
-    for row in short.collect():
-        words = docs.select(F.col(doc).alias("k"), F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)).alias("w")).where(F.size("w") > row["m"])
-        grams = F.transform(F.sequence(F.lit(1), F.size("w") - row["m"] + 1), lambda i, m=row["m"]: F.array_join(F.slice("w", i, m), " "))
-        of_docs = of_docs.union(words.select("k", F.explode(F.array_distinct(grams)).alias("s")))
+    texts = _words(docs.select(doc, text).distinct(), doc, text)
+    of_docs = _shingles(texts, shortest)
+    # Items shorter than a shingle are looked for as runs of their own length in longer texts.
+    lengths = minima.select(F.size(F.split("s", " ")).alias("m")).where(F.col("m") < shingle).distinct().collect()
+    for row in lengths:  # fewer than ``shingle`` rows
+        of_docs = of_docs.union(_shingles(texts.where(F.size("w") > row["m"]), F.lit(row["m"])))
     candidates = of_docs.join(minima, "s").select("k", "i", "n").distinct()
     shared = candidates.join(of_items.withColumnRenamed("k", "i"), "i").join(of_docs.distinct(), ["k", "s"]).groupBy("k", "i", "n").agg(F.count(F.lit(1)).alias("n_shared"))
     return shared.where(F.col("n_shared") >= threshold * F.col("n") - 1e-9).select(F.col("k").alias(doc), F.col("i").alias(item), "n_shared", F.col("n").alias("n_item"), (F.col("n_shared") / F.col("n")).alias("containment"))
