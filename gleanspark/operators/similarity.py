@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,8 +36,6 @@ def top_k(vectors: DataFrame, query: list[float], k: int, vector: str = "embeddi
 
 def without_alike(ranked: list, vector: str = "embedding", alike: float = ALIKE) -> list:
     """From a top-k answer, best first, drop rows whose cosine to a kept one is over ``alike``."""
-    import numpy as np
-
     kept: list = []
     units: list = []
     for row in ranked:
@@ -52,3 +52,33 @@ def keyword_lines(texts: DataFrame, keywords: str, text: str = "text", width: in
     needles = keywords.split()
     hit = F.filter(F.split(text, "\n"), lambda line: (F.octet_length(line) <= width) & (F.exists(F.array(*map(F.lit, needles)), lambda n: F.contains(line, n)) if needles else F.lit(False)))
     return texts.withColumn("lines", F.slice(F.array_distinct(hit), 1, most))
+
+
+def embed_texts(texts: DataFrame, text: str = "text", dimensions: int = 64, seed: int = 20_240_229) -> DataFrame:
+    """Add ``embedding``: the byte histogram under a signed Hadamard projection, of length 1.
+
+    Signs are drawn by an xorshift generator from ``seed``. Empty and null texts get zeros.
+    """
+    state, signs = seed, []
+    for _ in range(256):
+        state ^= (state << 13) & (2**64 - 1)
+        state ^= state >> 7
+        state ^= (state << 17) & (2**64 - 1)
+        signs.append(1.0 if state % 2 == 0 else -1.0)
+    i = np.arange(256)
+    hadamard = 1.0 - 2.0 * (np.bitwise_count(i[:dimensions, None] & i[None, :]) % 2)
+    projection = (hadamard * np.array(signs)).T / np.sqrt(dimensions)
+
+    @F.pandas_udf("array<float>")
+    def embed(column: pd.Series) -> pd.Series:
+        raw = np.stack([np.bincount(np.frombuffer((t or "").encode(), dtype=np.uint8), minlength=256) for t in column]) if len(column) else np.zeros((0, 256))
+        found = raw @ projection
+        norms = np.linalg.norm(found, axis=1, keepdims=True)
+        return pd.Series(list((found / np.where(norms > 0, norms, 1)).astype(np.float32)))
+
+    return texts.withColumn("embedding", embed(F.col(text)))
+
+
+def newest(rows: DataFrame, order: str, capacity: int) -> DataFrame:
+    """The ``capacity`` rows of greatest ``order``."""
+    return rows.orderBy(F.desc(order)).limit(capacity)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import json as J
 from ..functions import text as T
 from ..functions import timekey
 from ..operators import logs, netflow, series, similarity, summary_diff, tabular, text_safety
@@ -299,3 +300,17 @@ def trailing_median(spark, sf_dir):
     k = F.size(ring)
     middle = (F.get(ring, F.floor((k - 1) / 2).cast("int")) + F.get(ring, F.floor(k / 2).cast("int"))) / 2
     return daily.withColumn("baseline", F.when(k > 0, middle))
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k, len(json_keys(props)) AS n_keys FROM events")
+def json_paths(spark, sf_dir):
+    props = F.col("props")
+    return _table(spark, sf_dir, "events").select("event_id", J.get_path(props, "k").alias("k"), F.size(J.object_keys(props)).cast("long").alias("n_keys"))
+
+
+@query()
+def text_neighbours(spark, sf_dir):
+    """Documents whose byte histograms are most like that of the benchmark's first item."""
+    item = similarity.embed_texts(_table(spark, sf_dir, "benchmark").orderBy("item_id").limit(1)).first()
+    docs = similarity.embed_texts(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return similarity.top_k(docs, [float(x) for x in item["embedding"]], 10).select("doc_id", "score")

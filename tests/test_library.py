@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from gleanspark.functions import text as T
 from gleanspark.functions import timekey
-from gleanspark.operators import logs, netflow, series, similarity, summary_diff, tabular, text_safety
+from gleanspark.functions import json as J
+from gleanspark.operators import logs, netflow, series, similarity, summary, summary_diff, tabular, text_safety
 from gleanspark.sources import readers
 from gleanspark.streaming import watch
 
@@ -238,3 +239,31 @@ def test_entry_points_without_the_text_operators():
 
     names = entry.queries()
     assert set(entry.oracle_sql()) <= set(names)
+
+
+def test_summary_record_round_trip(spark, requests):
+    groups = tabular.group_by(requests, "status", "sum:bytes")
+    made = summary.record(spark, "groupby", 6, fields=tabular.profile_numbers(requests, ["bytes"]), groups=groups, group_by="status")
+    line = summary.to_lines(made)
+    text = line.first().value
+    assert text.startswith('{"schema_version":1,"rune":"groupby"') and '"anomalies"' not in text and '"samples":[]' in text
+    assert summary.from_lines(line).first() == made.first()
+    with pytest.raises(Exception, match="unsupported schema_version"):
+        summary.from_lines(lines(spark, '{"schema_version":2}')).collect()
+
+
+def test_analyzer_choice():
+    pick = summary.analyzer_for
+    assert [pick(n, b"x") for n in ("a.CSV", "b.jsonl", "c.parquet", "d.sql", "e.pcap", "f.doc", ".log", "g.log")] == ["profile", "json_profile", "parquet_statistics", "dumps", "flows", None, "severity", "severity"]
+    assert pick("x.log", b"at 2026-01-01") == "time_series" and pick("x", b"\xd4\xc3\xb2\xa1") == "flows"
+
+
+def test_json_functions(spark):
+    row = spark.range(1).select(*(f(F.lit('{"b":{"a":[1,"x"]},"c":2}')) for f in (J.object_keys, lambda t: J.get_path(t, "b.a.1"), lambda t: J.get_path(t, "b.q"), J.pretty))).first()
+    assert list(row[0]) == ["b", "c"] and row[1] == "x" and row[2] is None and row[3].count("\n") >= 5
+
+
+def test_embeddings(spark):
+    got = {r.no: r.embedding for r in similarity.embed_texts(lines(spark, "abc", "cba", "", None), "value").collect()}
+    assert got[0] == got[1] and len(got[0]) == 64 and abs(sum(x * x for x in got[0]) - 1) < 1e-5
+    assert set(got[2]) == set(got[3]) == {0.0}
