@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 #: Families of closely related languages; a language not named here is a family of its own.
 FAMILIES = {
     "en": "germanic", "de": "germanic", "nl": "germanic", "sv": "germanic", "da": "germanic", "no": "germanic",
@@ -18,6 +20,8 @@ FAMILIES = {
     "ru": "slavic", "uk": "slavic", "pl": "slavic", "cs": "slavic", "sk": "slavic", "bg": "slavic",
 }
 DIMENSIONS = 4096
+#: Languages whose sampling shares are broadcast; more of them are joined.
+MOST_BROADCAST = 10_000
 #: ASCII bytes that are no letters become blanks.
 FOLD = bytes(c if c >= 0x80 or chr(c).isalpha() else 0x20 for c in range(256))
 
@@ -128,7 +132,10 @@ def train(labelled: DataFrame, doc: str = "doc_id", text: str = "text", lang: st
     """
     usable = labelled.where(F.col(lang).isNotNull() & has_letter(F.col(text))).select(F.col(doc).alias("d"), F.col(text).alias("t"), F.col(lang).alias("l"))
     shares = usable.groupBy("l").agg(F.count(F.lit(1)).alias("n")).select("l", (F.lit(per_language) / F.col("n") * (1 << 30)).alias("share"))
-    chosen = usable.withColumn("h", F.pmod(F.xxhash64("d", F.lit("language")), F.lit(1 << 30))).join(shares, "l").where("h < share")
+    # The shares are a few bytes a language: broadcast up to a bound, so that texts are not dealt out by language.
+    few = stored(shares, "shares")
+    few = F.broadcast(few) if few.count() <= MOST_BROADCAST else few
+    chosen = usable.withColumn("h", F.pmod(F.xxhash64("d", F.lit("language")), F.lit(1 << 30))).join(few, "l").where("h < share")
 
     @F.pandas_udf("binary")
     def vector(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
