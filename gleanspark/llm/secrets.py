@@ -25,6 +25,7 @@ KINDS = ["assign", "access", "hex", "random"]
 
 #: Tokens of the random kind: runs of encoding characters with a letter and a digit.
 TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
+TOKEN_HINT = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20}"
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 #: Encodings, the narrowest first: pattern and alphabet.
 ENCODINGS = [
@@ -131,7 +132,7 @@ def alphabet_of(bare: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Tokens to test: ``array<struct<start, end, level, bin>>``; level is the length class, bin falls with the p-value's logarithm."""
-    found = F.filter(matches(text, TOKEN, text.rlike(TOKEN)), lambda x: x["text"].rlike("[0-9]") & x["text"].rlike("[A-Za-z]"))
+    found = F.filter(matches(text, TOKEN, text.rlike(TOKEN_HINT)), lambda x: x["text"].rlike("[0-9]") & x["text"].rlike("[A-Za-z]"))
 
     def judged(x: Column) -> Column:
         p = randomness(x["text"])
@@ -165,6 +166,12 @@ def random_spans(limits: dict[int, int], tokens: str = "tokens") -> Column:
     return F.transform(kept, lambda t: F.struct(t["start"].alias("start"), F.lit(3).alias("kind"), t["end"].alias("end")))
 
 
+def hinted(text: Column) -> Column:
+    """Whether a text can hold a base span or a token."""
+    assign = (text.contains("=") | text.contains(":")) & text.rlike(ASSIGN_HINT)
+    return assign | text.contains("AKIA") | text.rlike("[0-9a-f]{32}") | text.rlike(TOKEN_HINT)
+
+
 def find(docs: DataFrame, text: str = "text") -> DataFrame:
     """Replace ``base`` and ``tokens`` of ``docs`` by what one pass over the whole texts finds; a null text is empty."""
     whole = F.coalesce(F.col(text), F.lit(""))
@@ -208,19 +215,23 @@ def redacted(text: Column, spans: Column, sign: str = "[SECRET]") -> Column:
 def redact(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars", rate: float = 0.05, sign: str = "[SECRET]") -> DataFrame:
     """``docs`` with secrets in ``text`` replaced by ``sign`` and ``n_chars``, if it is a column, counted anew.
 
-    What is found is written with the rows between the pass that finds and the
-    one that replaces. Null texts stay null; other columns are as they were.
+    Rows that can hold no secret pass by; what is found in the others is written
+    with them between the pass that finds and the one that replaces. Null texts
+    stay null; other columns are as they were.
     """
     from ..session import stored
 
     names = docs.columns
-    found = stored(find(docs.withColumnRenamed(text, "_text").withColumnRenamed("base", "_base").withColumnRenamed("tokens", "_tokens"), "_text"), "findings")
+    may = F.coalesce(hinted(F.col(text)), F.lit(False))
+    renamed = docs.where(may).withColumnRenamed(text, "_text").withColumnRenamed("base", "_base").withColumnRenamed("tokens", "_tokens")
+    found = stored(find(renamed, "_text"), "findings")
     spanned = found.withColumn("_spans", F.array_sort(F.concat("base", random_spans(structured_from(found, rate)))))
     out = spanned.withColumn(text, let(F.col("_spans"), lambda s: redacted(F.col("_text"), s, sign)))
     out = out.drop("base", "tokens").withColumnRenamed("_base", "base").withColumnRenamed("_tokens", "tokens")
     if n_chars in names:
-        out = out.withColumn(n_chars, F.length(text).cast(docs.schema[n_chars].dataType))
-    return out.select(names)
+        counted = F.when(F.size("_spans") > 0, F.length(text).cast(docs.schema[n_chars].dataType)).otherwise(F.col(n_chars))
+        out = out.withColumn(n_chars, counted)
+    return docs.where(~may).unionByName(out.select(names))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

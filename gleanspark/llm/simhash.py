@@ -284,10 +284,53 @@ def bucket_forest(keys: np.ndarray, ids: np.ndarray, first: np.ndarray, second:
     return links
 
 
+def id_filter(ids: DataFrame, most_bits: int = 1 << 26) -> tuple[int, bytes]:
+    """(bits, bitmap) with the bit of each id's hash set. The bitmap is at most ``most_bits`` (8 MB) whatever
+    the number of ids; with too many of them it lets more pass, and loses none."""
+    page = 1 << 15
+    bits = page
+    n = ids.count()
+    while bits < 64 * n and bits < most_bits:
+        bits *= 2
+
+    @F.pandas_udf("binary")
+    def packed(places: pd.Series) -> pd.Series:
+        out = []
+        for own in places:
+            flags = np.zeros(page, dtype=np.uint8)
+            flags[np.asarray(own)] = 1
+            out.append(np.packbits(flags, bitorder="little").tobytes())
+        return pd.Series(out)
+
+    place = F.pmod(F.xxhash64("d"), F.lit(bits))
+    pages = ids.select(F.floor(place / page).alias("p"), (place % page).cast("int").alias("o")).groupBy("p").agg(F.collect_set("o").alias("o"))
+    bitmap = bytearray(bits // 8)
+    for r in pages.select("p", packed("o").alias("b")).collect():
+        bitmap[r["p"] * page // 8 : (r["p"] + 1) * page // 8] = r["b"]
+    return bits, bytes(bitmap)
+
+
+def may_hold(spark, ids: DataFrame):
+    """Function from a column of ids to whether each may be among ``ids`` (column ``d``)."""
+    bits, bitmap = id_filter(ids)
+    shared = spark.sparkContext.broadcast(bitmap)
+
+    @F.pandas_udf("boolean")
+    def held(places: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        table = np.frombuffer(shared.value, dtype=np.uint8)
+        for at in places:
+            x = at.to_numpy()
+            yield pd.Series((table[x >> 3] >> (x & 7).astype(np.uint8) & 1).astype(bool))
+
+    return lambda column: held(F.pmod(F.xxhash64(column.cast("long")), F.lit(bits)))
+
+
 def verified(docs: DataFrame, pairs: DataFrame, width: int, similarity: float, doc: str, text: str) -> DataFrame:
     """The pairs (``a``, ``b``) whose shingle sets have the Jaccard similarity, counted exactly."""
-    needed = pairs.select(F.col("a").alias("d")).union(pairs.select("b")).distinct()
-    shown = docs.select(F.col(doc).cast("long").alias("d"), F.col(text).alias("t")).join(needed, "d", "left_semi")
+    needed = stored(pairs.select(F.col("a").alias("d")).union(pairs.select("b")).distinct(), "needed")
+    # A bitmap of bounded size keeps most other texts out of the shuffle; the join decides.
+    likely = may_hold(docs.sparkSession, needed)
+    shown = docs.where(likely(F.col(doc))).select(F.col(doc).cast("long").alias("d"), F.col(text).alias("t")).join(needed, "d", "left_semi")
     schema = pa.schema([("d", pa.int64()), ("s", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -389,9 +432,14 @@ def keep_one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8, d
     See :func:`similar_classes`. Rows with a null id stay; rows with one id stay or go together.
     """
     classes = similar_classes(docs, width, similarity, doc=doc, text=text, **options)
-    kept = stored(classes.where(F.col("id") == F.col("root")).select(F.col("id").alias(doc)), "kept")
-    named = docs.where(F.col(doc).isNotNull()).join(kept, doc, "left_semi").select(docs.columns)
-    return named.unionByName(docs.where(F.col(doc).isNull()))
+    classes = stored(classes, "classes")
+    every = docs.where(F.col(doc).isNotNull()).select(F.col(doc).cast("long").alias("d"))
+    # What goes: ids that are no least id of copies, and least ids that are no root
+    gone = stored(every.join(classes.where(F.col("id") == F.col("root")).select(F.col("id").alias("d")), "d", "left_anti").distinct(), "gone")
+    suspect = may_hold(docs.sparkSession, gone)(F.col(doc))
+    named = docs.where(F.col(doc).isNotNull())
+    judged = named.where(suspect).join(gone, named[doc].cast("long") == gone["d"], "left_anti")
+    return named.where(~suspect).unionByName(judged).unionByName(docs.where(F.col(doc).isNull()))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
