@@ -49,9 +49,12 @@ def decode(stamp: Column, grammar: str) -> Column:
         return civil_seconds(F.lit(SYSLOG_YEAR), month_number(F.substring(stamp, 1, 3)), n(5, 2), n(8, 2), n(11, 2), n(14, 2))
     if grammar == "hdfs":
         return civil_seconds(n(1, 2) + 2000, n(3, 2), n(5, 2), n(8, 2), n(10, 2), n(12, 2))
-    value = stamp.try_cast("long")
-    digits = F.length(stamp)
-    return F.when(digits <= 11, value).when(digits <= 14, F.expr("0") + F.floor(value / 1000)).when(digits <= 17, F.floor(value / 1_000_000)).otherwise(F.floor(value / 1_000_000_000)).cast("long")
+    value, digits = stamp.try_cast("long"), F.length(stamp)
+
+    def whole(unit: int) -> Column:
+        return F.round((value - value % unit) / unit).cast("long")
+
+    return F.when(digits <= 11, value).when(digits <= 14, whole(1000)).when(digits <= 17, whole(1_000_000)).otherwise(whole(1_000_000_000))
 
 
 def stamps(line: Column, grammar: str) -> Column:
