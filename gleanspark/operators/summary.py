@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 # The version, and the record's fields. Sections after ``samples`` are left out when they are null.
 VERSION = 1
 SCHEMA = """
-schema_version long, rune string, rune_version long, success boolean,
+schema_version long, analyzer string, analyzer_version long, success boolean,
 source struct<path:string,bytes:long,format:string>,
 totals struct<rows:long,scan_us:long>,
 fields array<struct<name:string,kind:string,count:long,null_count:long,
@@ -43,7 +43,7 @@ def record(spark: SparkSession, analyzer: str, rows: int, fields: DataFrame | No
         return [r.asDict() for r in found]
 
     numbers = [{"name": r["name"], "kind": "number", "count": r["count"], "numeric": {k: r[k] for k in ("min", "max", "mean", "sum")}} for r in entries(fields)]
-    row = {"schema_version": VERSION, "rune": analyzer, "rune_version": 1, "success": True, "totals": {"rows": rows, "scan_us": 0}, "fields": numbers, "categories": entries(categories), "samples": [], "group_by": group_by}
+    row = {"schema_version": VERSION, "analyzer": analyzer, "analyzer_version": 1, "success": True, "totals": {"rows": rows, "scan_us": 0}, "fields": numbers, "categories": entries(categories), "samples": [], "group_by": group_by}
     if groups is not None:
         row["groups"] = [{"key": r["key"], "count": r["count"], "aggs": [{"op": k.partition("_")[0], "col": k.partition("_")[2], "value": None if v is None else float(v)} for k, v in r.items() if k not in ("key", "count")]} for r in entries(groups)]
     return spark.createDataFrame([row], SCHEMA)

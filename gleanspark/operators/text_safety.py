@@ -10,18 +10,17 @@ from ..functions.text import spaceful
 BLOCK_AT = 2
 # Texts that count two each wherever they stand, in either case.
 SPECIAL = ["system:", "assistant:", "user:", "<|", "|>", "[INST]", "[/INST]"]
-# Phrases and words with their scores; entries of one line count once.
-STRONG = [
-    ["ignore previous"], ["ignore all previous"], ["ignored previous"], ["ignoring previous"], ["forget everything"],
-    ["forget all", "forgetting all"], ["you are now"], ["were now"], ["pretend to be"], ["pretending to be"],
-    ["new instructions"], ["updated instructions"], ["these are updated"],
-    ["disregard"], ["disregards"], ["disregarded"], ["disregarding"],
-    ["ignorera tidigare"], ["ignorera alla tidigare"], ["glöm allt"], ["du är nu"], ["låtsas vara"], ["agera som"],
-    ["nya instruktioner"], ["uppdaterade instruktioner"], ["strunta i"], ["föregående instruktioner"],
-]
-WEAK = [
-    "ignore", "ignored", "ignoring", "forget", "forgetting", "forgot", "act as", "acting as", "pretend", "pretending",
-    "system", "ignorera", "glöm",
+# Phrases and words with their scores; those of one entry count once.
+PHRASES = [
+    (["ignore previous"], 2), (["ignore all previous"], 2), (["ignored previous"], 2), (["ignoring previous"], 2),
+    (["forget everything"], 2), (["forget all", "forgetting all"], 2), (["you are now"], 2), (["were now"], 2),
+    (["pretend to be"], 2), (["pretending to be"], 2), (["new instructions"], 2), (["updated instructions"], 2),
+    (["these are updated"], 2), (["ignore"], 1), (["ignored"], 1), (["ignoring"], 1), (["disregard"], 2),
+    (["disregards"], 2), (["disregarded"], 2), (["disregarding"], 2), (["forget"], 1), (["forgetting"], 1),
+    (["forgot"], 1), (["act as"], 1), (["acting as"], 1), (["pretend"], 1), (["pretending"], 1), (["system"], 1),
+    (["ignorera tidigare"], 2), (["ignorera alla tidigare"], 2), (["glöm allt"], 2), (["du är nu"], 2),
+    (["låtsas vara"], 2), (["agera som"], 2), (["nya instruktioner"], 2), (["uppdaterade instruktioner"], 2),
+    (["strunta i"], 2), (["föregående instruktioner"], 2), (["ignorera"], 1), (["glöm"], 1),
 ]
 # Key prefixes, least total length, and the characters that may follow up to white space.
 DASHED, UNDERSCORED, UPPER, DOTTED, ANY = "[A-Za-z0-9_-]", "[A-Za-z0-9_]", "[A-Z0-9]", "[A-Za-z0-9._-]", r"[^ \t\n\f\r]"
@@ -49,7 +48,7 @@ def leaks(text: Column) -> Column:
 
 
 def injection_score(text: Column) -> Column:
-    """Two for each special text and strong phrase, one for each weak one; each once.
+    """Two for each special text, and the score of each phrase; each once.
 
     Phrases of several words also count without the blanks between; single words only as whole words.
     """
@@ -64,13 +63,11 @@ def injection_score(text: Column) -> Column:
     score = F.lit(0)
     for s in SPECIAL:
         score = score + F.when(lower.contains(s.lower()), 2).otherwise(0)
-    for group in STRONG:
-        any_ = hit(group[0])
-        for p in group[1:]:
-            any_ = any_ | hit(p)
-        score = score + F.when(any_, 2).otherwise(0)
-    for p in WEAK:
-        score = score + F.when(hit(p), 1).otherwise(0)
+    for phrases, worth in PHRASES:
+        found = hit(phrases[0])
+        for p in phrases[1:]:
+            found = found | hit(p)
+        score = score + F.when(found, worth).otherwise(0)
     return score
 
 

@@ -246,7 +246,7 @@ def test_summary_record_round_trip(spark, requests):
     made = summary.record(spark, "groupby", 6, fields=tabular.profile_numbers(requests, ["bytes"]), groups=groups, group_by="status")
     line = summary.to_lines(made)
     text = line.first().value
-    assert text.startswith('{"schema_version":1,"rune":"groupby"') and '"anomalies"' not in text and '"samples":[]' in text
+    assert text.startswith('{"schema_version":1,"analyzer":"groupby"') and '"anomalies"' not in text and '"samples":[]' in text
     assert summary.from_lines(line).first() == made.first()
     with pytest.raises(Exception, match="unsupported schema_version"):
         summary.from_lines(lines(spark, '{"schema_version":2}')).collect()
