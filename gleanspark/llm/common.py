@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 #: The characters that separate words everywhere in this subpackage: blank, tab, LF, VT, FF, CR.
@@ -14,6 +14,15 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """Hand whole texts to Python in Arrow batches of about ``most`` bytes at most; a lower setting of the session stays."""
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(BATCH_BYTES)) > most:
+        spark.conf.set(BATCH_BYTES, most)
+
+
 def ascii_lower(column: Column) -> Column:
     """Lower-case A-Z only, whatever the locale."""
     return F.translate(column, UPPER, LOWER)
