@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ..session import stored
+from ..session import discard, stored
 from .common import by_bytes, utf8
 from .components import connected_components
 
@@ -230,44 +230,78 @@ def fingerprint_classes(docs: DataFrame, width: int = 4, distance: int = 4, doc:
     return prints.join(named, "fp", "left").select(doc, "fp", "root")
 
 
-def wide_fingerprint(hashes: np.ndarray, blocks: int) -> bytes:
-    """``blocks`` independent 64-bit fingerprints of a set of shingle hashes, each from another mix of the hashes."""
-    h = hashes[None, :] + (np.arange(blocks, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    h ^= h >> np.uint64(31)
-    columns = h.view(np.uint8).reshape(blocks, -1, 8)
-    slots = columns + (np.arange(blocks * 8).reshape(blocks, 1, 8) << 8)
-    counts = np.bincount(slots.ravel(), minlength=blocks * 8 << 8).reshape(-1, 256) @ BITS
-    return np.packbits((2 * counts > hashes.size).ravel(), bitorder="little").tobytes()
+#: Bits of the parity sketch of a shingle set.
+SKETCH = 2048
 
 
-def agreement(similarity: float) -> float:
-    """Chance that a fingerprint bit agrees for two sets of this Jaccard similarity."""
-    return 1 - float(np.arccos(2 * similarity / (1 + similarity))) / np.pi
+def parity_sketch(hashes: np.ndarray) -> bytes:
+    """Parities of the hashes' counts in ``SKETCH`` slots. Two sets differ in as many hashes at least as their sketches in bits."""
+    return np.packbits(np.bincount((hashes & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1).tobytes()
 
 
-def table_plan(n: int, similarity: float, miss: float) -> tuple[int, int]:
-    """(bits of a partition, partitions) so that a value has about 8 chance members and a pair
-    of the similarity agrees nowhere with probability ``miss`` at most."""
-    width = min(40, max(8, ceil(log(n + 2, 2)) - 3))
-    return width, ceil(log(miss) / log(1 - agreement(similarity) ** width))
+def prefix_length(n: int, similarity: float) -> int:
+    """Two sets of the similarity share one of so many first members at least, in any order that is the same for all sets."""
+    return n - ceil(similarity * n - 1e-9) + 1 if n else 0
 
 
-def bucket_forest(keys: np.ndarray, ids: np.ndarray, first: np.ndarray, second: np.ndarray, sizes: np.ndarray, similarity: float, bits: int, reach: int, fresh: int) -> set[tuple[int, int]]:
-    """Links of rows sorted by key: in each key's rows the closest pairs that span what is within ``bits``
-    of 128 bits of each other, among rows at most ``reach`` apart. Rows before ``fresh`` meet later ones only."""
-    found = []
-    for step in range(1, reach + 1):
-        i = np.arange(max(0, fresh - step), len(keys) - step)
-        i = i[keys[i] == keys[i + step]]
-        j = i + step
-        low, high = np.minimum(sizes[i], sizes[j]), np.maximum(sizes[i], sizes[j])
-        apart = sum(np.bitwise_count((x[i] ^ x[j]).view(np.uint64)).astype(np.int64) for x in (first, second))
-        ok = (low >= similarity * high - 1e-9) & (apart <= bits) & (ids[i] != ids[j])
-        found.append((apart[ok], i[ok], j[ok]))
-    apart, i, j = (np.concatenate(x) for x in zip(*found))
-    order = np.argsort(apart, kind="stable")
+def prefix(hashes: np.ndarray, levels: np.ndarray, similarity: float) -> np.ndarray:
+    """The first members of a sorted set in the order of their slots' ``levels``, then of the hashes."""
+    shift = np.uint64(64 - (len(levels).bit_length() - 1))
+    order = np.argsort(levels[(hashes >> shift).astype(np.int64)], kind="stable")
+    return hashes[order[: prefix_length(len(hashes), similarity)]]
+
+
+def shingle_levels(texts: DataFrame, width: int, n: int) -> np.ndarray:
+    """How common the shingles of each hash slot are, in half octaves, over all rows of column ``t``. Only an order
+    follows from it, so that shared slots lose nothing."""
+    bits = min(21, max(12, ceil(log(n + 2, 2)) + 3))
+    page = 1 << 12
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << bits, dtype=np.uint32)
+        for batch in by_bytes(batches, "t"):
+            for t in utf8(batch.column("t")):
+                np.add.at(total, (np.unique(shingle_hashes(t, width)) >> np.uint64(64 - bits)).astype(np.int64), np.uint32(1))
+        pages = np.minimum(total, 65535).astype("<u2").reshape(-1, page)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(pages)), pa.int32()), pa.array([x.tobytes() for x in pages], pa.binary())], names=["page", "counts"])
+
+    @F.pandas_udf("binary")
+    def level(counts: pd.Series) -> bytes:
+        total = np.zeros(page)
+        for x in counts:
+            total += np.frombuffer(x, dtype="<u2")
+        return (2 * np.log2(1 + total)).astype(np.uint8).tobytes()
+
+    levels = np.zeros((1 << bits) // page * page, dtype=np.uint8).reshape(-1, page)
+    for r in texts.mapInArrow(count, "page int, counts binary").groupBy("page").agg(level("counts").alias("x")).collect():
+        levels[r["page"]] = np.frombuffer(r["x"], dtype=np.uint8)
+    return levels.ravel()
+
+
+def least_common(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """Members that sets of these sizes share at least, if they have the similarity."""
+    return np.ceil(similarity * (a.astype(np.int64) + b) / (1 + similarity) - 1e-9).astype(np.int64)
+
+
+def may_reach(i: np.ndarray, j: np.ndarray, sizes: np.ndarray, places: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether rows that meet at their first common member, at these places of the order, can have the similarity."""
+    left = np.minimum(sizes[i] - places[i], sizes[j] - places[j])
+    return (left >= least_common(sizes[i], sizes[j], similarity)) & (np.minimum(sizes[i], sizes[j]) >= similarity * np.maximum(sizes[i], sizes[j]) - 1e-9)
+
+
+def closest(apart: np.ndarray, i: np.ndarray, j: np.ndarray, roots: np.ndarray, most: int) -> tuple[np.ndarray, bool]:
+    """The places of the ``most`` closest pairs of each two roots, and whether there are others."""
+    low, high = np.minimum(roots[i], roots[j]), np.maximum(roots[i], roots[j])
+    order = np.lexsort((apart, high, low))
+    first = np.ones(len(order), dtype=bool)
+    first[1:] = (low[order][1:] != low[order][:-1]) | (high[order][1:] != high[order][:-1])
+    start = np.flatnonzero(first)
+    rank = np.arange(len(order)) - np.repeat(start, np.diff(np.append(start, len(order))))
+    return order[rank < most], bool((rank >= most).any())
+
+
+def spanning(apart: np.ndarray, i: np.ndarray, j: np.ndarray, roots: np.ndarray) -> tuple[np.ndarray, bool]:
+    """The places of the closest pairs that span what all pairs span of the roots, and whether there are others."""
     parent: dict[int, int] = {}
 
     def top(x: int) -> int:
@@ -275,13 +309,43 @@ def bucket_forest(keys: np.ndarray, ids: np.ndarray, first: np.ndarray, second:
             parent[x] = x = parent.get(p, p)
         return x
 
-    links = set()
-    for a, b in zip(i[order].tolist(), j[order].tolist()):
-        x, y = top(a), top(b)
-        if x != y:
-            parent[x] = y
-            links.add((min(int(ids[a]), int(ids[b])), max(int(ids[a]), int(ids[b]))))
-    return links
+    order = np.argsort(apart, kind="stable")
+    kept = []
+    for k, a, b in zip(order.tolist(), roots[i[order]].tolist(), roots[j[order]].tolist()):
+        a, b = top(a), top(b)
+        if a != b:
+            parent[a] = b
+            kept.append(k)
+    return np.array(kept, dtype=np.int64), len(kept) < len(order)
+
+
+def pairs_across(keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray, places: np.ndarray, roots: np.ndarray, sketches: np.ndarray, similarity: float, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """(ids, ids, whether some are left out) of rows of one key and different roots that can have the similarity,
+    for rows sorted by key: every such pair, or the ``most`` closest of two roots, or for 0 what spans the roots."""
+    found, held = [], 0
+    i = np.arange(len(keys) - 1)
+    step = 1
+    while True:
+        i = i[i + step < len(keys)]
+        i = i[keys[i] == keys[i + step]]
+        if len(i):
+            for at in range(0, len(i), 1 << 14):
+                a = i[at : at + (1 << 14)]
+                ok = roots[a] != roots[a + step]
+                ok[ok] = may_reach(a[ok], a[ok] + step, sizes, places, similarity)
+                a = a[ok]
+                apart = np.bitwise_count(sketches[a] ^ sketches[a + step]).sum(axis=1, dtype=np.int64)
+                ok = apart <= sizes[a].astype(np.int64) + sizes[a + step] - 2 * least_common(sizes[a], sizes[a + step], similarity)
+                found.append((apart[ok], a[ok], a[ok] + step))
+                held += int(ok.sum())
+        if held > 1 << 20 or (held and not len(i)):
+            apart, x, y = (np.concatenate(z) for z in zip(*found))
+            kept, cut = closest(apart, x, y, roots, most) if most else spanning(apart, x, y, roots)
+            yield np.minimum(ids[x[kept]], ids[y[kept]]), np.maximum(ids[x[kept]], ids[y[kept]]), cut
+            found, held = [], 0
+        if not len(i):
+            return
+        step += 1
 
 
 def id_filter(ids: DataFrame, most_bits: int = 1 << 26) -> tuple[int, bytes]:
@@ -352,27 +416,48 @@ def verified(docs: DataFrame, pairs: DataFrame, width: int, similarity: float, d
     return pairs.join(left, "a").join(right, "b").where(alike("sa", "sb")).select("a", "b")
 
 
-def similar_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8, miss: float = 0.002, reach: int = 16, doc: str = "doc_id", text: str = "text") -> DataFrame:
+def whole_keys(batches: Iterator[pa.RecordBatch], least: int = 20_000) -> Iterator[pa.Table]:
+    """Batches sorted by ``key`` as tables of about ``least`` rows or more that no key's rows are shared between."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= least:
+            keys = batch.column("key").to_numpy()
+            start = int(np.searchsorted(keys, keys[-1]))
+            if start:
+                yield pa.Table.from_batches([*held[:-1], batch.slice(0, start)])
+                held = [batch.slice(start)]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+#: Pairs of two classes that are tried in a round, 0: only what spans the classes; the last round tries all.
+TRIES = (0, 8, 512, 1 << 62)
+
+
+def similar_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """(``id``, ``root``, ``k1``, ``k2``): one row per different word sequence, with the least id of its
     copies and of its class; documents link at Jaccard similarity ``similarity`` of their sets of
     ``width``-word shingles.
 
-    At this similarity fingerprints differ in too many bits for a guarantee
-    over 64 of them, so the principle is used with many partitions of a wide
-    fingerprint, thresholds 0, as many as bring the chance of a miss under
-    ``miss``. Rows with one value are compared with the ``reach`` next ones in a
-    hash order that changes by partition, and leave a spanning forest, so that a
-    group of near copies costs its size, not its square. Links are checked on
-    all bits of the wide fingerprints, then exactly on the shingle sets.
+    At this similarity fingerprints differ in too many bits for a guarantee, so
+    the pairs come from an exact join: with shingles in one order, rare ones
+    first, two sets of the similarity share one of their first shingles. Rows
+    that share one are linked with the next row by it, and what passes the exact
+    check makes first classes. Then every pair of rows of different classes
+    that share one is tried, but for those whose sizes, places or parity
+    sketches show that they can't have the similarity: first what spans the
+    classes, so that a group of near copies costs its size, and in the end all.
 
     Equal word sequences are one row from the start. Texts without words, null
     ones among them, are copies of each other. Null ids are left out.
     """
-    n = docs.count()
-    bits, tables = table_plan(n, similarity, miss)
-    blocks = max(2, -(-bits * tables // 64))
+    named = docs.where(F.col(doc).isNotNull()).select(F.col(doc).alias("d"), F.col(text).alias("t"))
+    shared = docs.sparkSession.sparkContext.broadcast(shingle_levels(named.select("t"), width, docs.count()))
     doc_type = docs.schema[doc].dataType
-    schema = pa.schema([("d", to_arrow_type(doc_type)), ("k1", pa.int64()), ("k2", pa.int64()), ("n", pa.int32()), ("wide", pa.binary())])
+    schema = pa.schema([("d", to_arrow_type(doc_type)), ("k1", pa.int64()), ("k2", pa.int64()), ("n", pa.int32()), ("first", pa.binary()), ("sketch", pa.binary())])
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "t"):
@@ -380,49 +465,75 @@ def similar_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8, mi
             for t in utf8(batch.column("t")):
                 key = xxhash.xxh3_128_digest(b" ".join(t.lower().split()))
                 shingles = np.unique(shingle_hashes(t, width))
-                rows.append((int.from_bytes(key[:8], "little", signed=True), int.from_bytes(key[8:], "little", signed=True), len(shingles), wide_fingerprint(shingles, blocks)))
-            columns = list(zip(*rows)) or [[]] * 4
+                rows.append((int.from_bytes(key[:8], "little", signed=True), int.from_bytes(key[8:], "little", signed=True), len(shingles), prefix(shingles, shared.value, similarity).tobytes(), parity_sketch(shingles)))
+            columns = list(zip(*rows)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([batch.column("d").cast(schema.field(0).type), *(pa.array(c, f.type) for c, f in zip(columns, list(schema)[1:]))], schema=schema)
 
-    every = docs.where(F.col(doc).isNotNull()).select(F.col(doc).alias("d"), F.col(text).alias("t")).mapInArrow(prints, f"d {doc_type.simpleString()}, k1 long, k2 long, n int, wide binary")
-    words = stored(every.groupBy("k1", "k2").agg(F.min(F.col("d").cast("long")).alias("id"), F.first("n").alias("n"), F.first("wide").alias("wide")), "words")
+    every = named.mapInArrow(prints, f"d {doc_type.simpleString()}, k1 long, k2 long, n int, first binary, sketch binary")
+    words = stored(every.groupBy("k1", "k2").agg(F.min(F.col("d").cast("long")).alias("id"), F.first("n").alias("n"), F.first("first").alias("first"), F.first("sketch").alias("sketch")), "words")
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 2000):
                 part = batch.slice(start, 2000)
-                ids, sizes = part.column("id").to_numpy(), part.column("n").to_numpy()
-                raw = np.frombuffer(b"".join(part.column("wide").to_pylist()), dtype=np.uint8).reshape(len(ids), -1)
-                table = np.unpackbits(raw, axis=1, bitorder="little")[:, : bits * tables].reshape(len(ids), tables, bits)
-                value = table @ (np.int64(1) << np.arange(bits, dtype=np.int64)) + (np.arange(tables, dtype=np.int64) << bits)
-                lanes = raw[:, :16].copy().view("<i8")
-                yield pa.RecordBatch.from_arrays([pa.array(value.ravel()), *(pa.array(np.repeat(x, tables)) for x in (ids, lanes[:, 0], lanes[:, 1], sizes))], names=["key", "id", "f0", "f1", "n"])
-
-    allowed = ceil(128 * (1 - agreement(similarity)) + 4 * (128 * agreement(similarity) * (1 - agreement(similarity))) ** 0.5)
-
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            now = [batch.column(c).to_numpy() for c in ("key", "id", "f0", "f1", "n")]
-            fresh = 0 if held is None else len(held[0])
-            now = now if held is None else [np.concatenate(x) for x in zip(held, now)]
-            links = sorted(bucket_forest(*now, similarity, allowed, reach, fresh))
-            held = [x[-reach:] for x in now]
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
-
-    rows = words.where("n > 0").select("id", "n", "wide").mapInArrow(probe, "key long, id long, f0 long, f1 long, n int")
-    met = rows.repartition("key").sortWithinPartitions("key", F.xxhash64("id", "key")).mapInArrow(link, "a long, b long").distinct()
-    left, right = (words.select(F.col("id").alias(c), F.col("wide").alias(f"w{c}")) for c in "ab")
-    total, p = 64 * blocks, agreement(similarity)
-    most = ceil(total * (1 - p) + 3.5 * (total * p * (1 - p)) ** 0.5)
+                firsts = part.column("first").to_pylist()
+                counts = np.fromiter((len(x) // 8 for x in firsts), np.int64, len(firsts))
+                places = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(firsts), dtype="<i8")), *(pa.array(np.repeat(part.column(c).to_numpy(), counts)) for c in ("id", "n")), pa.array(places, pa.int32())], names=["key", "id", "n", "place"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows whose key others have too, with the next row's id if the two can be similar."""
+        for part in whole_keys(batches):
+            key, ids, n, place = (part.column(c).to_numpy() for c in ("key", "id", "n", "place"))
+            same = np.append(key[1:] == key[:-1], False)
+            i = np.flatnonzero(same)
+            i = i[may_reach(i, i + 1, n, place, similarity)]
+            fits = np.zeros(len(key), dtype=bool)
+            fits[i] = True
+            kept = same | np.append(False, same[:-1])
+            other = pa.array(np.append(ids[1:], 0)[kept], mask=~fits[kept])
+            yield pa.RecordBatch.from_arrays([*(pa.array(x[kept]) for x in (key, ids, n, place)), other], names=["key", "id", "n", "place", "other"])
+
+    rows = words.where("n > 0").select("id", "n", "first").mapInArrow(probe, "key long, id long, n int, place int")
+    met = stored(rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(meet, "key long, id long, n int, place int, other long"), "met")
+
+    def across(most: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in whole_keys(batches):
+                columns = [part.column(c).to_numpy() for c in ("key", "id", "n", "place", "root")]
+                sketches = np.frombuffer(b"".join(part.column("sketch").to_pylist()), dtype="<u8").reshape(len(columns[0]), -1)
+                for a, b, cut in pairs_across(*columns, sketches, similarity, most):
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                    if cut:
+                        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64())] * 2, names=["a", "b"])
+
+        return run
+
+    def near(pairs: DataFrame) -> DataFrame:
+        left, right = (words.select(F.col("id").alias(c), F.col("sketch").alias(f"s{c}"), F.col("n").alias(f"n{c}")) for c in "ab")
+        bound = F.col("na") + F.col("nb") - 2 * F.ceil((F.col("na") + F.col("nb")) * (similarity / (1 + similarity)) - 1e-6)
+        return pairs.join(left, "a").join(right, "b").where(apart("sa", "sb") <= bound).select("a", "b")
 
     @F.pandas_udf("int")
     def apart(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([(int.from_bytes(a, "little") ^ int.from_bytes(b, "little")).bit_count() for a, b in zip(x, y)], dtype="int32")
 
-    likely = stored(met.join(left, "a").join(right, "b").where(apart("wa", "wb") <= most).select("a", "b"), "likely")
-    links = stored(verified(docs, likely, width, similarity, doc, text), "links")
-    roots = connected_components(links, "a", "b")
+    chains = met.where("other IS NOT NULL").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).where("a <> b").distinct()
+    links = stored(verified(docs, stored(near(chains), "likely"), width, similarity, doc, text), "links")
+    roots = stored(connected_components(links, "a", "b"), "roots")
+    for most in TRIES:
+        now = met.select("key", "id", "n", "place").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        now = stored(now, "now")
+        mixed = now.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+        left = now.join(mixed, "key", "left_semi").join(words.select("id", "sketch"), "id")
+        tried = stored(left.repartition("key").sortWithinPartitions("key", "id").mapInArrow(across(most), "a long, b long").distinct(), "tried")
+        discard(now)
+        pairs = tried.where("a IS NOT NULL")
+        if not pairs.isEmpty():
+            links = stored(links.union(verified(docs, pairs, width, similarity, doc, text)), "links")
+            roots = stored(connected_components(links, "a", "b"), "roots")
+        if tried.where("a IS NULL").isEmpty():
+            break
     return words.join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root"), "k1", "k2")
 
 

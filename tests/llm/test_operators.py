@@ -140,6 +140,39 @@ def test_near_duplicates_keep_one_of_each(spark):
     assert kept == set(root.values())
 
 
+def similar_roots(texts):
+    """Least id of each text's class at Jaccard 0.8 of five-word shingles, by all pairs."""
+
+    def grams(t):
+        w = t.lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    g = [grams(t) for t in texts]
+    return classes([(i, j) for i in range(len(g)) for j in range(i) if len(g[i] & g[j]) >= 0.8 * len(g[i] | g[j])], range(len(g)))
+
+
+def test_near_duplicates_in_a_family_just_under_the_similarity(spark):
+    rng = random.Random(11)
+    base = words(rng, 400).split()
+    texts = []
+
+    def changed(v, n, name):
+        v = list(v)
+        for i in rng.sample(range(len(v)), n):
+            v[i] = f"{name}x{i}"
+        return v
+
+    for k in range(200):
+        v = changed(base, 6, f"own{k}")  # 0.74 to another of the family, and 0.82 to its own copy
+        texts.append(" ".join(v))
+        if k % 5 == 0:
+            texts.append(" ".join(changed(v, 7, f"copy{k}")))
+    want = similar_roots(texts)
+    assert sum(want[i] != i for i in want) >= 30 and len(set(want.values())) >= 150
+    kept = {r.doc_id for r in simhash.keep_one_of_each(table(spark, texts)).collect()}
+    assert kept == set(want.values())
+
+
 def test_general_pigeonhole_loses_nothing():
     rng = np.random.default_rng(4)
     for distance in (2, 4, 7):
