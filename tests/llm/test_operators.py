@@ -173,6 +173,17 @@ def test_near_duplicates_in_a_family_just_under_the_similarity(spark):
     assert kept == set(want.values())
 
 
+def test_near_duplicates_of_few_shingles(spark):
+    rng = random.Random(12)
+    texts = []
+    for _ in range(1500):  # 4 shingles against 5, and 12 against 15: 0.8 exactly
+        for n, more in ((8, 1), (16, 3)):
+            v = words(rng, n + more).split()
+            texts += [" ".join(v[:n]), " ".join(v)]
+    kept = {r.doc_id for r in simhash.keep_one_of_each(table(spark, texts)).collect()}
+    assert kept == set(range(0, len(texts), 2))
+
+
 def test_general_pigeonhole_loses_nothing():
     rng = np.random.default_rng(4)
     for distance in (2, 4, 7):
