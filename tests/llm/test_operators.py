@@ -184,6 +184,22 @@ def test_near_duplicates_of_few_shingles(spark):
     assert kept == set(range(0, len(texts), 2))
 
 
+def test_near_duplicates_that_share_a_long_passage(spark):
+    rng = random.Random(13)
+    passage = words(rng, 80)
+    texts = []
+    for k in range(1500):  # half of the words are the passage
+        v = [f"own{k}x{i}" for i in range(40)]
+        texts.append(" ".join(v) + " " + passage)
+        if k % 10 == 0:
+            v[20] = "new"
+            v[3] = "other"
+            texts.append(" ".join(v) + " " + passage)
+    want = {i for i, t in enumerate(texts) if " new " not in t}
+    kept = {r.doc_id for r in simhash.keep_one_of_each(table(spark, texts)).collect()}
+    assert kept == want
+
+
 def test_general_pigeonhole_loses_nothing():
     rng = np.random.default_rng(4)
     for distance in (2, 4, 7):
