@@ -3,9 +3,10 @@
 Words (a blank and what follows it) never share a piece, so they are encoded
 apart. An agenda step takes from every word of a batch at once its best-scored
 adjacent pair, the leftmost of equals, as the library's agenda does; each
-candidate merge is skipped for good if a keyed hash of the word, the place and
-the two pieces falls below the dropout rate. The key is the seed and a variant
-that follows from the document, so that a run can be repeated anywhere.
+candidate merge of each occurrence of a word is skipped for good with the
+dropout rate. What is skipped follows from the seed, the document's id and the
+word's number in the text, so that a run can be repeated anywhere. Only words
+that are cut under the same skips are encoded once.
 """
 
 from __future__ import annotations
@@ -116,14 +117,73 @@ def mixed(*parts: np.ndarray) -> np.ndarray:
 class Encoder:
     """Encodes texts to piece ids with merge-dropout of rate ``dropout``, keyed by ``seed``."""
 
-    def __init__(self, pieces: Pieces, dropout: float, seed: int, variants: int = 4, cached: int = 400_000) -> None:
-        self.pieces, self.dropout, self.seed, self.variants, self.cached = pieces, dropout, seed, variants, cached
+    def __init__(self, pieces: Pieces, dropout: float, seed: int, cached: int = 400_000) -> None:
+        self.pieces, self.dropout, self.seed, self.cached = pieces, dropout, seed, cached
         self.limit = np.uint64(min(2**64 - 1, int(dropout * 2**64)))
-        self.known: list[dict[str, bytes]] = [{} for _ in range(variants)]
-
-    def variant(self, key: str) -> int:
-        """Which of the variants a document takes."""
-        return xxhash.xxh64_intdigest(key.encode(), self.seed) % self.variants
+        self.longest = max(map(len, pieces.id_of))
+        self.rank_of = {int(p): int(r) for p, r in zip(pieces.made, pieces.rank) if r != NEVER}
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.texts: list[str] = []
+        self.merges: list[int] = []
+        self.plans: dict[int, dict[tuple[int, int, int], tuple[int, int]]] = {}
+        self.known: dict[int, bytes] = {}
+
+    def plan(self, word: str) -> dict[tuple[int, int, int], tuple[int, int]] | None:
+        """(rank, bit) of each merge that the word could see, by start, middle and end; None if it has more than 64."""
+        n, id_of = len(word), self.pieces.id_of
+        if n > 40:
+            return None
+        found = {(s, e): id_of.get(word[s:e], -1) for s in range(n) for e in range(s + 1, min(n, s + self.longest) + 1)}
+        out: dict[tuple[int, int, int], tuple[int, int]] = {}
+        for (s, e), piece in found.items():
+            if piece >= 0:
+                for m in range(s + 1, e):
+                    if found[s, m] >= 0 and found[m, e] >= 0:
+                        out[s, m, e] = self.rank_of[piece], 1 << len(out)
+        return out if len(out) <= 64 else None
+
+    def add(self, word: str) -> int:
+        self.number[word] = at = len(self.texts)
+        self.texts.append(SPACE + word)
+        plan = self.plan(SPACE + word)
+        self.merges.append(-1 if plan is None else len(plan))
+        return at
+
+    def cut(self, at: int, skipped: int) -> bytes:
+        """Piece ids of a word whose merges with these bits are skipped."""
+        word = self.texts[at]
+        plan = self.plans.get(at)
+        if plan is None:
+            if len(self.plans) >= 10_000:
+                self.plans.clear()
+            plan = self.plans[at] = self.plan(word)
+        ends = list(range(len(word) + 1))
+        while True:
+            best, where = NEVER, 0
+            for k in range(1, len(ends) - 1):
+                merge = plan.get((ends[k - 1], ends[k], ends[k + 1]))
+                if merge is not None and merge[0] < best and not merge[1] & skipped:
+                    best, where = merge[0], k
+            if not where:
+                break
+            del ends[where]
+        ids = [self.pieces.id_of.get(word[s:e], -1) for s, e in zip(ends, ends[1:])]
+        return np.array(self.finish(word, ids, ends), dtype="<i4").tobytes()
+
+    def skips(self, keys: np.ndarray) -> np.ndarray:
+        """64 bits for each key, each set with the dropout rate (to 32 binary places) whatever the others are."""
+        rate = min(1 << 32, round(self.dropout * 2**32))
+        out = np.full(len(keys), 2**64 - 1 if rate == 1 << 32 else 0, dtype=np.uint64)
+        for k in range(32) if 0 < rate < 1 << 32 else ():
+            h = keys + np.uint64((k + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1))
+            h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            h ^= h >> np.uint64(31)
+            out = out | h if rate >> k & 1 else out & h
+        return out
 
     def symbols(self, text: str) -> np.ndarray:
         """A piece id per character; -1 for characters that are no piece."""
@@ -177,15 +237,11 @@ class Encoder:
             rank[could[skip]] = NEVER
         return rank
 
-    def key(self, word: str, variant: int) -> int:
-        return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), (self.seed * 1_000_003 + variant) & (2**64 - 1))
-
-    def encode_words(self, words: list[str], variant: int, longest: int = 200) -> list[list[int]]:
-        """Piece ids of each word (blanks written as U+2581), whatever the others are."""
+    def encode_words(self, words: list[str], keys: np.ndarray, longest: int = 200) -> list[list[int]]:
+        """Piece ids of each word (blanks written as U+2581) by its key, whatever the others are."""
         lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         ends = np.cumsum(lengths)
         symbols = self.symbols("".join(words))
-        keys = np.fromiter((self.key(w, variant) for w in words), dtype=np.uint64, count=len(words))
         out: list = [[]] * len(words)
         for width in np.unique(lengths).tolist():
             at = np.flatnonzero(lengths == width)
@@ -250,27 +306,48 @@ class Encoder:
         return [w.replace(" ", SPACE) for w in STARTS.split(text)]
 
     def encode(self, texts: list[str], keys: list[str]) -> list[np.ndarray]:
-        """Piece ids of each text; ``keys`` choose the variants."""
+        """Piece ids of each text; what is skipped follows from its key and each word's number."""
         split = [self.words(t) if t else [] for t in texts]
-        chosen = [self.variant(k) for k in keys]
-        if sum(map(len, self.known)) > self.cached:
-            self.known = [{} for _ in range(self.variants)]
-        for v in set(chosen):
-            new: set[str] = set()
-            for words, c in zip(split, chosen):
-                if c == v:
-                    new.update(words)
-            new -= self.known[v].keys()
-            order = sorted(new)
-            self.known[v].update((w, np.array(x, dtype="<i4").tobytes()) for w, x in zip(order, self.encode_words([SPACE + w for w in order], v)))
-        return [np.frombuffer(b"".join(map(self.known[v].__getitem__, words)), dtype="<i4") for words, v in zip(split, chosen)]
+        counts = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
+        if len(self.texts) > self.cached // 4 or len(self.known) > self.cached:
+            self.forget()
+        number = self.number
+        at = np.array([number[w] if w in number else self.add(w) for words in split for w in words], dtype=np.int64)
+        own = np.fromiter((xxhash.xxh64_intdigest(k.encode(), self.seed) for k in keys), dtype=np.uint64, count=len(keys))
+        places = np.arange(len(at)) - np.repeat(np.cumsum(counts) - counts, counts)
+        drawn = mixed(np.repeat(own, counts), places)
+        merges = np.array(self.merges, dtype=np.int64)[at]
+        whole = np.left_shift(np.uint64(1), np.clip(merges, 0, 63).astype(np.uint64)) - np.uint64(1)
+        skipped = self.skips(drawn) & np.where(merges == 64, np.uint64(2**64 - 1), whole)
+        # Words with more merges than bits are encoded each by its own key.
+        apart = np.flatnonzero(merges < 0)
+        skipped[apart] = apart.astype(np.uint64)
+        order = np.lexsort((skipped, at))
+        first = np.ones(len(order), dtype=bool)
+        first[1:] = (at[order][1:] != at[order][:-1]) | (skipped[order][1:] != skipped[order][:-1])
+        kind = np.empty(len(order), dtype=np.int64)
+        kind[order] = np.cumsum(first) - 1
+        chosen = order[first]
+        long = dict(zip(apart.tolist(), self.encode_words([self.texts[i] for i in at[apart]], drawn[apart]))) if len(apart) else {}
+        cuts = []
+        for i, word, skip in zip(chosen.tolist(), at[chosen].tolist(), skipped[chosen].tolist()):
+            if i in long:
+                cuts.append(np.array(long[i], dtype="<i4").tobytes())
+                continue
+            code = word << 64 | skip
+            ids = self.known.get(code)
+            if ids is None:
+                ids = self.known[code] = self.cut(word, skip)
+            cuts.append(ids)
+        ends = np.cumsum(counts).tolist()
+        return [np.frombuffer(b"".join(map(cuts.__getitem__, kind[e - n : e].tolist())), dtype="<i4") for n, e in zip(counts.tolist(), ends)]
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes that ids stand for, without the blank put before the text."""
         return b"".join(map(self.pieces.raw.__getitem__, ids.tolist()))[1:]
 
 
-def encode_documents(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 0, variants: int = 4, doc: str = "doc_id", text: str = "text", with_ids: bool = True) -> DataFrame:
+def encode_documents(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 0, doc: str = "doc_id", text: str = "text", with_ids: bool = True) -> DataFrame:
     """(``doc``, ``ids``, ``n_pieces``, ``ids_crc32``, ``lossless``) for every row of ``docs``.
 
     ``lossless`` tells that decoding ``ids`` gives the whole text's bytes again.
@@ -278,8 +355,9 @@ def encode_documents(docs: DataFrame, model: str, dropout: float = 0.1, seed: in
     path of a SentencePiece BPE model with byte pieces that every executor has.
     With ``dropout`` 0 the ids are the library's, but for U+2581 in a text, which
     is kept apart from the blank. A null or empty text has no ids and is
-    lossless. Equal texts of documents with one variant get equal ids. A null id
-    has a variant of its own kind; other columns are not returned.
+    lossless. Skips are drawn anew for each word of each document; rows of one id
+    and text get equal ids, and a null id is one of its own kind. Other columns
+    are not returned.
     """
     doc_type = docs.schema[doc].dataType
     fields = [(doc, to_arrow_type(doc_type)), *([("ids", pa.list_(pa.int32()))] if with_ids else []), ("n_pieces", pa.int64()), ("ids_crc32", pa.int64()), ("lossless", pa.bool_())]
@@ -288,8 +366,8 @@ def encode_documents(docs: DataFrame, model: str, dropout: float = 0.1, seed: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zlib
 
-        encoder = Encoder(Pieces(model), dropout, seed, variants)
-        for batch in by_bytes(batches, "t", 4 << 20):
+        encoder = Encoder(Pieces(model), dropout, seed)
+        for batch in by_bytes(batches, "t", 2 << 20):
             raw = utf8(batch.column("t"))
             keys = ["" if d is None else str(d) for d in batch.column("d").to_pylist()]
             ids = encoder.encode([x.decode() for x in raw], keys)

@@ -80,6 +80,27 @@ def test_merge_dropout_matches_the_library_and_decodes(spark):
     assert merge_dropout.encode_documents(table(spark, []), MODEL).count() == 0
 
 
+def test_merge_dropout_is_drawn_for_each_occurrence(spark):
+    word = "information"
+    texts = [" ".join([word] * 50)] * 60
+    rows = merge_dropout.encode_documents(table(spark, texts), MODEL, dropout=0.1, seed=3).collect()
+    assert all(r.lossless for r in rows)
+    pieces = merge_dropout.Pieces(MODEL)
+    cuts = Counter()
+    for r in rows:
+        one = []
+        for piece in r.ids:
+            if pieces.raw[piece].startswith(b" ") and one:
+                cuts[tuple(one)] += 1
+                one = []
+            one.append(piece)
+        cuts[tuple(one)] += 1
+    assert len(cuts) > 4 and len({tuple(r.ids) for r in rows}) == len(rows)
+    # " a": one merge, dropped in a tenth of the occurrences
+    rows = merge_dropout.encode_documents(table(spark, [" ".join(["a"] * 1000)] * 10), MODEL, dropout=0.1, seed=3).collect()
+    assert all(50 < len(r.ids) - 1000 < 150 for r in rows)
+
+
 def plain_print(text, k):
     w = (text or "").encode().lower().split()
     h = [xxhash.xxh64_intdigest(b" ".join(w[i : i + k]), 42) for i in range(max(1, len(w) - k + 1))] if w else []
