@@ -401,4 +401,4 @@ def query(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"), dropout=0.1, seed=2024, with_ids=False)
+    return encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"), dropout=0.1, seed=2024)
