@@ -284,11 +284,8 @@ def column_envelope(spark, sf_dir):
 
 @query()
 def stream_correlation(spark, sf_dir):
-    """Event types as streams; errors are given an echo ten minutes later, which the search finds."""
-    epochs = _epochs(spark, sf_dir)
-    burst = epochs.where("stream = 'signup' AND epoch % 7 = 0").select(F.lit("deploy").alias("stream"), "epoch")
-    echo = burst.select(F.lit("failure").alias("stream"), (F.col("epoch") + 21600).alias("epoch"))
-    return series.correlate(burst.unionByName(echo))
+    """Lagged correlations of all event types as streams."""
+    return series.correlate(_epochs(spark, sf_dir))
 
 
 @query("""WITH c AS (SELECT user_id, date_trunc('day', ts) AS day, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY ALL)

@@ -267,3 +267,14 @@ def test_embeddings(spark):
     got = {r.no: r.embedding for r in similarity.embed_texts(lines(spark, "abc", "cba", "", None), "value").collect()}
     assert got[0] == got[1] and len(got[0]) == 64 and abs(sum(x * x for x in got[0]) - 1) < 1e-5
     assert set(got[2]) == set(got[3]) == {0.0}
+
+
+def test_stream_correlation_takes_all_event_types(spark, monkeypatch):
+    from gleanspark.plans import catalogue
+
+    seen = []
+    monkeypatch.setattr(catalogue.series, "correlate", lambda streams: seen.append(streams) or streams)
+    catalogue.QUERIES["stream_correlation"](spark, "/root/testdata/sf0.001")
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    want = {r.event_type: r["count"] for r in events.groupBy("event_type").count().collect()}
+    assert {r.stream: r["count"] for r in seen[0].groupBy("stream").count().collect()} == want
