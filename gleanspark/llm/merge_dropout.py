@@ -4,15 +4,16 @@ Words (a blank and what follows it) never share a piece, so they are encoded
 apart. An agenda step takes from every word of a batch at once its best-scored
 adjacent pair, the leftmost of equals, as the library's agenda does; each
 candidate merge of each occurrence of a word is skipped for good with the
-dropout rate. What is skipped follows from the seed, the document's id and the
-word's number in the text, so that a run can be repeated anywhere. Only words
-that are cut under the same skips are encoded once.
+dropout rate. What is skipped follows from the seed, the document's id, the
+word's number in the text and the candidate's place in the word, so that a run
+can be repeated anywhere. Only what no skip touches is encoded once.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +58,8 @@ class Pieces:
             self.raw[i] = self.text[i].replace(SPACE, " ").encode()
         for i in byte_pieces:
             self.raw[i] = bytes([int(self.text[i][3:5], 16)])
+        lengths = np.fromiter(map(len, self.raw), dtype=np.int64, count=size)
+        self.raw_bytes, self.raw_at, self.raw_length = np.frombuffer(b"".join(self.raw), dtype=np.uint8), np.cumsum(lengths) - lengths, lengths
         # Merges: pairs of symbols whose concatenation is a piece, by their code; lower rank is better.
         order = sorted(normal, key=lambda i: (-sp.get_score(i), i))
         rank, last = {}, None
@@ -65,7 +68,9 @@ class Pieces:
                 step = len(rank)
             rank[i], last = step, sp.get_score(i)
         # Pieces outside the vocabulary that merges pass through don't exist in BPE: both parts are pieces.
-        codes, made, ranks = [], [], []
+        self.rank = np.full(size, NEVER, dtype=np.int32)
+        self.rank[list(rank)] = list(rank.values())
+        codes, made = [], []
         for i in normal:
             t = self.text[i]
             for k in range(1, len(t)):
@@ -73,36 +78,33 @@ class Pieces:
                 if a is not None and b is not None:
                     codes.append(a * size + b)
                     made.append(i)
-                    ranks.append(rank[i])
-        at = np.argsort(np.array(codes, dtype=np.int64))
-        codes = np.array(codes, dtype=np.int64)[at]
+        self.kind = np.uint32 if size * size < 1 << 32 else np.uint64
         self.bits = max(4, int(np.ceil(np.log2(max(1, len(codes)) * 4))))
-        self.table = np.full(1 << self.bits, -1, dtype=np.int64)
-        self.made = np.zeros(1 << self.bits, dtype=np.int32)
-        self.rank = np.full(1 << self.bits, NEVER, dtype=np.int32)
-        for code, piece, r in zip(codes.tolist(), np.array(made)[at].tolist(), np.array(ranks)[at].tolist()):
-            slot = self._slot(code)
-            while self.table[slot] >= 0:
+        self.table = np.full(1 << self.bits, self.kind(0xFFFFFFFFFFFFFFFF >> (64 - 8 * np.dtype(self.kind).itemsize)))
+        self.made = np.full(1 << self.bits, -1, dtype=np.int32)
+        for code, piece, slot in zip(codes, made, self.slots(np.array(codes, dtype=self.kind)).tolist()):
+            while self.made[slot] >= 0:
                 slot = (slot + 1) & ((1 << self.bits) - 1)
-            self.table[slot], self.made[slot], self.rank[slot] = code, piece, r
+            self.table[slot], self.made[slot] = code, piece
 
-    def _slot(self, code: int) -> int:
-        return ((code * 0x9E3779B97F4A7C15) & (2**64 - 1)) >> (64 - self.bits)
+    def slots(self, codes: np.ndarray) -> np.ndarray:
+        width = 8 * codes.itemsize
+        return (codes * self.kind(0x9E3779B97F4A7C15 >> (64 - width) | 1)) >> self.kind(width - self.bits)
 
     def look_up(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(piece made, rank) of each pair of symbols; rank ``NEVER`` if they don't merge. Negative symbols never do."""
-        code = left.astype(np.int64) * self.size + right
-        slot = ((code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
-        held = self.table[slot]
-        found = held == code
-        open_ = np.flatnonzero(~found & (held >= 0))
+        code = left.astype(self.kind) * self.kind(self.size) + right.astype(self.kind)
+        slot = self.slots(code)
+        found = self.table[slot] == code
+        made = self.made[slot]
+        open_ = np.flatnonzero(~found & (made >= 0))
         while len(open_):
-            slot[open_] = (slot[open_] + 1) & ((1 << self.bits) - 1)
-            held = self.table[slot[open_]]
-            found[open_] = held == code[open_]
-            open_ = open_[(held != code[open_]) & (held >= 0)]
-        found &= (left >= 0) & (right >= 0)
-        return self.made[slot], np.where(found, self.rank[slot], NEVER)
+            slot[open_] = (slot[open_] + self.kind(1)) & self.kind((1 << self.bits) - 1)
+            made[open_] = self.made[slot[open_]]
+            found[open_] = self.table[slot[open_]] == code[open_]
+            open_ = open_[~found[open_] & (made[open_] >= 0)]
+        found &= (left >= 0) & (right >= 0) & (made >= 0)
+        return made, np.where(found, self.rank[made], NEVER)
 
 
 def mixed(*parts: np.ndarray) -> np.ndarray:
@@ -114,188 +116,219 @@ def mixed(*parts: np.ndarray) -> np.ndarray:
     return h
 
 
+def merge_code(start: np.ndarray, middle: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A candidate merge within its word: the places where its parts start and where it ends."""
+    code = (start.astype(np.uint64) << np.uint64(42)) ^ (middle.astype(np.uint64) << np.uint64(21)) ^ end.astype(np.uint64)
+    return code * np.uint64(0x9E3779B97F4A7C15)
+
+
+def draw(keys: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """A number for each candidate merge of each occurrence of a word: the finalizer of a hash over both."""
+    h = keys ^ codes
+    h ^= h >> np.uint64(33)
+    h *= np.uint64(0xFF51AFD7ED558CCD)
+    h ^= h >> np.uint64(33)
+    h *= np.uint64(0xC4CEB9FE1A85EC53)
+    h ^= h >> np.uint64(33)
+    return h
+
+
+def spread(offsets: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Places offset, offset + 1, ... of each stretch, one stretch after the other."""
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(offsets - (ends - lengths), lengths)
+
+
+class Pool:
+    """Stretches of numbers, appended many at a time."""
+
+    def __init__(self, kind: str) -> None:
+        self.data, self.used = np.zeros(1 << 12, dtype=kind), 0
+        self.offsets, self.lengths = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+
+    def add(self, values: np.ndarray, lengths: np.ndarray) -> None:
+        need = self.used + len(values)
+        if need > len(self.data):
+            grown = np.zeros(2 * need, dtype=self.data.dtype)
+            grown[: self.used] = self.data[: self.used]
+            self.data = grown
+        self.data[self.used : need] = values
+        self.offsets = np.concatenate([self.offsets, self.used + np.cumsum(lengths) - lengths])
+        self.lengths = np.concatenate([self.lengths, lengths])
+        self.used = need
+
+
+class Numbers(dict):
+    """Numbers words 0, 1, 2, ... as they come."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 class Encoder:
-    """Encodes texts to piece ids with merge-dropout of rate ``dropout``, keyed by ``seed``."""
+    """Encodes texts to piece ids with merge-dropout of rate ``dropout``, keyed by ``seed``.
+
+    The agenda of a word without any skip is worked off once, and remembered with
+    the merges it takes, for up to ``cached`` words. An occurrence that draws no
+    skip for any of them has its pieces; for every other one the agenda runs
+    anew, with its own draws.
+    """
 
-    def __init__(self, pieces: Pieces, dropout: float, seed: int, cached: int = 400_000) -> None:
-        self.pieces, self.dropout, self.seed, self.cached = pieces, dropout, seed, cached
+    def __init__(self, pieces: Pieces, dropout: float, seed: int, cached: int = 200_000, longest: int = 200) -> None:
+        self.pieces, self.dropout, self.seed, self.cached, self.longest = pieces, dropout, seed, cached, longest
         self.limit = np.uint64(min(2**64 - 1, int(dropout * 2**64)))
-        self.longest = max(map(len, pieces.id_of))
-        self.rank_of = {int(p): int(r) for p, r in zip(pieces.made, pieces.rank) if r != NEVER}
         self.forget()
 
     def forget(self) -> None:
-        self.number: dict[str, int] = {}
-        self.texts: list[str] = []
-        self.merges: list[int] = []
-        self.plans: dict[int, dict[tuple[int, int, int], tuple[int, int]]] = {}
-        self.known: dict[int, bytes] = {}
-
-    def plan(self, word: str) -> dict[tuple[int, int, int], tuple[int, int]] | None:
-        """(rank, bit) of each merge that the word could see, by start, middle and end; None if it has more than 64."""
-        n, id_of = len(word), self.pieces.id_of
-        if n > 40:
-            return None
-        found = {(s, e): id_of.get(word[s:e], -1) for s in range(n) for e in range(s + 1, min(n, s + self.longest) + 1)}
-        out: dict[tuple[int, int, int], tuple[int, int]] = {}
-        for (s, e), piece in found.items():
-            if piece >= 0:
-                for m in range(s + 1, e):
-                    if found[s, m] >= 0 and found[m, e] >= 0:
-                        out[s, m, e] = self.rank_of[piece], 1 << len(out)
-        return out if len(out) <= 64 else None
-
-    def add(self, word: str) -> int:
-        self.number[word] = at = len(self.texts)
-        self.texts.append(SPACE + word)
-        plan = self.plan(SPACE + word)
-        self.merges.append(-1 if plan is None else len(plan))
-        return at
-
-    def cut(self, at: int, skipped: int) -> bytes:
-        """Piece ids of a word whose merges with these bits are skipped."""
-        word = self.texts[at]
-        plan = self.plans.get(at)
-        if plan is None:
-            if len(self.plans) >= 10_000:
-                self.plans.clear()
-            plan = self.plans[at] = self.plan(word)
-        ends = list(range(len(word) + 1))
-        while True:
-            best, where = NEVER, 0
-            for k in range(1, len(ends) - 1):
-                merge = plan.get((ends[k - 1], ends[k], ends[k + 1]))
-                if merge is not None and merge[0] < best and not merge[1] & skipped:
-                    best, where = merge[0], k
-            if not where:
-                break
-            del ends[where]
-        ids = [self.pieces.id_of.get(word[s:e], -1) for s, e in zip(ends, ends[1:])]
-        return np.array(self.finish(word, ids, ends), dtype="<i4").tobytes()
-
-    def skips(self, keys: np.ndarray) -> np.ndarray:
-        """64 bits for each key, each set with the dropout rate (to 32 binary places) whatever the others are."""
-        rate = min(1 << 32, round(self.dropout * 2**32))
-        out = np.full(len(keys), 2**64 - 1 if rate == 1 << 32 else 0, dtype=np.uint64)
-        for k in range(32) if 0 < rate < 1 << 32 else ():
-            h = keys + np.uint64((k + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1))
-            h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            h ^= h >> np.uint64(31)
-            out = out | h if rate >> k & 1 else out & h
-        return out
-
-    def symbols(self, text: str) -> np.ndarray:
-        """A piece id per character; -1 for characters that are no piece."""
-        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
-        return self.pieces.of_point[points]
-
-    def merge_rows(self, symbols: np.ndarray, keys: np.ndarray) -> list[tuple[list[int], list[int]]]:
-        """Run the agenda on words of equal length: (symbols, first character of each) by word.
-
-        A step merges one pair in every word that is not done, so all words still
-        running keep equal lengths.
+        self.number = Numbers()
+        self.points, self.pairs, self.plain, self.merges = Pool("u4"), Pool("i4"), Pool("i4"), Pool("u8")
+
+    def in_bytes(self, ids: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many each became), with the negative ones, characters that are no piece, as their bytes."""
+        odd = ids < 0
+        p = points[odd].astype(np.int64)
+        p[p == ord(OWN)] = ord(SPACE)
+        n = 1 + (p >= 0x80) + (p >= 0x800) + (p >= 0x10000)
+        k = np.arange(4)
+        # Byte k of n: the first has the length's mark and the top bits, the others six bits each.
+        raw = 0x80 | (p[:, None] >> np.maximum(6 * (n[:, None] - 1 - k), 0)) & 0x3F
+        raw[:, 0] = np.where(n == 1, p, np.array([0, 0, 0xC0, 0xE0, 0xF0])[n] | p >> 6 * (n - 1))
+        became = np.ones(len(ids), dtype=np.int64)
+        became[odd] = n
+        out = np.repeat(ids, became)
+        out[np.repeat(odd, became)] = self.pieces.byte_id[raw[k < n[:, None]]]
+        return out, became
+
+    def agenda(self, symbols: np.ndarray, pairs: np.ndarray, keys: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
+        """Work off the agendas of words of one width (symbols, and the ranks of pairs: a column a word), all of them at once.
+
+        A step takes from every word its best candidate, the leftmost of equals,
+        and merges it, or skips it for good if the word's key draws so. ``keys``
+        None skips nothing. Returns the symbols, which of them are left, and the
+        merges taken (their codes, and how many each word has), where nothing is skipped.
         """
-        n, width = symbols.shape
-        out: list = [None] * n
-        rows = np.arange(n)
-        place = np.broadcast_to(np.arange(width, dtype=np.int32), symbols.shape)
-        ranks = np.full((n, width - 1), NEVER, dtype=np.int32)
-        if width > 1:
-            ranks[:] = self.candidates(symbols[:, :-1].ravel(), symbols[:, 1:].ravel(), place[:, :-1].ravel(), np.repeat(keys, width - 1)).reshape(n, width - 1)
+        width, n = symbols.shape
+        flat = symbols.ravel()
+        alive = np.ones((width + 1, n), dtype=bool)
+        after = np.repeat(np.arange(1, width + 2, dtype=np.int32), n)
+        before = np.repeat(np.arange(-1, width, dtype=np.int32), n)
+        place = np.arange(width, dtype=np.int32)[:, None]
+        order = np.where(pairs == NEVER, NEVER, pairs * 256 + place)
+        order[-1] = NEVER
+        ranks = order.ravel()
+        words = np.arange(n)
+        taken: list[tuple[np.ndarray, np.ndarray]] = []
         while True:
-            best = ranks.argmin(axis=1) if ranks.shape[1] else np.zeros(len(rows), dtype=np.int64)
-            done = ranks[np.arange(len(rows)), best] == NEVER if ranks.shape[1] else np.ones(len(rows), dtype=bool)
-            if done.any():
-                for i, a, b in zip(rows[done].tolist(), symbols[done].tolist(), place[done].tolist()):
-                    out[i] = (a, b)
-                going = ~done
-                symbols, place, ranks, keys, rows, best = symbols[going], place[going], ranks[going], keys[going], rows[going], best[going]
-                if not len(rows):
-                    return out
-            at = np.arange(len(rows))
-            symbols[at, best], _ = self.pieces.look_up(symbols[at, best], symbols[at, best + 1])
-            rest = np.ones(symbols.shape, dtype=bool)
-            rest[at, best + 1] = False
-            symbols = symbols[rest].reshape(len(rows), -1)
-            place = place[rest].reshape(len(rows), -1)
-            rest = np.ones(ranks.shape, dtype=bool)
-            rest[at, best] = False
-            ranks = ranks[rest].reshape(len(rows), -1)
-            left = np.concatenate([best - 1, best])
-            who = np.concatenate([at, at])
-            ok = (left >= 0) & (left < ranks.shape[1])
-            left, who = left[ok], who[ok]
-            ranks[who, left] = self.candidates(symbols[who, left], symbols[who, left + 1], place[who, left], keys[who])
-
-    def candidates(self, a: np.ndarray, b: np.ndarray, place: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        """Rank of each pair; ``NEVER`` if it doesn't merge or is skipped."""
-        _, rank = self.pieces.look_up(a, b)
-        if self.dropout > 0:
-            could = np.flatnonzero(rank != NEVER)
-            skip = mixed(keys[could], place[could], a[could], b[could]) < self.limit
-            rank[could[skip]] = NEVER
-        return rank
-
-    def encode_words(self, words: list[str], keys: np.ndarray, longest: int = 200) -> list[list[int]]:
-        """Piece ids of each word (blanks written as U+2581) by its key, whatever the others are."""
-        lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        ends = np.cumsum(lengths)
-        symbols = self.symbols("".join(words))
-        out: list = [[]] * len(words)
+            best = order.min(axis=0)[words]
+            going = best != NEVER
+            if not going.all():
+                words, best = words[going], best[going]
+                if not len(words):
+                    break
+            at = best & 255
+            left = at * n + words
+            middle = after[left]
+            right = middle * n + words
+            end = after[right]
+            codes = merge_code(at, middle, end)
+            own = words
+            if keys is None:
+                taken.append((words, codes))
+            else:
+                skip = draw(keys[words], codes) < self.limit
+                if skip.any():
+                    ranks[left[skip]] = NEVER
+                    kept = ~skip
+                    own, at, left, right, end = words[kept], at[kept], left[kept], right[kept], end[kept]
+            flat[left], _ = self.pieces.look_up(flat[left], flat[right])
+            alive.ravel()[right] = False
+            ranks[right] = NEVER
+            after[left] = end
+            behind = end * n + own
+            before[behind] = at
+            first = before[left]
+            both = np.concatenate([at, first])
+            who = np.concatenate([own, own])
+            follows = np.concatenate([end, at])
+            ok = (both >= 0) & (follows < width)
+            ranks[left] = NEVER
+            both, who, follows = both[ok], who[ok], follows[ok]
+            where = both * n + who
+            _, rank = self.pieces.look_up(flat[where], flat[follows * n + who])
+            ranks[where] = np.where(rank == NEVER, NEVER, rank * 256 + both)
+        who = np.concatenate([x[0] for x in taken]) if taken else np.zeros(0, dtype=np.int64)
+        codes = np.concatenate([x[1] for x in taken]) if taken else np.zeros(0, dtype=np.uint64)
+        return symbols, alive[:width], (codes[np.argsort(who, kind="stable")], np.bincount(who, minlength=n))
+
+    def encode_words(self, words: np.ndarray, keys: np.ndarray | None) -> tuple[Pool, Pool]:
+        """(piece ids, merges taken) of each of these words, in order, by its key."""
+        lengths, offsets = self.points.lengths[words], self.points.offsets[words]
+        ids, merges, order = Pool("i4"), Pool("u8"), []
         for width in np.unique(lengths).tolist():
-            at = np.flatnonzero(lengths == width)
-            if width > longest:
-                for i in at:
-                    out[i] = self.encode_long(words[i], symbols[ends[i] - width : ends[i]].tolist(), int(keys[i]))
-                continue
-            most = max(1, (1 << 20) // width)
-            for start in range(0, len(at) if width else 0, most):
-                some = at[start : start + most]
-                own = symbols[(ends[some] - width)[:, None] + np.arange(width)]
-                for i, (final, place) in zip(some.tolist(), self.merge_rows(own, keys[some])):
-                    out[i] = self.finish(words[i], final, place) if min(final) < 0 else final
-        return out
-
-    def encode_long(self, word: str, raw: list[int], key: int) -> list[int]:
-        """The same agenda as a heap, for a word of very many characters."""
+            every = np.flatnonzero(lengths == width)
+            most = max(1, (1 << 17) // width) if width <= self.longest else 1
+            for start in range(0, len(every), most):
+                some = every[start : start + most]
+                order.append(some)
+                places = offsets[some][None, :] + np.arange(width)[:, None]
+                points = self.points.data[places]
+                own, drawn = self.pieces.of_point[points], None if keys is None else keys[some]
+                if width > self.longest:
+                    found, at, codes = self.encode_long(own.ravel().tolist(), drawn)
+                    points, counts, taken = points.ravel()[at], np.array([len(at)]), np.array([len(codes)])
+                else:
+                    final, alive, (codes, taken) = self.agenda(own, self.pairs.data[places], drawn)
+                    left = np.ascontiguousarray(alive.T)
+                    found, counts, points = final.T[left], left.sum(axis=1), points.T[left]
+                merges.add(codes, taken)
+                if (found < 0).any():
+                    found, became = self.in_bytes(found, points)
+                    counts = np.add.reduceat(became, np.cumsum(counts) - counts)
+                ids.add(found, counts)
+        at = np.concatenate(order) if order else np.zeros(0, dtype=np.int64)
+        back = np.argsort(at, kind="stable")
+        for pool in (ids, merges):
+            pool.offsets, pool.lengths = pool.offsets[back], pool.lengths[back]
+        return ids, merges
+
+    def encode_long(self, raw: list[int], key: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same agenda as a heap, for a word of very many characters: symbols, their places, and the merges taken."""
         import heapq
 
         n = len(raw)
         symbol, after, before = list(raw), [*range(1, n), -1], list(range(-1, n - 1))
-        agenda: list[tuple[int, int, int, int, int]] = []
+        agenda: list[tuple[int, int, int, int, int, int]] = []
+        taken: list[int] = []
 
         def offer(lefts: list[int]) -> None:
             lefts = [i for i in lefts if i >= 0 and after[i] >= 0]
             if lefts:
                 a = np.array([symbol[i] for i in lefts], dtype=np.int64)
                 b = np.array([symbol[after[i]] for i in lefts], dtype=np.int64)
-                made, _ = self.pieces.look_up(a, b)
-                rank = self.candidates(a, b, np.array(lefts, dtype=np.int64), np.full(len(lefts), key, dtype=np.uint64))
-                for i, x, y, m, r in zip(lefts, a.tolist(), b.tolist(), made.tolist(), rank.tolist()):
+                made, rank = self.pieces.look_up(a, b)
+                middle = [after[i] for i in lefts]
+                codes = merge_code(np.array(lefts), np.array(middle), np.array([after[j] if after[j] >= 0 else n for j in middle]))
+                if key is not None:
+                    rank[draw(key, codes) < self.limit] = NEVER
+                for i, x, y, m, r, c in zip(lefts, a.tolist(), b.tolist(), made.tolist(), rank.tolist(), codes.tolist()):
                     if r != NEVER:
-                        heapq.heappush(agenda, (r, i, x, y, m))
+                        heapq.heappush(agenda, (r, i, x, y, m, c))
 
         offer(list(range(n)))
         while agenda:
-            _, i, a, b, made = heapq.heappop(agenda)
+            _, i, a, b, made, code = heapq.heappop(agenda)
             j = after[i]
             if symbol[i] != a or j < 0 or symbol[j] != b:
                 continue
+            taken.append(code)
             symbol[i], symbol[j] = made, -3
             after[i] = after[j]
             if after[j] >= 0:
                 before[after[j]] = i
             offer([before[i], i])
         at = [i for i in range(n) if symbol[i] != -3]
-        return self.finish(word, [symbol[i] for i in at], at)
-
-    def finish(self, word: str, symbols: list[int], place) -> list[int]:
-        """Symbols that are no piece become their bytes."""
-        out: list[int] = []
-        for s, p in zip(symbols, place):
-            out += [s] if s >= 0 else self.pieces.byte_id[list(SPACE.encode() if word[p] == OWN else word[p].encode())].tolist()
-        return out
+        return np.array([symbol[i] for i in at], dtype=np.int32), np.array(at, dtype=np.int64), np.array(taken if key is None else [], dtype=np.uint64)
 
     def words(self, text: str) -> list[str]:
         """Words with their blank in front as U+2581. U+2581 of the text itself becomes a character
@@ -305,46 +338,58 @@ class Encoder:
             return text.split(" ")
         return [w.replace(" ", SPACE) for w in STARTS.split(text)]
 
+    def learn(self) -> None:
+        """Work out the pieces and merges of new words without any skip."""
+        first = len(self.points.lengths)
+        new = list(islice(self.number, first, None))
+        lengths = np.fromiter(map(len, new), dtype=np.int64, count=len(new)) + 1
+        points = np.frombuffer((SPACE + SPACE.join(new) if new else "").encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        symbols = self.pieces.of_point[points]
+        _, ranks = self.pieces.look_up(symbols[:-1], symbols[1:])
+        self.points.add(points, lengths)
+        self.pairs.add(np.append(ranks, [NEVER] * min(1, len(new))), lengths)
+        ids, merges = self.encode_words(np.arange(first, first + len(new)), None)
+        self.plain.add(ids.data[spread(ids.offsets, ids.lengths)], ids.lengths)
+        self.merges.add(merges.data[spread(merges.offsets, merges.lengths)], merges.lengths)
+
+    def skipping(self, at: np.ndarray, keys: np.ndarray, most: int = 1 << 16) -> np.ndarray:
+        """Whether occurrences of words draw a skip for one or more of the merges that the words take."""
+        out = np.zeros(len(at), dtype=bool)
+        if self.dropout > 0:
+            for start in range(0, len(at), most):
+                own = at[start : start + most]
+                lengths = self.merges.lengths[own]
+                codes = self.merges.data[spread(self.merges.offsets[own], lengths)]
+                skip = draw(np.repeat(keys[start : start + most], lengths), codes) < self.limit
+                out[start + np.repeat(np.arange(len(own)), lengths)[skip]] = True
+        return out
+
     def encode(self, texts: list[str], keys: list[str]) -> list[np.ndarray]:
         """Piece ids of each text; what is skipped follows from its key and each word's number."""
         split = [self.words(t) if t else [] for t in texts]
         counts = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
-        if len(self.texts) > self.cached // 4 or len(self.known) > self.cached:
+        every = [w for words in split for w in words]
+        if len(self.number) > self.cached or self.points.used > 16 * self.cached:
             self.forget()
-        number = self.number
-        at = np.array([number[w] if w in number else self.add(w) for words in split for w in words], dtype=np.int64)
+        at = np.fromiter(map(self.number.__getitem__, every), dtype=np.int64, count=len(every))
+        self.learn()
         own = np.fromiter((xxhash.xxh64_intdigest(k.encode(), self.seed) for k in keys), dtype=np.uint64, count=len(keys))
-        places = np.arange(len(at)) - np.repeat(np.cumsum(counts) - counts, counts)
-        drawn = mixed(np.repeat(own, counts), places)
-        merges = np.array(self.merges, dtype=np.int64)[at]
-        whole = np.left_shift(np.uint64(1), np.clip(merges, 0, 63).astype(np.uint64)) - np.uint64(1)
-        skipped = self.skips(drawn) & np.where(merges == 64, np.uint64(2**64 - 1), whole)
-        # Words with more merges than bits are encoded each by its own key.
-        apart = np.flatnonzero(merges < 0)
-        skipped[apart] = apart.astype(np.uint64)
-        order = np.lexsort((skipped, at))
-        first = np.ones(len(order), dtype=bool)
-        first[1:] = (at[order][1:] != at[order][:-1]) | (skipped[order][1:] != skipped[order][:-1])
-        kind = np.empty(len(order), dtype=np.int64)
-        kind[order] = np.cumsum(first) - 1
-        chosen = order[first]
-        long = dict(zip(apart.tolist(), self.encode_words([self.texts[i] for i in at[apart]], drawn[apart]))) if len(apart) else {}
-        cuts = []
-        for i, word, skip in zip(chosen.tolist(), at[chosen].tolist(), skipped[chosen].tolist()):
-            if i in long:
-                cuts.append(np.array(long[i], dtype="<i4").tobytes())
-                continue
-            code = word << 64 | skip
-            ids = self.known.get(code)
-            if ids is None:
-                ids = self.known[code] = self.cut(word, skip)
-            cuts.append(ids)
-        ends = np.cumsum(counts).tolist()
-        return [np.frombuffer(b"".join(map(cuts.__getitem__, kind[e - n : e].tolist())), dtype="<i4") for n, e in zip(counts.tolist(), ends)]
+        drawn = mixed(np.repeat(own, counts), np.arange(len(at)) - np.repeat(np.cumsum(counts) - counts, counts))
+        anew = self.skipping(at, drawn)
+        chosen = np.flatnonzero(anew)
+        cut, _ = self.encode_words(at[chosen], drawn[chosen])
+        offsets, lengths = self.plain.offsets[at], self.plain.lengths[at]
+        offsets[chosen], lengths[chosen] = cut.offsets, cut.lengths
+        places, from_cut = spread(offsets, lengths), np.repeat(anew, lengths)
+        ids = np.empty(len(places), dtype="<i4")
+        ids[from_cut], ids[~from_cut] = cut.data[places[from_cut]], self.plain.data[places[~from_cut]]
+        ends = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(counts)])]
+        return [ids[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes that ids stand for, without the blank put before the text."""
-        return b"".join(map(self.pieces.raw.__getitem__, ids.tolist()))[1:]
+        p = self.pieces
+        return p.raw_bytes[spread(p.raw_at[ids], p.raw_length[ids])].tobytes()[1:]
 
 
 def encode_documents(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 0, doc: str = "doc_id", text: str = "text", with_ids: bool = True) -> DataFrame:

@@ -101,6 +101,57 @@ def test_merge_dropout_is_drawn_for_each_occurrence(spark):
     assert all(50 < len(r.ids) - 1000 < 150 for r in rows)
 
 
+def plain_agenda(sp, word, drop):
+    """Pieces of a word by the library's agenda: best score, leftmost of equals; a candidate that ``drop`` takes is skipped for good."""
+    parts = [(i, i + 1) for i in range(len(word))]
+    skipped = set()
+    while True:
+        found = []
+        for (s, m), (_, e) in zip(parts, parts[1:]):
+            piece = sp.piece_to_id(word[s:e])
+            if not sp.is_unknown(piece) and (s, m, e) not in skipped:
+                found.append((-sp.get_score(piece), s, m, e))
+        if not found:
+            return [word[s:e] for s, e in parts]
+        _, s, m, e = min(found)
+        if drop(s, m, e):
+            skipped.add((s, m, e))
+        else:
+            k = parts.index((s, m))
+            parts[k : k + 2] = [(s, e)]
+
+
+def plain_draw(key, s, m, e):
+    top = 2**64 - 1
+    h = key ^ ((s << 42 ^ m << 21 ^ e) * 0x9E3779B97F4A7C15 & top)
+    for c in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        h = (h ^ h >> 33) * c & top
+    return h ^ h >> 33
+
+
+@pytest.mark.parametrize("longest", [200, 4])
+def test_merge_dropout_against_a_plain_agenda(longest):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    pieces = merge_dropout.Pieces(MODEL)
+    rng = random.Random(21)
+    texts = [" ".join(rng.choice(["information", "the", "under", "Wissenschaft", "a", "etaoin" * 9, "x\ny"]) for _ in range(60)) for _ in range(8)] + [words(rng, 80), "", "one"]
+    keys = [str(i) for i in range(len(texts))]
+    encoder = merge_dropout.Encoder(pieces, 0.1, 7, cached=20, longest=longest)
+    for start in (0, 5):  # the second time with words remembered
+        found = encoder.encode(texts[start:], keys[start:])
+        for t, k, ids in zip(texts[start:], keys[start:], found):
+            own = np.array([xxhash.xxh64_intdigest(k.encode(), 7)], dtype=np.uint64)
+            want = []
+            for i, w in enumerate(t.split(" ") if t else []):
+                key = int(merge_dropout.mixed(own, np.array([i]))[0])
+                for part in plain_agenda(sp, "\u2581" + w, lambda s, m, e: plain_draw(key, s, m, e) < int(0.1 * 2**64)):
+                    piece = sp.piece_to_id(part)
+                    want += [sp.piece_to_id(f"<0x{b:02X}>") for b in part.encode()] if sp.is_unknown(piece) else [piece]
+            assert ids.tolist() == want
+
+
 def plain_print(text, k):
     w = (text or "").encode().lower().split()
     h = [xxhash.xxh64_intdigest(b" ".join(w[i : i + k]), 42) for i in range(max(1, len(w) - k + 1))] if w else []
