@@ -7,6 +7,14 @@ from pyspark.sql import functions as F
 
 from ..session import discard, stored
 
+#: Rows that a task of a small table takes at least; tables are written by so few tasks, but by 8 at least.
+ROWS_A_TASK = 100_000
+
+
+def fitted(table: DataFrame, rows: int, each: int = ROWS_A_TASK) -> DataFrame:
+    """``table`` of about ``rows`` rows in as many partitions as they are worth, if it has more."""
+    return table.coalesce(max(8, rows // each))
+
 
 def connected_components(links: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataFrame:
     """(``id``, ``root``) for every id in ``links``: root is the smallest id that links lead to.
@@ -17,18 +25,19 @@ def connected_components(links: DataFrame, a: str, b: str, most_rounds: int = 60
     Links may repeat, point both ways or at themselves. Null ends are ignored.
     """
     ends = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u IS NOT NULL AND v IS NOT NULL")
-    ids = stored(ends.select("u").union(ends.select("v")).distinct(), "ids")
-    edges = stored(ends.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    n = ends.count()
+    ids = stored(fitted(ends.select("u").union(ends.select("v")).distinct(), 2 * n), "ids")
+    edges = stored(fitted(ends.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), n), "edges")
     mark = None
     for _ in range(most_rounds):
         # Large stars: a row's larger neighbours point at its smallest neighbour or itself.
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = stored(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        large = stored(fitted(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), n), "large")
         # Small stars: a row and its smaller neighbours point at the smallest of them.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         hung = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = stored(hung.union(least.select("u", F.col("m").alias("v"))).distinct(), "small")
+        small = stored(fitted(hung.union(least.select("u", F.col("m").alias("v"))).distinct(), n), "small")
         discard(edges)
         discard(large)
         edges = small

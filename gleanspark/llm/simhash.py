@@ -24,7 +24,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ..session import discard, stored
 from .common import by_bytes, utf8
-from .components import connected_components
+from .components import connected_components, fitted
 
 SEED = 42
 #: Bit patterns of a byte, lowest bit first.
@@ -389,9 +389,14 @@ def may_hold(spark, ids: DataFrame):
     return lambda column: held(F.pmod(F.xxhash64(column.cast("long")), F.lit(bits)))
 
 
+#: Shingle sets that a task takes at least.
+SETS_A_TASK = 5_000
+
+
 def verified(docs: DataFrame, pairs: DataFrame, width: int, similarity: float, doc: str, text: str) -> DataFrame:
     """The pairs (``a``, ``b``) whose shingle sets have the Jaccard similarity, counted exactly."""
-    needed = stored(pairs.select(F.col("a").alias("d")).union(pairs.select("b")).distinct(), "needed")
+    n = pairs.count()
+    needed = stored(fitted(pairs.select(F.col("a").alias("d")).union(pairs.select("b")).distinct(), 2 * n), "needed")
     # A bitmap of bounded size keeps most other texts out of the shuffle; the join decides.
     likely = may_hold(docs.sparkSession, needed)
     shown = docs.where(likely(F.col(doc))).select(F.col(doc).cast("long").alias("d"), F.col(text).alias("t")).join(needed, "d", "left_semi")
@@ -402,7 +407,8 @@ def verified(docs: DataFrame, pairs: DataFrame, width: int, similarity: float, d
             sets = [np.unique(shingle_hashes(t, width)).view(np.int64) for t in utf8(batch.column("t"))]
             yield pa.RecordBatch.from_arrays([batch.column("d"), pa.array(sets, pa.list_(pa.int64()))], schema=schema)
 
-    sets = stored(shown.mapInArrow(run, "d long, s array<long>").dropDuplicates(["d"]), "sets")
+    sets = stored(fitted(shown.mapInArrow(run, "d long, s array<long>").dropDuplicates(["d"]), 2 * n, SETS_A_TASK), "sets")
+    discard(needed)
 
     @F.pandas_udf("boolean")
     def alike(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -413,7 +419,9 @@ def verified(docs: DataFrame, pairs: DataFrame, width: int, similarity: float, d
         return pd.Series(out, dtype=bool)
 
     left, right = (sets.select(F.col("d").alias(c), F.col("s").alias(f"s{c}")) for c in "ab")
-    return pairs.join(left, "a").join(right, "b").where(alike("sa", "sb")).select("a", "b")
+    found = stored(fitted(pairs.join(left, "a").join(right, "b").where(alike("sa", "sb")).select("a", "b"), n, SETS_A_TASK), "verified")
+    discard(sets)
+    return found
 
 
 def whole_keys(batches: Iterator[pa.RecordBatch], least: int = 20_000) -> Iterator[pa.Table]:
@@ -433,8 +441,11 @@ def whole_keys(batches: Iterator[pa.RecordBatch], least: int = 20_000) -> Iterat
         yield pa.Table.from_batches(held)
 
 
+#: Rows of a key are dealt over so many parts by their ids.
+HUB_BITS = 6
+HUBS = 1 << HUB_BITS
 #: Pairs of two classes that are tried in a round, 0: only what spans the classes; the last round tries all.
-TRIES = (0, 8, 512, 1 << 62)
+TRIES = (0, 64, 1 << 62)
 
 
 def similar_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -445,8 +456,9 @@ def similar_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8, do
     At this similarity fingerprints differ in too many bits for a guarantee, so
     the pairs come from an exact join: with shingles in one order, rare ones
     first, two sets of the similarity share one of their first shingles. Rows
-    that share one are linked with the next row by it, and what passes the exact
-    check makes first classes. Then every pair of rows of different classes
+    that share one are tried with the least row of one of ``HUBS`` parts of them,
+    and those with each other, and what passes the exact check makes first
+    classes: few links, and short ways between all. Then every pair of rows of different classes
     that share one is tried, but for those whose sizes, places or parity
     sketches show that they can't have the similarity: first what spans the
     classes, so that a group of near copies costs its size, and in the end all.
@@ -482,17 +494,24 @@ def similar_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8, do
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(firsts), dtype="<i8")), *(pa.array(np.repeat(part.column(c).to_numpy(), counts)) for c in ("id", "n")), pa.array(places, pa.int32())], names=["key", "id", "n", "place"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows whose key others have too, with the next row's id if the two can be similar."""
+        """Rows whose key others have too, with the id of their part's least row, or for that of the key's, if the two can be similar."""
         for part in whole_keys(batches):
             key, ids, n, place = (part.column(c).to_numpy() for c in ("key", "id", "n", "place"))
             same = np.append(key[1:] == key[:-1], False)
-            i = np.flatnonzero(same)
-            i = i[may_reach(i, i + 1, n, place, similarity)]
-            fits = np.zeros(len(key), dtype=bool)
-            fits[i] = True
             kept = same | np.append(False, same[:-1])
-            other = pa.array(np.append(ids[1:], 0)[kept], mask=~fits[kept])
-            yield pa.RecordBatch.from_arrays([*(pa.array(x[kept]) for x in (key, ids, n, place)), other], names=["key", "id", "n", "place", "other"])
+            key, ids, n, place = (x[kept] for x in (key, ids, n, place))
+            bucket = ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - HUB_BITS)).astype(np.int64)
+            order = np.lexsort((ids, bucket, key))
+            start = np.ones(len(key), dtype=bool)
+            start[1:] = (key[order][1:] != key[order][:-1]) | (bucket[order][1:] != bucket[order][:-1])
+            hub = np.empty(len(key), dtype=np.int64)
+            hub[order] = order[np.flatnonzero(start)][np.cumsum(start) - 1]
+            new = np.append(True, key[1:] != key[:-1])[: len(key)]
+            top = np.flatnonzero(new)[np.cumsum(new) - 1]
+            at = np.arange(len(key))
+            other = np.where(hub == at, top, hub)
+            fits = (ids[other] != ids) & may_reach(at, other, n, place, similarity)
+            yield pa.RecordBatch.from_arrays([*map(pa.array, (key, ids, n, place)), pa.array(ids[other], mask=~fits)], names=["key", "id", "n", "place", "other"])
 
     rows = words.where("n > 0").select("id", "n", "first").mapInArrow(probe, "key long, id long, n int, place int")
     met = stored(rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(meet, "key long, id long, n int, place int, other long"), "met")
@@ -519,7 +538,7 @@ def similar_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8, do
         return pd.Series([(int.from_bytes(a, "little") ^ int.from_bytes(b, "little")).bit_count() for a, b in zip(x, y)], dtype="int32")
 
     chains = met.where("other IS NOT NULL").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).where("a <> b").distinct()
-    links = stored(verified(docs, stored(near(chains), "likely"), width, similarity, doc, text), "links")
+    links = verified(docs, stored(near(chains), "likely"), width, similarity, doc, text)
     roots = stored(connected_components(links, "a", "b"), "roots")
     for most in TRIES:
         now = met.select("key", "id", "n", "place").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
@@ -528,11 +547,13 @@ def similar_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8, do
         left = now.join(mixed, "key", "left_semi").join(words.select("id", "sketch"), "id")
         tried = stored(left.repartition("key").sortWithinPartitions("key", "id").mapInArrow(across(most), "a long, b long").distinct(), "tried")
         discard(now)
-        pairs = tried.where("a IS NOT NULL")
+        pairs, cut = tried.where("a IS NOT NULL"), not tried.where("a IS NULL").isEmpty()
         if not pairs.isEmpty():
-            links = stored(links.union(verified(docs, pairs, width, similarity, doc, text)), "links")
-            roots = stored(connected_components(links, "a", "b"), "roots")
-        if tried.where("a IS NULL").isEmpty():
+            # The classes so far stand for their links.
+            before = roots.select(F.col("id").alias("a"), F.col("root").alias("b"))
+            roots = stored(connected_components(before.union(verified(docs, pairs, width, similarity, doc, text)), "a", "b"), "roots")
+        discard(tried)
+        if not cut:
             break
     return words.join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root"), "k1", "k2")
 
