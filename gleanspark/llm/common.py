@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The characters that separate words everywhere in this subpackage: blank, tab, LF, VT, FF, CR.
@@ -46,3 +48,53 @@ def by_bytes(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20
             held += n
         if start < batch.num_rows:
             yield batch.slice(start)
+
+
+#: Rows that a task of a small table takes at least; tables are written by so few tasks, but by 8 at least.
+ROWS_A_TASK = 100_000
+
+
+def fitted(table: DataFrame, rows: int, each: int = ROWS_A_TASK) -> DataFrame:
+    """``table`` of about ``rows`` rows in as many partitions as they are worth, if it has more."""
+    return table.coalesce(max(8, rows // each))
+
+
+def id_filter(ids: DataFrame, most_bits: int = 1 << 26) -> tuple[int, bytes]:
+    """(bits, bitmap) with the bit of each id's hash set. The bitmap is at most ``most_bits`` (8 MB) whatever
+    the number of ids; with too many of them it lets more pass, and loses none."""
+    page = 1 << 15
+    bits = page
+    n = ids.count()
+    while bits < 64 * n and bits < most_bits:
+        bits *= 2
+
+    @F.pandas_udf("binary")
+    def packed(places: pd.Series) -> pd.Series:
+        out = []
+        for own in places:
+            flags = np.zeros(page, dtype=np.uint8)
+            flags[np.asarray(own)] = 1
+            out.append(np.packbits(flags, bitorder="little").tobytes())
+        return pd.Series(out)
+
+    place = F.pmod(F.xxhash64("d"), F.lit(bits))
+    pages = ids.select(F.floor(place / page).alias("p"), (place % page).cast("int").alias("o")).groupBy("p").agg(F.collect_set("o").alias("o"))
+    bitmap = bytearray(bits // 8)
+    for r in pages.select("p", packed("o").alias("b")).collect():
+        bitmap[r["p"] * page // 8 : (r["p"] + 1) * page // 8] = r["b"]
+    return bits, bytes(bitmap)
+
+
+def may_hold(spark, ids: DataFrame):
+    """Function from a column of ids to whether each may be among ``ids`` (column ``d``)."""
+    bits, bitmap = id_filter(ids)
+    shared = spark.sparkContext.broadcast(bitmap)
+
+    @F.pandas_udf("boolean")
+    def held(places: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        table = np.frombuffer(shared.value, dtype=np.uint8)
+        for at in places:
+            x = at.to_numpy()
+            yield pd.Series((table[x >> 3] >> (x & 7).astype(np.uint8) & 1).astype(bool))
+
+    return lambda column: held(F.pmod(F.xxhash64(column.cast("long")), F.lit(bits)))

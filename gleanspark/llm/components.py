@@ -6,15 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import discard, stored
-
-#: Rows that a task of a small table takes at least; tables are written by so few tasks, but by 8 at least.
-ROWS_A_TASK = 100_000
-
-
-def fitted(table: DataFrame, rows: int, each: int = ROWS_A_TASK) -> DataFrame:
-    """``table`` of about ``rows`` rows in as many partitions as they are worth, if it has more."""
-    return table.coalesce(max(8, rows // each))
-
+from .common import fitted
 
 def connected_components(links: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataFrame:
     """(``id``, ``root``) for every id in ``links``: root is the smallest id that links lead to.

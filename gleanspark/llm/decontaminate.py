@@ -63,6 +63,13 @@ class Matcher:
         self.minima = {m: dict(x) for m, x in found.items()}
         self.sorted_minima = {m: np.array(sorted(x), dtype=np.uint64) for m, x in found.items()}
 
+    @classmethod
+    def of(cls, state: dict) -> Matcher:
+        """A matcher from the plain values of another, which is what is broadcast: workers need no copy of this package."""
+        made = cls.__new__(cls)
+        made.__dict__.update(state)
+        return made
+
     @staticmethod
     def codes(words: np.ndarray) -> np.ndarray:
         """Hash of each row of word numbers; only candidates depend on it."""
@@ -122,20 +129,26 @@ def containment_pairs(docs: DataFrame, items: DataFrame, doc: str = "doc_id", te
     Containment is the share of an item's distinct ``shingle``-word shingles that
     the text has. An item of fewer words is one shingle, its whole sequence; an
     item without words is in no text. Null and empty texts contain nothing.
-    Repeated documents or items give repeated pairs. Extra columns are ignored.
+    Repeated documents or items give repeated pairs; null ids are ids like
+    others, and rows that share an id are judged each. Extra columns are ignored.
 
-    Items of up to ``most_bytes`` are broadcast; more of them are joined.
+    Items of up to ``most_bytes`` are broadcast; more of them are joined, with
+    the same result.
     """
     spark = docs.sparkSession
     small = _small_items(items, item, item_text, most_bytes)
     doc_type, item_type = docs.schema[doc].dataType.simpleString(), items.schema[item].dataType.simpleString()
     if small is None:
-        return _by_join(docs, items, doc, text, item, item_text, shingle, threshold)
-    shared = spark.sparkContext.broadcast(Matcher(small, shingle, threshold))
+        found = _by_join(docs, items, text, item_text, shingle, threshold)
+        named = docs.select(F.col(doc).alias("_d"), _text_key(text).alias("k"))
+        of_item = items.select(F.col(item).alias("_i"), _text_key(item_text).alias("i"))
+        pairs = found.join(named, "k").join(of_item, "i")
+        return pairs.select(F.col("_d").alias(doc), F.col("_i").alias(item), "n_shared", F.col("n").alias("n_item"), (F.col("n_shared") / F.col("n")).alias("containment"))
+    shared = spark.sparkContext.broadcast(vars(Matcher(small, shingle, threshold)))
     ids = docs.select(F.col(doc).alias("d")).schema["d"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        match = shared.value
+        match = Matcher.of(shared.value)
         for batch in by_bytes(batches, "t"):
             rows = [(d, *hit) for d, t in zip(batch.column("d").to_pylist(), batch.column("t").to_pylist()) for hit in match(t)]
             yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=["d", "i", "n_shared", "n_item"]), schema=out_schema, preserve_index=False)
@@ -147,8 +160,21 @@ def containment_pairs(docs: DataFrame, items: DataFrame, doc: str = "doc_id", te
     return pairs.select(F.col("d").alias(doc), F.col("i").alias(item), "n_shared", "n_item", (F.col("n_shared") / F.col("n_item")).alias("containment"))
 
 
-def _words(table: DataFrame, key: str, text: str) -> DataFrame:
-    return table.select(F.col(key).alias("k"), F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)).alias("w")).where(F.size("w") > 0)
+def _text_key(text: str):
+    """Rows of equal texts have equal keys; null is empty."""
+    return F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
+
+
+def _words(table: DataFrame, text: str) -> DataFrame:
+    """(``k``, ``w``): key and words of each different text with words."""
+    pattern = TOKEN
+
+    @F.pandas_udf("array<string>")
+    def words(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: pattern.findall((t or "").lower()))
+
+    texts = table.select(_text_key(text).alias("k"), F.col(text).alias("t")).dropDuplicates(["k"])
+    return texts.select("k", words("t").alias("w")).where(F.size("w") > 0)
 
 
 def _shingles(words: DataFrame, m) -> DataFrame:
@@ -157,17 +183,21 @@ def _shingles(words: DataFrame, m) -> DataFrame:
     return words.select("k", F.explode(F.array_distinct(grams)).alias("s"))
 
 
-def _by_join(docs, items, doc, text, item, item_text, shingle, threshold):
-    """The same search for item tables too large to broadcast: shingles meet by equality joins."""
+def _by_join(docs: DataFrame, items: DataFrame, text: str, item_text: str, shingle: int, threshold: float) -> DataFrame:
+    """(``k``, ``i``, ``n_shared``, ``n``) by keys of texts, for item tables too large to broadcast: shingles meet by equality joins."""
     shortest = F.least(F.lit(shingle), F.size("w"))
-    of_items = _shingles(_words(items.select(item, item_text).distinct(), item, item_text), shortest)
+    of_items = _shingles(_words(items, item_text), shortest)
     sizes = of_items.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
     ranked = of_items.join(sizes, "k").withColumn("h", F.xxhash64("s"))
-    upper = F.udf(lambda n: kept(size_class(n), threshold), "int")
-    limits = sizes.select("n").distinct().withColumn("keep", upper("n"))
+
+    @F.pandas_udf("int")
+    def keep(n: pd.Series) -> pd.Series:
+        return n.map(lambda x: kept(size_class(x), threshold)).astype("int32")
+
+    limits = sizes.select("n").distinct().withColumn("keep", keep("n"))
     own = ranked.groupBy("k", "n").agg(F.sort_array(F.collect_list(F.struct("h", "s"))).alias("all")).join(limits, "n")
     minima = own.select(F.col("k").alias("i"), "n", F.explode(F.slice("all", F.lit(1), F.col("keep"))).alias("m")).select("i", "n", F.col("m.s").alias("s"))
-    texts = _words(docs.select(doc, text).distinct(), doc, text)
+    texts = _words(docs, text)
     of_docs = _shingles(texts, shortest)
     # Items shorter than a shingle are looked for as runs of their own length in longer texts.
     lengths = minima.select(F.size(F.split("s", " ")).alias("m")).where(F.col("m") < shingle).distinct().collect()
@@ -175,20 +205,20 @@ def _by_join(docs, items, doc, text, item, item_text, shingle, threshold):
         of_docs = of_docs.union(_shingles(texts.where(F.size("w") > row["m"]), F.lit(row["m"])))
     candidates = of_docs.join(minima, "s").select("k", "i", "n").distinct()
     shared = candidates.join(of_items.withColumnRenamed("k", "i"), "i").join(of_docs.distinct(), ["k", "s"]).groupBy("k", "i", "n").agg(F.count(F.lit(1)).alias("n_shared"))
-    return shared.where(F.col("n_shared") >= threshold * F.col("n") - 1e-9).select(F.col("k").alias(doc), F.col("i").alias(item), "n_shared", F.col("n").alias("n_item"), (F.col("n_shared") / F.col("n")).alias("containment"))
+    return shared.where(F.col("n_shared") >= threshold * F.col("n") - 1e-9)
 
 
-def without_items(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", shingle: int = 5, threshold: float = 0.8, most_bytes: int = 32 << 20, doc: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that contain no item to the threshold; columns as they were, null texts stay."""
+def without_items(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", shingle: int = 5, threshold: float = 0.8, most_bytes: int = 32 << 20) -> DataFrame:
+    """The rows of ``docs`` that contain no item to the threshold; columns as they were, null texts stay. Ids play no part."""
     small = _small_items(items, item, item_text, most_bytes)
     if small is None:
-        found = _by_join(docs, items, doc, text, item, item_text, shingle, threshold)
-        return docs.join(found.select(doc).distinct(), doc, "left_anti")
-    shared = docs.sparkSession.sparkContext.broadcast(Matcher(small, shingle, threshold))
+        found = _by_join(docs, items, text, item_text, shingle, threshold).select("k").distinct()
+        return docs.join(found, _text_key(text) == found["k"], "left_anti")
+    shared = docs.sparkSession.sparkContext.broadcast(vars(Matcher(small, shingle, threshold)))
 
     @F.pandas_udf("boolean")
     def clean(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        match = shared.value
+        match = Matcher.of(shared.value)
         for texts in parts:
             yield pd.Series([not match(t) for t in texts], dtype=bool)
 

@@ -124,25 +124,29 @@ def fit(x: np.ndarray, languages: list[str], families: dict[str, str]) -> Model:
     return model
 
 
-def train(labelled: DataFrame, doc: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 400, families: dict[str, str] | None = None) -> Model:
-    """Fit on about ``per_language`` documents of each language, chosen by a hash of the id.
+def train(labelled: DataFrame, doc: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 400, most_rows: int = 8000, families: dict[str, str] | None = None) -> Model:
+    """Fit on about ``per_language`` documents of each language, chosen by a hash of the id and text.
 
-    The bound does not grow with the table. Rows with a null text, without a
-    letter or with a null language teach nothing.
+    About ``most_rows`` documents are taken in all, equally many of each language
+    where there are very many; the bound does not grow with the table. Rows with
+    a null text, without a letter or with a null language teach nothing; null ids
+    are ids like others.
     """
     usable = labelled.where(F.col(lang).isNotNull() & has_letter(F.col(text))).select(F.col(doc).alias("d"), F.col(text).alias("t"), F.col(lang).alias("l"))
-    shares = usable.groupBy("l").agg(F.count(F.lit(1)).alias("n")).select("l", (F.lit(per_language) / F.col("n") * (1 << 30)).alias("share"))
+    counts = stored(usable.groupBy("l").agg(F.count(F.lit(1)).alias("n")).coalesce(8), "languages")
+    languages = counts.count()
+    each = min(per_language, most_rows / max(1, languages))
     # The shares are a few bytes a language: broadcast up to a bound, so that texts are not dealt out by language.
-    few = stored(shares, "shares")
-    few = F.broadcast(few) if few.count() <= MOST_BROADCAST else few
-    chosen = usable.withColumn("h", F.pmod(F.xxhash64("d", F.lit("language")), F.lit(1 << 30))).join(few, "l").where("h < share")
+    shares = counts.select("l", (F.lit(each) / F.col("n") * (1 << 30)).alias("share"))
+    few = F.broadcast(shares) if languages <= MOST_BROADCAST else shares
+    chosen = usable.withColumn("h", F.pmod(F.xxhash64("d", "t", F.lit("language")), F.lit(1 << 30))).join(few, "l").where("h < share")
 
     @F.pandas_udf("binary")
     def vector(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in parts:
             yield pd.Series([features(t).tobytes() for t in texts])
 
-    rows = sorted((r["d"], r["l"], bytes(r["x"])) for r in chosen.select("d", "l", vector("t").alias("x")).collect())
+    rows = sorted((r["h"], r["l"], bytes(r["x"])) for r in chosen.select("h", "l", vector("t").alias("x")).collect())
     x = np.stack([np.frombuffer(r[2], dtype=np.float32) for r in rows]) if rows else np.zeros((0, DIMENSIONS), dtype=np.float32)
     return fit(x, [r[1] for r in rows], FAMILIES if families is None else families)
 
@@ -158,17 +162,19 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     was learned. Columns named like the new ones are replaced; repeated rows are
     judged alike; empty tables stay empty.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(vars(model))
 
     @F.pandas_udf("lang_pred string, score double")
     def judge(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        own = shared.value
+        own = Model(**shared.value)
         for texts in parts:
             found = [("und", 0.0) if t is None else own.predict(t) for t in texts]
             yield pd.DataFrame(found, columns=["lang_pred", "score"])
 
     read = F.when(has_letter(F.col(text)), F.col(text))
-    return docs.withColumn("_p", judge(read)).withColumn("lang_pred", F.col("_p.lang_pred")).withColumn("score", F.col("_p.score")).drop("_p")
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")]
+    judged = docs.select(F.struct(*kept).alias("row"), judge(read).alias("found")) if kept else docs.select(judge(read).alias("found"))
+    return judged.select(*(["row.*"] if kept else []), "found.lang_pred", "found.score")
 
 
 def held_out(doc: Column) -> Column:

@@ -201,13 +201,15 @@ def labelled_sample(statistics: DataFrame, labels: DataFrame, doc: str, label: s
     """Features and badness of about ``most`` labelled rows at most, chosen by a hash of the id.
 
     Several labels of one document count as their mean; a null label is none.
+    Of rows that share an id one teaches, the one of greatest features.
     """
     votes = labels.where(F.col(label).isNotNull()).groupBy(doc).agg(F.avg(F.col(label).cast("double")).alias("_q"))
     share = most / max(1, labels.count())
     if share < 1:
         votes = votes.where(F.pmod(F.xxhash64(F.col(doc), F.lit("quality")), F.lit(1 << 20)) < int(share * (1 << 20)))
     features = ratios()
-    rows = statistics.join(votes, doc).select(F.col(doc).alias("_d"), "_q", *(c.alias(n) for n, c in features.items())).toPandas().sort_values(["_d", *features])
+    joined = statistics.join(votes, doc).groupBy(doc).agg(F.first("_q").alias("_q"), F.max(F.struct(*(c.alias(n) for n, c in features.items()))).alias("_f"))
+    rows = joined.select(F.col(doc).alias("_d"), "_q", "_f.*").toPandas().sort_values(["_d", *features])
     return rows[list(features)].to_numpy(dtype=float), (rows["_q"] < 0.5).to_numpy()
 
 

@@ -1,17 +1,21 @@
 """Secret scan, in DataFrame functions only: three fixed kinds, and tokens that a battery of tests takes for random.
 
 A token's encoding is inferred from its characters. Chi-squared uniformity over
-that alphabet, the runs about its middle and the serial correlation each give a
-p-value for "these are independent uniform symbols"; Fisher's method combines
-them. Within each class of length, the Benjamini-Hochberg procedure over all
-tokens of the table decides which are structured after all. The rest are secrets.
+that alphabet and over its classes of letters, the runs about its middle and the
+serial correlation each give a p-value for "these are independent uniform
+symbols"; Fisher's method combines them to a score of randomness. How random
+structured names look is learned by length, from names put together of the
+table's own words and of a fixed few. A token's p-value is the share of names of
+its length that look as random, and within each class of length the
+Benjamini-Hochberg procedure over all tokens of the table bounds the share of
+structured names among the secrets that are reported.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values of the three base kinds.
@@ -40,9 +44,15 @@ ENCODINGS = [
     (r"^[0-9A-Za-z+/_=-]+$", UPPER + LOWER + DIGITS + "+/-_="),
 ]
 BINS, BINS_A_DECADE = 400, 10
+#: Classes of characters whose counts are tested too: vowels, common and rare consonants of either case, digits, signs.
+CLASSES = ["aeiou", "cdhlmnrst", "bfgjkpqvwxyz", "AEIOU", "CDHLMNRST", "BFGJKPQVWXYZ", DIGITS, "+/-_="]
+#: Fixed words of which names are made besides the table's own, and how many such names.
+NAME_WORDS = "account address archive backend branch build cache category client cluster config content customer data default deploy document download error event export feature file filter format frontend gateway group handler history image import index input invoice item job key language layer library list local log login mail manager map message metric model module monitor network notification object order output package page parser partner path payment photo pipeline platform plugin price product profile project provider query queue record release report request resource response result sample schedule schema search section server service session setting source stage status storage stream system table target task template test ticket token update upload user value version video view worker".split()
+FIXED_NAMES = 4000
+#: Names made of each text's words, and the least number of names that a class of length is judged by.
+NAMES_A_TEXT, LEAST_NAMES = 4, 200
 MARK, OTHER = "\x01", "\x02"
 
-SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -98,12 +108,16 @@ def upper_tail(z: Column) -> Column:
 def randomness(token: Column) -> Column:
     """Combined p-value of a token under independent uniform symbols of its inferred alphabet."""
     bare = F.regexp_replace(token, "(?<=[^=])=+$", "")
-    def battery(codes: Column, k: Column) -> Column:
+
+    def battery(b: Column, e: Column, codes: Column, k: Column) -> Column:
         n = F.size(codes).cast("double")
         squares = F.aggregate(F.array_distinct(codes), F.lit(0.0), lambda a, c: a + F.pow(F.size(F.filter(codes, lambda d: d == c)), F.lit(2.0)))
         df = k - 1
-        chi = F.greatest(squares * k / n - n, F.lit(0.0))
-        uniform = upper_tail((F.pow(chi / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df)))
+        uniform = chi_tail(F.greatest(squares * k / n - n, F.lit(0.0)), df)
+        shares = F.element_at(F.array(*(F.array(*(F.lit(len(set(c) & set(letters)) / len(letters)) for c in CLASSES)) for _, letters in ENCODINGS)), e)
+        seen = F.array(*(F.length(b) - F.length(F.translate(b, c, "")) for c in CLASSES))
+        cells = F.aggregate(F.zip_with(shares, seen, lambda x, y: F.when(x > 0, F.pow(y - n * x, F.lit(2.0)) / (n * x)).otherwise(0.0)), F.lit(0.0), lambda x, y: x + y)
+        classes = chi_tail(cells, F.size(F.filter(shares, lambda x: x > 0)) - 1)
         pairs = F.zip_with(F.slice(codes, F.lit(1), F.size(codes) - 1), F.slice(codes, F.lit(2), F.size(codes) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
         high = F.size(F.filter(codes, lambda c: c >= k / 2)).cast("double")
         changes = F.size(F.filter(pairs, lambda p: (p["a"] >= k / 2) != (p["b"] >= k / 2))).cast("double")
@@ -114,55 +128,129 @@ def randomness(token: Column) -> Column:
         variance = F.aggregate(codes, F.lit(0.0), lambda a, c: a + F.pow(c - middle, F.lit(2.0)))
         serial = F.aggregate(pairs, F.lit(0.0), lambda a, p: a + (p["a"] - middle) * (p["b"] - middle)) / F.greatest(variance, F.lit(1e-6))
         correlation = 2 * upper_tail(F.abs(serial + 1 / n) * F.sqrt(n))
-        half = -(F.log(F.least(uniform, F.lit(1.0))) + F.log(F.least(runs, F.lit(1.0))) + F.log(F.least(correlation, F.lit(1.0))))
-        return F.exp(-half) * (1 + half + half * half / 2)
+        half = F.lit(0.0)
+        for p in (uniform, classes, runs, correlation):
+            half = half - F.log(F.least(p, F.lit(1.0)))
+        return F.exp(-half) * (1 + half + half * half / 2 + half * half * half / 6)
 
     def codes(b: Column, a: Column) -> Column:
         return F.transform(F.split(b, ""), lambda c: F.call_function("instr", a, c) - 1)
 
-    return let(bare, lambda b: let(alphabet_of(b), lambda a: let(codes(b, a), lambda c: battery(c, F.length(a).cast("double")))))
+    letters = F.array(*(F.lit(a) for _, a in ENCODINGS))
+    return let(bare, lambda b: let(encoding_of(b), lambda e: let(F.element_at(letters, e), lambda a: let(codes(b, a), lambda c: battery(b, e, c, F.length(a).cast("double"))))))
+
+
+def chi_tail(chi: Column, df: Column) -> Column:
+    """P(X > chi) of the chi-squared distribution, by the cube-root approximation."""
+    return upper_tail((F.pow(chi / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df)))
 
 
-def alphabet_of(bare: Column) -> Column:
-    out = F.lit(ENCODINGS[-1][1])
-    for pattern, letters in reversed(ENCODINGS):
-        out = F.when(bare.rlike(pattern), F.lit(letters)).otherwise(out)
+def encoding_of(bare: Column) -> Column:
+    """The number, from 1, of the narrowest encoding whose alphabet has all characters."""
+    out = F.lit(len(ENCODINGS))
+    for i, (pattern, _) in reversed(list(enumerate(ENCODINGS[:-1], 1))):
+        out = F.when(bare.rlike(pattern), i).otherwise(out)
     return out
 
 
+def judged(token: Column) -> tuple[Column, Column]:
+    """(level, bin): the class of length, and the place of the p-value's logarithm; the larger, the less random."""
+    level = F.least(F.floor(2 * F.log2(F.length(token))), F.lit(24)).cast("int")
+    place = F.least(F.greatest(F.floor(-BINS_A_DECADE * F.log10(F.greatest(randomness(token), F.lit(1e-45)))), F.lit(0)), F.lit(BINS)).cast("int")
+    return level, place
+
+
 def tokens(text: Column) -> Column:
     """Tokens to test: ``array<struct<start, end, level, bin>>``; level is the length class, bin falls with the p-value's logarithm."""
     found = F.filter(matches(text, TOKEN, text.rlike(TOKEN_HINT)), lambda x: x["text"].rlike("[0-9]") & x["text"].rlike("[A-Za-z]"))
 
-    def judged(x: Column) -> Column:
-        p = randomness(x["text"])
-        level = F.least(F.floor(2 * F.log2(x["end"] - x["start"])), F.lit(24)).cast("int")
-        place = F.least(F.greatest(F.floor(-BINS_A_DECADE * F.log10(F.greatest(p, F.lit(1e-45)))), F.lit(0)), F.lit(BINS)).cast("int")
+    def told(x: Column) -> Column:
+        level, place = judged(x["text"])
         return F.struct(x["start"].alias("start"), x["end"].alias("end"), level.alias("level"), place.alias("bin"))
 
-    return F.transform(found, judged)
+    return F.transform(found, told)
+
+
+def name_of(words: Column, style: Column, number: Column) -> Column:
+    """A structured name of these words with a number behind them, written in one of six styles."""
+    lower, capital = F.transform(words, F.lower), F.transform(words, F.initcap)
+    digits = F.pmod(number, F.lit(1000)).cast("string")
+    forms = [
+        F.concat(F.array_join(lower, ""), digits),
+        F.concat(F.array_join(capital, ""), digits),
+        F.concat(F.array_join(lower, "-"), F.lit("-"), digits),
+        F.concat(F.array_join(lower, "_"), F.lit("_"), digits),
+        F.concat(F.array_join(lower, "/"), F.lit("-"), digits),
+        F.concat(F.upper(F.array_join(lower, "_")), F.lit("_"), digits),
+    ]
+    return F.element_at(F.array(*forms), F.pmod(style, F.lit(len(forms))).cast("int") + 1)
+
+
+def names(text: Column) -> Column:
+    """``array<struct<level, bin>>`` of names made of two to six words next to each other at some places of the text."""
 
+    def made(words: Column, k: Column) -> Column:
+        count = F.pmod(F.size(words) + k, F.lit(5)).cast("int") + 2
+        start = F.floor(F.size(words) * k / NAMES_A_TEXT).cast("int") + 1
+        return name_of(F.slice(words, start, count), F.size(words) + k, 7 * F.size(words) + 11 * k)
 
-def structured_from(found: DataFrame, rate: float = 0.05) -> dict[int, int]:
-    """For each length class the least bin whose tokens count as structured, at false discovery rate ``rate``.
+    def told(name: Column) -> Column:
+        level, place = judged(name)
+        return F.struct(level.alias("level"), place.alias("bin"))
 
-    Benjamini-Hochberg on binned p-values of all tokens in column ``tokens``;
-    there are at most 25 classes of 401 bins, whatever the table's size.
+    words = F.regexp_extract_all(text, F.lit("[A-Za-z][a-z]{1,15}"), F.lit(0))
+    every = let(words, lambda w: F.when(F.size(w) > 1, F.transform(F.sequence(F.lit(0), F.lit(NAMES_A_TEXT - 1)), lambda k: made(w, k))).otherwise(F.array().cast("array<string>")))
+    return F.transform(F.filter(every, lambda x: F.length(x) >= 20), told)
+
+
+def fixed_names(spark) -> DataFrame:
+    """(``level``, ``bin``, ``n``) of names made of ``NAME_WORDS``."""
+    every = F.array(*map(F.lit, NAME_WORDS))
+    count = F.pmod(F.col("id"), F.lit(7)).cast("int") + 2
+    words = F.transform(F.sequence(F.lit(1), count), lambda j: F.element_at(every, F.pmod(F.xxhash64("id", j), F.lit(len(NAME_WORDS))).cast("int") + 1))
+    rows = spark.range(FIXED_NAMES).select(name_of(words, F.col("id"), F.xxhash64("id")).alias("name")).where(F.length("name") >= 20)
+    level, place = judged(F.col("name"))
+    return rows.select(level.alias("level"), place.alias("bin")).groupBy("level", "bin").agg(F.count(F.lit(1)).alias("n"))
+
+
+def secrets_from(tested: DataFrame, named: DataFrame, rate: float = 0.05) -> dict[int, int]:
+    """For each class of length the last bin whose tokens are secrets, at false discovery rate ``rate``.
+
+    Benjamini-Hochberg over all tokens in column ``tokens``, against the names
+    in column ``names`` of the other table and the fixed ones; there are at most 25 classes of 401
+    bins, whatever the table's size. A class with too few names is judged by
+    those of the next shorter one that has enough: longer names look less random.
     """
-    bins = found.select(F.explode("tokens").alias("t")).groupBy("t.level", "t.bin").agg(F.count(F.lit(1)).alias("n"))
-    by_level = Window.partitionBy("level")
-    ranked = bins.withColumn("m", F.sum("n").over(by_level)).withColumn("up_to", F.sum("n").over(by_level.orderBy(F.desc("bin"))))
-    passed = ranked.where(F.pow(F.lit(10.0), -F.col("bin") / BINS_A_DECADE) <= rate * F.col("up_to") / F.col("m"))
-    return {r["level"]: r["bin"] for r in passed.groupBy("level").agg(F.min("bin").alias("bin")).collect()}
+
+    def counts(rows: DataFrame) -> dict[int, list[int]]:
+        out: dict[int, list[int]] = {}
+        for r in rows.collect():
+            out.setdefault(r["level"], [0] * (BINS + 1))[r["bin"]] += r["n"]
+        return out
+
+    def binned(table: DataFrame, column: str) -> DataFrame:
+        return table.select(F.explode(column).alias("t")).groupBy("t.level", "t.bin").agg(F.count(F.lit(1)).alias("n"))
+
+    reference = counts(binned(named, "names").union(fixed_names(named.sparkSession)))
+    enough = sorted(level for level, n in reference.items() if sum(n) >= LEAST_NAMES)
+    limits = {}
+    for level, n in counts(binned(tested, "tokens")).items():
+        base = reference[max((x for x in enough if x <= level), default=enough[0])]
+        total, seen, alike = sum(n), 0, 0
+        for at in range(BINS + 1):
+            seen, alike = seen + n[at], alike + base[at]
+            if n[at] and (1 + alike) / (1 + sum(base)) <= rate * seen / total:
+                limits[level] = at
+    return limits
 
 
 def random_spans(limits: dict[int, int], tokens: str = "tokens") -> Column:
-    """Spans of the tokens in a column that are not structured."""
-    least = F.lit(BINS + 1)
+    """Spans of the tokens in a column that are secrets."""
+    least = F.lit(-1)
     cases = None
     for level, at in sorted(limits.items()):
         cases = (lambda t, l=level, a=at, rest=cases: F.when(t["level"] == l, F.lit(a)).otherwise(rest(t) if rest else least))
-    kept = F.filter(F.col(tokens), lambda t: t["bin"] < (cases(t) if cases else least))
+    kept = F.filter(F.col(tokens), lambda t: t["bin"] <= (cases(t) if cases else least))
     return F.transform(kept, lambda t: F.struct(t["start"].alias("start"), F.lit(3).alias("kind"), t["end"].alias("end")))
 
 
@@ -173,9 +261,9 @@ def hinted(text: Column) -> Column:
 
 
 def find(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Replace ``base`` and ``tokens`` of ``docs`` by what one pass over the whole texts finds; a null text is empty."""
+    """Replace ``base``, ``tokens`` and ``names`` of ``docs`` by what one pass over the whole texts finds; a null text is empty."""
     whole = F.coalesce(F.col(text), F.lit(""))
-    return docs.withColumn("base", base_spans(whole)).withColumn("tokens", tokens(whole))
+    return docs.withColumns({"base": base_spans(whole), "tokens": tokens(whole), "names": names(whole)})
 
 
 def span_list(spans: Column) -> Column:
@@ -188,16 +276,16 @@ def scan(docs: DataFrame, text: str = "text", rate: float = 0.05, keep: list[str
 
     Positions are code points, ends exclusive; ``spans`` are the base ones and
     the random tokens. Null and empty texts have none. Columns named ``base``,
-    ``spans`` or ``tokens`` are replaced. Repeated rows are scanned each, and
+    ``spans``, ``tokens`` or ``names`` are replaced. Repeated rows are scanned each, and
     count each among the tokens of the table. What is found is written to the
     shared folder between the pass that counts and the one that decides.
     """
     from ..session import stored
 
-    names = [c for c in (docs.columns if keep is None else keep) if c not in ("base", "spans", "tokens")]
-    found = stored(find(docs, text).select(*names, "base", "tokens"), "findings")
-    limits = structured_from(found, rate)
-    return found.withColumn("spans", F.array_sort(F.concat("base", random_spans(limits)))).drop("tokens")
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in ("base", "spans", "tokens", "names")]
+    found = stored(find(docs, text).select(*kept, "base", "tokens", "names"), "findings")
+    limits = secrets_from(found, found, rate)
+    return found.withColumn("spans", F.array_sort(F.concat("base", random_spans(limits)))).drop("tokens", "names")
 
 
 def redacted(text: Column, spans: Column, sign: str = "[SECRET]") -> Column:
@@ -221,17 +309,21 @@ def redact(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars",
     """
     from ..session import stored
 
-    names = docs.columns
+    whole = F.coalesce(F.col(text), F.lit(""))
+    # Everything of the row in one column, so that no name can clash with those of what is found.
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), base_spans(whole).alias("base"), tokens(whole).alias("tokens"), names(whole).alias("names"))
     may = F.coalesce(hinted(F.col(text)), F.lit(False))
-    renamed = docs.where(may).withColumnRenamed(text, "_text").withColumnRenamed("base", "_base").withColumnRenamed("tokens", "_tokens")
-    found = stored(find(renamed, "_text"), "findings")
-    spanned = found.withColumn("_spans", F.array_sort(F.concat("base", random_spans(structured_from(found, rate)))))
-    out = spanned.withColumn(text, let(F.col("_spans"), lambda s: redacted(F.col("_text"), s, sign)))
-    out = out.drop("base", "tokens").withColumnRenamed("_base", "base").withColumnRenamed("_tokens", "tokens")
-    if n_chars in names:
-        counted = F.when(F.size("_spans") > 0, F.length(text).cast(docs.schema[n_chars].dataType)).otherwise(F.col(n_chars))
-        out = out.withColumn(n_chars, counted)
-    return docs.where(~may).unionByName(out.select(names))
+    others = docs.where(~may).select(names(whole).alias("names"))
+    found = stored(rows.where(hinted(F.col(f"row.`{text}`"))), "findings")
+    limits = secrets_from(found, found.select("names").union(others), rate)
+    spans = F.array_sort(F.concat("base", random_spans(limits)))
+    clean = let(spans, lambda s: redacted(F.col(f"row.`{text}`"), s, sign))
+    out = found.select("row", (F.size(spans) > 0).alias("hit"), clean.alias("clean"))
+    columns = {c: F.col(f"row.`{c}`") for c in docs.columns}
+    if n_chars in columns:
+        columns[n_chars] = F.when(F.col("hit"), F.length("clean").cast(docs.schema[n_chars].dataType)).otherwise(columns[n_chars])
+    columns[text] = F.col("clean")
+    return docs.where(~may).unionByName(out.select(*(x.alias(c) for c, x in columns.items())))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from ..session import discard, stored
 from .ranks import grouped_rank
 
+#: Parts of groups that count as large, at most.
+MOST_LARGE = 10_000
 ROW = ["doc", "size", "text_crc32", "g"]
 
 
@@ -26,15 +28,15 @@ def allowed_moves(wanted: np.ndarray, free: np.ndarray) -> tuple[np.ndarray, np.
     return swaps + rest, rest
 
 
-def shard_documents(docs: DataFrame, shards: int = 24, doc: str = "doc_id", text: str = "text", rounds: int = 6) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 24, doc: str = "doc_id", text: str = "text", rounds: int = 30) -> DataFrame:
     """One row per row of ``docs``: ``doc``, ``size``, ``text_crc32``, ``shard``, ``slot``.
 
     Documents of equal text are linked. Row counts of shards are at most one
     apart: rows start dealt out evenly in hash order, and every round moves
     linked rows to the shard where most of their group is, under quotas that
     keep all counts. A group too large for a quarter of a shard counts as
-    several, so that hot groups spread over shards. Rounds end when nothing
-    wants to move. ``slot`` counts 0, 1, 2, ... within a shard.
+    several, so that hot groups spread over shards. Rounds end when nothing can
+    move; if that is not so after ``rounds``, it is an error. ``slot`` counts 0, 1, 2, ... within a shard.
 
     Size is the text's UTF-8 bytes plus 8. A null text counts as empty. Null or
     repeated ids are rows like others. An empty table gives an empty result.
@@ -49,12 +51,17 @@ def shard_documents(docs: DataFrame, shards: int = 24, doc: str = "doc_id", text
     dealt = grouped_rank(rows.withColumn("_all", F.lit(0)), ["_all"], ROW, "_r", total).withColumn("shard", F.pmod("_r", F.lit(shards)).cast("int")).drop("_r", "_all")
     # u: the group, or a part of a large one; null where nothing is linked
     piece = F.pmod(F.xxhash64("doc", F.lit("piece")), F.ceil(F.col("m") / chunk))
+    # Parts of groups with so many rows or more are few whatever the table's size, so what they want is broadcast.
+    many = max(100, total // MOST_LARGE)
     state = stored(dealt.join(groups, "g", "left").withColumn("u", F.when(F.col("m").isNotNull(), F.xxhash64("g", piece))).drop("m"), "state")
     for _ in range(rounds):
         votes = state.where("u IS NOT NULL").groupBy("u", "shard").agg(F.count(F.lit(1)).alias("n"))
-        favourite = votes.groupBy("u").agg(F.max_by("shard", F.struct("n", F.xxhash64("u", "shard"))).alias("target"))
+        favourite = stored(votes.groupBy("u").agg(F.sum("n").alias("rows"), F.max_by("shard", F.struct("n", F.xxhash64("u", "shard"))).alias("target")), "favourites")
+        large = F.broadcast(favourite.where(F.col("rows") >= many).select("u", "target"))
+        small = favourite.where(F.col("rows") < many).select("u", "target")
+        linked = state.where("u IS NOT NULL")
         aimed = stored(
-            state.where("u IS NOT NULL").join(favourite, "u").unionByName(state.where("u IS NULL").withColumn("target", F.lit(-1)))
+            linked.join(large, "u").unionByName(linked.join(large, "u", "left_anti").join(small, "u")).unionByName(state.where("u IS NULL").withColumn("target", F.lit(-1)))
             .withColumn("target", F.when(F.col("target") == F.col("shard"), F.lit(-2)).otherwise(F.col("target"))),
             "aimed",
         )
@@ -66,6 +73,7 @@ def shard_documents(docs: DataFrame, shards: int = 24, doc: str = "doc_id", text
                 wanted[a, b] = n
             elif b == -1:
                 free[a] = n
+        discard(favourite)
         moves, displaced = allowed_moves(wanted, free)
         if not moves.any():
             discard(aimed)
@@ -85,6 +93,8 @@ def shard_documents(docs: DataFrame, shards: int = 24, doc: str = "doc_id", text
         before, state = state, stored(moved, "state")
         discard(before)
         discard(aimed)
+    else:
+        raise RuntimeError(f"documents still want to move after {rounds} rounds")
     placed = grouped_rank(state, ["shard"], ROW, "slot", total)
     return placed.select(F.col("doc").alias(doc), "size", "text_crc32", "shard", "slot")
 

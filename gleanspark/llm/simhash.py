@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..session import discard, stored
-from .common import by_bytes, utf8
-from .components import connected_components, fitted
+from .common import by_bytes, fitted, may_hold, utf8
+from .components import connected_components
 
 SEED = 42
 #: Bit patterns of a byte, lowest bit first.
@@ -230,6 +230,17 @@ def fingerprint_classes(docs: DataFrame, width: int = 4, distance: int = 4, doc:
     return prints.join(named, "fp", "left").select(doc, "fp", "root")
 
 
+def shingle_set(text: bytes, width: int) -> np.ndarray:
+    """Sorted 64-bit names of the different ``width``-word shingles, mixed from the words' hashes; of the whole sequence if there are fewer words."""
+    words = np.fromiter(map(xxhash.xxh64_intdigest, text.lower().split()), dtype=np.uint64)
+    width = min(width, len(words))
+    h = np.full(len(words) - width + 1 if width else 0, width, dtype=np.uint64)
+    for j in range(width):
+        h = (h ^ words[j : len(h) + j]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return np.unique(h)
+
+
 #: Bits of the parity sketch of a shingle set.
 SKETCH = 2048
 
@@ -261,7 +272,7 @@ def shingle_levels(texts: DataFrame, width: int, n: int) -> np.ndarray:
         total = np.zeros(1 << bits, dtype=np.uint32)
         for batch in by_bytes(batches, "t"):
             for t in utf8(batch.column("t")):
-                np.add.at(total, (np.unique(shingle_hashes(t, width)) >> np.uint64(64 - bits)).astype(np.int64), np.uint32(1))
+                np.add.at(total, (shingle_set(t, width) >> np.uint64(64 - bits)).astype(np.int64), np.uint32(1))
         pages = np.minimum(total, 65535).astype("<u2").reshape(-1, page)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(pages)), pa.int32()), pa.array([x.tobytes() for x in pages], pa.binary())], names=["page", "counts"])
 
@@ -348,47 +359,6 @@ def pairs_across(keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray, places: n
         step += 1
 
 
-def id_filter(ids: DataFrame, most_bits: int = 1 << 26) -> tuple[int, bytes]:
-    """(bits, bitmap) with the bit of each id's hash set. The bitmap is at most ``most_bits`` (8 MB) whatever
-    the number of ids; with too many of them it lets more pass, and loses none."""
-    page = 1 << 15
-    bits = page
-    n = ids.count()
-    while bits < 64 * n and bits < most_bits:
-        bits *= 2
-
-    @F.pandas_udf("binary")
-    def packed(places: pd.Series) -> pd.Series:
-        out = []
-        for own in places:
-            flags = np.zeros(page, dtype=np.uint8)
-            flags[np.asarray(own)] = 1
-            out.append(np.packbits(flags, bitorder="little").tobytes())
-        return pd.Series(out)
-
-    place = F.pmod(F.xxhash64("d"), F.lit(bits))
-    pages = ids.select(F.floor(place / page).alias("p"), (place % page).cast("int").alias("o")).groupBy("p").agg(F.collect_set("o").alias("o"))
-    bitmap = bytearray(bits // 8)
-    for r in pages.select("p", packed("o").alias("b")).collect():
-        bitmap[r["p"] * page // 8 : (r["p"] + 1) * page // 8] = r["b"]
-    return bits, bytes(bitmap)
-
-
-def may_hold(spark, ids: DataFrame):
-    """Function from a column of ids to whether each may be among ``ids`` (column ``d``)."""
-    bits, bitmap = id_filter(ids)
-    shared = spark.sparkContext.broadcast(bitmap)
-
-    @F.pandas_udf("boolean")
-    def held(places: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        table = np.frombuffer(shared.value, dtype=np.uint8)
-        for at in places:
-            x = at.to_numpy()
-            yield pd.Series((table[x >> 3] >> (x & 7).astype(np.uint8) & 1).astype(bool))
-
-    return lambda column: held(F.pmod(F.xxhash64(column.cast("long")), F.lit(bits)))
-
-
 #: Shingle sets that a task takes at least.
 SETS_A_TASK = 5_000
 
@@ -404,7 +374,7 @@ def verified(docs: DataFrame, pairs: DataFrame, width: int, similarity: float, d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "t"):
-            sets = [np.unique(shingle_hashes(t, width)).view(np.int64) for t in utf8(batch.column("t"))]
+            sets = [shingle_set(t, width).view(np.int64) for t in utf8(batch.column("t"))]
             yield pa.RecordBatch.from_arrays([batch.column("d"), pa.array(sets, pa.list_(pa.int64()))], schema=schema)
 
     sets = stored(fitted(shown.mapInArrow(run, "d long, s array<long>").dropDuplicates(["d"]), 2 * n, SETS_A_TASK), "sets")
@@ -476,7 +446,7 @@ def similar_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8, do
             rows = []
             for t in utf8(batch.column("t")):
                 key = xxhash.xxh3_128_digest(b" ".join(t.lower().split()))
-                shingles = np.unique(shingle_hashes(t, width))
+                shingles = shingle_set(t, width)
                 rows.append((int.from_bytes(key[:8], "little", signed=True), int.from_bytes(key[8:], "little", signed=True), len(shingles), prefix(shingles, shared.value, similarity).tobytes(), parity_sketch(shingles)))
             columns = list(zip(*rows)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([batch.column("d").cast(schema.field(0).type), *(pa.array(c, f.type) for c, f in zip(columns, list(schema)[1:]))], schema=schema)

@@ -3,8 +3,9 @@
 Every window of ``length`` bytes has an anchor: of the grams in it the one of
 least hash, the leftmost of equals. Equal windows have equal anchors at equal
 places, so only windows of one anchor need comparing. Neighbouring windows with
-one anchor make a context. Contexts that occur twice repeat as a whole. Of
-anchors with several different contexts, the suffixes that start at one distance
+one anchor make a context. Contexts of equal hashes are one class, of which the
+first and the last are compared byte by byte: if equal, the whole class repeats.
+Of the different contexts of an anchor, the suffixes that start at one distance
 from the anchor are merge-sorted: prefix polynomial hashes and binary search
 give the common extension of two suffixes in logarithmic time, suffixes that
 share ``length`` bytes end up side by side, and their bytes are compared too.
@@ -13,7 +14,9 @@ share ``length`` bytes end up side by side, and their bytes are compared too.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ..session import stored
-from .common import by_bytes, utf8
+from ..session import discard, stored
+from .common import by_bytes, fitted, may_hold, small_batches, utf8
 
 PRIME = np.uint64(2**31 - 1)
 BASES = (np.uint64(1_000_003), np.uint64(69_069_069))
@@ -249,6 +252,51 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def compare_contexts(rows: DataFrame, length: int) -> DataFrame:
+    """(``a``, ``c``, ``spans``) from rows (``g``, ``a``, ``c``, ``place``, ``bytes``): what contexts of one group ``g`` share.
+
+    Two rows of one class ``c`` whose bytes are equal repeat as a whole. What
+    differs within a group is sorted, in its task, by its suffixes.
+    """
+    schema = pa.schema([("a", pa.int64()), ("c", pa.int64()), ("spans", pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())])))])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def decide(found: list[tuple]) -> pa.RecordBatch:
+            shown: dict[tuple[int, int, int], tuple] = {}
+            hits, apart = [], []
+            for r in found:
+                first = shown.setdefault(r[:3], r)
+                if first is r:
+                    apart.append(r)
+                elif first[4] == r[4]:
+                    hits.append((r[1], r[2], [{"s": 0, "e": len(r[4])}]))
+                else:  # one hash for different bytes: they are no copies
+                    apart.append(r)
+            several = Counter(r[0] for r in apart)
+            apart = [r for r in apart if several[r[0]] > 1]
+            if apart:
+                group = np.unique(np.array([r[0] for r in apart]), return_inverse=True)[1]
+                starts = repeated_windows([r[4] for r in apart], group, np.array([r[3] for r in apart]), length)
+                hits += [(r[1], r[2], [{"s": x, "e": y} for x, y in spans_of(s, length)]) for r, s in zip(apart, starts) if len(s)]
+            columns = list(zip(*hits)) or [[]] * 3
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+        held: list[tuple] = []
+        size = 0
+        for batch in batches:
+            for row in zip(*(batch.column(x).to_pylist() for x in ("g", "a", "c", "place", "bytes"))):
+                if held and size > 1 << 19 and held[-1][0] != row[0]:
+                    yield decide(held)
+                    held, size = [], 0
+                held.append(row)
+                size += len(row[4])
+        if held:
+            yield decide(held)
+
+    together = rows.select("g", "a", "c", "place", "bytes").repartition("g").sortWithinPartitions("g")
+    return together.mapInArrow(compare, f"a long, c long, spans {SPANS}")
+
+
 def remove_repeats(docs: DataFrame, length: int = 400, gram: int = 64, doc: str = "doc_id", text: str = "text", largest_group: int = 1000, with_text: bool = False) -> DataFrame:
     """One row per row of ``docs``: ``doc``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``.
 
@@ -259,16 +307,19 @@ def remove_repeats(docs: DataFrame, length: int = 400, gram: int = 64, doc: str
 
     A null text is empty. Texts shorter than ``length`` stay whole. Repeated
     rows repeat each other; null and repeated ids are fine. Other columns are
-    not returned. Anchors of more than ``largest_group`` different contexts are
-    compared by the hashes of their single windows, dealt over all tasks.
+    not returned. The windows of an anchor with more than ``largest_group``
+    different contexts are dealt out by their hashes, and of those found twice
+    the first and the last are sorted and compared like contexts, so that no
+    group is larger than that.
     """
+    spark = docs.sparkSession
     source = docs.select(F.col(doc).alias("d"), F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("k", F.xxhash64("t"))
     id_type = docs.schema[doc].dataType
     d_sql, d_arrow = id_type.simpleString(), to_arrow_type(id_type)
     found_schema = pa.schema([("d", d_arrow), ("k", pa.int64()), ("a", pa.int64()), ("c", pa.int64()), ("place", pa.int32()), ("size", pa.int32()), ("starts", pa.list_(pa.int32()))])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, "t"):
+        for batch in by_bytes(batches, "t", 2 << 20):
             ids, keys = batch.column("d").to_pylist(), batch.column("k").to_pylist()
             rows = list(document_anchors(utf8(batch.column("t")), length, gram))
             columns = [[ids[r[0]] for r in rows], [keys[r[0]] for r in rows], *([r[x] for r in rows] for x in range(1, 6))]
@@ -276,48 +327,37 @@ def remove_repeats(docs: DataFrame, length: int = 400, gram: int = 64, doc: str
 
     long_enough = source.where(F.octet_length("t") >= length)
     found = stored(long_enough.mapInArrow(find, f"d {d_sql}, k long, a long, c long, place int, size int, starts array<int>"), "anchors")
-    classes = found.groupBy("a", "c").agg(F.sum(F.size("starts")).alias("n"), F.min(F.struct("k", F.col("starts")[0].alias("start"), "size", "place", "d")).alias("one"))
-    classes = stored(classes, "classes")
+    n = found.count()
+    shown_by = F.struct("k", F.col("starts")[0].alias("start"), "d", "size", "place")
+    last_by = F.struct("k", F.element_at("starts", -1).alias("start"), "d", "size", "place")
+    classes = stored(fitted(found.groupBy("a", "c").agg(F.sum(F.size("starts")).alias("n"), F.min(shown_by).alias("one"), F.max(last_by).alias("other")), n), "classes")
     groups = classes.groupBy("a").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    whole = classes.where("n > 1").select("a", "c", F.array(F.struct(F.lit(0).alias("s"), F.col("one.size").alias("e"))).alias("spans"))
-    # One context of each class whose anchor has others too
-    wanted = stored(classes.join(groups, "a").select("a", "c", "n", "m", "one.*"), "wanted")
-    by_text = wanted.groupBy("d", "k").agg(F.collect_list(F.struct("a", "c", "n", "m", "start", "size", "place")).alias("w"))
-    shown = source.alias("x").join(by_text.alias("y"), F.col("x.k").eqNullSafe(F.col("y.k")) & F.col("x.d").eqNullSafe(F.col("y.d"))).select("x.t", "y.w")
-    cut_schema = pa.schema([("a", pa.int64()), ("c", pa.int64()), ("n", pa.int64()), ("m", pa.int64()), ("place", pa.int32()), ("bytes", pa.binary())])
+    # The first context of each class whose anchor has others too; first and last of those that occur twice
+    counted = classes.join(groups, "a", "left").where("m > 1 OR n > 1").withColumn("m", F.coalesce("m", F.lit(1)))
+    shown = F.when(F.col("n") > 1, F.array("one", "other")).otherwise(F.array("one"))
+    wanted = counted.select("a", "c", "n", "m", F.posexplode(shown).alias("which", "x")).select("a", "c", "n", "m", "which", "x.*")
+    wanted = stored(fitted(wanted, n), "wanted")
+    by_text = wanted.groupBy("d", "k").agg(F.collect_list(F.struct("a", "c", "n", "m", "which", "start", "size", "place")).alias("w"))
+    same_text = F.col("x.k").eqNullSafe(F.col("y.k")) & F.col("x.d").eqNullSafe(F.col("y.d"))
+    name = F.xxhash64("d", "k")
+    # A bitmap of bounded size keeps most other texts out of the shuffle; the join decides.
+    shows = source.where(may_hold(spark, wanted.select(name.alias("d")).distinct())(name))
+    lists = shows.alias("x").join(by_text.alias("y"), same_text).select("x.t", "y.w")
+    cut_schema = pa.schema([("a", pa.int64()), ("c", pa.int64()), ("n", pa.int64()), ("m", pa.int64()), ("which", pa.int32()), ("place", pa.int32()), ("bytes", pa.binary())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, "t"):
-            rows = [(w["a"], w["c"], w["n"], w["m"], w["place"], t[w["start"] : w["start"] + w["size"]]) for t, ws in zip(utf8(batch.column("t")), batch.column("w").to_pylist()) for w in ws]
-            columns = list(zip(*rows)) or [[]] * 6
+        for batch in by_bytes(batches, "t", 1 << 20):
+            rows = [(w["a"], w["c"], w["n"], w["m"], w["which"], w["place"], t[w["start"] : w["start"] + w["size"]]) for t, ws in zip(utf8(batch.column("t")), batch.column("w").to_pylist()) for w in ws]
+            columns = list(zip(*rows)) or [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, cut_schema)], schema=cut_schema)
 
-    # A class whose text occurs in several equal rows is shown by each of them: one is enough.
-    contexts = stored(shown.mapInArrow(cut, "a long, c long, n long, m long, place int, bytes binary"), "contexts").dropDuplicates(["a", "c"])
-    span_schema = pa.schema([("a", pa.int64()), ("c", pa.int64()), ("spans", pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())])))])
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def decide(rows: list[tuple]) -> pa.RecordBatch:
-            group = np.unique(np.array([r[0] for r in rows]), return_inverse=True)[1]
-            starts = repeated_windows([r[2] for r in rows], group, np.array([r[1][1] for r in rows]), length)
-            hits = [(r[0], r[1][0], [{"s": x, "e": y} for x, y in spans_of(s, length)]) for r, s in zip(rows, starts) if len(s)]
-            columns = list(zip(*hits)) or [[]] * 3
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, span_schema)], schema=span_schema)
-
-        held: list[tuple] = []
-        size = 0
-        for batch in batches:
-            for a, c, place, raw in zip(*(batch.column(x).to_pylist() for x in ("a", "c", "place", "bytes"))):
-                if held and size > 1 << 19 and held[-1][0] != a:
-                    yield decide(held)
-                    held, size = [], 0
-                held.append((a, (c, place), raw))
-                size += len(raw)
-        if held:
-            yield decide(held)
-
-    sorted_ = contexts.where(F.col("m") <= largest_group).select("a", "c", "place", "bytes").repartition("a").sortWithinPartitions("a")
-    compared = sorted_.mapInArrow(compare, f"a long, c long, spans {SPANS}")
+    # Equal rows of one id show a context each: one is enough.
+    cuts = lists.mapInArrow(cut, "a long, c long, n long, m long, which int, place int, bytes binary").dropDuplicates(["a", "c", "which"])
+    contexts = stored(fitted(cuts, 20 * n), "contexts")
+    discard(wanted)
+    large = F.col("m") > largest_group
+    few = contexts.where(~large | (F.col("n") > 1)).withColumn("g", F.when(large, F.xxhash64("a", "c")).otherwise(F.col("a")))
+    compared = compare_contexts(few, length)
 
     window_schema = pa.schema([("a", pa.int64()), ("c", pa.int64()), ("s", pa.int32()), ("h", pa.binary())])
 
@@ -329,20 +369,31 @@ def remove_repeats(docs: DataFrame, length: int = 400, gram: int = 64, doc: str
                 columns = list(zip(*rows)) or [[]] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, window_schema)], schema=window_schema)
 
-    hot = contexts.where(F.col("m") > largest_group).select("a", "c", "place", "bytes").mapInArrow(windows, "a long, c long, s int, h binary")
-    hot = stored(hot, "windows")
-    twice = stored(hot.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "twice")
-    shared = hot.join(twice, "h").groupBy("a", "c").agg(F.sort_array(F.collect_list("s")).alias("w"))
-    by_window = shared.select("a", "c", F.transform("w", lambda s: F.struct(s.alias("s"), (s + length).alias("e"))).alias("spans"))
-
-    spans = stored(whole.unionByName(compared).unionByName(by_window), "spans")
-    placed = found.join(spans, ["a", "c"]).groupBy("d", "k").agg(F.collect_list(F.struct("starts", "spans")).alias("r"))
-    last = source.alias("x").join(placed.alias("y"), F.col("x.k").eqNullSafe(F.col("y.k")) & F.col("x.d").eqNullSafe(F.col("y.d")), "left").select("x.d", "x.t", "y.r")
+    parts = [compared]
+    crowded = contexts.where(large & (F.col("which") == 0))
+    if not crowded.isEmpty():
+        hot = stored(crowded.select("a", "c", "place", "bytes").mapInArrow(windows, "a long, c long, s int, h binary"), "windows")
+        place = F.struct("a", "c", "s")
+        twice = stored(hot.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("one"), F.max(place).alias("other")).where("n > 1"), "twice")
+        # Of each window found twice the first and the last as contexts of a group of their own
+        ends = twice.select(F.xxhash64("h").alias("g"), F.posexplode(F.array("one", "other")).alias("which", "x")).select("g", "which", "x.*")
+        own = crowded.join(ends, ["a", "c"]).select("g", F.col("g").alias("a"), F.col("which").cast("long").alias("c"), F.lit(0).alias("place"), F.substring("bytes", F.col("s") + 1, F.lit(length)).alias("bytes"))
+        confirmed = compare_contexts(own, length).select(F.col("a").alias("g")).distinct()
+        shared = hot.withColumn("g", F.xxhash64("h")).join(confirmed, "g").groupBy("a", "c").agg(F.sort_array(F.collect_list("s")).alias("w"))
+        parts.append(shared.select("a", "c", F.transform("w", lambda s: F.struct(s.alias("s"), (s + length).alias("e"))).alias("spans")))
+
+    spans = stored(fitted(reduce(DataFrame.unionByName, parts), n), "spans")
+    discard(contexts)
+    placed = found.join(spans, ["a", "c"]).groupBy("d", "k").agg(F.collect_set(F.struct("starts", "spans")).alias("r"))
+    placed = stored(fitted(placed, n), "placed")
+    touched = may_hold(spark, placed.select(name.alias("d")))(name)
+    joined = source.where(touched).alias("x").join(placed.alias("y"), same_text, "left").select("x.d", "x.t", "y.r")
+    last = joined.unionByName(source.where(~touched).select("d", "t", F.lit(None).cast(placed.schema["r"].dataType).alias("r")))
     fields = [(doc, d_arrow), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), *([("kept", pa.binary())] if with_text else [])]
     out_schema = pa.schema(fields)
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, "t"):
+        for batch in by_bytes(batches, "t", 2 << 20):
             rows = []
             for t, r in zip(utf8(batch.column("t")), batch.column("r").to_pylist()):
                 gone = merged([(x + q["s"], x + q["e"]) for p in r or () for q in p["spans"] for x in p["starts"]])
@@ -362,5 +413,6 @@ def remove_repeats(docs: DataFrame, length: int = 400, gram: int = 64, doc: str
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op5: repeated 400-byte strings removed from every text of ``documents``."""
+    small_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return remove_repeats(docs)

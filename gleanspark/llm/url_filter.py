@@ -28,7 +28,7 @@ def build_trie(rules: Iterable[Rule]) -> dict:
     """Nested dicts: host labels from the right; under ``None`` the path's trie.
 
     A path's node is reached by whole segments (those with a ``/`` behind them);
-    under its ``None`` stand the rules' last, unfinished segments, longest first.
+    under its ``None`` stand the lengths, longest first, and rules of last, unfinished segments.
     """
     root: dict = {}
     for action, host, path in rules:
@@ -54,7 +54,7 @@ def _sort_ends(root: dict) -> None:
             if key is not None:
                 todo.append((child, in_path))
             elif in_path:
-                node[None] = sorted(child.items(), key=lambda x: -len(x[0]))
+                node[None] = (sorted({len(rest) for rest in child}, reverse=True), child)
             else:
                 todo.append((child, True))
 
@@ -79,10 +79,8 @@ def longest_match(tries: list[dict], path: str) -> tuple[str, str] | None:
     for node in tries:
         best = None
         for i, segment in enumerate(segments):
-            for rest, rule in node.get(None, ()):
-                if segment.startswith(rest):
-                    best = rule
-                    break
+            lengths, ends = node.get(None, ((), {}))
+            best = next((ends[segment[:n]] for n in lengths if segment[:n] in ends), best)
             node = node.get(segment) if i + 1 < len(segments) else None
             if node is None:
                 break
@@ -105,7 +103,7 @@ def filter_urls(pages: DataFrame, rules: Iterable[Rule] | DataFrame, url: str =
     url's host suffixes and path prefixes.
 
     Null urls and urls without ``://`` have an empty host and path. Columns of
-    ``pages`` named like the four new ones are replaced. Empty tables give
+    ``pages`` named like the four new ones are replaced, all others stay. Empty tables give
     empty results; repeated rows are judged alike.
     """
     spark = pages.sparkSession
@@ -118,7 +116,8 @@ def filter_urls(pages: DataFrame, rules: Iterable[Rule] | DataFrame, url: str =
         table = None
         if len(known) > max_trie_rules:
             table, known = spark.createDataFrame(known, "action string, host string, path string"), None
-    judged = pages.withColumn("host", url_host(F.col(url))).withColumn("path", url_path(F.col(url)))
+    kept = [F.col(f"`{c}`") for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    judged = pages.select(F.struct(*kept).alias("row"), url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path"))
     if known is None:
         return _by_join(judged, table, default)
     shared = spark.sparkContext.broadcast(build_trie(known))
@@ -131,7 +130,7 @@ def filter_urls(pages: DataFrame, rules: Iterable[Rule] | DataFrame, url: str =
             hits = [longest_match(tries[h], p) for h, p in zip(hosts, paths)]
             yield pd.DataFrame({"rule": [h and h[1] for h in hits], "verdict": [h[0] if h else default for h in hits]})
 
-    return judged.withColumn("_j", judge("host", "path")).withColumn("rule", F.col("_j.rule")).withColumn("verdict", F.col("_j.verdict")).drop("_j")
+    return judged.withColumn("found", judge("host", "path")).select("row.*", "host", "path", "found.rule", "found.verdict")
 
 
 def _by_join(judged: DataFrame, rules: DataFrame, default: str) -> DataFrame:
@@ -156,13 +155,8 @@ def _by_join(judged: DataFrame, rules: DataFrame, default: str) -> DataFrame:
         .groupBy("host", "path")
         .agg(F.max_by(F.struct("action", F.concat("_rh", "_rp").alias("rule")), order).alias("_b"))
     )
-    return (
-        judged.drop("rule", "verdict")
-        .join(best, ["host", "path"], "left")
-        .withColumn("rule", F.col("_b.rule"))
-        .withColumn("verdict", F.coalesce(F.col("_b.action"), F.lit(default)))
-        .drop("_b")
-    )
+    found = judged.join(best, ["host", "path"], "left")
+    return found.select("row.*", "host", "path", F.col("_b.rule").alias("rule"), F.coalesce(F.col("_b.action"), F.lit(default)).alias("verdict"))
 
 
 RULES: list[Rule] = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
