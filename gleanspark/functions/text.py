@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def unquote(cell: Column) -> Column:
     """Trim; take off a pair of double quotes and halve doubled ones inside."""
     t = F.trim(cell)
-    return F.when(t.rlike(r'(?s)^".*"$') & (F.length(t) > 1), F.replace(F.substring(t, F.lit(2), F.length(t) - 2), F.lit('""'), F.lit('"'))).otherwise(t)
+    return F.when(t.startswith('"') & t.endswith('"') & (F.length(t) > 1), F.replace(F.substring(t, F.lit(2), F.length(t) - 2), F.lit('""'), F.lit('"'))).otherwise(t)
 
 
 def strip_html(html: Column) -> Column:
@@ -69,3 +69,49 @@ def number(cell: Column) -> Column:
     """A decimal number, or null. Suffixes d and f, which a cast lets through, are no numbers."""
     t = F.trim(cell)
     return F.when(t.rlike(r"(?i)^[+-]?(inf|infinity|nan)$") | ~t.rlike("[dDfF]$"), t.try_cast("double"))
+
+
+def is_data_dump(text: Column) -> Column:
+    """Whether two lines or more have two bars each, or more than six lines are not blank."""
+    lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
+    barred = F.filter(lines, lambda x: F.length(x) - F.length(F.replace(x, F.lit("|"), F.lit(""))) >= 2)
+    return (F.size(barred) >= 2) | (F.size(lines) > 6)
+
+
+def normal_line(text: Column) -> Column:
+    """Lower-cased, without outer white space and punctuation at the end."""
+    return F.lower(F.regexp_replace(F.regexp_replace(text, r"^\s+", ""), r"[\s!-/:-@\[-`{-~]+$", ""))
+
+
+def looks_iso8601(text: Column) -> Column:
+    """Whether a text starts with ``yyyy-MM-dd``, ``T`` or a blank, and ``HH:mm:ss``."""
+    return text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}:[0-9]{2}")
+
+
+def escape_html(text: Column) -> Column:
+    """``& < > "`` and ``'`` as entities."""
+    for sign, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
+        text = F.replace(text, F.lit(sign), F.lit(entity))
+    return text
+
+
+def escape_json(text: Column) -> Column:
+    """The text as it stands within a JSON string."""
+    quoted = F.to_json(F.struct(text.alias("t")))
+    return F.substring(quoted, F.lit(7), F.length(quoted) - 8)
+
+
+def bytes_text(values: Column, most: int = 8192) -> Column:
+    """The text of an array of byte values; null if one is no byte or there are more than ``most``."""
+    pairs = F.transform(values, lambda v: F.lpad(F.hex(v.cast("long")), 2, "0"))
+    valid = (F.size(values) <= most) & F.forall(values, lambda v: v.between(0, 255))
+    return F.when(valid, F.decode(F.unhex(F.array_join(pairs, "")), "UTF-8"))
+
+
+def shorten(text: Column, most: int = 160) -> Column:
+    """At most ``most`` UTF-8 bytes, cut between characters, with an ellipsis if cut."""
+    raw = text.cast("binary")
+    # A cut inside a character leaves up to three of its bytes: step back to one that starts a character.
+    ends = F.array(*(F.lit(most - k) for k in range(4)))
+    whole = F.filter(ends, lambda n: ~F.hex(F.substring(raw, n + 1, F.lit(1))).rlike("^[89AB]"))
+    return F.when(F.octet_length(text) <= most, text).otherwise(F.concat(F.decode(F.substring(raw, F.lit(1), whole[0]), "UTF-8"), F.lit("…")))

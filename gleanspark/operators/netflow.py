@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ranking import values_of_ranks
+
 # Fixed values of the two anomaly rules.
 SCAN_LEAST, SCAN_RATIO, EXFIL_RATIO, TOP = 20, 5, 10, 5
 
@@ -31,15 +33,10 @@ def top(ranked: DataFrame, keys: list[str], k: int = TOP) -> DataFrame:
 
 
 def baseline_without_top(ranked: DataFrame) -> DataFrame:
-    """One row: the upper median of the metric without one largest value; 0 for one value or none.
-
-    The counts of equal values are ranked, not the rows.
-    """
-    values = ranked.groupBy("metric").agg(F.count(F.lit(1)).alias("n"))
-    upto = values.withColumn("hi", F.sum("n").over(Window.orderBy("metric").rowsBetween(Window.unboundedPreceding, 0)))
-    total = values.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
-    picked = upto.crossJoin(F.broadcast(total)).where((F.col("total") > 1) & (F.col("hi") > F.floor((F.col("total") - 1) / 2)))
-    return picked.agg(F.coalesce(F.min("metric"), F.lit(0)).alias("baseline"))
+    """One row: the upper median of the metric without one largest value; 0 for one value or none."""
+    n = ranked.count()
+    found = values_of_ranks(ranked, "metric", [(n - 1) // 2])[0] if n > 1 else 0
+    return ranked.sparkSession.createDataFrame([(found,)], "baseline long")
 
 
 def anomalies(pairs: DataFrame) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.timekey import auto_width, iso_label
+from ..functions.timekey import auto_width
+from ..session import discard, stored
+from .ranking import values_of_ranks
 
 # Fixed values of the spike, drop and correlation rules.
 SPIKE_BUCKETS, SPIKE_Z, SPIKE_RATIO, SPIKE_LEAST, MAD_SCALE = 8, 4.0, 3.0, 10, 1.4826
@@ -80,62 +84,73 @@ def drops(series: DataFrame) -> DataFrame:
 
 
 def robust_bounds(epochs: DataFrame) -> tuple[int, int] | None:
-    """Least and greatest epoch within three interquartile ranges of the quartiles (nearest rank)."""
-    counts = epochs.groupBy("epoch").agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n")).first()[0]
-    if not total:
+    """Least and greatest epoch within three interquartile ranges of the quartiles (nearest rank).
+
+    Equal epochs are counted once and the counts stored, so that the source is read in one pass.
+    """
+    counts = stored(epochs.where("epoch IS NOT NULL").groupBy("epoch").agg(F.count(F.lit(1)).alias("n")), "epochs")
+    row = counts.agg(F.sum("n").alias("n"), F.min("epoch").alias("low"), F.max("epoch").alias("high")).first()
+    if not row["n"]:
         return None
-    parts = 64
-    low, high = epochs.agg(F.min("epoch"), F.max("epoch")).first()
-    width = max(1, (high - low) // parts + 1)
-
-    def ranked(k: int) -> int:
-        """The value of rank k (from 0): find its stretch first, then rank within it."""
-        at, lo, step = k, low, width
-        while True:
-            stretch = counts.where(F.col("epoch").between(lo, lo + step * parts - 1)).groupBy(F.floor((F.col("epoch") - lo) / step).alias("p")).agg(F.sum("n").alias("n")).orderBy("p").collect()
-            for r in stretch:
-                if at < r["n"]:
-                    lo += r["p"] * step
-                    break
-                at -= r["n"]
-            if step == 1:
-                return lo
-            step = max(1, -(-step // parts))
-
-    q1, q3 = (ranked(int((total - 1) * p + 0.5)) for p in (0.25, 0.75))
+    q1, q3 = values_of_ranks(counts, "epoch", [int((row["n"] - 1) * p + 0.5) for p in (0.25, 0.75)], "n")
+    discard(counts)
     if q1 == q3:
-        return low, high
-    return max(low, q1 - 3 * (q3 - q1)), min(high, q3 + 3 * (q3 - q1))
+        return row["low"], row["high"]
+    return max(row["low"], q1 - 3 * (q3 - q1)), min(row["high"], q3 + 3 * (q3 - q1))
 
 
-def correlate(streams: DataFrame, top: int = TOP) -> DataFrame:
-    """Lagged correlations of the event streams ``stream``, ``epoch``, the best lag of each pair.
+@dataclass(frozen=True)
+class Grid:
+    """Buckets that all streams share: the first second, the width, how many there are, and the most lag tried."""
 
-    ``leader``, ``follower``, ``lag_seconds``, ``score`` (4 places), ``events_leader``,
-    ``events_follower``, ``width_seconds``. Counts on a shared grid are standardised
-    per stream; for each lag Pearson's r is taken over the buckets that overlap.
-    The lags stay within an hour, 128 buckets and a quarter of the grid; both
-    windows need 3 events, and r must be 0.5 or more.
-    """
+    low: int
+    high: int
+    width: int
+    n: int
+    most_lag: int
+
+
+def shared_grid(streams: DataFrame) -> Grid | None:
+    """The grid of event streams; None if it is too short for a lag."""
     bounds = robust_bounds(streams)
-    spark = streams.sparkSession
-    empty = spark.createDataFrame([], "leader string, follower string, lag_seconds long, score double, events_leader long, events_follower long, width_seconds long")
     if bounds is None or bounds[0] == bounds[1]:
-        return empty
+        return None
     low, high = bounds
     width = auto_width(high - low, GRID_TARGET)
     n = (high - low) // width + 1
     most = min(MOST_LAG, n - 1, n // 4, max(1, LAG_SECONDS // width))
-    if n < LEAST_OVERLAP or most < 1:
-        return empty
-    inside = streams.where(F.col("epoch").between(low, high))
-    counts = inside.groupBy("stream", F.floor((F.col("epoch") - low) / width).alias("b")).agg(F.count(F.lit(1)).alias("c"))
+    return Grid(low, high, width, n, most) if n >= LEAST_OVERLAP and most >= 1 else None
+
+
+def on_grid(streams: DataFrame, grid: Grid) -> DataFrame:
+    """``stream``, ``b``, ``c``: the count of every bucket of every stream of three events or more on the grid."""
+    inside = streams.where(F.col("epoch").between(grid.low, grid.high))
+    counts = inside.groupBy("stream", F.floor((F.col("epoch") - grid.low) / grid.width).alias("b")).agg(F.count(F.lit(1)).alias("c"))
     names = counts.groupBy("stream").agg(F.sum("c").alias("events")).where(F.col("events") >= LEAST_EVENTS)
-    # The grid has at most a few thousand buckets for each stream.
-    grid = names.select("stream", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("b")).join(counts, ["stream", "b"], "left").select("stream", "b", F.coalesce("c", F.lit(0)).alias("c"))
-    a = grid.select(F.col("stream").alias("leader"), F.col("b").alias("ba"), F.col("c").alias("ca"), F.explode(F.sequence(F.lit(0), F.lit(int(most)))).alias("lag")).withColumn("b", F.col("ba") + F.col("lag"))
-    b = grid.select(F.col("stream").alias("follower"), "b", F.col("c").alias("cb"))
+    # At most a few thousand buckets for each stream.
+    spine = names.select("stream", F.explode(F.sequence(F.lit(0), F.lit(grid.n - 1))).alias("b"))
+    return spine.join(counts, ["stream", "b"], "left").select("stream", "b", F.coalesce("c", F.lit(0)).alias("c"))
+
+
+LINKS = "leader string, follower string, lag_seconds long, score double, events_leader long, events_follower long, width_seconds long, peak_epoch long"
+
+
+def correlate(streams: DataFrame, top: int = TOP, grid: Grid | None = None) -> DataFrame:
+    """Lagged correlations of the event streams ``stream``, ``epoch``, the best lag of each pair.
+
+    ``leader``, ``follower``, ``lag_seconds``, ``score`` (4 places), ``events_leader``,
+    ``events_follower``, ``width_seconds``, and ``peak_epoch``: the start of the follower's
+    bucket where both deviate most together, the first of equals. Counts on a shared grid are standardised
+    per stream; for each lag Pearson's r is taken over the buckets that overlap.
+    The lags stay within an hour, 128 buckets and a quarter of the grid; both
+    windows need 3 events, and r must be 0.5 or more.
+    """
+    grid = grid or shared_grid(streams)
+    if grid is None:
+        return streams.sparkSession.createDataFrame([], LINKS)
+    table = on_grid(streams, grid)
+    a = table.select(F.col("stream").alias("leader"), F.col("b").alias("ba"), F.col("c").alias("ca"), F.explode(F.sequence(F.lit(0), F.lit(int(grid.most_lag)))).alias("lag")).withColumn("b", F.col("ba") + F.col("lag"))
+    b = table.select(F.col("stream").alias("follower"), "b", F.col("c").alias("cb"))
     met = a.join(b, "b").where(F.col("leader") != F.col("follower"))
     sums = met.groupBy("leader", "follower", "lag").agg(
         F.count(F.lit(1)).alias("k"), F.sum("ca").alias("ea"), F.sum("cb").alias("eb"), F.var_pop("ca").alias("va"), F.var_pop("cb").alias("vb"), F.covar_pop("ca", "cb").alias("cov")
@@ -143,8 +158,17 @@ def correlate(streams: DataFrame, top: int = TOP) -> DataFrame:
     scored = sums.where((F.col("k") >= LEAST_OVERLAP) & (F.col("ea") >= LEAST_EVENTS) & (F.col("eb") >= LEAST_EVENTS) & (F.col("va") > 1e-9) & (F.col("vb") > 1e-9)).withColumn("r", F.try_divide(F.col("cov"), F.sqrt(F.col("va") * F.col("vb"))))
     pair = Window.partitionBy(F.least("leader", "follower"), F.greatest("leader", "follower")).orderBy(F.desc("r"), F.desc("lag"), "leader")
     best = scored.where(F.col("r") >= LEAST_SCORE).withColumn("rank", F.row_number().over(pair)).where("rank = 1")
-    events = {s: names.select(F.col("stream").alias(s), F.col("events").alias(f"events_{s}")) for s in ("leader", "follower")}
-    return best.join(events["leader"], "leader").join(events["follower"], "follower").select("leader", "follower", (F.col("lag") * width).alias("lag_seconds"), F.round("r", 4).alias("score"), "events_leader", "events_follower", F.lit(width).cast("long").alias("width_seconds")).orderBy(F.desc("score"), "follower", "leader").limit(top)
+    totals = table.groupBy("stream").agg(F.sum("c").alias("events"), F.avg("c").alias("mean"))
+    named = {s: totals.select(F.col("stream").alias(s), F.col("events").alias(f"events_{s}"), F.col("mean").alias(f"mean_{s}")) for s in ("leader", "follower")}
+    links = best.join(named["leader"], "leader").join(named["follower"], "follower").orderBy(F.desc(F.round("r", 4)), "follower", "leader").limit(top)
+    # Where the few links' streams deviate most together
+    at = {s: table.select(F.col("stream").alias(s), F.col("b").alias(f"b_{s}"), F.col("c").alias(f"c_{s}")) for s in ("leader", "follower")}
+    together = links.join(at["leader"], "leader").join(at["follower"], "follower").where(F.col("b_follower") == F.col("b_leader") + F.col("lag"))
+    product = (F.col("c_leader") - F.col("mean_leader")) * (F.col("c_follower") - F.col("mean_follower"))
+    peaks = together.groupBy("leader", "follower", "lag", "r", "events_leader", "events_follower").agg(F.max_by("b_follower", F.struct(product, -F.col("b_follower"))).alias("peak"))
+    return peaks.select(
+        "leader", "follower", (F.col("lag") * grid.width).alias("lag_seconds"), F.round("r", 4).alias("score"), "events_leader", "events_follower", F.lit(grid.width).cast("long").alias("width_seconds"), (F.col("peak") * grid.width + grid.low).cast("long").alias("peak_epoch")
+    ).orderBy(F.desc("score"), "follower", "leader")
 
 
 def incident_chain(links: list[dict], horizon: int | None = None) -> dict | None:
@@ -178,12 +202,24 @@ def latest_before(events: DataFrame, stamps: DataFrame, by: list[str], at: str,
 
 
 def first_after(triggers: DataFrame, errors: DataFrame, by: list[str], at: str, tolerance: int = 3600) -> DataFrame:
-    """Each trigger with the first error later than it, by ``tolerance`` seconds at most: ``at``, ``lag``."""
-    both = triggers.select(*by, at, F.lit(1).alias("_t")).unionByName(errors.select(*by, at, F.lit(0).alias("_t")))
-    after = Window.partitionBy(*by).orderBy(F.col(at)).rangeBetween(1, tolerance)
+    """Each trigger with the first error later than it, by ``tolerance`` seconds at most: ``at``, ``lag``.
+
+    Rows meet in stretches of ``tolerance`` seconds; errors are in their own and
+    in the one before, so that no key and no long time comes to one task.
+    """
+    stretch = F.floor(F.col(at) / tolerance)
+    both = triggers.select(*by, at, stretch.alias("_p"), F.lit(1).alias("_t")).unionByName(errors.distinct().select(*by, at, F.explode(F.array(stretch, stretch - 1)).alias("_p"), F.lit(0).alias("_t")))
+    after = Window.partitionBy(*by, "_p").orderBy(F.col(at)).rangeBetween(1, tolerance)
     return both.withColumn("_f", F.min(F.when(F.col("_t") == 0, F.col(at))).over(after)).where("_t = 1 AND _f IS NOT NULL").select(*by, at, (F.col("_f") - F.col(at)).alias("lag"))
 
 
+def median_lag(triggers: DataFrame, errors: DataFrame, by: list[str], at: str = "epoch") -> int | None:
+    """The upper median of the lags from each trigger to its first error; None without any."""
+    found = stored(first_after(triggers, errors, by, at).groupBy("lag").agg(F.count(F.lit(1)).alias("n")), "lags")
+    n = found.agg(F.sum("n")).first()[0]
+    return values_of_ranks(found, "lag", [n // 2], "n")[0] if n else None
+
+
 def envelope(points: DataFrame, columns: int, index: str = "i", value: str = "v") -> DataFrame:
     """``min``, ``max``, ``mean`` of ``value`` in each of ``columns`` stretches of equal length of the dense ``index``."""
     n = points.count()

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import normal_line
+
 # Fixed values.
 LEAST, ALIKE, RECENCY_BASE, RECENCY_SHARE = 0.01, 0.85, 0.85, 0.15
 
@@ -54,6 +58,60 @@ def keyword_lines(texts: DataFrame, keywords: str, text: str = "text", width: in
     return texts.withColumn("lines", F.slice(F.array_distinct(hit), 1, most))
 
 
+def search_blocks(blocks: DataFrame, query: list[float], keywords: str, k: int, text: str = "text", vector: str = "embedding", order: str | None = None) -> DataFrame:
+    """The ``k`` blocks nearest to ``query`` that score over the least, with their ``lines`` that hold a keyword."""
+    return keyword_lines(top_k(blocks, query, k, vector, order), keywords, text).where(F.size("lines") > 0)
+
+
+def context(ranked: DataFrame, question: str, k: int, text: str = "text", vector: str = "embedding", width: int = 100) -> list[str]:
+    """Up to ``k`` remembered texts for a question, from a top-(2k + 1) answer: first the question's own
+    copies go, then what is like a better one; cut to ``width`` characters."""
+    own = ranked.sparkSession.range(1).select(normal_line(F.lit(question)).alias("q")).first()["q"]
+    rows = ranked.where(normal_line(F.col(text)) != own).orderBy(F.desc("score")).limit(2 * k + 1).collect()
+    return [r[text][:width] + ("..." if len(r[text].encode()) > width else "") for r in without_alike(rows, vector)[:k]]
+
+
+def nearest_of_each(queries: DataFrame, rows: DataFrame, k: int, query_id: str, row_id: str, vector: str = "embedding", block: int = 2048) -> DataFrame:
+    """``query_id``, ``row_id``, ``score``: the ``k`` rows nearest to each query by cosine, over the least score; ties by ``row_id``.
+
+    Queries are taken in blocks of a bounded size; each task scores its rows
+    against a block as one matrix product and keeps its own ``k`` best of every
+    query, so that what is shuffled is ``k`` rows a query and task.
+    """
+    kind, rkind = queries.schema[query_id].dataType.simpleString(), rows.schema[row_id].dataType.simpleString()
+    schema = f"q {kind}, r {rkind}, score double"
+    spark, found = queries.sparkSession, None
+    blocks = max(1, -(-queries.count() // block))
+    asked = queries.select(F.col(query_id).alias("q"), F.col(vector).alias("v"))
+
+    def unit(m: np.ndarray) -> np.ndarray:
+        n = np.linalg.norm(m, axis=1, keepdims=True)
+        return m / np.where(n > 0, n, 1)
+
+    for b in range(blocks):  # a block of about so many queries comes to the driver at a time
+        part = [(r["q"], r["v"]) for r in asked.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b).orderBy("q").collect()]
+        if not part:
+            continue
+        shared = spark.sparkContext.broadcast(([x[0] for x in part], unit(np.array([x[1] for x in part], dtype=float))))
+
+        def score(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            names, matrix = shared.value
+            for batch in batches:
+                ids = batch["r"].to_numpy()
+                near = unit(np.stack(batch["v"].to_numpy()).astype(float)) @ matrix.T
+                order = np.lexsort((np.broadcast_to(ids[:, None], near.shape), -near), axis=0)[:k]
+                at = np.arange(len(names))
+                best = pd.DataFrame({"q": np.tile(np.array(names), len(order)), "r": ids[order].ravel(), "score": near[order, at].ravel()})
+                yield best[best["score"] > LEAST]
+
+        own = rows.select(F.col(row_id).alias("r"), F.col(vector).alias("v")).mapInPandas(score, schema)
+        found = own if found is None else found.unionByName(own)
+    if found is None:
+        found = spark.createDataFrame([], schema)
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "r"))
+    return found.withColumn("k", rank).where(F.col("k") <= k).select(F.col("q").alias(query_id), F.col("r").alias(row_id), "score")
+
+
 def embed_texts(texts: DataFrame, text: str = "text", dimensions: int = 64, seed: int = 20_240_229) -> DataFrame:
     """Add ``embedding``: the byte histogram under a signed Hadamard projection, of length 1.
 

@@ -76,3 +76,32 @@ def scan_texts(texts: DataFrame, text: str = "text") -> DataFrame:
     t = F.coalesce(F.col(text), F.lit(""))
     out = texts.withColumn("injection_score", injection_score(t)).withColumn("n_leaks", F.size(leaks(t)))
     return out.withColumn("blocked", (F.col("injection_score") >= BLOCK_AT) | (F.col("n_leaks") > 0))
+
+
+# Beginnings of texts that a chat template writes.
+TEMPLATE_STARTS = ["<|im_start|>", "<|im_end|>", "<|end_header_id|>", "<|start_header_id|>", "<|eot_id|>", "[INST]", "[/INST]"]
+
+
+def template_start(text: Column) -> Column:
+    """Whether a text begins like a chat template's mark, in either case."""
+    lower, out = F.lower(text), F.lit(False)
+    for start in TEMPLATE_STARTS:
+        out = out | lower.startswith(start.lower())
+    return out
+
+
+def scan_outbound(texts: DataFrame, needles: list[str] = (), text: str = "text") -> DataFrame:
+    """Add ``n_leaks`` and ``blocked`` for texts that go out: keys, and texts of one's own that must not leave (``needles``).
+
+    Injection phrases don't block, and a null text is empty.
+    """
+    t = F.coalesce(F.col(text), F.lit(""))
+    found = F.size(leaks(t))
+    for needle in needles:
+        found = found + F.contains(t, F.lit(needle)).cast("int")
+    return texts.withColumn("n_leaks", found).withColumn("blocked", F.col("n_leaks") > 0)
+
+
+def released(texts: DataFrame, text: str = "text", notice: str = "[withheld]") -> DataFrame:
+    """``texts`` after :func:`scan_outbound` or :func:`scan_texts` with what is blocked replaced by ``notice``."""
+    return texts.withColumn(text, F.when(F.col("blocked"), F.lit(notice)).otherwise(F.col(text)))

@@ -11,7 +11,8 @@ from ..functions import json as J
 from ..functions import text as T
 from ..functions import timekey
 from ..operators import logs, netflow, series, similarity, summary_diff, tabular, text_safety
-from ..sources import readers
+from ..session import delete_at_end, scratch
+from ..sources import csv, readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -124,12 +125,12 @@ def time_series(spark, sf_dir):
     return series.dense_series(_epochs(spark, sf_dir))
 
 
-@query("""WITH t AS (SELECT date_diff('day', DATE '1992-01-01', o_orderdate::DATE) // 7 AS bucket, count(*) AS k FROM orders WHERE o_custkey % 7 < 2 GROUP BY 1),
+@query("""WITH t AS (SELECT date_diff('day', DATE '1992-01-01', o_orderdate::DATE) // 7 AS bucket, count(*) AS k FROM orders GROUP BY 1),
 s AS (SELECT bucket, CASE WHEN bucket % 40 = 3 THEN k * 5 ELSE k END AS n FROM t), m AS (SELECT median(n) AS med, count(*) AS c FROM s), d AS (SELECT median(abs(n - med)) AS mad FROM s, m)
 SELECT bucket, n, med AS baseline, n / med AS ratio, (n - med) / (mad * 1.4826) AS score FROM s, m, d WHERE c >= 8 AND n > med AND (n - med) / (mad * 1.4826) >= 4""")
 def spikes(spark, sf_dir):
     week = F.floor(F.datediff(F.col("o_orderdate").cast("date"), F.lit("1992-01-01").cast("date")) / 7)
-    weeks = _table(spark, sf_dir, "orders").where("o_custkey % 7 < 2").groupBy(week.alias("bucket")).agg(F.count(F.lit(1)).alias("k"))
+    weeks = _table(spark, sf_dir, "orders").groupBy(week.alias("bucket")).agg(F.count(F.lit(1)).alias("k"))
     planted = weeks.select("bucket", F.col("bucket").alias("start"), F.when(F.col("bucket") % 40 == 3, F.col("k") * 5).otherwise(F.col("k")).alias("n"))
     return series.spikes(planted).drop("start")
 
@@ -174,8 +175,8 @@ def asof_backward(spark, sf_dir):
 @query(f"""WITH a AS (SELECT {E} AS epoch, event_type FROM events), t AS (SELECT epoch FROM a WHERE event_type = 'signup'), e AS (SELECT epoch AS f FROM a WHERE event_type = 'error')
 SELECT epoch, min(f) - epoch AS lag FROM (SELECT DISTINCT epoch FROM t) JOIN e ON f > epoch AND f <= epoch + 3600 GROUP BY epoch""")
 def asof_forward(spark, sf_dir):
-    epochs = _epochs(spark, sf_dir).withColumn("day", F.lit(0))
-    found = series.first_after(epochs.where("stream = 'signup'"), epochs.where("stream = 'error'"), ["day"], "epoch")
+    epochs = _epochs(spark, sf_dir)
+    found = series.first_after(epochs.where("stream = 'signup'"), epochs.where("stream = 'error'"), [], "epoch")
     return found.select("epoch", "lag").distinct()
 
 
@@ -211,16 +212,22 @@ def flow_baseline(spark, sf_dir):
     return netflow.baseline_without_top(netflow.pair_bytes(_flows(spark, sf_dir)))
 
 
-HALVES = "SELECT o_orderpriority AS name, o_totalprice AS v, o_orderkey % 2 AS half FROM orders WHERE NOT (o_orderkey % 2 = 0 AND o_orderpriority = '5-LOW')"
+#: Orders before and after a day as two runs; names take in the month, so that some are in one run only.
+HALVES = "SELECT o_orderpriority || ' ' || month(o_orderdate) AS name, o_totalprice AS v, CASE WHEN o_orderdate >= TIMESTAMP '1994-09-15' THEN 1 ELSE 0 END AS half FROM orders"
+
+
+def _runs(spark, sf_dir):
+    orders = _table(spark, sf_dir, "orders").withColumn("name", F.concat_ws(" ", "o_orderpriority", F.month("o_orderdate").cast("string")))
+    late = F.col("o_orderdate").cast("date") >= F.lit("1994-09-15").cast("date")
+    return [orders.where(~late), orders.where(late)]
 
 
 @query(f"""WITH h AS ({HALVES}), s AS (SELECT half, name, count(*) AS count, min(v) AS min, max(v) AS max, avg(v) AS mean, sum(v) AS sum FROM h GROUP BY ALL),
 a AS (SELECT * FROM s WHERE half = 0), b AS (SELECT * FROM s WHERE half = 1)
 SELECT CASE WHEN a.name IS NULL THEN '[appeared] ' || b.name WHEN b.name IS NULL THEN '[disappeared] ' || a.name ELSE b.name END AS name, coalesce(b.count, a.count) AS count, b.min - a.min AS min, b.max - a.max AS max, b.mean - a.mean AS mean, b.sum - a.sum AS sum FROM a FULL JOIN b ON a.name = b.name""")
 def diff_numbers(spark, sf_dir):
-    orders = _table(spark, sf_dir, "orders").where("NOT (o_orderkey % 2 = 0 AND o_orderpriority = '5-LOW')")
     v = F.col("o_totalprice")
-    parts = [orders.where(F.col("o_orderkey") % 2 == h).groupBy(F.col("o_orderpriority").alias("name")).agg(F.count(F.lit(1)).alias("count"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.sum(v).alias("sum")) for h in (0, 1)]
+    parts = [run.groupBy("name").agg(F.count(F.lit(1)).alias("count"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.sum(v).alias("sum")) for run in _runs(spark, sf_dir)]
     return summary_diff.diff_numbers(*parts)
 
 
@@ -228,8 +235,7 @@ def diff_numbers(spark, sf_dir):
 SELECT CASE WHEN a.name IS NULL THEN '[appeared] ' || b.name WHEN b.name IS NULL THEN '[disappeared] ' || a.name WHEN b.count > a.count THEN '+' || b.name ELSE '-' || b.name END AS name, coalesce(abs(b.count - a.count), b.count, a.count) AS count
 FROM a FULL JOIN b ON a.name = b.name WHERE a.count IS NULL OR b.count IS NULL OR a.count <> b.count""")
 def diff_counts(spark, sf_dir):
-    orders = _table(spark, sf_dir, "orders").where("NOT (o_orderkey % 2 = 0 AND o_orderpriority = '5-LOW')")
-    parts = [orders.where(F.col("o_orderkey") % 2 == h).groupBy(F.col("o_orderpriority").alias("name")).agg(F.count(F.lit(1)).alias("count")) for h in (0, 1)]
+    parts = [run.groupBy("name").agg(F.count(F.lit(1)).alias("count")) for run in _runs(spark, sf_dir)]
     return summary_diff.diff_counts(*parts)
 
 
@@ -282,10 +288,76 @@ def column_envelope(spark, sf_dir):
     return series.envelope(points, 48)
 
 
-@query()
+@query(f"""WITH e AS (SELECT event_type AS stream, {E} AS epoch FROM events), r AS (SELECT epoch, row_number() OVER (ORDER BY epoch) - 1 AS k, count(*) OVER () AS n FROM e),
+q AS (SELECT max(epoch) FILTER (k = floor((n - 1) * 0.25 + 0.5)) AS q1, max(epoch) FILTER (k = floor((n - 1) * 0.75 + 0.5)) AS q3, min(epoch) AS mn, max(epoch) AS mx FROM r),
+b AS (SELECT greatest(mn, q1 - 3 * (q3 - q1)) AS lo, least(mx, q3 + 3 * (q3 - q1)) AS hi FROM q),
+w AS (SELECT lo, hi, coalesce(list_filter([1, 5, 10, 30, 60, 300, 600, 1800, 3600, 21600, 43200, 86400, 604800], lambda x: x >= (hi - lo) // 512)[1], 604800) AS w FROM b),
+g AS (SELECT lo, hi, w, (hi - lo) // w + 1 AS n, least(128, (hi - lo) // w, ((hi - lo) // w + 1) // 4, greatest(1, 3600 // w)) AS most FROM w),
+c AS (SELECT stream, (epoch - lo) // w AS b, count(*) AS c FROM e, g WHERE epoch BETWEEN lo AND hi GROUP BY ALL),
+t AS (SELECT stream, sum(c)::BIGINT AS events FROM c GROUP BY 1 HAVING sum(c) >= 3),
+s AS (SELECT t.stream, i.b, coalesce(c.c, 0) AS c FROM t, (SELECT unnest(range(0, n)) AS b FROM g) i LEFT JOIN c ON c.stream = t.stream AND c.b = i.b),
+l AS (SELECT unnest(range(0, most + 1)) AS lag FROM g),
+m AS (SELECT x.stream AS leader, y.stream AS follower, lag, count(*) AS k, sum(x.c) AS ea, sum(y.c) AS eb, var_pop(x.c) AS va, var_pop(y.c) AS vb, covar_pop(x.c, y.c) AS cov FROM s x, l, s y WHERE y.b = x.b + lag AND x.stream <> y.stream GROUP BY ALL),
+h AS (SELECT *, cov / sqrt(va * vb) AS r FROM m WHERE k >= 8 AND ea >= 3 AND eb >= 3 AND va > 1e-9 AND vb > 1e-9),
+p AS (SELECT *, row_number() OVER (PARTITION BY least(leader, follower), greatest(leader, follower) ORDER BY r DESC, lag DESC, leader) AS k1 FROM h WHERE r >= 0.5)
+SELECT leader, follower, lag * w AS lag_seconds, round(r, 4) AS score FROM p, g WHERE k1 = 1 ORDER BY score DESC, follower, leader LIMIT 3""")
 def stream_correlation(spark, sf_dir):
     """Lagged correlations of all event types as streams."""
-    return series.correlate(_epochs(spark, sf_dir))
+    return series.correlate(_epochs(spark, sf_dir)).select("leader", "follower", "lag_seconds", "score")
+
+
+@query(f"""WITH e AS (SELECT event_type, {E} AS epoch FROM events), t AS (SELECT epoch FROM e WHERE event_type = 'signup'), f AS (SELECT DISTINCT epoch AS f FROM e WHERE event_type = 'error'),
+l AS (SELECT min(f) - t.epoch AS lag FROM (SELECT epoch, row_number() OVER () AS i FROM t) t JOIN f ON f > t.epoch AND f <= t.epoch + 3600 GROUP BY t.epoch, i), r AS (SELECT lag, row_number() OVER (ORDER BY lag) - 1 AS k, count(*) OVER () AS n FROM l)
+SELECT lag FROM r WHERE k = n // 2""")
+def learned_lag(spark, sf_dir):
+    """The upper median of the seconds from each signup to the next error within the hour."""
+    epochs = _epochs(spark, sf_dir)
+    lag = series.median_lag(epochs.where("stream = 'signup'"), epochs.where("stream = 'error'"), [])
+    return spark.createDataFrame([(lag,)] if lag is not None else [], "lag long")
+
+
+def _as_csv(table: DataFrame) -> str:
+    """A shared folder with the table as CSV files, each with a header."""
+    path = scratch(table.sparkSession, "csv")
+    table.write.option("header", True).csv(path)
+    return delete_at_end(table.sparkSession, path)
+
+
+@query("SELECT o_orderpriority AS key, count(*) AS count, avg(o_totalprice) AS mean_o_totalprice, min(o_totalprice) AS min_o_totalprice, max(o_orderkey)::DOUBLE AS max_o_orderkey FROM orders WHERE o_totalprice > 1000 GROUP BY 1")
+def csv_groupby(spark, sf_dir):
+    """The orders written as CSV files, read again as text cells and grouped."""
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
+    return tabular.group_by(csv.read_csv(spark, _as_csv(orders)), "o_orderpriority", "mean:o_totalprice,min:o_totalprice,max:o_orderkey", "o_totalprice>1000")
+
+
+@query("""SELECT 'p_partkey' AS name, count(*) AS count, min(p_partkey)::DOUBLE AS min, max(p_partkey)::DOUBLE AS max, avg(p_partkey) AS mean FROM part
+UNION ALL SELECT 'p_size', count(*), min(p_size)::DOUBLE, max(p_size)::DOUBLE, avg(p_size) FROM part UNION ALL SELECT 'p_retailprice', count(*), min(p_retailprice), max(p_retailprice), avg(p_retailprice) FROM part""")
+def csv_profile(spark, sf_dir):
+    """The parts written as CSV files: the columns found to be numbers, and their profile."""
+    table = csv.read_csv(spark, _as_csv(_table(spark, sf_dir, "part")))
+    return tabular.profile_numbers(table, tabular.number_columns(table)).select("name", "count", "min", "max", "mean")
+
+
+@query("""WITH o AS (SELECT *, CASE WHEN o_totalprice > 300000 THEN NULL ELSE o_orderpriority END AS p, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS t FROM orders)
+SELECT 'price' AS name, 'number' AS kind, count(*) AS count, 0 AS null_count, min(o_totalprice) AS min, max(o_totalprice) AS max, NULL::BIGINT AS "unique", NULL::BIGINT AS true_count, NULL AS first FROM o
+UNION ALL SELECT 'priority', 'text', count(*), count(*) - count(p), NULL, NULL, count(DISTINCT p), NULL, NULL FROM o
+UNION ALL SELECT 'big', 'bool', count(*), 0, NULL, NULL, NULL, count(*) FILTER (o_totalprice > 200000), NULL FROM o
+UNION ALL SELECT 'order.at', 'timestamp', count(*), 0, NULL, NULL, count(DISTINCT t), NULL, min(t) FROM o
+UNION ALL SELECT 'order.status', 'text', count(*), 0, NULL, NULL, count(DISTINCT o_orderstatus), NULL, NULL FROM o""")
+def json_kinds(spark, sf_dir):
+    """The orders as nested JSON lines, profiled: numbers, texts with nulls, bools and timestamps."""
+    price = F.col("o_totalprice")
+    stamp = F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("T"), F.date_format("o_orderdate", "HH:mm:ss"))
+    row = F.struct(price.alias("price"), F.when(price <= 300000, F.col("o_orderpriority")).alias("priority"), (price > 200000).alias("big"), F.struct(stamp.alias("at"), F.col("o_orderstatus").alias("status")).alias("order"))
+    lines = _table(spark, sf_dir, "orders").select(F.to_json(row, {"ignoreNullFields": "false"}).alias("line"))
+    return tabular.json_profile(lines, "line").select("name", "kind", "count", "null_count", "min", "max", "unique", "true_count", "first")
+
+
+@query("SELECT 'l_orderkey' AS name, count(*) AS count, 0::BIGINT AS null_count, min(l_orderkey)::DOUBLE AS min, max(l_orderkey)::DOUBLE AS max FROM lineitem UNION ALL SELECT 'l_extendedprice', count(*), 0, min(l_extendedprice), max(l_extendedprice) FROM lineitem")
+def footer_statistics(spark, sf_dir):
+    """Statistics of two columns from the files' footers alone."""
+    footers = readers.read_footers(spark, f"{sf_dir}/lineitem.parquet")
+    return readers.footer_statistics(footers.where(F.col("name").isin("l_orderkey", "l_extendedprice")))
 
 
 @query("""WITH c AS (SELECT user_id, date_trunc('day', ts) AS day, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY ALL)
@@ -305,9 +377,18 @@ def json_paths(spark, sf_dir):
     return _table(spark, sf_dir, "events").select("event_id", J.get_path(props, "k").alias("k"), F.size(J.object_keys(props)).cast("long").alias("n_keys"))
 
 
+@query("""WITH s AS (SELECT q.vec_id AS query_id, r.vec_id, list_cosine_similarity(q.embedding::DOUBLE[], r.embedding::DOUBLE[]) AS score FROM embeddings q, embeddings r WHERE q.vec_id % 50 = 0),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM s WHERE score > 0.01) SELECT query_id, vec_id, round(score, 6) AS score FROM k WHERE k <= 10""")
+def vector_neighbours(spark, sf_dir):
+    """The ten nearest of all vectors for each vector whose id is divisible by 50."""
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    queries = rows.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
+    return similarity.nearest_of_each(queries, rows, 10, "query_id", "vec_id").withColumn("score", F.round("score", 6))
+
+
 @query()
 def text_neighbours(spark, sf_dir):
-    """Documents whose byte histograms are most like that of the benchmark's first item."""
-    item = similarity.embed_texts(_table(spark, sf_dir, "benchmark").orderBy("item_id").limit(1)).first()
+    """For every item of the benchmark the documents whose byte histograms are most like its own."""
+    items = similarity.embed_texts(_table(spark, sf_dir, "benchmark").select("item_id", "text"))
     docs = similarity.embed_texts(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return similarity.top_k(docs, [float(x) for x in item["embedding"]], 10).select("doc_id", "score")
+    return similarity.nearest_of_each(items, docs, 10, "item_id", "doc_id")

@@ -24,25 +24,37 @@ def get_spark(app: str = "gleanspark", cpus: int | None = None) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that every executor reaches: ``spark.checkpoint.dir``, or a temporary one where none is set."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    """Folder that every executor reaches: ``spark.checkpoint.dir``. In local mode, where none is set, a temporary one."""
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="gleanspark-"))
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="gleanspark-"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/gleanspark-{name}-{uuid.uuid4().hex}"
+
+
+def delete_at_end(spark: SparkSession, path: str) -> str:
+    """Have what is at ``path`` removed when the driver's file system client closes."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
+    return path
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors.
 
-    The files are removed when the driver's file system client closes.
+    :func:`discard` removes the files; else they go when the driver's file system client closes.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/gleanspark-{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.parquet(path)
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
+    delete_at_end(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_path = path
     return out

@@ -1,4 +1,4 @@
-"""Readers: text lines with numbers, packet captures, SQL dumps, CSV with blank lines, Parquet column statistics."""
+"""Readers: text lines with numbers, packet captures, SQL dumps, Parquet column statistics and footers."""
 
 from __future__ import annotations
 
@@ -6,7 +6,8 @@ import struct
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -21,8 +22,108 @@ def parquet_statistics(table: DataFrame) -> DataFrame:
     return table.agg(F.array(*stats).alias("s")).select(F.inline("s"))
 
 
-def packets(raw: bytes) -> Iterator[tuple[int, int, int, int, int, int]]:
-    """(proto, src, dst, sport, dport, bytes) of TCP and UDP over IPv4 and Ethernet, with one VLAN tag at most."""
+def open_input(uri: str):
+    """A seekable input file of pyarrow, for a path of Spark's with or without a scheme."""
+    from pyarrow import fs
+
+    system, path = fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri.removeprefix("file:"))
+    return system.open_input_file(path)
+
+
+def read_footers(spark: SparkSession, path: str) -> DataFrame:
+    """``path``, ``row_group``, ``name``, ``count``, ``null_count``, ``min``, ``max`` (as texts) of Parquet files, from their footers alone.
+
+    A column without statistics in a group has nulls. Files are read in parallel, no data page is.
+    """
+    files = spark.read.format("binaryFile").load(path).select("path")
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pyarrow.parquet as pq
+
+        for part in parts:
+            for name in part["path"]:
+                with open_input(name) as f:
+                    meta = pq.ParquetFile(f).metadata
+                    rows = []
+                    for g in range(meta.num_row_groups):
+                        for c in range(meta.num_columns):
+                            column = meta.row_group(g).column(c)
+                            known = column.statistics if column.is_stats_set else None
+                            limits = (str(known.min), str(known.max)) if known is not None and known.has_min_max else (None, None)
+                            rows.append((name, g, column.path_in_schema, column.num_values, known.null_count if known is not None and known.has_null_count else None, *limits))
+                yield pd.DataFrame(rows, columns=["path", "row_group", "name", "count", "null_count", "min", "max"]).astype({"null_count": "Int64"})
+
+    return files.mapInPandas(run, "path string, row_group int, name string, count long, null_count long, min string, max string")
+
+
+def footer_statistics(footers: DataFrame, numeric: bool = True) -> DataFrame:
+    """``name``, ``count``, ``null_count``, ``min``, ``max`` of each column over all row groups; limits as numbers, or as texts."""
+
+    def limit(c: str):
+        return F.col(c).try_cast("double") if numeric else F.col(c)
+
+    return footers.groupBy("name").agg(F.sum("count").alias("count"), F.sum("null_count").alias("null_count"), F.min(limit("min")).alias("min"), F.max(limit("max")).alias("max"))
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``file``, ``line`` (from 1), ``offset`` (of its first byte) and ``value`` of every line; only LF ends a line.
+
+    Lines are counted by split first, a row a split; each split then numbers its own.
+    """
+    lines = spark.read.text(path, lineSep="\n").select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    counted = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("value") + 1).alias("bytes"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counted.select("file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("lines_before"), F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("bytes_before"))
+
+    def number(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        place, n, at = None, 0, 0
+        for part in parts:
+            numbers, offsets = [], []
+            for value, file, block in zip(part["value"], part["file"], part["block"]):
+                if (file, block) != place:
+                    place, n, at = (file, block), 0, 0
+                n += 1
+                numbers.append(n)
+                offsets.append(at)
+                at += len(value.encode()) + 1
+            yield part.assign(n=numbers, at=offsets)
+
+    own = lines.mapInPandas(number, "value string, file string, block long, n long, at long")
+    return own.join(F.broadcast(starts), ["file", "block"]).select("file", (F.col("n") + F.col("lines_before")).alias("line"), (F.col("at") + F.col("bytes_before")).alias("offset"), "value")
+
+
+def history_tail(spark: SparkSession, path: str, most: int = 16 << 20) -> DataFrame:
+    """The whole lines in the last ``most`` bytes of a file, without a CR at their end."""
+    numbered = numbered_lines(spark, path)
+    size = spark.read.format("binaryFile").load(path).agg(F.max("length")).first()[0] or 0
+    return numbered.where(F.col("offset") >= size - most).select("line", F.regexp_replace("value", "\r$", "").alias("value"))
+
+
+def log_container(spark: SparkSession, path: str, head: int = 4096) -> str:
+    """``jsonl`` if over half of the whole lines in a log's first bytes begin with a brace and a level is named, else ``plaintext``."""
+    rows = spark.read.text(path, lineSep="\n").limit(head).collect()
+    text = "".join(r["value"] + "\n" for r in rows).encode()[:head].decode("utf-8", "replace")
+    lines = text.split("\n")[:-1]
+    braced = sum(line.lstrip(" \t").startswith("{") for line in lines)
+    return "jsonl" if 2 * braced > len(lines) and ('"level"' in text or '"severity"' in text) else "plaintext"
+
+
+def grep(spark: SparkSession, path: str, pattern: str, ignore_case: bool = False, most: int = 200) -> DataFrame:
+    """``file``, ``line``, ``value``: the first ``most`` lines of each file that match a regular expression."""
+    hits = numbered_lines(spark, path).where(F.col("value").rlike(("(?i)" if ignore_case else "") + pattern))
+    return hits.withColumn("k", F.row_number().over(Window.partitionBy("file").orderBy("line"))).where(F.col("k") <= most).select("file", "line", "value")
+
+
+def packets(source, window: int = 16 << 20) -> Iterator[tuple[int, int, int, int, int, int]]:
+    """(proto, src, dst, sport, dport, bytes) of TCP and UDP over IPv4 and Ethernet, with one VLAN tag at most.
+
+    ``source`` is a capture's bytes or an open file, which is read by windows; a
+    record that crosses windows is carried over.
+    """
+    import io
+
+    file = io.BytesIO(source) if isinstance(source, (bytes, bytearray)) else source
+    raw = file.read(24)
     if len(raw) < 24:
         raise ValueError("capture is shorter than its header")
     magic, link = struct.unpack_from("<I", raw, 0)[0], struct.unpack_from("<I", raw, 20)[0]
@@ -32,103 +133,129 @@ def packets(raw: bytes) -> Iterator[tuple[int, int, int, int, int, int]]:
         raise ValueError("not a capture")
     if link != 1:
         raise ValueError(f"link type {link} is not Ethernet")
-    at = 24
-    while at + 16 <= len(raw):
-        (size,) = struct.unpack_from("<i", raw, at + 8)
-        frame = at + 16
-        if size < 0 or frame + size > len(raw):
-            return
-        at = frame + size
-        head = 14
-        if size < head:
-            continue
-        (kind,) = struct.unpack_from(">H", raw, frame + 12)
-        if kind == 0x8100 and size >= 18:
-            head = 18
-            (kind,) = struct.unpack_from(">H", raw, frame + 16)
-        if kind != 0x0800 or size < head + 20:
-            continue
-        ip = frame + head
-        length = (raw[ip] & 15) * 4
-        proto = raw[ip + 9]
-        if raw[ip] >> 4 != 4 or length < 20 or proto not in (6, 17) or head + length + 4 > size:
-            continue
-        src, dst = struct.unpack_from(">II", raw, ip + 12)
-        sport, dport = struct.unpack_from(">HH", raw, ip + length)
-        yield proto, src, dst, sport, dport, size
+    rest = b""
+    while piece := file.read(window):
+        raw = rest + piece
+        at = 0
+        while at + 16 <= len(raw):
+            (size,) = struct.unpack_from("<i", raw, at + 8)
+            if size < 0:
+                return
+            if at + 16 + size > len(raw):
+                break
+            found = packet(raw, at + 16, size)
+            at += 16 + size
+            if found:
+                yield found
+        rest = raw[at:]
+
+
+def packet(raw: bytes, frame: int, size: int) -> tuple[int, int, int, int, int, int] | None:
+    """The packet in a frame of ``size`` bytes; None for other protocols and what is cut off."""
+    head = 14
+    if size < head:
+        return None
+    (kind,) = struct.unpack_from(">H", raw, frame + 12)
+    if kind == 0x8100 and size >= 18:
+        head = 18
+        (kind,) = struct.unpack_from(">H", raw, frame + 16)
+    if kind != 0x0800 or size < head + 20:
+        return None
+    ip = frame + head
+    length = (raw[ip] & 15) * 4
+    proto = raw[ip + 9]
+    if raw[ip] >> 4 != 4 or length < 20 or proto not in (6, 17) or head + length + 4 > size:
+        return None
+    src, dst = struct.unpack_from(">II", raw, ip + 12)
+    sport, dport = struct.unpack_from(">HH", raw, ip + length)
+    return proto, src, dst, sport, dport, size
 
 
 def read_captures(spark: SparkSession, path: str) -> DataFrame:
-    """One row per packet of all capture files; files are read in parallel."""
+    """One row per packet of all capture files; files are read in parallel, each by windows."""
     schema = "path string, proto int, src long, dst long, sport int, dport int, bytes long"
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from itertools import batched
+
         for part in parts:
-            for name, raw in zip(part["path"], part["content"]):
-                rows = [(name, *p) for p in packets(bytes(raw))]
-                for start in range(0, max(1, len(rows)), 100_000):
-                    yield pd.DataFrame(rows[start : start + 100_000], columns=["path", "proto", "src", "dst", "sport", "dport", "bytes"])
+            for name in part["path"]:
+                with open_input(name) as f:
+                    for some in batched(packets(f), 100_000):
+                        yield pd.DataFrame([(name, *p) for p in some], columns=["path", "proto", "src", "dst", "sport", "dport", "bytes"])
+
+    return spark.read.format("binaryFile").load(path).select("path").mapInPandas(run, schema)
+
+
+#: What a dump's walk stops at, in quotes or not: texts with doubled or escaped quotes, signs, and words.
+DUMP = r"""'(?:[^'\\]|''|\\.)*'|--[^\n]*|/\*.*?\*/|[(),;]|(?:"[^"]*"|`[^`]*`|[^\s(),;'"`-]|-(?!-))+"""
+
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, schema)
+#: What stands before a table's name.
+HEADS = [["CREATE", "TABLE"], ["CREATE", "TABLE", "IF", "NOT", "EXISTS"], ["INSERT", "INTO"], ["COPY"]]
 
 
 def dump_statements(text: str) -> Iterator[tuple[str, int, int | None]]:
-    """(table, rows, columns or None) of each CREATE TABLE, INSERT INTO and COPY of a dump."""
-    import re
+    """(table, rows, columns or None) of each CREATE TABLE, INSERT INTO and COPY of a dump, in one walk over the text.
 
-    for m in re.finditer(r"(?i)(?<!\S)(?:(CREATE)\s+TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?|(INSERT)\s+INTO\s+|(COPY)\s+)([^\s(;]+)", text):
-        table = m[4].split(".")[-1].strip('"`[]')
-        rest = text[m.end() :]
-        if m[1]:
-            yield table, 0, _columns(rest)
-        elif m[2]:
-            yield table, _tuples(rest), None
-        else:
-            body = rest.partition("\n")[2]
-            end = re.search(r"^\\\.", body, re.M)
-            yield table, body[: end.start()].count("\n") if end else body.count("\n"), None
-
-
-def _columns(rest: str) -> int:
-    opened = rest.lstrip()
-    if not opened.startswith("("):
-        return 0
-    depth, n = 0, 1
-    for c in opened:
-        depth += (c == "(") - (c == ")")
-        if c == "," and depth == 1:
-            n += 1
-        if depth == 0:
-            break
-    return n
-
-
-def _tuples(rest: str) -> int:
-    """Groups in parentheses after VALUES, up to the semicolon; doubled quotes stay inside a text."""
+    Words and signs within quotes and comments count for nothing.
+    """
     import re
 
-    start = re.search(r"(?i)\bvalues\b", rest)
-    depth, quoted, n = 0, False, 0
-    for c in rest[start.end() if start else 0 :]:
-        if c == "'":
-            quoted = not quoted
-        elif not quoted:
-            n += c == "(" and depth == 0
-            depth += (c == "(") - (c == ")")
-            if c == ";" and depth == 0:
-                break
-    return n
+    walk, start, statement, names = re.compile(DUMP, re.S), 0, [], []
+    kind, depth, rows, columns, values = "", 0, 0, 0, False
+    copied = re.compile(r"^\\\.[^\n]*", re.M)
+    while m := walk.search(text, start):
+        start = m.end()
+        token = m[0]
+        if token.startswith(("--", "/*")):
+            continue
+        if not kind:
+            statement.append(token)
+            head = [t.upper() for t in statement]
+            if token == ";" or len(statement) > 8:
+                statement = []
+            elif head[:-1] in HEADS and head[-1] != "IF":
+                kind = head[0]
+                table, depth, rows, columns, values = token.split(".")[-1].strip('"`[]'), 0, 0, 0, False
+            elif head[0] not in ("CREATE", "INSERT", "COPY"):
+                statement = []
+            continue
+        if token == "(":
+            rows += values and depth == 0
+            columns = columns or 1 if depth == 0 else columns
+            depth += 1
+        elif token == ")":
+            depth -= 1
+        elif token == "," and depth == 1:
+            columns += 1
+        elif token.upper() == "VALUES" and depth == 0:
+            values = True
+        elif token == ";" and depth <= 0:
+            if kind == "COPY":
+                body = text.find("\n", start) + 1 or len(text)
+                end = copied.search(text, body)
+                rows = text.count("\n", body, end.start() if end else len(text))
+                start = end.end() if end else len(text)
+            yield table, rows, columns if kind == "CREATE" else None
+            kind, statement = "", []
 
 
 def read_dumps(spark: SparkSession, path: str) -> DataFrame:
-    """``path``, ``table``, ``rows``, ``columns`` (of its last CREATE) for each table of each dump; most rows first."""
+    """``path``, ``table``, ``rows``, ``columns`` (of its last CREATE) for each table of each dump; most rows first.
+
+    A dump is walked by one task, since only its beginning tells what is quoted; dumps in parallel.
+    """
 
-    @F.udf("array<struct<table:string,rows:long,columns:int>>")
-    def statements(text: str):
-        return list(dump_statements(text))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = [(name, *s, k) for k, s in enumerate(dump_statements(text))]
+                columns = list(zip(*found)) or [[]] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int64()))], names=["path", "table", "rows", "columns", "k"])
 
-    found = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(statements("value")).alias("k", "s"))
-    return found.groupBy("path", "s.table").agg(F.sum("s.rows").alias("rows"), F.max_by("s.columns", F.when(F.col("s.columns").isNotNull(), F.col("k"))).alias("columns")).orderBy(F.desc("rows"), "table")
+    found = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value").mapInArrow(run, "path string, table string, rows long, columns int, k long")
+    return found.groupBy("path", "table").agg(F.sum("rows").alias("rows"), F.max_by("columns", F.when(F.col("columns").isNotNull(), F.col("k"))).alias("columns")).orderBy(F.desc("rows"), "table")
 
 
 def dump_dialect(text: str) -> str:

@@ -7,11 +7,13 @@ from dataclasses import dataclass, field
 from statistics import median
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from ..operators.logs import levels
+from ..functions.timekey import decode, line_epochs, stamps
+from ..operators.logs import error_lines, levels
+from ..operators.series import median_lag
 
 # Trigger words, sensitivities (window factor, confirming errors, deviations, streak) and times in seconds.
 TRIGGERS = ["deploy", "rollout", "redeploy", "rollback", "restart", "reload", "released"]
@@ -91,29 +93,110 @@ def classify(lines: DataFrame, line: str = "value") -> DataFrame:
     return lines.withColumn("trigger", trigger).withColumn("errors", F.size(F.filter(levels(F.col(line)), lambda x: x.isin("ERROR", "FATAL"))))
 
 
-def watch(lines: DataFrame, stream: str = "stream", at: str = "ts", line: str = "value", sensitivity: str = "medium", lag: int | None = None) -> DataFrame:
+def quiet_seconds(cascade: Cascade, rate: Rate, since: int, until: int) -> list[tuple[str, int]]:
+    """Feed the seconds after ``since`` and before ``until`` in which no line came; alerts of theirs."""
+    alerts = []
+    # Once the cascade is over and the ring holds zeros only, more silence changes nothing.
+    telling = min(until, max(since, cascade.until, rate.quiet_until) + RING + 1)
+    for second in range(since + 1, telling):
+        alerts += cascade.tick(second, 0, 0)
+        rate.tick(second, 0)
+    return alerts
+
+
+def watch(lines: DataFrame, stream: str = "stream", at: str = "ts", line: str = "value", sensitivity: str = "medium", lag: int | None = None, delay: str = "0 seconds") -> DataFrame:
     """Alerts ``stream``, ``kind``, ``at`` (Unix seconds) of a streaming DataFrame of lines.
 
-    State is kept per stream. Lines of a micro-batch are folded by second, in order
-    of time; rate alerts are held back while a trigger's cascade is under way.
+    State is kept per stream. Lines are folded by second, and a second is judged
+    when the watermark, the latest time less ``delay``, has reached it: so lines that
+    come late by up to ``delay`` count in order, later ones are dropped. Seconds
+    without lines count as such. A cascade that nothing confirms is cleared by
+    the watermark, whether or not its stream has another line. Rate alerts are
+    held back while a trigger's cascade is under way.
     """
-    ticks = classify(lines, line).select(F.col(stream).alias("stream"), F.col(at).cast("timestamp").cast("long").alias("second"), F.col("trigger").cast("int").alias("triggers"), F.col("errors").cast("long").alias("errors"))
+    timed = classify(lines, line).select(F.col(stream).alias("stream"), F.col(at).cast("timestamp").alias("ts"), F.col("trigger").cast("int").alias("triggers"), F.col("errors").cast("long").alias("errors")).withWatermark("ts", delay)
+    ticks = timed.withColumn("second", F.unix_seconds("ts"))
 
     def fold(key, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.exists:
-            phase, until, errors, ring, streak, quiet = state.get
+            phase, until, errors, ring, streak, quiet, last, seconds, counts = state.get
         else:
-            phase, until, errors, ring, streak, quiet = "idle", 0, 0, [], 0, 0
+            phase, until, errors, ring, streak, quiet, last, seconds, counts = "idle", 0, 0, [], 0, 0, -1, [], []
         cascade, rate = Cascade(sensitivity, lag, phase, until, errors), Rate(sensitivity, list(ring), streak, quiet)
-        seen = pd.concat(list(parts))
+        waiting = {s: (int(c[0]), int(c[1])) for s, c in zip(seconds, counts)}
+        for part in parts:
+            for second, row in part.groupby("second")[["triggers", "errors"]].sum().iterrows():
+                before = waiting.get(int(second), (0, 0))
+                waiting[int(second)] = (before[0] + int(row["triggers"]), before[1] + int(row["errors"]))
+        now = state.getCurrentWatermarkMs() // 1000
         alerts = []
-        for second, row in seen.groupby("second")[["triggers", "errors"]].sum().sort_index().iterrows():
+        for second in sorted(s for s in waiting if s <= now):
+            triggers, errors = waiting.pop(second)
+            if second <= last:  # of a second that was judged before
+                continue
+            alerts += quiet_seconds(cascade, rate, last, second) if last >= 0 else []
             busy = cascade.phase != "idle"
-            alerts += cascade.tick(int(second), int(row["triggers"]), int(row["errors"]))
-            odd = rate.tick(int(second), int(row["errors"]))
+            alerts += cascade.tick(second, triggers, errors)
+            odd = rate.tick(second, errors)
             if not busy and cascade.phase == "idle":
                 alerts += odd
-        state.update((cascade.phase, cascade.until, cascade.errors, rate.ring, rate.streak, rate.quiet_until))
+            last = second
+        if last >= 0 and cascade.phase != "idle" and cascade.until <= now:
+            alerts += quiet_seconds(cascade, rate, last, now + 1)
+            last = now
+        kept = sorted(waiting)
+        state.update((cascade.phase, cascade.until, cascade.errors, rate.ring, rate.streak, rate.quiet_until, last, kept, [list(waiting[s]) for s in kept]))
+        next_one = min([*kept[:1], *([cascade.until] if cascade.phase != "idle" else [])], default=None)
+        if next_one is not None:
+            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, next_one * 1000 - 1))
         yield pd.DataFrame([(key[0], k, t) for k, t in alerts], columns=["stream", "kind", "at"]).astype({"at": "int64"})
 
-    return ticks.groupBy("stream").applyInPandasWithState(fold, "stream string, kind string, at long", "phase string, until long, errors long, ring array<long>, streak long, quiet long", "append", GroupStateTimeout.NoTimeout)
+    held = "phase string, until long, errors long, ring array<long>, streak long, quiet long, last long, seconds array<long>, counts array<array<long>>"
+    return ticks.groupBy("stream").applyInPandasWithState(fold, "stream string, kind string, at long", held, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def learned_lag(lines: DataFrame, grammar: str, line: str = "value") -> int | None:
+    """The upper median of the seconds from each trigger line to the next error within the hour; None without any."""
+    one = F.element_at(stamps(F.col(line), grammar), 1)
+    triggers = classify(lines.where(F.size(stamps(F.col(line), grammar)) > 0), line).where("trigger").select(F.lit(0).alias("k"), decode(one, grammar).alias("epoch")).where("epoch IS NOT NULL")
+    errors = line_epochs(error_lines(lines, grammar, line), grammar, line).select(F.lit(0).alias("k"), "epoch")
+    return median_lag(triggers, errors, ["k"])
+
+
+# How long an alert and an all-clear are news, and a watcher's last sign of life counts, in seconds.
+ALERT_FRESH, CLEAR_FRESH, SIGN_FRESH = 600, 90, 120
+ALERTING = ["confirmed", "anomaly"]
+
+
+def snapshot(alerts: DataFrame) -> DataFrame:
+    """``stream``, ``status``, ``kind``, ``at``: the last alert of each stream, and whether it is alerting or only watching."""
+    last = alerts.groupBy("stream").agg(F.max_by("kind", "at").alias("kind"), F.max("at").alias("at"))
+    return last.select("stream", F.when(F.col("kind").isin(ALERTING), "alerting").otherwise("watching").alias("status"), "kind", "at")
+
+
+def news(snapshots: DataFrame, now: int, updated: str = "updated") -> DataFrame:
+    """Snapshots (with ``updated``, Unix seconds) of live watchers, and in ``fresh`` whether their alert is still news at ``now``."""
+    age = now - F.col("at")
+    fresh = F.coalesce(age <= F.when(F.col("kind") == "clear", CLEAR_FRESH).otherwise(ALERT_FRESH), F.lit(False))
+    return snapshots.where(now - F.col(updated) <= SIGN_FRESH).withColumn("fresh", fresh)
+
+
+def snapshot_writer(path: str):
+    """For ``foreachBatch`` of an alert stream: keeps the snapshot in ``path``, a folder for each batch; the last whole one counts."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        before = latest_snapshot(spark, path)
+        every = batch if before is None else batch.unionByName(before.select("stream", "kind", "at"))
+        snapshot(every).withColumn("updated", F.unix_timestamp()).write.mode("overwrite").parquet(f"{path}/batch={number:012d}")
+
+    return write
+
+
+def latest_snapshot(spark: SparkSession, path: str) -> DataFrame | None:
+    """What :func:`snapshot_writer` wrote last; None before the first batch."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [x.getPath().getName() for x in system.listStatus(folder)] if system.exists(folder) else []
+    whole = [n for n in sorted(names) if n.startswith("batch=") and system.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
+    return spark.read.parquet(f"{path}/{whole[-1]}") if whole else None

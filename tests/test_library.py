@@ -55,6 +55,60 @@ def test_profile_of_transactions(spark):
     assert texts["merchant"].unique == 2 and texts["merchant"]["count"] == 4
 
 
+def plan_of(table, capsys):
+    table.explain("formatted")
+    return capsys.readouterr().out
+
+
+def test_typed_conditions_reach_the_scan(spark, tmp_path, capsys):
+    rows = [(i, float(i) if i else None, i % 7, f"n{i % 3}") for i in range(50)] + [(99, float("nan"), None, None)]
+    spark.createDataFrame(rows, "a long, b double, c int, d string").write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    for condition, want, pushed in (("a>10.5", 40, "GreaterThan(a,10)"), ("a<=10.5", 11, "LessThanOrEqual(a,10)"), ("a<10.5", 11, "LessThan(a,11)"), ("b>=40", 10, "GreaterThanOrEqual(b,40.0)"), ("c=3", 7, "EqualTo(c,3)"), ("d=n1", 17, "StringContains(d,n1)"), ("c=03", 0, None), ("a<inf", 51, "IsNotNull(a)"), ("b>x", 0, None), ("c!=3", 43, None)):
+        found = tabular.where(table, condition)
+        assert found.count() == want, condition
+        if pushed:
+            assert pushed in plan_of(found, capsys), condition
+    assert tabular.passing_rows(table, "a>10") == 40 and tabular.passing_rows(table) == 51
+    assert tabular.number_columns(table) == ["a", "b", "c"]
+    r = {x.name: x for x in tabular.profile_numbers(table, ["a", "b"]).collect()}
+    assert (r["a"]["count"], r["a"].max) == (51, 99.0) and (r["b"]["count"], r["b"].sum) == (49, float(sum(range(50))))
+
+
+def test_csv_quotes_blank_lines_and_ragged_rows(spark, tmp_path):
+    from gleanspark.sources import csv
+
+    text = ' id ,"na""me",x,x\r\n1,"a,b",2,3\r\n\n2,"two\nlines, ""quoted""",5\n3,,7,8,9\n4,"",7,8'
+    (tmp_path / "a.csv").write_text(text)
+    got = csv.read_csv(spark, str(tmp_path / "a.csv"))
+    assert got.columns == ["id", 'na"me', "x", "x_3"]
+    rows = sorted(map(tuple, got.collect()))
+    assert rows == [("", None, None, None), ("1", "a,b", "2", "3"), ("2", 'two\nlines, "quoted"', "5", None), ("3", "", "7", "8"), ("4", "", "7", "8")]
+    plain = tmp_path / "plain"
+    plain.mkdir()
+    for i in range(3):
+        (plain / f"{i}.csv").write_text("k,v\n" + "".join(f"{i},{j}\n" for j in range(100)))
+    assert csv.read_csv(spark, str(plain)).groupBy("k").count().orderBy("k").collect() == [(str(i), 100) for i in range(3)]
+
+
+def test_csv_records_that_cross_splits(spark, tmp_path):
+    import random
+
+    from gleanspark.sources import csv
+
+    rng = random.Random(4)
+    rows = [(str(i), "".join(rng.choice('ab,\n"') for _ in range(rng.randint(0, 60)))) for i in range(300)]
+    quoted = lambda t: '"' + t.replace('"', '""') + '"'
+    (tmp_path / "big.csv").write_text("k,v\n" + "".join(f"{k},{quoted(v)}\n" for k, v in rows))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "256")
+    try:
+        got = {r.k: r.v for r in csv.read_csv(spark, str(tmp_path / "big.csv")).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == dict(rows)
+
+
 def test_json_profile_nulls_nesting_and_mixed(spark):
     rows = ['{"a":1,"b":"x","d":null,"e":true,"h":{"s":200,"m":{"q":"v"}},"z":1,"l":[1]}', '{"a":null,"b":null,"d":null,"e":false,"h":{"s":404},"z":"t"}', '{"a":3,"b":"y","e":true}', "no json", "[1]"]
     got = {r.name: r for r in tabular.json_profile(lines(spark, *rows), "value").collect()}
@@ -62,6 +116,31 @@ def test_json_profile_nulls_nesting_and_mixed(spark):
     assert (got["a"]["count"], got["a"].null_count, got["a"].min, got["a"].max) == (3, 1, 1.0, 3.0)
     assert got["b"].kind == "text" and got["b"].unique == 2 and got["e"].kind == "bool"
     assert got["h.s"].sum == 604.0 and got["z"].kind == "mixed" and got["z"].min is None
+    assert (got["e"].true_count, got["e"].false_count, got["e"]["count"]) == (2, 1, 3)
+    assert [tuple(x) for x in got["b"].top] == [("x", 1), ("y", 1)]
+
+
+def test_json_profile_timestamps_depth_and_messages(spark):
+    rows = ['{"t":"2026-05-06T08:00:00Z","u":"q","MESSAGE":[72,105],"p":{"q":{"r":1}},"n":1e400}', '{"t":"2026-05-06T08:00:07Z","u":"w","MESSAGE":[300],"p":{"q":{"r":2}},"n":5}', '{"x":[1,2],"t":null,"u":"q"}']
+    table = lines(spark, *rows)
+    got = {r.name: r for r in tabular.json_profile(table, "value").collect()}
+    assert (got["t"].kind, got["t"]["first"], got["t"]["last"], got["t"].unique, got["t"]["count"], got["t"].null_count) == ("timestamp", "2026-05-06T08:00:00Z", "2026-05-06T08:00:07Z", 2, 3, 1)
+    assert got["MESSAGE"].kind == "text" and got["MESSAGE"].top[0].value == "Hi" and got["p.q.r"].sum == 3.0
+    assert (got["n"]["count"], got["n"].max) == (1, 5.0)
+    assert "p.q.r" not in {r.name for r in tabular.json_profile(table, "value", depth=1).collect()}
+    assert {r.name for r in tabular.telling(tabular.json_profile(table, "value")).collect()} == {"t", "u", "p.q.r", "n"}
+    assert [r.name for r in tabular.key_order(table, "no", "value").collect()] == ["t", "u", "MESSAGE", "p", "n", "x"]
+
+
+def test_field_differences(spark):
+    a = tabular.json_profile(lines(spark, '{"n":1,"b":true,"t":"2026-05-06T08:00:00","s":"x","k":1,"gone":"g"}', '{"n":3,"b":false,"s":"x"}'), "value")
+    b = tabular.json_profile(lines(spark, '{"n":2,"b":true,"t":"2026-05-06T08:00:09","s":"x","k":"w","new":"g"}', '{"n":9,"b":true,"s":"y"}'), "value")
+    got = {r.name: (r.kind, r["count"], r["mean"]) for r in summary_diff.diff_fields(a, b).collect()}
+    assert got == {
+        "n": ("number", 2, 3.5), "b.true_delta": ("number", 2, 1.0), "b.false_delta": ("number", 2, -1.0), "t.min_shift_s": ("number", 1, 9.0), "t.max_shift_s": ("number", 1, 9.0),
+        "s.unique_delta": ("number", 2, 1.0), "s:x.count_delta": ("number", 2, -1.0), "[appeared in top] s:y": ("mixed", 1, None), "[kind-changed] k": ("mixed", 1, None),
+        "[appeared] new": ("mixed", 1, None), "[disappeared] gone": ("mixed", 1, None),
+    }
 
 
 @pytest.mark.parametrize(
@@ -136,6 +215,56 @@ def test_correlation_finds_the_planted_lag(spark):
     assert series.incident_chain(two) == {"anchor": "a", "steps": [{"stream": "b", "lag_seconds": 60, "score": 0.9}, {"stream": "c", "lag_seconds": 90, "score": 0.7}], "confidence": 0.7}
 
 
+def test_ranks_and_lags(spark):
+    import random
+
+    from gleanspark.operators.ranking import values_of_ranks
+
+    rng = random.Random(6)
+    values = sorted(rng.choice([rng.randint(-5, 5), rng.randint(0, 10**10)]) for _ in range(500))
+    table = spark.createDataFrame([(v,) for v in values], "v long")
+    ranks = [0, 3, 124, 250, 499]
+    assert values_of_ranks(table, "v", ranks) == [values[k] for k in ranks]
+    counted = table.groupBy("v").count()
+    assert values_of_ranks(counted, "v", ranks, "count") == [values[k] for k in ranks]
+    triggers = spark.createDataFrame([(0,), (3599,), (7300,), (50_000,)], "epoch long")
+    errors = spark.createDataFrame([(10,), (10,), (7190,), (7301,)], "epoch long")
+    got = {r.epoch: r.lag for r in series.first_after(triggers, errors, [], "epoch").collect()}
+    assert got == {0: 10, 3599: 3591, 7300: 1}
+    assert series.median_lag(triggers, errors, []) == 10 and series.median_lag(triggers.limit(0), errors, []) is None
+
+
+def test_incident_timeline(spark):
+    from gleanspark.operators import incident
+
+    rng = __import__("random").Random(8)
+    base = 1_780_000_000
+    calm = [("app", base + 60 * i + rng.randint(0, 59), False) for i in range(480) for _ in range(6)]
+    spots = [base + t for t in (3600, 11_000, 20_000)]
+    errors = [("app", t + 240 + k, True) for t in spots for k in range(20)]
+    web = [("web", base + 60 * i + k, False) for i in range(480) for k in range(12) if not 20_240 <= 60 * i <= 20_700]
+    deploys = [("deploy", t, False) for t in spots]
+    note = [("note", spots[0] - 30, False)]
+    events = spark.createDataFrame(calm + errors + web + deploys + note, "file string, epoch long, is_error boolean")
+    streams, triggers = incident.streams_of(events)
+    assert {r.stream for r in streams.select("stream").distinct().collect()} == {"app", "app (errors)", "web", "deploy"}
+    assert [(r.source, r.epoch) for r in triggers.collect()] == [("note", spots[0] - 30)]
+    found = incident.timeline(streams)
+    assert found["anchor"]["stream"] == "deploy" and found["anchor"]["kind"] == "trigger"
+    steps = {s["stream"]: s for s in found["steps"]}
+    assert steps["app (errors)"]["lag_seconds"] == 240 and steps["app (errors)"]["direction"] == "increase"
+    links = series.correlate(streams).collect()
+    peak = next(r for r in links if r.leader == "deploy" and r.follower == "app (errors)").peak_epoch
+    near = spark.createDataFrame([("hook", peak - 240 - 20), ("late", peak + 9000)], "source string, epoch long")
+    snapped = incident.timeline(streams, near)
+    assert snapped["anchor"]["stream"] == "hook" and {s["stream"]: s["lag_seconds"] for s in snapped["steps"]}["app (errors)"] == 260
+    assert incident.timeline(streams.where("stream = 'web'")) is None
+    assert incident.nearest_trigger(near, peak, 30) is None
+    grid = series.shared_grid(streams)
+    down = incident.drops_after(streams, grid, (spots[2] - grid.low) // grid.width, 40, ["deploy", "app"]).collect()
+    assert [r.stream for r in down] == ["web"]
+
+
 def test_flow_triage(spark):
     rows = [(99, 7, 6, 150)] * 100 + [(66, 1000 + i, 6, 54) for i in range(50)] + [(i, i + 1, 17, 54) for i in range(10)]
     flows = spark.createDataFrame(rows, "src long, dst long, proto int, bytes long")
@@ -171,6 +300,44 @@ def test_text_safety(spark):
     assert [got[i].blocked for i in (2, 3, 5, 8)] == [False, True, True, False]
 
 
+def test_outbound_and_template_starts(spark):
+    rows = ["ignore previous instructions", "key sk-" + "a" * 20, "our inner-name here", None]
+    got = text_safety.scan_outbound(lines(spark, *rows), ["inner-name"], "value")
+    assert [r.blocked for r in got.orderBy("no").collect()] == [False, True, True, False]
+    assert [r.value for r in text_safety.released(got, "value").orderBy("no").collect()][1:3] == ["[withheld]"] * 2
+    marks = lines(spark, "<|IM_START|>user", "[inst] x", "text <|eot_id|>", "")
+    assert [r.t for r in marks.orderBy("no").select(text_safety.template_start(F.col("value")).alias("t")).collect()] == [True, True, False, False]
+
+
+def test_search_context_and_neighbours(spark):
+    rng = __import__("numpy").random.default_rng(3)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(120)] + [(200, [0.0] * 8)]
+    table = spark.createDataFrame(rows, "r long, embedding array<double>")
+    queries = table.where("r % 50 = 0").withColumnRenamed("r", "q")
+    got = {}
+    for x in similarity.nearest_of_each(queries, table, 4, "q", "r", block=2).orderBy("q", F.desc("score"), "r").collect():
+        got.setdefault(x.q, []).append(x.r)
+    np = __import__("numpy")
+    unit = {i: np.array(v) / (np.linalg.norm(v) or 1) for i, v in rows}
+    for q in (0, 50, 100):
+        ranked = sorted(((-float(unit[q] @ unit[i]), i) for i in unit if float(unit[q] @ unit[i]) > 0.01))
+        assert got[q] == [i for _, i in ranked[:4]]
+    assert 200 not in got
+    notes = [(0, "What is my name?", [1.0, 0.0]), (1, "my name is now Ann", [0.9, 0.4]), (2, "my name is now Ann!", [0.9, 0.41]), (3, "x" * 150, [0.3, 0.9])]
+    ranked = similarity.top_k(spark.createDataFrame(notes, "id long, text string, embedding array<double>"), [1.0, 0.0], 9)
+    assert similarity.context(ranked, "what is my name", 2) == ["my name is now Ann", "x" * 100 + "..."]
+    blocks = spark.createDataFrame([(0, "a key\nb", [1.0, 0.0]), (1, "none", [1.0, 0.1])], "id long, text string, embedding array<double>")
+    assert [(r.id, r.lines) for r in similarity.search_blocks(blocks, [1.0, 0.0], "key", 5).collect()] == [(0, ["a key"])]
+
+
+def test_small_text_functions(spark):
+    one = spark.range(1).select(
+        T.is_data_dump(F.lit("| a | b |\n| c | d |")).alias("d"), T.is_data_dump(F.lit("one | two\nthree")).alias("n"), T.normal_line(F.lit("  What is it?! ")).alias("l"), T.looks_iso8601(F.lit("2026-05-06 08:00:00 x")).alias("i"), T.looks_iso8601(F.lit("2026-05-06")).alias("j"),
+        T.escape_html(F.lit("<a b='c'>&\"")).alias("h"), T.escape_json(F.lit('a"b\n')).alias("e"), T.bytes_text(F.array(F.lit(72), F.lit(105))).alias("b"), T.bytes_text(F.array(F.lit(300))).alias("x"), T.shorten(F.lit("é" * 100), 161).alias("s"), T.shorten(F.lit("ab"), 5).alias("u"),
+    ).first()
+    assert tuple(one) == (True, False, "what is it", True, False, "&lt;a b=&#39;c&#39;&gt;&amp;&quot;", 'a\\"b\\n', "Hi", None, "é" * 80 + "…", "ab")
+
+
 def test_text_functions(spark):
     row = spark.range(1).select(T.strip_html(F.lit("<p>a > b</p>c<i")).alias("h"), T.word_count(F.lit("  a b\nc ")).alias("w"), T.first_words(F.lit(" a  b c"), 2).alias("f"), T.line_shape(F.lit("ab 12-x")).alias("s"), T.unquote(F.lit(' "a""b" ')).alias("q"), T.humanize_lag(F.lit(120)).alias("l"), T.number(F.lit("1d")).alias("n"), T.spaceful(F.lit("Å-b!! c")).alias("sp")).first()
     assert tuple(row) == ("a  bc", 3, "a b", "ASDOA", 'a"b', "2m", None, "å b c")
@@ -191,6 +358,65 @@ def test_captures(spark, tmp_path):
             list(readers.packets(bad))
 
 
+def test_captures_are_read_by_windows(spark):
+    import io
+
+    def record(n):
+        ip = struct.pack(">BBHHHBBHII", 0x45, 0, 40, 0, 0, 64, 6, 0, n, 9) + struct.pack(">HH", 1, 2) + b"\0" * 16
+        frame = b"\0" * 12 + b"\x08\x00" + ip
+        return struct.pack("<IIII", 0, 0, len(frame), len(frame)) + frame
+
+    raw = struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 1) + b"".join(map(record, range(200)))
+    assert [p[1] for p in readers.packets(io.BytesIO(raw), window=37)] == list(range(200))
+
+
+def test_lines_offsets_tails_and_sniffing(spark, tmp_path):
+    path = tmp_path / "a.log"
+    texts = [f"line {i} é" for i in range(200)]
+    raw = "\n".join(texts).encode()
+    path.write_bytes(raw)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    try:
+        rows = readers.numbered_lines(spark, str(path)).orderBy("line").collect()
+        assert [r.line for r in rows] == list(range(1, 201)) and [r.value for r in rows] == texts
+        assert all(raw[r.offset : r.offset + len(r.value.encode())] == r.value.encode() for r in rows)
+        assert [r.value for r in readers.history_tail(spark, str(path), 30).orderBy("line").collect()] == texts[-2:]
+        assert [r.line for r in readers.grep(spark, str(path), "LINE 1[0-9] ", ignore_case=True, most=3).orderBy("line").collect()] == [11, 12, 13]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    (tmp_path / "j").write_text('{"level":1}\n  {"a":2}\nplain\n')
+    assert readers.log_container(spark, str(tmp_path / "j")) == "jsonl" and readers.log_container(spark, str(path)) == "plaintext"
+
+
+def test_footers(spark, tmp_path):
+    spark.createDataFrame([(i, float(i) if i % 2 else None, "x") for i in range(10)], "a long, b double, s string").repartition(2).write.parquet(str(tmp_path / "p"))
+    got = {r.name: r for r in readers.footer_statistics(readers.read_footers(spark, str(tmp_path / "p"))).collect()}
+    assert (got["a"]["count"], got["a"].null_count, got["a"].min, got["a"].max) == (10, 0, 0.0, 9.0)
+    assert (got["b"]["count"], got["b"].null_count, got["b"].max) == (10, 5, 9.0) and got["s"].min is None
+
+
+def test_growing_file(spark, tmp_path):
+    from gleanspark.sources.tail import GrowingFileReader
+
+    path = tmp_path / "g.log"
+    path.write_bytes(b"old\nha")
+    reader = GrowingFileReader(str(path), "start")
+    got, at = reader.read(reader.initialOffset())
+    assert list(got) == [("old",)] and at == {"at": 4}
+    path.write_bytes(b"old\nhalf\r\nnew\n")
+    got, end = reader.read(at)
+    assert list(got) == [("half",), ("new",)] and list(reader.readBetweenOffsets(at, end)) == [("half",), ("new",)]
+    path.write_bytes(b"x\n")
+    assert list(reader.read(end)[0]) == [("x",)]
+    assert GrowingFileReader(str(path), "end").initialOffset() == {"at": 2}
+
+
+def test_dump_quotes_and_comments():
+    dump = "-- INSERT INTO no VALUES (1);\nCREATE TABLE a (x decimal(3,2), y text DEFAULT 'p,q', z int);\nINSERT INTO a (x) VALUES (1, 'it''s (a) INSERT INTO b VALUES (9);', \"(\"), (2, ',', 3);\nCOPY b FROM stdin;\nINSERT INTO c VALUES\n1\n\\.\nINSERT INTO `my t` VALUES (1);\nDROP TABLE a;\nINSERT INTO a SELECT 1;"
+    assert list(readers.dump_statements(dump)) == [("a", 0, 3), ("a", 2, None), ("b", 2, None), ("my t", 1, None), ("a", 0, None)]
+
+
 def test_dumps(spark, tmp_path):
     pg = "CREATE TABLE public.users (id int, name text, email numeric(3,2));\nCOPY public.users (id, name) FROM stdin;\n1\ta\n2\tb\n3\tc\n\\.\nCREATE TABLE orders (id int);\nCOPY orders FROM stdin;\n1\n2\n\\.\n"
     my = "CREATE TABLE IF NOT EXISTS `users` (id int);\nINSERT INTO `users` (id, n) VALUES (1,'a;('),(2,'it''s'),(3,'x');\nINSERT INTO orders VALUES (1),(2);\n"
@@ -234,6 +460,52 @@ def test_watch_stream(spark, tmp_path):
     assert [(r.stream, r.kind, r.at) for r in spark.table("alerts").orderBy("at").collect()] == [("a", "predicted", 100), ("a", "confirmed", 108)]
 
 
+def test_watch_silence_late_lines_and_clears(spark, tmp_path):
+    folder = tmp_path / "in"
+    stream = spark.readStream.schema("stream string, ts timestamp, value string").option("maxFilesPerTrigger", 1)
+
+    def add(*rows):
+        frame = spark.createDataFrame(list(rows), "stream string, t long, value string").select("stream", F.timestamp_seconds("t").alias("ts"), "value")
+        frame.coalesce(1).write.mode("append").json(str(folder))
+
+    add(("a", 100, "deploy of api"), ("rate", 100, "quiet"))
+    started = watch.watch(stream.json(str(folder)), sensitivity="high", lag=10, delay="5 seconds").writeStream.format("memory").queryName("alerts2").outputMode("append").start()
+    try:
+        started.processAllAvailable()
+        add(("a", 103, "calm"), ("b", 120, "calm"))
+        started.processAllAvailable()
+        add(("a", 118, "calm"), ("a", 90, "ERROR too late"))  # within the delay, and beyond it
+        started.processAllAvailable()
+        add(("rate", 130, "ERROR " * 12), ("rate", 131, "ERROR " * 12), ("b", 200, "calm"))
+        started.processAllAvailable()
+    finally:
+        started.stop()
+    got = {(r.stream, r.kind, r.at) for r in spark.table("alerts2").collect()}
+    # 145: the window of 45 s is over and nothing came; 131: after 29 silent seconds two in a row
+    assert got == {("a", "predicted", 100), ("a", "clear", 145), ("rate", "anomaly", 131)}
+
+
+def test_snapshots(spark, tmp_path):
+    alerts = spark.createDataFrame([("a", "predicted", 10), ("a", "confirmed", 20), ("b", "clear", 15)], "stream string, kind string, at long")
+    got = {r.stream: (r.status, r.kind, r.at) for r in watch.snapshot(alerts).collect()}
+    assert got == {"a": ("alerting", "confirmed", 20), "b": ("watching", "clear", 15)}
+    dated = watch.snapshot(alerts).withColumn("updated", F.lit(100))
+    assert {r.stream: r.fresh for r in watch.news(dated, 110).collect()} == {"a": True, "b": False}
+    assert watch.news(dated, 300).count() == 0
+    path = str(tmp_path / "snap")
+    assert watch.latest_snapshot(spark, path) is None
+    write = watch.snapshot_writer(path)
+    write(alerts, 0)
+    write(spark.createDataFrame([("b", "anomaly", 30)], alerts.schema), 1)
+    assert {r.stream: (r.status, r.at) for r in watch.latest_snapshot(spark, path).collect()} == {"a": ("alerting", 20), "b": ("alerting", 30)}
+
+
+def test_learned_lag_of_a_log(spark):
+    log = lines(spark, "2026-05-06T06:40:30 deploy v1", "2026-05-06T06:40:42 ERROR x", "2026-05-06T09:00:00 restart", "2026-05-06T09:59:59 ERROR y", "2026-05-06T12:00:00 reload")
+    assert watch.learned_lag(log, "iso8601") == 3599
+    assert watch.learned_lag(log.where("no < 2"), "iso8601") == 12 and watch.learned_lag(log.where("no = 4"), "iso8601") is None
+
+
 def test_entry_points_without_the_text_operators():
     import __spark_entry__ as entry
 
@@ -273,7 +545,8 @@ def test_stream_correlation_takes_all_event_types(spark, monkeypatch):
     from gleanspark.plans import catalogue
 
     seen = []
-    monkeypatch.setattr(catalogue.series, "correlate", lambda streams: seen.append(streams) or streams)
+    real = catalogue.series.correlate
+    monkeypatch.setattr(catalogue.series, "correlate", lambda streams: seen.append(streams) or real(streams))
     catalogue.QUERIES["stream_correlation"](spark, "/root/testdata/sf0.001")
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     want = {r.event_type: r["count"] for r in events.groupBy("event_type").count().collect()}
