@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 #: The characters that separate words everywhere in this subpackage: blank, tab, LF, VT, FF, CR.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -35,7 +35,7 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.large_binary()).to_pylist()]
 
 
-def by_bytes(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def by_bytes(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that ``column`` has about ``most`` bytes in each, and one row at least."""
     for batch in batches:
         lengths = batch.column(column).cast(pa.large_binary())
@@ -59,42 +59,25 @@ def fitted(table: DataFrame, rows: int, each: int = ROWS_A_TASK) -> DataFrame:
     return table.coalesce(max(8, rows // each))
 
 
-def id_filter(ids: DataFrame, most_bits: int = 1 << 26) -> tuple[int, bytes]:
-    """(bits, bitmap) with the bit of each id's hash set. The bitmap is at most ``most_bits`` (8 MB) whatever
-    the number of ids; with too many of them it lets more pass, and loses none."""
-    page = 1 << 15
-    bits = page
+def may_hold(table: DataFrame, key: Column, ids: DataFrame, name: str, most_bits: int = 1 << 26) -> DataFrame:
+    """``table`` with ``name``: whether ``key`` may be among ``ids`` (column ``d``), by a bitmap of their hashes.
+
+    The bitmap is at most ``most_bits`` (8 MB) whatever the number of ids, so that
+    it is broadcast; with too many of them it lets more pass, and loses none.
+    """
+    bits = 1 << 15
     n = ids.count()
     while bits < 64 * n and bits < most_bits:
         bits *= 2
 
-    @F.pandas_udf("binary")
-    def packed(places: pd.Series) -> pd.Series:
-        out = []
-        for own in places:
-            flags = np.zeros(page, dtype=np.uint8)
-            flags[np.asarray(own)] = 1
-            out.append(np.packbits(flags, bitorder="little").tobytes())
-        return pd.Series(out)
-
-    place = F.pmod(F.xxhash64("d"), F.lit(bits))
-    pages = ids.select(F.floor(place / page).alias("p"), (place % page).cast("int").alias("o")).groupBy("p").agg(F.collect_set("o").alias("o"))
-    bitmap = bytearray(bits // 8)
-    for r in pages.select("p", packed("o").alias("b")).collect():
-        bitmap[r["p"] * page // 8 : (r["p"] + 1) * page // 8] = r["b"]
-    return bits, bytes(bitmap)
-
-
-def may_hold(spark, ids: DataFrame):
-    """Function from a column of ids to whether each may be among ``ids`` (column ``d``)."""
-    bits, bitmap = id_filter(ids)
-    shared = spark.sparkContext.broadcast(bitmap)
-
-    @F.pandas_udf("boolean")
-    def held(places: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        table = np.frombuffer(shared.value, dtype=np.uint8)
-        for at in places:
-            x = at.to_numpy()
-            yield pd.Series((table[x >> 3] >> (x & 7).astype(np.uint8) & 1).astype(bool))
-
-    return lambda column: held(F.pmod(F.xxhash64(column.cast("long")), F.lit(bits)))
+    def place(column: Column) -> Column:
+        return F.pmod(F.xxhash64(column.cast("long")), F.lit(bits)) + 1
+
+    pages = ids.select(place(F.col("d")).alias("x")).groupBy(F.bitmap_bucket_number("x").alias("_page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("_bits"))
+    pages = stored(pages.coalesce(8), "bitmap")
+    at = F.bitmap_bit_position(place(key))
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    held = F.coalesce(F.getbit(byte, at % 8) == 1, F.lit(False))
+    every = table.columns
+    met = table.join(F.broadcast(pages), F.bitmap_bucket_number(place(key)) == F.col("_page"), "left")
+    return met.select(*(f"`{c}`" for c in every), held.alias(name))

@@ -48,7 +48,7 @@ BINS, BINS_A_DECADE = 400, 10
 CLASSES = ["aeiou", "cdhlmnrst", "bfgjkpqvwxyz", "AEIOU", "CDHLMNRST", "BFGJKPQVWXYZ", DIGITS, "+/-_="]
 #: Fixed words of which names are made besides the table's own, and how many such names.
 NAME_WORDS = "account address archive backend branch build cache category client cluster config content customer data default deploy document download error event export feature file filter format frontend gateway group handler history image import index input invoice item job key language layer library list local log login mail manager map message metric model module monitor network notification object order output package page parser partner path payment photo pipeline platform plugin price product profile project provider query queue record release report request resource response result sample schedule schema search section server service session setting source stage status storage stream system table target task template test ticket token update upload user value version video view worker".split()
-FIXED_NAMES = 4000
+FIXED_NAMES = 40_000
 #: Names made of each text's words, and the least number of names that a class of length is judged by.
 NAMES_A_TEXT, LEAST_NAMES = 4, 200
 MARK, OTHER = "\x01", "\x02"
@@ -99,10 +99,17 @@ def base_spans(text: Column) -> Column:
 
 def upper_tail(z: Column) -> Column:
     """P(Z > z) of the standard normal, by a rational approximation good to about 1e-7."""
-    x = F.abs(z)
-    t = 1 / (1 + 0.2316419 * x)
-    tail = F.exp(-x * x / 2) * 0.3989422804014327 * t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
-    return F.greatest(F.when(z >= 0, tail).otherwise(1 - tail), F.lit(1e-45))
+
+    def tail(x: Column) -> Column:
+        factor = F.exp(-x * x / 2) * 0.3989422804014327
+        return let(1 / (1 + 0.2316419 * x), lambda t: factor * t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429)))))
+
+    return let(z, lambda y: let(tail(F.abs(y)), lambda p: F.greatest(F.when(y >= 0, p).otherwise(1 - p), F.lit(1e-45))))
+
+
+def chi_tail(chi: Column, df: Column) -> Column:
+    """P(X > chi) of the chi-squared distribution, by the cube-root approximation."""
+    return upper_tail((F.pow(chi / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df)))
 
 
 def randomness(token: Column) -> Column:
@@ -111,27 +118,35 @@ def randomness(token: Column) -> Column:
 
     def battery(b: Column, e: Column, codes: Column, k: Column) -> Column:
         n = F.size(codes).cast("double")
-        squares = F.aggregate(F.array_distinct(codes), F.lit(0.0), lambda a, c: a + F.pow(F.size(F.filter(codes, lambda d: d == c)), F.lit(2.0)))
-        df = k - 1
-        uniform = chi_tail(F.greatest(squares * k / n - n, F.lit(0.0)), df)
-        shares = F.element_at(F.array(*(F.array(*(F.lit(len(set(c) & set(letters)) / len(letters)) for c in CLASSES)) for _, letters in ENCODINGS)), e)
-        seen = F.array(*(F.length(b) - F.length(F.translate(b, c, "")) for c in CLASSES))
-        cells = F.aggregate(F.zip_with(shares, seen, lambda x, y: F.when(x > 0, F.pow(y - n * x, F.lit(2.0)) / (n * x)).otherwise(0.0)), F.lit(0.0), lambda x, y: x + y)
-        classes = chi_tail(cells, F.size(F.filter(shares, lambda x: x > 0)) - 1)
-        pairs = F.zip_with(F.slice(codes, F.lit(1), F.size(codes) - 1), F.slice(codes, F.lit(2), F.size(codes) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-        high = F.size(F.filter(codes, lambda c: c >= k / 2)).cast("double")
-        changes = F.size(F.filter(pairs, lambda p: (p["a"] >= k / 2) != (p["b"] >= k / 2))).cast("double")
-        mean_runs = 2 * high * (n - high) / n + 1
-        spread = F.sqrt(F.greatest((mean_runs - 1) * (mean_runs - 2) / (n - 1), F.lit(1e-6)))
-        runs = 2 * upper_tail(F.abs(changes + 1 - mean_runs) / spread)
-        middle = F.aggregate(codes, F.lit(0.0), lambda a, c: a + c) / n
-        variance = F.aggregate(codes, F.lit(0.0), lambda a, c: a + F.pow(c - middle, F.lit(2.0)))
-        serial = F.aggregate(pairs, F.lit(0.0), lambda a, p: a + (p["a"] - middle) * (p["b"] - middle)) / F.greatest(variance, F.lit(1e-6))
-        correlation = 2 * upper_tail(F.abs(serial + 1 / n) * F.sqrt(n))
-        half = F.lit(0.0)
-        for p in (uniform, classes, runs, correlation):
-            half = half - F.log(F.least(p, F.lit(1.0)))
-        return F.exp(-half) * (1 + half + half * half / 2 + half * half * half / 6)
+        nexts = F.slice(codes, F.lit(2), F.size(codes))
+        counts = F.transform(F.array_distinct(codes), lambda c: F.size(F.filter(codes, lambda d: d == c)))
+        squares = F.aggregate(counts, F.lit(0.0), lambda a, c: a + c * c)
+        uniform = chi_tail(F.greatest(squares * k / n - n, F.lit(0.0)), k - 1)
+
+        def by_class(shares: Column) -> Column:
+            seen = F.array(*(F.length(b) - F.length(F.translate(b, c, "")) for c in CLASSES))
+            cells = F.aggregate(F.zip_with(shares, seen, lambda x, y: F.when(x > 0, (y - n * x) * (y - n * x) / (n * x)).otherwise(0.0)), F.lit(0.0), lambda x, y: x + y)
+            return chi_tail(cells, F.size(F.filter(shares, lambda x: x > 0)) - 1)
+
+        def by_runs(high: Column) -> Column:
+            # A run ends where the next symbol is on the other side of the middle.
+            changes = F.aggregate(F.zip_with(codes, nexts, lambda x, y: F.when((x >= k / 2) != (y >= k / 2), 1).otherwise(0)), F.lit(0), lambda x, y: x + y)
+            mean = 2 * high * (n - high) / n + 1
+            return let(mean, lambda m: 2 * upper_tail(F.abs(changes + 1 - m) / F.sqrt(F.greatest((m - 1) * (m - 2) / (n - 1), F.lit(1e-6)))))
+
+        def by_serial(middle: Column) -> Column:
+            variance = F.aggregate(codes, F.lit(0.0), lambda a, c: a + (c - middle) * (c - middle))
+            serial = F.aggregate(F.zip_with(codes, nexts, lambda x, y: F.coalesce((x - middle) * (y - middle), F.lit(0.0))), F.lit(0.0), lambda x, y: x + y) / F.greatest(variance, F.lit(1e-6))
+            return 2 * upper_tail(F.abs(serial + 1 / n) * F.sqrt(n))
+
+        parts = F.array(
+            uniform,
+            let(F.element_at(F.array(*(F.array(*(F.lit(len(set(c) & set(letters)) / len(letters)) for c in CLASSES)) for _, letters in ENCODINGS)), e), by_class),
+            let(F.size(F.filter(codes, lambda c: c >= k / 2)).cast("double"), by_runs),
+            let(F.aggregate(codes, F.lit(0.0), lambda a, c: a + c) / n, by_serial),
+        )
+        half = F.aggregate(parts, F.lit(0.0), lambda a, p: a - F.log(F.least(p, F.lit(1.0))))
+        return let(half, lambda h: F.exp(-h) * (1 + h + h * h / 2 + h * h * h / 6))
 
     def codes(b: Column, a: Column) -> Column:
         return F.transform(F.split(b, ""), lambda c: F.call_function("instr", a, c) - 1)
@@ -140,11 +155,6 @@ def randomness(token: Column) -> Column:
     return let(bare, lambda b: let(encoding_of(b), lambda e: let(F.element_at(letters, e), lambda a: let(codes(b, a), lambda c: battery(b, e, c, F.length(a).cast("double"))))))
 
 
-def chi_tail(chi: Column, df: Column) -> Column:
-    """P(X > chi) of the chi-squared distribution, by the cube-root approximation."""
-    return upper_tail((F.pow(chi / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df)))
-
-
 def encoding_of(bare: Column) -> Column:
     """The number, from 1, of the narrowest encoding whose alphabet has all characters."""
     out = F.lit(len(ENCODINGS))
@@ -173,17 +183,18 @@ def tokens(text: Column) -> Column:
 
 def name_of(words: Column, style: Column, number: Column) -> Column:
     """A structured name of these words with a number behind them, written in one of six styles."""
-    lower, capital = F.transform(words, F.lower), F.transform(words, F.initcap)
-    digits = F.pmod(number, F.lit(1000)).cast("string")
-    forms = [
-        F.concat(F.array_join(lower, ""), digits),
-        F.concat(F.array_join(capital, ""), digits),
-        F.concat(F.array_join(lower, "-"), F.lit("-"), digits),
-        F.concat(F.array_join(lower, "_"), F.lit("_"), digits),
-        F.concat(F.array_join(lower, "/"), F.lit("-"), digits),
-        F.concat(F.upper(F.array_join(lower, "_")), F.lit("_"), digits),
-    ]
-    return F.element_at(F.array(*forms), F.pmod(style, F.lit(len(forms))).cast("int") + 1)
+
+    def written(lower: Column) -> Column:
+        digits = F.pmod(number, F.lit(1000)).cast("string")
+        capital = F.array_join(F.transform(lower, F.initcap), "")
+        joined = [F.concat(F.array_join(lower, sign), F.lit(end), digits) for sign, end in (("", ""), ("-", "-"), ("_", "_"), ("/", "-"))]
+        forms = [*joined, F.concat(capital, digits), F.concat(F.upper(F.array_join(lower, "_")), F.lit("_"), digits)]
+        out = forms[0]
+        for k, form in enumerate(forms[1:], 1):
+            out = F.when(F.pmod(style, F.lit(len(forms))) == k, form).otherwise(out)
+        return out
+
+    return let(F.transform(words, F.lower), written)
 
 
 def names(text: Column) -> Column:

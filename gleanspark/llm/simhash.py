@@ -368,8 +368,8 @@ def verified(docs: DataFrame, pairs: DataFrame, width: int, similarity: float, d
     n = pairs.count()
     needed = stored(fitted(pairs.select(F.col("a").alias("d")).union(pairs.select("b")).distinct(), 2 * n), "needed")
     # A bitmap of bounded size keeps most other texts out of the shuffle; the join decides.
-    likely = may_hold(docs.sparkSession, needed)
-    shown = docs.where(likely(F.col(doc))).select(F.col(doc).cast("long").alias("d"), F.col(text).alias("t")).join(needed, "d", "left_semi")
+    named = docs.select(F.col(doc).cast("long").alias("d"), F.col(text).alias("t"))
+    shown = may_hold(named, F.col("d"), needed, "may").where("may").drop("may").join(needed, "d", "left_semi")
     schema = pa.schema([("d", pa.int64()), ("s", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -437,7 +437,8 @@ def similar_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8, do
     ones among them, are copies of each other. Null ids are left out.
     """
     named = docs.where(F.col(doc).isNotNull()).select(F.col(doc).alias("d"), F.col(text).alias("t"))
-    shared = docs.sparkSession.sparkContext.broadcast(shingle_levels(named.select("t"), width, docs.count()))
+    n = docs.count()
+    shared = docs.sparkSession.sparkContext.broadcast(shingle_levels(named.select("t"), width, n))
     doc_type = docs.schema[doc].dataType
     schema = pa.schema([("d", to_arrow_type(doc_type)), ("k1", pa.int64()), ("k2", pa.int64()), ("n", pa.int32()), ("first", pa.binary()), ("sketch", pa.binary())])
 
@@ -452,7 +453,9 @@ def similar_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8, do
             yield pa.RecordBatch.from_arrays([batch.column("d").cast(schema.field(0).type), *(pa.array(c, f.type) for c, f in zip(columns, list(schema)[1:]))], schema=schema)
 
     every = named.mapInArrow(prints, f"d {doc_type.simpleString()}, k1 long, k2 long, n int, first binary, sketch binary")
-    words = stored(every.groupBy("k1", "k2").agg(F.min(F.col("d").cast("long")).alias("id"), F.first("n").alias("n"), F.first("first").alias("first"), F.first("sketch").alias("sketch")), "words")
+    words = every.groupBy("k1", "k2").agg(F.min(F.col("d").cast("long")).alias("id"), F.first("n").alias("n"), F.first("first").alias("first"), F.first("sketch").alias("sketch"))
+    words = stored(fitted(words, n, SETS_A_TASK), "words")
+    probes = words.agg(F.coalesce(F.sum(F.octet_length("first") / 8), F.lit(0))).first()[0]
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -484,7 +487,9 @@ def similar_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8, do
             yield pa.RecordBatch.from_arrays([*map(pa.array, (key, ids, n, place)), pa.array(ids[other], mask=~fits)], names=["key", "id", "n", "place", "other"])
 
     rows = words.where("n > 0").select("id", "n", "first").mapInArrow(probe, "key long, id long, n int, place int")
-    met = stored(rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(meet, "key long, id long, n int, place int, other long"), "met")
+    met = rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(meet, "key long, id long, n int, place int, other long")
+    met = stored(fitted(met, int(probes)), "met")
+    meetings = met.count()
 
     def across(most: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -508,20 +513,22 @@ def similar_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8, do
         return pd.Series([(int.from_bytes(a, "little") ^ int.from_bytes(b, "little")).bit_count() for a, b in zip(x, y)], dtype="int32")
 
     chains = met.where("other IS NOT NULL").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).where("a <> b").distinct()
-    links = verified(docs, stored(near(chains), "likely"), width, similarity, doc, text)
-    roots = stored(connected_components(links, "a", "b"), "roots")
+    links = verified(docs, stored(fitted(near(chains), meetings), "likely"), width, similarity, doc, text)
+    roots = stored(fitted(connected_components(links, "a", "b"), n), "roots")
     for most in TRIES:
         now = met.select("key", "id", "n", "place").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-        now = stored(now, "now")
+        now = stored(fitted(now, meetings), "now")
         mixed = now.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
         left = now.join(mixed, "key", "left_semi").join(words.select("id", "sketch"), "id")
-        tried = stored(left.repartition("key").sortWithinPartitions("key", "id").mapInArrow(across(most), "a long, b long").distinct(), "tried")
+        tried = left.repartition("key").sortWithinPartitions("key", "id").mapInArrow(across(most), "a long, b long").distinct()
+        tried = stored(fitted(tried, meetings), "tried")
         discard(now)
         pairs, cut = tried.where("a IS NOT NULL"), not tried.where("a IS NULL").isEmpty()
         if not pairs.isEmpty():
             # The classes so far stand for their links.
             before = roots.select(F.col("id").alias("a"), F.col("root").alias("b"))
-            roots = stored(connected_components(before.union(verified(docs, pairs, width, similarity, doc, text)), "a", "b"), "roots")
+            every_link = before.union(verified(docs, pairs, width, similarity, doc, text))
+            roots = stored(fitted(connected_components(every_link, "a", "b"), n), "roots")
         discard(tried)
         if not cut:
             break
@@ -534,14 +541,15 @@ def keep_one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8, d
     See :func:`similar_classes`. Rows with a null id stay; rows with one id stay or go together.
     """
     classes = similar_classes(docs, width, similarity, doc=doc, text=text, **options)
-    classes = stored(classes, "classes")
+    n = docs.count()
+    classes = stored(fitted(classes, n), "classes")
     every = docs.where(F.col(doc).isNotNull()).select(F.col(doc).cast("long").alias("d"))
     # What goes: ids that are no least id of copies, and least ids that are no root
-    gone = stored(every.join(classes.where(F.col("id") == F.col("root")).select(F.col("id").alias("d")), "d", "left_anti").distinct(), "gone")
-    suspect = may_hold(docs.sparkSession, gone)(F.col(doc))
-    named = docs.where(F.col(doc).isNotNull())
-    judged = named.where(suspect).join(gone, named[doc].cast("long") == gone["d"], "left_anti")
-    return named.where(~suspect).unionByName(judged).unionByName(docs.where(F.col(doc).isNull()))
+    gone = stored(fitted(every.join(classes.where(F.col("id") == F.col("root")).select(F.col("id").alias("d")), "d", "left_anti").distinct(), n), "gone")
+    rows = docs.select(F.struct("*").alias("row"), F.col(doc).cast("long").alias("d"))
+    marked = may_hold(rows, F.col("d"), gone, "may")
+    judged = marked.where("may").join(gone, "d", "left_anti")
+    return marked.where("NOT may").select("row.*").unionByName(fitted(judged.select("row.*"), gone.count(), SETS_A_TASK))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

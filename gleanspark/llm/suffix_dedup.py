@@ -312,7 +312,6 @@ def remove_repeats(docs: DataFrame, length: int = 400, gram: int = 64, doc: str
     the first and the last are sorted and compared like contexts, so that no
     group is larger than that.
     """
-    spark = docs.sparkSession
     source = docs.select(F.col(doc).alias("d"), F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("k", F.xxhash64("t"))
     id_type = docs.schema[doc].dataType
     d_sql, d_arrow = id_type.simpleString(), to_arrow_type(id_type)
@@ -341,7 +340,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, gram: int = 64, doc: str
     same_text = F.col("x.k").eqNullSafe(F.col("y.k")) & F.col("x.d").eqNullSafe(F.col("y.d"))
     name = F.xxhash64("d", "k")
     # A bitmap of bounded size keeps most other texts out of the shuffle; the join decides.
-    shows = source.where(may_hold(spark, wanted.select(name.alias("d")).distinct())(name))
+    shows = may_hold(source, name, wanted.select(name.alias("d")).distinct(), "may").where("may")
     lists = shows.alias("x").join(by_text.alias("y"), same_text).select("x.t", "y.w")
     cut_schema = pa.schema([("a", pa.int64()), ("c", pa.int64()), ("n", pa.int64()), ("m", pa.int64()), ("which", pa.int32()), ("place", pa.int32()), ("bytes", pa.binary())])
 
@@ -377,7 +376,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, gram: int = 64, doc: str
         twice = stored(hot.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("one"), F.max(place).alias("other")).where("n > 1"), "twice")
         # Of each window found twice the first and the last as contexts of a group of their own
         ends = twice.select(F.xxhash64("h").alias("g"), F.posexplode(F.array("one", "other")).alias("which", "x")).select("g", "which", "x.*")
-        own = crowded.join(ends, ["a", "c"]).select("g", F.col("g").alias("a"), F.col("which").cast("long").alias("c"), F.lit(0).alias("place"), F.substring("bytes", F.col("s") + 1, F.lit(length)).alias("bytes"))
+        own = crowded.drop("which").join(ends, ["a", "c"]).select("g", F.col("g").alias("a"), F.col("which").cast("long").alias("c"), F.lit(0).alias("place"), F.substring("bytes", F.col("s") + 1, F.lit(length)).alias("bytes"))
         confirmed = compare_contexts(own, length).select(F.col("a").alias("g")).distinct()
         shared = hot.withColumn("g", F.xxhash64("h")).join(confirmed, "g").groupBy("a", "c").agg(F.sort_array(F.collect_list("s")).alias("w"))
         parts.append(shared.select("a", "c", F.transform("w", lambda s: F.struct(s.alias("s"), (s + length).alias("e"))).alias("spans")))
@@ -386,9 +385,9 @@ def remove_repeats(docs: DataFrame, length: int = 400, gram: int = 64, doc: str
     discard(contexts)
     placed = found.join(spans, ["a", "c"]).groupBy("d", "k").agg(F.collect_set(F.struct("starts", "spans")).alias("r"))
     placed = stored(fitted(placed, n), "placed")
-    touched = may_hold(spark, placed.select(name.alias("d")))(name)
-    joined = source.where(touched).alias("x").join(placed.alias("y"), same_text, "left").select("x.d", "x.t", "y.r")
-    last = joined.unionByName(source.where(~touched).select("d", "t", F.lit(None).cast(placed.schema["r"].dataType).alias("r")))
+    marked = may_hold(source, name, placed.select(name.alias("d")), "may")
+    joined = marked.where("may").alias("x").join(placed.alias("y"), same_text, "left").select("x.d", "x.t", "y.r")
+    last = joined.unionByName(marked.where("NOT may").select("d", "t", F.lit(None).cast(placed.schema["r"].dataType).alias("r")))
     fields = [(doc, d_arrow), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), *([("kept", pa.binary())] if with_text else [])]
     out_schema = pa.schema(fields)
 
