@@ -14,18 +14,43 @@ MOST_LARGE = 10_000
 ROW = ["doc", "size", "text_crc32", "g"]
 
 
+def cycle_in(wanted: np.ndarray) -> list[int] | None:
+    """Shards that want to move rows around in a ring; None if there is no ring."""
+    state, path = [0] * len(wanted), []
+
+    def visit(a: int) -> list[int] | None:
+        state[a] = 1
+        path.append(a)
+        for b in np.flatnonzero(wanted[a]).tolist():
+            if state[b] == 1:
+                return path[path.index(b) :]
+            if not state[b] and (found := visit(b)):
+                return found
+        state[a] = 2
+        path.pop()
+        return None
+
+    return next((found for a in range(len(wanted)) if not state[a] and (found := visit(a))), None)
+
+
 def allowed_moves(wanted: np.ndarray, free: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(moves, displaced) by (from, to): quotas that leave every shard's row count as it is.
 
-    Moves against each other cancel; for each other move into a shard one of its
-    ``free`` rows, which nothing ties to it, is displaced to where the mover was.
+    Moves against each other cancel, and so do rings of moves; for each other
+    move into a shard one of its ``free`` rows, which nothing ties to it, is
+    displaced to where the mover was.
     """
-    swaps = np.minimum(wanted, wanted.T)
-    rest = wanted - swaps
+    moves = np.minimum(wanted, wanted.T)
+    rest = wanted - moves
+    while ring := cycle_in(rest):
+        edges = (ring, [*ring[1:], ring[0]])
+        most = rest[edges].min()
+        rest[edges] -= most
+        moves[edges] += most
     into = rest.sum(axis=0)
     scale = np.where(into > free, free / np.maximum(into, 1), 1.0)
     rest = np.floor(rest * scale + 1e-9).astype(np.int64)
-    return swaps + rest, rest
+    return moves + rest, rest
 
 
 def shard_documents(docs: DataFrame, shards: int = 24, doc: str = "doc_id", text: str = "text", rounds: int = 30) -> DataFrame:
@@ -35,8 +60,10 @@ def shard_documents(docs: DataFrame, shards: int = 24, doc: str = "doc_id", text
     apart: rows start dealt out evenly in hash order, and every round moves
     linked rows to the shard where most of their group is, under quotas that
     keep all counts. A group too large for a quarter of a shard counts as
-    several, so that hot groups spread over shards. Rounds end when nothing can
-    move; if that is not so after ``rounds``, it is an error. ``slot`` counts 0, 1, 2, ... within a shard.
+    several, so that hot groups spread over shards. A shard that more rows want
+    to enter than can has a price, which its votes must exceed, so that groups
+    meet elsewhere. Rounds end when nothing wants to move, when three in a row
+    could move nothing, or after ``rounds``. ``slot`` counts 0, 1, 2, ... within a shard.
 
     Size is the text's UTF-8 bytes plus 8. A null text counts as empty. Null or
     repeated ids are rows like others. An empty table gives an empty result.
@@ -54,9 +81,10 @@ def shard_documents(docs: DataFrame, shards: int = 24, doc: str = "doc_id", text
     # Parts of groups with so many rows or more are few whatever the table's size, so what they want is broadcast.
     many = max(100, total // MOST_LARGE)
     state = stored(dealt.join(groups, "g", "left").withColumn("u", F.when(F.col("m").isNotNull(), F.xxhash64("g", piece))).drop("m"), "state")
+    price, idle = np.zeros(shards), 0
     for _ in range(rounds):
         votes = state.where("u IS NOT NULL").groupBy("u", "shard").agg(F.count(F.lit(1)).alias("n"))
-        favourite = stored(votes.groupBy("u").agg(F.sum("n").alias("rows"), F.max_by("shard", F.struct("n", F.xxhash64("u", "shard"))).alias("target")), "favourites")
+        favourite = stored(votes.groupBy("u").agg(F.sum("n").alias("rows"), F.max_by("shard", F.struct(F.col("n") - F.element_at(F.lit(price.tolist()), F.col("shard") + 1), F.xxhash64("u", "shard"))).alias("target")), "favourites")
         large = F.broadcast(favourite.where(F.col("rows") >= many).select("u", "target"))
         small = favourite.where(F.col("rows") < many).select("u", "target")
         linked = state.where("u IS NOT NULL")
@@ -75,9 +103,15 @@ def shard_documents(docs: DataFrame, shards: int = 24, doc: str = "doc_id", text
                 free[a] = n
         discard(favourite)
         moves, displaced = allowed_moves(wanted, free)
+        unmet = (wanted - moves).sum(axis=0) > 0
+        price = np.where(unmet, price + 0.6, price / 2)
         if not moves.any():
             discard(aimed)
-            break
+            idle += 1
+            if idle == 3 or not wanted.any():
+                break
+            continue
+        idle = 0
         # (shard, target, lo, hi, to): rows of that rank go there; at most 2 * shards ** 2 rows
         quotas = [(a, b, 0, int(moves[a, b]), b) for a in range(shards) for b in range(shards) if moves[a, b]]
         for b in range(shards):
@@ -93,8 +127,6 @@ def shard_documents(docs: DataFrame, shards: int = 24, doc: str = "doc_id", text
         before, state = state, stored(moved, "state")
         discard(before)
         discard(aimed)
-    else:
-        raise RuntimeError(f"documents still want to move after {rounds} rounds")
     placed = grouped_rank(state, ["shard"], ROW, "slot", total)
     return placed.select(F.col("doc").alias(doc), "size", "text_crc32", "shard", "slot")
 
