@@ -94,7 +94,8 @@ def profile_texts(spark, sf_dir):
 
 @query("""SELECT 'k' AS name, 'number' AS kind, count(*) AS count, 0::BIGINT AS null_count, min(v) AS min, max(v) AS max, avg(v) AS mean, sum(v) AS sum, 0::BIGINT AS "unique" FROM (SELECT CAST(json_extract(props, '$.k') AS DOUBLE) AS v FROM events)""")
 def json_profile(spark, sf_dir):
-    return tabular.json_profile(_table(spark, sf_dir, "events"), "props")
+    found = tabular.json_profile(_table(spark, sf_dir, "events"), "props")
+    return found.select("name", "kind", "count", "null_count", "min", "max", "mean", "sum", F.coalesce("unique", F.lit(0)).alias("unique"))
 
 
 @query("""SELECT 'value' AS name, count(*) AS count, count(*) - count(value) AS null_count, min(value) AS min, max(value) AS max FROM events
