@@ -76,8 +76,7 @@ def may_hold(table: DataFrame, key: Column, ids: DataFrame, name: str, most_bits
     pages = ids.select(place(F.col("d")).alias("x")).groupBy(F.bitmap_bucket_number("x").alias("_page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("_bits"))
     pages = stored(pages.coalesce(8), "bitmap")
     at = F.bitmap_bit_position(place(key))
-    byte = F.conv(F.hex(F.substring("_bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    byte = F.conv(F.hex(F.substring("bitmap._bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     held = F.coalesce(F.getbit(byte, at % 8) == 1, F.lit(False))
-    every = table.columns
-    met = table.join(F.broadcast(pages), F.bitmap_bucket_number(place(key)) == F.col("_page"), "left")
-    return met.select(*(f"`{c}`" for c in every), held.alias(name))
+    met = table.alias("held").join(F.broadcast(pages.alias("bitmap")), F.bitmap_bucket_number(place(key)) == F.col("bitmap._page"), "left")
+    return met.select("held.*", held.alias(name))
