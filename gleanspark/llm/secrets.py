@@ -324,7 +324,7 @@ def redact(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars",
     # Everything of the row in one column, so that no name can clash with those of what is found.
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), base_spans(whole).alias("base"), tokens(whole).alias("tokens"), names(whole).alias("names"))
     may = F.coalesce(hinted(F.col(text)), F.lit(False))
-    others = docs.where(~may).select(names(whole).alias("names"))
+    others = stored(docs.where(~may).select(names(whole).alias("names")), "names")
     found = stored(rows.where(hinted(F.col(f"row.`{text}`"))), "findings")
     limits = secrets_from(found, found.select("names").union(others), rate)
     spans = F.array_sort(F.concat("base", random_spans(limits)))

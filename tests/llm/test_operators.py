@@ -1,7 +1,6 @@
 """Each operator against a plain version, and on nulls, empty and long texts, ties, repeats, empty tables and clashing names."""
 
 import hashlib
-import json
 import os
 import random
 import re
