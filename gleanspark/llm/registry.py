@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, merge_dropout, quality_rules, secrets, sharding, simhash, suffix_dedup, token_counts, url_filter
+from . import byte_bpe, decontaminate, langid, merge_dropout, quality_rules, secrets, sharding, simhash, suffix_dedup, token_counts, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quality_rules": quality_rules.query,
     "op9_sharding": sharding.query,
     "op10_token_counts": token_counts.query,
+    "op11_byte_bpe": byte_bpe.query,
 }
 ORACLES = {
     "op1_url_filter": url_filter.SQL,
