@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontaminate, langid, merge_dropout, quality_rules, secrets, sharding, simhash, suffix_dedup, token_counts, url_filter
+from . import byte_bpe, centroids, decontaminate, langid, merge_dropout, quality_rules, resampling, secrets, sharding, simhash, suffix_dedup, token_counts, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.query,
@@ -16,8 +16,12 @@ QUERIES = {
     "op9_sharding": sharding.query,
     "op10_token_counts": token_counts.query,
     "op11_byte_bpe": byte_bpe.query,
+    "op12_centroids": centroids.query,
+    "op13_resampling": resampling.query,
 }
 ORACLES = {
     "op1_url_filter": url_filter.SQL,
     "op6_decontaminate": decontaminate.SQL,
+    "op12_centroids": centroids.SQL,
+    "op13_resampling": resampling.SQL,
 }
