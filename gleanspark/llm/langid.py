@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stored
+from ..session import discard, stored
 
 #: Families of closely related languages; a language not named here is a family of its own.
 FAMILIES = {
@@ -125,28 +125,33 @@ def fit(x: np.ndarray, languages: list[str], families: dict[str, str]) -> Model:
 
 
 def train(labelled: DataFrame, doc: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 400, most_rows: int = 8000, families: dict[str, str] | None = None) -> Model:
-    """Fit on about ``per_language`` documents of each language, chosen by a hash of the id and text.
+    """Fit on about ``per_language`` different texts of each language, chosen by a hash of the text.
 
-    About ``most_rows`` documents are taken in all, equally many of each language
-    where there are very many; the bound does not grow with the table. Rows with
-    a null text, without a letter or with a null language teach nothing; null ids
-    are ids like others.
+    About ``most_rows`` texts are taken in all, equally many of each language
+    where there are very many, and twice as many at most: the bound does not grow with the
+    table, whatever its copies, as equal texts count and teach once a language. Rows with
+    a null text, without a letter or with a null language teach nothing; ids
+    are not looked at. Whole texts are read, long ones too.
     """
-    usable = labelled.where(F.col(lang).isNotNull() & has_letter(F.col(text))).select(F.col(doc).alias("d"), F.col(text).alias("t"), F.col(lang).alias("l"))
-    counts = stored(usable.groupBy("l").agg(F.count(F.lit(1)).alias("n")).coalesce(8), "languages")
+    usable = labelled.where(F.col(lang).isNotNull() & has_letter(F.col(text))).select(F.col(text).alias("t"), F.col(lang).alias("l"), F.xxhash64(F.col(text), F.lit("language")).alias("x"))
+    counts = stored(usable.groupBy("l").agg(F.approx_count_distinct("x").alias("n")).coalesce(8), "languages")
     languages = counts.count()
     each = min(per_language, most_rows / max(1, languages))
     # The shares are a few bytes a language: broadcast up to a bound, so that texts are not dealt out by language.
     shares = counts.select("l", (F.lit(each) / F.col("n") * (1 << 30)).alias("share"))
     few = F.broadcast(shares) if languages <= MOST_BROADCAST else shares
-    chosen = usable.withColumn("h", F.pmod(F.xxhash64("d", "t", F.lit("language")), F.lit(1 << 30))).join(few, "l").where("h < share")
+    chosen = usable.withColumn("h", F.pmod("x", F.lit(1 << 30))).join(few, "l").where("h < share")
+    # Copies go before and in the shuffle; what is left is about as many texts as the sample has.
+    chosen = chosen.groupBy("l", "x").agg(F.first("h").alias("h"), F.first("t").alias("t"))
 
     @F.pandas_udf("binary")
     def vector(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in parts:
             yield pd.Series([features(t).tobytes() for t in texts])
 
-    rows = sorted((r["h"], r["l"], bytes(r["x"])) for r in chosen.select("h", "l", vector("t").alias("x")).collect())
+    sample = chosen.select("h", "l", vector("t").alias("x")).orderBy("h", "l").limit(2 * most_rows).collect()
+    rows = sorted((r["h"], r["l"], bytes(r["x"])) for r in sample)
+    discard(counts)
     x = np.stack([np.frombuffer(r[2], dtype=np.float32) for r in rows]) if rows else np.zeros((0, DIMENSIONS), dtype=np.float32)
     return fit(x, [r[1] for r in rows], FAMILIES if families is None else families)
 
