@@ -21,6 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import IntegralType
 
 from ..session import discard, stored
 from .common import by_bytes, fitted, may_hold, utf8
@@ -538,8 +539,15 @@ def similar_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8, do
 def keep_one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8, doc: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` whose id is the least of their class of near duplicates; columns as they were.
 
-    See :func:`similar_classes`. Rows with a null id stay; rows with one id stay or go together.
+    See :func:`similar_classes`. Rows with a null id stay; rows with one id stay or go
+    together. Ids of a type that is no integer are numbered in their order first.
     """
+    if not isinstance(docs.schema[doc].dataType, IntegralType):
+        ids = docs.where(F.col(f"`{doc}`").isNotNull()).select(F.col(f"`{doc}`").alias("_id")).distinct().orderBy("_id")
+        ids = stored(ids.withColumn("_n", F.monotonically_increasing_id()), "ids")
+        rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(f"`{doc}`").alias("_id"), F.col(f"`{text}`").alias("_text"))
+        kept = keep_one_of_each(rows.join(ids, "_id", "left").select("_row", "_n", "_text"), width, similarity, "_n", "_text", **options)
+        return kept.select("_row.*")
     classes = similar_classes(docs, width, similarity, doc=doc, text=text, **options)
     n = docs.count()
     classes = stored(fitted(classes, n), "classes")
