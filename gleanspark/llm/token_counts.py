@@ -36,21 +36,25 @@ def segments(text: str) -> list[str]:
     return text.split(" ")
 
 
-def piece_counter(model: str, cached: int = 300_000):
+def piece_counter(model: str, cached: int = 300_000, most: int = 64 << 20):
     """Function from texts to token counts for a SentencePiece model.
 
     Segments between safe boundaries are encoded once each; up to ``cached`` of
-    them are remembered from batch to batch.
+    them, and about ``most`` characters, are remembered from batch to batch. Long
+    ones are not remembered.
     """
     import sentencepiece
 
     encoder = sentencepiece.SentencePieceProcessor(model_file=model)
     known: dict[str, int] = {}
+    held = 0
 
     def count(texts: list[str]) -> list[int]:
+        nonlocal held
         split = [[segments(p) for p in parts(t)] if t else [] for t in texts]
-        if len(known) > cached:
+        if len(known) > cached or held > most:
             known.clear()
+            held = 0
         known[""] = 1
         new = set()
         for text in split:
@@ -59,7 +63,13 @@ def piece_counter(model: str, cached: int = 300_000):
         new -= known.keys()
         order = list(new)
         known.update(zip(order, map(len, encoder.encode(order, num_threads=1))))
-        return [sum(sum(map(known.__getitem__, part)) for part in text) for text in split]
+        out = [sum(sum(map(known.__getitem__, part)) for part in text) for text in split]
+        for segment in order:
+            if len(segment) > 1000:
+                del known[segment]
+            else:
+                held += len(segment)
+        return out
 
     return count
 

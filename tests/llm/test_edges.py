@@ -198,3 +198,55 @@ def test_workers_need_no_copy_of_the_package(tmp_path):
     done = subprocess.run([sys.executable, "job.py"], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert done.returncode == 0, done.stderr[-2000:]
     assert re.findall(r"^([A-Z]+) (\d+)$", done.stdout, re.M) == [("PAIRS", "4"), ("LEFT", "8"), ("LANGS", "12"), ("KEPT", "3"), ("URLS", "12")]
+
+
+def test_very_long_tokens_are_scanned_and_redacted(spark):
+    rng = random.Random(8)
+    long = key(rng, "b64", 300_000)
+    texts = ["see x1" + "z" * 50_000 + " end", "blob " + long + " end", "password=" + "xb1" * 40_000, "x1" + "z" * 4094, key(rng, "b62", 4096), key(rng, "b62", 4097)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r.doc_id: r for r in secrets.scan(docs).collect()}
+    assert [(s.start, s.kind, s.end) for s in got[2].base] == [(0, 0, len(texts[2]))]
+    spans = {i: [(s.start, s.end) for s in got[i].spans if s.kind == 3] for i in got}
+    assert spans[0] == [] and spans[3] == [] and spans[1] == [(5, 5 + len(long))] and spans[4] == [(0, 4096)] and spans[5] == [(0, 4097)]
+    clean = {r.doc_id: r.text for r in secrets.redact(docs, n_chars=None).collect()}
+    assert clean[0] == texts[0] and clean[1] == "blob [SECRET] end" and clean[2] == "[SECRET]"
+    tokens = [texts[0][4:-4], texts[3], texts[4], texts[5]]
+    for r in spark.createDataFrame([(t,) for t in tokens], "t string").select("t", secrets.randomness(F.col("t")).alias("p")).collect():
+        assert math.isclose(math.log(max(r.p, 1e-40)), math.log(max(plain_randomness(r.t), 1e-40)), rel_tol=1e-3, abs_tol=1e-3)
+
+
+def test_near_duplicates_of_text_ids(spark):
+    rng = random.Random(9)
+    base = words(rng, 60)
+    rows = [("b", base), ("a", base + " more"), ("10", words(rng, 60)), (None, base), ("9", base), ("z", None)]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id string, text string, _n int")
+    kept = simhash.keep_one_of_each(docs)
+    assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["10", "9", "None", "z"]
+
+
+def test_the_language_sample_is_bounded_whatever_the_copies(spark):
+    rng = random.Random(12)
+    rows = [(None, "the same words again", "en")] * 5000 + [(i, words(rng, 8), "en") for i in range(300)] + [(i, words(rng, 8, "αβγδεζ"), "el") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = []
+    fit = langid.fit
+    try:
+        langid.fit = lambda x, languages, families: seen.append(len(languages)) or fit(x, languages, families)
+        model = langid.train(docs, per_language=250)
+    finally:
+        langid.fit = fit
+    assert 350 <= seen[0] <= 602
+    assert {r.lang_pred for r in langid.identify(docs.limit(1), model).collect()} == {"en"}
+
+
+def test_token_counts_remember_few_bytes():
+    from gleanspark.llm import token_counts
+
+    count = token_counts.piece_counter(public_tokenizers.path("piece_bpe_32k.model"), most=1000)
+    texts = ["a b c", "x" * 5000, "x" * 5000 + " y", "long " * 400, "", "a b c"]
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    for _ in range(3):
+        assert count(texts) == [len(sp.encode(t)) for t in texts]
