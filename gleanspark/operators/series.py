@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,6 +65,21 @@ def with_median_mad(series: DataFrame) -> DataFrame:
     return series.crossJoin(F.broadcast(one)).crossJoin(F.broadcast(two))
 
 
+def peak(counts: DataFrame, at: str, last: bool = False) -> DataFrame:
+    """One row (``at``, ``n``): the fullest bucket of a histogram; of equals the first, or with ``last`` the last. No row without an event.
+
+    Hours and weekdays are named by the first of equals, a series by the last.
+    """
+    order = F.col(at) if last else -F.col(at)
+    return counts.agg(F.max_by(at, F.struct("n", order)).alias(at), F.max("n").alias("n")).where("n > 0")
+
+
+def spike_flags(series: DataFrame) -> DataFrame:
+    """``series`` with ``spike``: whether the bucket is among its :func:`spikes`."""
+    flagged = spikes(series).select("bucket", F.lit(True).alias("spike"))
+    return series.join(F.broadcast(flagged), "bucket", "left").withColumn("spike", F.coalesce("spike", F.lit(False)))
+
+
 def spikes(series: DataFrame) -> DataFrame:
     """Buckets far above the median: by robust z-score, or by ratio where the deviation is 0."""
     s = with_median_mad(series)
@@ -135,38 +153,125 @@ def on_grid(streams: DataFrame, grid: Grid) -> DataFrame:
 LINKS = "leader string, follower string, lag_seconds long, score double, events_leader long, events_follower long, width_seconds long, peak_epoch long"
 
 
+#: Streams that a task compares with as many others at once.
+BLOCK = 64
+
+
+def moments(counts: np.ndarray, lags: int) -> dict[str, np.ndarray]:
+    """Of each row of dense counts, and each lag, the sums over the leader's window (all but the last ``lag``) and the follower's (all but the first)."""
+    events, n = np.cumsum(counts, axis=1), counts.shape[1]
+    # A whole number is taken off each count, which changes no correlation, and keeps sums exact.
+    middle = np.rint(counts.mean(axis=1, keepdims=True))
+    centred = (counts - middle).astype(np.float64)
+    sums, squares = np.cumsum(centred, axis=1), np.cumsum(centred * centred, axis=1)
+    ends = n - 1 - np.arange(lags + 1)
+    out = {"centred": centred, "mean": counts.sum(axis=1) / n, "events": events[:, -1]}
+    for name, running in (("events", events), ("sums", sums), ("squares", squares)):
+        before = np.concatenate([np.zeros((len(counts), 1)), running[:, :lags]], axis=1)
+        out[f"leader_{name}"], out[f"follower_{name}"] = running[:, ends], running[:, -1:] - before
+    return out
+
+
+def correlations(a: dict[str, np.ndarray], b: dict[str, np.ndarray], lag: int) -> np.ndarray:
+    """Pearson's r of each row of ``a`` with each row of ``b`` that is ``lag`` buckets later; -1 where the windows do not suffice."""
+    k = a["centred"].shape[1] - lag
+    products = a["centred"][:, :k] @ b["centred"][:, lag:].T
+    x, y = a["leader_sums"][:, lag], b["follower_sums"][:, lag]
+    u, v = k * a["leader_squares"][:, lag] - x * x, k * b["follower_squares"][:, lag] - y * y
+    fit = [(m[f"{side}_events"][:, lag] >= LEAST_EVENTS) & (w / k / k > 1e-9) for m, side, w in ((a, "leader", u), (b, "follower", v))]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        r = (k * products - np.outer(x, y)) / np.sqrt(np.outer(u, v))
+    return np.where(np.outer(fit[0], fit[1]) & (k >= LEAST_OVERLAP), r, -1.0)
+
+
+PAIRS = "leader string, follower string, lag long, r double, events_leader long, events_follower long, peak long"
+
+
+def best_pairs(names: list[list[str]], counts: list[np.ndarray], lags: int, top: int) -> list[tuple]:
+    """Rows of ``PAIRS``: of the streams of one block (one list), or of two blocks with each other, the pairs that can be among the ``top``."""
+    own = [moments(c, lags) for c in counts]
+    a, b = own[0], own[-1]
+    left, right = np.array(names[0], dtype=object), np.array(names[-1], dtype=object)
+    pairs = np.triu(np.ones((len(left), len(right)), bool), 1) if len(own) == 1 else np.ones((len(left), len(right)), bool)
+    left_first = left[:, None] < right[None, :]
+    best, lag_of, left_leads = np.full(pairs.shape, -1.0), np.zeros(pairs.shape, int), np.zeros(pairs.shape, bool)
+    for lag in range(lags + 1):
+        there = correlations(a, b, lag)
+        back = there.T if len(own) == 1 else correlations(b, a, lag).T
+        leads = (there > back) | ((there == back) & left_first)
+        r = np.maximum(there, back)
+        # Of equal ones the longer lag.
+        better = pairs & (r >= best) & (r >= LEAST_SCORE)
+        best[better], lag_of[better], left_leads[better] = r[better], lag, leads[better]
+    found = []
+    for i, j in zip(*np.nonzero(best >= LEAST_SCORE)):
+        one, two = (a, i, left[i]), (b, j, right[j])
+        leader, follower = (one, two) if left_leads[i, j] else (two, one)
+        found.append((round(best[i, j], 4), follower[2], leader[2], best[i, j], int(lag_of[i, j]), leader, follower))
+    found.sort(key=lambda x: (-x[0], x[1], x[2]))
+    # Rounding may tell neighbours apart in another way elsewhere, so some of each score stay.
+    least = found[top - 1][0] - 2e-4 if len(found) >= top else -1.0
+    kept, seen = [], Counter()
+    for score, fname, lname, r, lag, (l, i, _), (f, j, _) in found:
+        seen[score] += 1
+        if score >= least and seen[score] <= top:
+            n = l["centred"].shape[1] - lag
+            # Back to counts: exact, as whole numbers were taken off.
+            together = (counts_of(l, i)[:n] - l["mean"][i]) * (counts_of(f, j)[lag:] - f["mean"][j])
+            kept.append((lname, fname, lag, float(r), int(l["events"][i]), int(f["events"][j]), int(np.argmax(together)) + lag))
+    return kept
+
+
+def counts_of(told: dict[str, np.ndarray], i: int) -> np.ndarray:
+    centred = told["centred"][i]
+    return centred + np.rint((told["events"][i] - centred.sum()) / len(centred))
+
+
 def correlate(streams: DataFrame, top: int = TOP, grid: Grid | None = None) -> DataFrame:
-    """Lagged correlations of the event streams ``stream``, ``epoch``, the best lag of each pair.
+    """Lagged correlations of the event streams ``stream``, ``epoch``, the best lag of each pair; the ``top`` of them.
 
     ``leader``, ``follower``, ``lag_seconds``, ``score`` (4 places), ``events_leader``,
     ``events_follower``, ``width_seconds``, and ``peak_epoch``: the start of the follower's
     bucket where both deviate most together, the first of equals. Counts on a shared grid are standardised
     per stream; for each lag Pearson's r is taken over the buckets that overlap.
     The lags stay within an hour, 128 buckets and a quarter of the grid; both
-    windows need 3 events, and r must be 0.5 or more.
+    windows need 3 events, and r must be 0.5 or more. Null streams are left out.
+
+    A stream is one array of counts, a few hundred numbers. Streams are dealt into
+    blocks; a task gets two blocks and takes all lags of all their pairs from
+    running sums and one product of matrices a lag, so that neither pairs nor
+    lags nor buckets are rows. Only pairs that can be among the ``top`` leave it.
     """
     grid = grid or shared_grid(streams)
     if grid is None:
         return streams.sparkSession.createDataFrame([], LINKS)
-    table = on_grid(streams, grid)
-    a = table.select(F.col("stream").alias("leader"), F.col("b").alias("ba"), F.col("c").alias("ca"), F.explode(F.sequence(F.lit(0), F.lit(int(grid.most_lag)))).alias("lag")).withColumn("b", F.col("ba") + F.col("lag"))
-    b = table.select(F.col("stream").alias("follower"), "b", F.col("c").alias("cb"))
-    met = a.join(b, "b").where(F.col("leader") != F.col("follower"))
-    sums = met.groupBy("leader", "follower", "lag").agg(
-        F.count(F.lit(1)).alias("k"), F.sum("ca").alias("ea"), F.sum("cb").alias("eb"), F.var_pop("ca").alias("va"), F.var_pop("cb").alias("vb"), F.covar_pop("ca", "cb").alias("cov")
-    )
-    scored = sums.where((F.col("k") >= LEAST_OVERLAP) & (F.col("ea") >= LEAST_EVENTS) & (F.col("eb") >= LEAST_EVENTS) & (F.col("va") > 1e-9) & (F.col("vb") > 1e-9)).withColumn("r", F.try_divide(F.col("cov"), F.sqrt(F.col("va") * F.col("vb"))))
-    pair = Window.partitionBy(F.least("leader", "follower"), F.greatest("leader", "follower")).orderBy(F.desc("r"), F.desc("lag"), "leader")
-    best = scored.where(F.col("r") >= LEAST_SCORE).withColumn("rank", F.row_number().over(pair)).where("rank = 1")
-    totals = table.groupBy("stream").agg(F.sum("c").alias("events"), F.avg("c").alias("mean"))
-    named = {s: totals.select(F.col("stream").alias(s), F.col("events").alias(f"events_{s}"), F.col("mean").alias(f"mean_{s}")) for s in ("leader", "follower")}
-    links = best.join(named["leader"], "leader").join(named["follower"], "follower").orderBy(F.desc(F.round("r", 4)), "follower", "leader").limit(top)
-    # Where the few links' streams deviate most together
-    at = {s: table.select(F.col("stream").alias(s), F.col("b").alias(f"b_{s}"), F.col("c").alias(f"c_{s}")) for s in ("leader", "follower")}
-    together = links.join(at["leader"], "leader").join(at["follower"], "follower").where(F.col("b_follower") == F.col("b_leader") + F.col("lag"))
-    product = (F.col("c_leader") - F.col("mean_leader")) * (F.col("c_follower") - F.col("mean_follower"))
-    peaks = together.groupBy("leader", "follower", "lag", "r", "events_leader", "events_follower").agg(F.max_by("b_follower", F.struct(product, -F.col("b_follower"))).alias("peak"))
-    return peaks.select(
+    inside = streams.where(F.col("stream").isNotNull() & F.col("epoch").between(grid.low, grid.high))
+    counts = inside.groupBy("stream", F.floor((F.col("epoch") - grid.low) / grid.width).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("c"))
+    arrays = counts.groupBy("stream").agg(F.collect_list("b").alias("b"), F.collect_list("c").alias("c"), F.sum("c").alias("n")).where(F.col("n") >= LEAST_EVENTS)
+    arrays = stored(arrays.select("stream", "b", "c"), "streams")
+    blocks = max(1, -(-arrays.count() // BLOCK))
+    own, other = F.pmod(F.xxhash64("stream"), F.lit(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    dealt = arrays.select("stream", "b", "c", own.alias("own"), other.alias("other")).select("*", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+    n, lags = int(grid.n), int(grid.most_lag)
+
+    def compare(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        names: dict[int, list[str]] = {}
+        dense: dict[int, list[np.ndarray]] = {}
+        for name, b, c, block in zip(*(table.column(k).to_pylist() for k in ("stream", "b", "c", "own"))):
+            row = np.zeros(n, dtype=np.int64)
+            row[b] = c
+            names.setdefault(block, []).append(name)
+            dense.setdefault(block, []).append(row)
+        found = []
+        if len(names) == (1 if key[0].as_py() == key[1].as_py() else 2):
+            found = best_pairs(list(names.values()), [np.stack(x) for x in dense.values()], lags, top)
+        columns = list(zip(*found)) or [[]] * 7
+        kinds = [pa.string(), pa.string(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
+        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=[x.split()[0] for x in PAIRS.split(", ")])
+
+    pairs = dealt.groupBy("x", "y").applyInArrow(compare, PAIRS)
+    links = pairs.orderBy(F.desc(F.round("r", 4)), "follower", "leader").limit(top)
+    return links.select(
         "leader", "follower", (F.col("lag") * grid.width).alias("lag_seconds"), F.round("r", 4).alias("score"), "events_leader", "events_follower", F.lit(grid.width).cast("long").alias("width_seconds"), (F.col("peak") * grid.width + grid.low).cast("long").alias("peak_epoch")
     ).orderBy(F.desc("score"), "follower", "leader")
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import json as J
 from ..functions import text as T
 from ..functions import timekey
-from ..operators import logs, netflow, series, similarity, summary_diff, tabular, text_safety
+from ..operators import file_events, logs, netflow, series, similarity, summary_diff, tabular, text_safety
 from ..session import delete_at_end, scratch
 from ..sources import csv, readers
 
@@ -307,6 +307,47 @@ def stream_correlation(spark, sf_dir):
     return series.correlate(_epochs(spark, sf_dir)).select("leader", "follower", "lag_seconds", "score")
 
 
+#: The event types with a stream of their own: the purchases 90 seconds later.
+SHIFTED = f"SELECT event_type AS stream, {E} AS epoch FROM events UNION ALL SELECT 'echo', {E} + 90 FROM events WHERE event_type = 'purchase'"
+
+
+@query(ORACLES["stream_correlation"].replace(f"SELECT event_type AS stream, {E} AS epoch FROM events", SHIFTED, 1))
+def shifted_correlation(spark, sf_dir):
+    """Lagged correlations of all event types and of the purchases told 90 seconds later."""
+    streams = _epochs(spark, sf_dir)
+    echo = streams.where("stream = 'purchase'").select(F.lit("echo").alias("stream"), (F.col("epoch") + 90).alias("epoch"))
+    return series.correlate(streams.unionByName(echo)).select("leader", "follower", "lag_seconds", "score")
+
+
+def _as_logs(spark: SparkSession, sf_dir: str) -> str:
+    """A shared folder with the events as logs of three grammars: ISO lines whose errors stand in a line without a stamp, access logs and JSON lines."""
+    epoch = _seconds("ts")
+    stamp = timekey.iso_label(epoch)
+    error = F.col("event_type") == "error"
+    kind = F.pmod("event_id", F.lit(3))
+    month = F.element_at(F.array(*(F.lit(m) for m in ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"))), F.substring(stamp, 6, 2).cast("int"))
+    iso = F.concat(stamp, F.lit(" user "), F.col("user_id"), F.when(error, F.lit("\n  at frame: ERROR, caused by error")).otherwise(""))
+    access = F.concat(F.lit("10.0.0.1 - - ["), F.substring(stamp, 9, 2), F.lit("/"), month, F.lit("/"), F.substring(stamp, 1, 4), F.lit(":"), F.substring(stamp, 12, 8), F.lit(' +0000] "GET /'), F.col("event_type"), F.lit(' HTTP/1.1" '), F.when(error, "503").otherwise("200"), F.lit(" 12"))
+    told = F.concat(F.lit('{"time":'), epoch, F.lit(',"level":'), F.when(error, "50").otherwise("30"), F.lit("}"))
+    lines = _table(spark, sf_dir, "events").select(F.when(kind == 0, "iso").when(kind == 1, "access").otherwise("json").alias("kind"), F.when(kind == 0, iso).when(kind == 1, access).otherwise(told).alias("value"))
+    path = scratch(spark, "logs")
+    lines.write.partitionBy("kind").text(path)
+    return delete_at_end(spark, path)
+
+
+@query(f"SELECT CASE event_id % 3 WHEN 0 THEN 'iso' WHEN 1 THEN 'access' ELSE 'json' END AS kind, {E} AS epoch, count(*) AS events, count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY 1, 2")
+def mixed_log_events(spark, sf_dir):
+    """The events of a folder of logs in three grammars, each read by its own, with errors on their stamps."""
+    events = file_events.events_of_files(spark, _as_logs(spark, sf_dir))
+    return events.groupBy(F.regexp_extract("file", "kind=([a-z]+)", 1).alias("kind"), "epoch").agg(F.count(F.lit(1)).alias("events"), F.count_if("is_error").alias("errors"))
+
+
+@query(f"WITH s AS (SELECT (epoch % 86400) // 3600 AS hour, count(*) AS n FROM (SELECT {E} AS epoch FROM events) GROUP BY 1) SELECT CAST(hour AS INTEGER) AS hour, n FROM s ORDER BY n DESC, hour LIMIT 1")
+def peak_hour(spark, sf_dir):
+    """The hour of the day with most events; the first of equals."""
+    return series.peak(series.hour_histogram(_epochs(spark, sf_dir)), "hour")
+
+
 @query(f"""WITH e AS (SELECT event_type, {E} AS epoch FROM events), t AS (SELECT epoch FROM e WHERE event_type = 'signup'), f AS (SELECT DISTINCT epoch AS f FROM e WHERE event_type = 'error'),
 l AS (SELECT min(f) - t.epoch AS lag FROM (SELECT epoch, row_number() OVER () AS i FROM t) t JOIN f ON f > t.epoch AND f <= t.epoch + 3600 GROUP BY t.epoch, i), r AS (SELECT lag, row_number() OVER (ORDER BY lag) - 1 AS k, count(*) OVER () AS n FROM l)
 SELECT lag FROM r WHERE k = n // 2""")
