@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from statistics import median
 
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from ..functions.timekey import decode, line_epochs, stamps
+from ..functions.timekey import decode, line_epochs, sniff_grammar, stamps
 from ..operators.logs import error_lines, levels
 from ..operators.series import median_lag
 
@@ -163,6 +163,31 @@ def learned_lag(lines: DataFrame, grammar: str, line: str = "value") -> int | No
     return median_lag(triggers, errors, ["k"])
 
 
+def with_pinned_grammar(folder: str, handle: Callable[[DataFrame, str | None, int], None], grammar: str | None = None, line: str = "value") -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch`` of a stream of lines: ``handle(batch, grammar, number)`` of every batch that has lines.
+
+    The grammar is the given one (that of the file's history), else that of the
+    first batch with a stamp. It is kept in ``folder`` (next to the stream's
+    checkpoint), so that it stays what it is over restarts; until then it is None.
+    """
+
+    def run(batch: DataFrame, number: int) -> None:
+        if batch.isEmpty():
+            return
+        spark = batch.sparkSession
+        kept = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/grammar/_SUCCESS")
+        pinned = grammar
+        if pinned is None and kept.getFileSystem(spark._jsc.hadoopConfiguration()).exists(kept):
+            pinned = spark.read.text(f"{folder}/grammar").first()["value"]
+        if pinned is None:
+            pinned = sniff_grammar(batch, line)
+            if pinned is not None:
+                spark.createDataFrame([(pinned,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/grammar")
+        handle(batch, pinned, number)
+
+    return run
+
+
 # How long an alert and an all-clear are news, and a watcher's last sign of life counts, in seconds.
 ALERT_FRESH, CLEAR_FRESH, SIGN_FRESH = 600, 90, 120
 ALERTING = ["confirmed", "anomaly"]

@@ -1,5 +1,6 @@
 """Operators on small inputs with known results."""
 
+import random
 import struct
 
 import pytest
@@ -396,20 +397,89 @@ def test_footers(spark, tmp_path):
     assert (got["b"]["count"], got["b"].null_count, got["b"].max) == (10, 5, 9.0) and got["s"].min is None
 
 
-def test_growing_file(spark, tmp_path):
+def growing(path, start="start", most=16 << 20):
     from gleanspark.sources.tail import GrowingFileReader
 
+    return GrowingFileReader(str(path), start, most)
+
+
+def lines_of(reader, start, end):
+    return [x for p in reader.partitions(start, end) for b in reader.read(p) for x in b.column(0).to_pylist()]
+
+
+def test_growing_file(spark, tmp_path):
     path = tmp_path / "g.log"
     path.write_bytes(b"old\nha")
-    reader = GrowingFileReader(str(path), "start")
-    got, at = reader.read(reader.initialOffset())
-    assert list(got) == [("old",)] and at == {"at": 4}
+    reader = growing(path)
+    zero, one = reader.initialOffset(), reader.latestOffset()
+    assert zero["at"] == 0 and one["at"] == 6 and lines_of(reader, zero, one) == ["old"]
     path.write_bytes(b"old\nhalf\r\nnew\n")
-    got, end = reader.read(at)
-    assert list(got) == [("half",), ("new",)] and list(reader.readBetweenOffsets(at, end)) == [("half",), ("new",)]
+    two = reader.latestOffset()
+    assert lines_of(reader, one, two) == lines_of(growing(path), one, two) == ["half", "new"]
     path.write_bytes(b"x\n")
-    assert list(reader.read(end)[0]) == [("x",)]
-    assert GrowingFileReader(str(path), "end").initialOffset() == {"at": 2}
+    assert lines_of(reader, two, reader.latestOffset()) == ["x"]
+    assert growing(path, "end").initialOffset()["at"] == 2
+    path.rename(tmp_path / "g.log.1")
+    assert reader.latestOffset()["at"] == 2
+    path.write_bytes(b"longer than before\n")
+    assert lines_of(reader, {"at": 2, "file": (tmp_path / "g.log.1").stat().st_ino}, reader.latestOffset()) == ["longer than before"]
+
+
+@pytest.mark.parametrize("most", [1, 7, 1000])
+def test_growing_file_in_ranges_and_batches(tmp_path, most):
+    rng = random.Random(most)
+    path = tmp_path / "g.log"
+    text = "\n".join(rng.choice(["", "a", "grüße", "x" * 50, "end\r", "漢字" * 9]) for _ in range(200)).encode() + b"\nlast without end"
+    path.write_bytes(b"")
+    reader, got = growing(path, most=most), []
+    reader.BLOCK = 5
+    at, written = reader.initialOffset(), 0
+    while written < len(text):
+        written += rng.randrange(1, 400)
+        path.write_bytes(text[:written])
+        now = reader.latestOffset()
+        got += lines_of(reader, at, now)
+        at = now
+    assert got == [x.rstrip(b"\r").decode() for x in text.split(b"\n")[:-1]]
+
+
+def test_growing_file_with_a_line_longer_than_a_range(tmp_path):
+    path = tmp_path / "g.log"
+    path.write_bytes(b"a\n" + b"y" * 17_000_000 + b"\nz\n")
+    reader = growing(path)
+    assert list(map(len, lines_of(reader, reader.initialOffset(), reader.latestOffset()))) == [1, 17_000_000, 1]
+
+
+def test_growing_file_as_a_stream_that_restarts(spark, tmp_path):
+    from gleanspark.sources.tail import GrowingFile
+
+    spark.dataSource.register(GrowingFile)
+    path = tmp_path / "g.log"
+    path.write_bytes(b"one\ntw")
+
+    def run():
+        lines = spark.readStream.format("growing_lines").option("path", str(path)).option("from", "start").option("range", 3).load()
+        q = lines.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).start(str(tmp_path / "out"))
+        q.processAllAvailable()
+        q.stop()
+        return sorted(r.value for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    assert run() == ["one"]
+    with open(path, "ab") as f:
+        f.write(b"o\nthree is long\n")
+    assert run() == ["one", "three is long", "two"]
+
+
+def test_the_grammar_is_pinned_by_the_first_batch_with_stamps(spark, tmp_path):
+    seen = []
+    handle = lambda batch, grammar, number: seen.append((number, grammar, batch.count()))
+    batches = [[], ["no stamp"], ["Mar  5 01:02:03 host x", "Mar  5 01:02:04 host y"], ["2024-03-05T01:02:03 z"] * 5]
+    for number, lines in enumerate(batches):
+        pinned = watch.with_pinned_grammar(str(tmp_path / "pin"), handle)  # a new one each time, as after a restart
+        pinned(spark.createDataFrame([(x,) for x in lines], "value string"), number)
+    assert seen == [(1, None, 1), (2, "syslog", 2), (3, "syslog", 5)]
+    watch.with_pinned_grammar(str(tmp_path / "other"), handle, "clf")(spark.createDataFrame([("x",)], "value string"), 4)
+    assert seen[-1] == (4, "clf", 1)
 
 
 def test_dump_quotes_and_comments():
