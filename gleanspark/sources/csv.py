@@ -9,16 +9,29 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import unquote
+from .readers import placed_lines
 
-#: Stands for a comma between cells; a code point that no text has.
-BETWEEN = "\uffff"
+#: Stands for a comma between cells, and what escapes it where a record has one of the two itself.
+BETWEEN, ESCAPE = "\uffff", "\ufffe"
 
 
 def cells(record: Column) -> Column:
     """The raw cells of a record; quotes toggle, and commas within them are no separators."""
-    # Every second stretch between quotes is within them.
-    marked = F.array_join(F.transform(F.split(record, '"', -1), lambda x, i: F.when(i % 2 == 0, F.translate(x, ",", BETWEEN)).otherwise(x)), '"')
-    return F.when(record.contains('"'), F.split(marked, BETWEEN, -1)).otherwise(F.split(record, ",", -1))
+
+    def cut(text: Column) -> Column:
+        # Every second stretch between quotes is within them.
+        marked = F.array_join(F.transform(F.split(text, '"', -1), lambda x, i: F.when(i % 2 == 0, F.translate(x, ",", BETWEEN)).otherwise(x)), '"')
+        return F.split(marked, BETWEEN, -1)
+
+    def swap(text: Column, *pairs: tuple[str, str]) -> Column:
+        for old, new in pairs:
+            text = F.replace(text, F.lit(old), F.lit(new))
+        return text
+
+    escaped = cut(swap(record, (ESCAPE, ESCAPE + "0"), (BETWEEN, ESCAPE + "1")))
+    back = F.transform(escaped, lambda x: swap(x, (ESCAPE + "1", BETWEEN), (ESCAPE + "0", ESCAPE)))
+    quoted = record.contains('"')
+    return F.when(quoted & (record.contains(BETWEEN) | record.contains(ESCAPE)), back).when(quoted, cut(record)).otherwise(F.split(record, ",", -1))
 
 
 def records(spark: SparkSession, path: str) -> DataFrame:
@@ -37,7 +50,7 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     inside = {(r["file"], r["block"]): r["inside"] for r in counted.select("file", "block", (F.coalesce(F.sum("q").over(before), F.lit(0)) % 2 == 1).alias("inside")).collect()}
     if not any(inside.values()) and counted.where(F.col("q") % 2 == 1).isEmpty() and lines.where(quotes % 2 == 1).isEmpty():
-        return lines.select("file", "block", F.monotonically_increasing_id().alias("at"), F.col("value").alias("record"))
+        return placed_lines(spark, path).select("file", "block", F.col("n").alias("at"), F.col("value").alias("record"))
     schema = pa.schema([("file", pa.string()), ("block", pa.int64()), ("at", pa.int64()), ("record", pa.string()), ("opens", pa.bool_()), ("closes", pa.bool_())])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,8 +5,10 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -65,6 +67,34 @@ def footer_statistics(footers: DataFrame, numeric: bool = True) -> DataFrame:
     return footers.groupBy("name").agg(F.sum("count").alias("count"), F.sum("null_count").alias("null_count"), F.min(limit("min")).alias("min"), F.max(limit("max")).alias("max"))
 
 
+def placed_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``value``, ``file``, ``block`` (its split's first byte), ``n`` (from 1) and ``at`` (bytes before it) of every line within its split; only LF ends a line.
+
+    Lengths are those of the raw bytes, also of a line that is no valid UTF-8.
+    """
+    lines = spark.read.text(path, lineSep="\n").select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), (F.octet_length("value") + 1).cast("long").alias("size"))
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, n, at = None, 0, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            file, block, size = batch.column("file"), batch.column("block"), batch.column("size").to_numpy()
+            changed = pc.or_(*(pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)) for c in (file, block))).to_numpy(zero_copy_only=False)
+            starts = np.concatenate([[0], np.flatnonzero(changed) + 1])
+            which = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, batch.num_rows)))
+            numbers = np.arange(batch.num_rows) - starts[which] + 1
+            before = np.cumsum(size) - size
+            offsets = before - before[starts][which]
+            if (file[0].as_py(), block[0].as_py()) == place:
+                numbers[which == 0] += n
+                offsets[which == 0] += at
+            place, n, at = (file[-1].as_py(), block[-1].as_py()), int(numbers[-1]), int(offsets[-1] + size[-1])
+            yield pa.RecordBatch.from_arrays([batch.column("value"), file, block, pa.array(numbers), pa.array(offsets)], ["value", "file", "block", "n", "at"])
+
+    return lines.mapInArrow(number, "value string, file string, block long, n long, at long")
+
+
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """``file``, ``line`` (from 1), ``offset`` (of its first byte) and ``value`` of every line; only LF ends a line.
 
@@ -74,21 +104,7 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     counted = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("value") + 1).alias("bytes"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     starts = counted.select("file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("lines_before"), F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("bytes_before"))
-
-    def number(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        place, n, at = None, 0, 0
-        for part in parts:
-            numbers, offsets = [], []
-            for value, file, block in zip(part["value"], part["file"], part["block"]):
-                if (file, block) != place:
-                    place, n, at = (file, block), 0, 0
-                n += 1
-                numbers.append(n)
-                offsets.append(at)
-                at += len(value.encode()) + 1
-            yield part.assign(n=numbers, at=offsets)
-
-    own = lines.mapInPandas(number, "value string, file string, block long, n long, at long")
+    own = placed_lines(spark, path)
     return own.join(F.broadcast(starts), ["file", "block"]).select("file", (F.col("n") + F.col("lines_before")).alias("line"), (F.col("at") + F.col("bytes_before")).alias("offset"), "value")
 
 

@@ -621,3 +621,32 @@ def test_stream_correlation_takes_all_event_types(spark, monkeypatch):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     want = {r.event_type: r["count"] for r in events.groupBy("event_type").count().collect()}
     assert {r.stream: r["count"] for r in seen[0].groupBy("stream").count().collect()} == want
+
+
+def test_csv_with_any_code_point_between_quotes(spark, tmp_path):
+    from gleanspark.sources import csv
+
+    rows = ['a,b,c', '"x, y",p￿q,z', '"￾0, ￾1",￿,"￾"', 'no quote￿,￾,1', '"1,""2",b,c']
+    (tmp_path / "t.csv").write_text("\n".join(rows) + "\n")
+    got = sorted(tuple(r) for r in csv.read_csv(spark, str(tmp_path / "t.csv")).collect())
+    assert got == sorted([("x, y", "p￿q", "z"), ("￾0, ￾1", "￿", "￾"), ("no quote￿", "￾", "1"), ('1,"2', "b", "c")])
+
+
+@pytest.mark.parametrize("size", ["134217728", "64"])
+def test_numbers_and_offsets_over_splits_and_bytes(spark, tmp_path, size):
+    raws = {"a.txt": b"one\n\xff\xfe bad\n\ngr\xc3\xbc\xc3\x9fe\r\n" + b"x" * 300 + b"\nlast", "b.txt": b"\n" * 90, "c.txt": b"y\n"}
+    for name, raw in raws.items():
+        (tmp_path / name).write_bytes(raw)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    try:
+        got = sorted((r["file"].rsplit("/", 1)[1], r["line"], r["offset"]) for r in readers.numbered_lines(spark, str(tmp_path)).select("file", "line", "offset").collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    wanted = []
+    for name, raw in raws.items():
+        at = 0
+        for n, line in enumerate(raw.removesuffix(b"\n").split(b"\n"), 1):
+            wanted.append((name, n, at))
+            at += len(line) + 1
+    assert got == sorted(wanted)
