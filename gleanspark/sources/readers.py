@@ -12,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .dumps import dump_dialect, dump_dialects, dump_statements, read_dumps  # noqa: F401
+
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
     """``value`` of each line; only LF ends a line."""
@@ -201,83 +203,3 @@ def read_captures(spark: SparkSession, path: str) -> DataFrame:
                         yield pd.DataFrame([(name, *p) for p in some], columns=["path", "proto", "src", "dst", "sport", "dport", "bytes"])
 
     return spark.read.format("binaryFile").load(path).select("path").mapInPandas(run, schema)
-
-
-#: What a dump's walk stops at, in quotes or not: texts with doubled or escaped quotes, signs, and words.
-DUMP = r"""'(?:[^'\\]|''|\\.)*'|--[^\n]*|/\*.*?\*/|[(),;]|(?:"[^"]*"|`[^`]*`|[^\s(),;'"`-]|-(?!-))+"""
-
-
-#: What stands before a table's name.
-HEADS = [["CREATE", "TABLE"], ["CREATE", "TABLE", "IF", "NOT", "EXISTS"], ["INSERT", "INTO"], ["COPY"]]
-
-
-def dump_statements(text: str) -> Iterator[tuple[str, int, int | None]]:
-    """(table, rows, columns or None) of each CREATE TABLE, INSERT INTO and COPY of a dump, in one walk over the text.
-
-    Words and signs within quotes and comments count for nothing.
-    """
-    import re
-
-    walk, start, statement, names = re.compile(DUMP, re.S), 0, [], []
-    kind, depth, rows, columns, values = "", 0, 0, 0, False
-    copied = re.compile(r"^\\\.[^\n]*", re.M)
-    while m := walk.search(text, start):
-        start = m.end()
-        token = m[0]
-        if token.startswith(("--", "/*")):
-            continue
-        if not kind:
-            statement.append(token)
-            head = [t.upper() for t in statement]
-            if token == ";" or len(statement) > 8:
-                statement = []
-            elif head[:-1] in HEADS and head[-1] != "IF":
-                kind = head[0]
-                table, depth, rows, columns, values = token.split(".")[-1].strip('"`[]'), 0, 0, 0, False
-            elif head[0] not in ("CREATE", "INSERT", "COPY"):
-                statement = []
-            continue
-        if token == "(":
-            rows += values and depth == 0
-            columns = columns or 1 if depth == 0 else columns
-            depth += 1
-        elif token == ")":
-            depth -= 1
-        elif token == "," and depth == 1:
-            columns += 1
-        elif token.upper() == "VALUES" and depth == 0:
-            values = True
-        elif token == ";" and depth <= 0:
-            if kind == "COPY":
-                body = text.find("\n", start) + 1 or len(text)
-                end = copied.search(text, body)
-                rows = text.count("\n", body, end.start() if end else len(text))
-                start = end.end() if end else len(text)
-            yield table, rows, columns if kind == "CREATE" else None
-            kind, statement = "", []
-
-
-def read_dumps(spark: SparkSession, path: str) -> DataFrame:
-    """``path``, ``table``, ``rows``, ``columns`` (of its last CREATE) for each table of each dump; most rows first.
-
-    A dump is walked by one task, since only its beginning tells what is quoted; dumps in parallel.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = [(name, *s, k) for k, s in enumerate(dump_statements(text))]
-                columns = list(zip(*found)) or [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int64()))], names=["path", "table", "rows", "columns", "k"])
-
-    found = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value").mapInArrow(run, "path string, table string, rows long, columns int, k long")
-    return found.groupBy("path", "table").agg(F.sum("rows").alias("rows"), F.max_by("columns", F.when(F.col("columns").isNotNull(), F.col("k"))).alias("columns")).orderBy(F.desc("rows"), "table")
-
-
-def dump_dialect(text: str) -> str:
-    head = text[: 256 << 10]
-    if any(line.upper().startswith("COPY ") for line in text.splitlines()):
-        return "postgres"
-    if "`" in head:
-        return "mysql"
-    return "postgres" if "pg_catalog" in head or "PostgreSQL" in head else "sql"
