@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -48,6 +48,12 @@ def line_shape(line: Column) -> Column:
     return F.translate(t, "\x01\x02\x03", "ADS")
 
 
+def dominant_shape(lines: DataFrame, line: str = "value", least: int = 3) -> DataFrame:
+    """One row (``shape``, ``n``): the :func:`line_shape` that most lines have, if ``least`` have it; the first of equals by its letters. Blank lines don't count."""
+    shapes = lines.where(F.col(line).rlike(r"\S")).groupBy(line_shape(F.col(line)).alias("shape")).agg(F.count(F.lit(1)).alias("n"))
+    return shapes.where(F.col("n") >= least).orderBy(F.desc("n"), "shape").limit(1)
+
+
 def ipv4(number: Column) -> Column:
     """Dotted quad of an unsigned 32-bit address."""
     n = number.cast("long")
@@ -60,6 +66,29 @@ def humanize_lag(seconds: Column) -> Column:
     return F.when((s >= 3600) & (s % 3600 == 0), F.concat((s / 3600).cast("long"), F.lit("h"))).when((s >= 60) & (s % 60 == 0), F.concat((s / 60).cast("long"), F.lit("m"))).otherwise(F.concat(s, F.lit("s")))
 
 
+def lag_words(seconds: Column) -> Column:
+    """``2 hours``, ``1 minute``, ``0 seconds``: whole units of the largest that fits; below zero counts as none."""
+    s = F.greatest(seconds.cast("long"), F.lit(0).cast("long"))
+
+    def unit(size: int, name: str) -> Column:
+        n = F.floor(s / size).cast("long")
+        return F.concat(n.cast("string"), F.lit(f" {name}"), F.when(n == 1, "").otherwise("s"))
+
+    return F.when(s >= 3600, unit(3600, "hour")).when(s >= 60, unit(60, "minute")).otherwise(unit(1, "second"))
+
+
+def anchor_label(kind: Column, stream: Column) -> Column:
+    """What an incident's anchor is called: a deployment or release by its stream's name, else its event or spike."""
+    low = F.lower(stream)
+    release = low.contains("release") | low.contains("rollout") | low.contains("ship")
+    trigger = F.when(low.contains("deploy"), F.lit("Deployment")).when(release, F.lit("Release")).otherwise(F.concat(stream, F.lit(" event")))
+    return F.when(kind == "trigger", trigger).otherwise(F.concat(stream, F.lit(" spike")))
+
+
+def step_verb(direction: Column) -> Column:
+    return F.when(direction == "decrease", "drops").otherwise("rises")
+
+
 def finite(x: Column) -> Column:
     """The number, or null for NaN and infinities."""
     return F.when(~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), x)

@@ -57,6 +57,18 @@ def decode(stamp: Column, grammar: str) -> Column:
     return F.when(digits <= 11, value).when(digits <= 14, whole(1000)).when(digits <= 17, whole(1_000_000)).otherwise(whole(1_000_000_000))
 
 
+#: How many of a unit are a second (fixed value).
+UNITS = {"seconds": 1, "millis": 1_000, "micros": 1_000_000, "nanos": 1_000_000_000}
+
+
+def whole_seconds(raw: Column, unit: str) -> Column:
+    """Whole seconds of a count of ``unit`` since 1970, rounded down, also before it."""
+    n = raw.cast("long")
+    # Whole division cuts towards zero, so one less where something was cut off below it.
+    cut = F.call_function("div", n, F.lit(UNITS[unit]).cast("long"))
+    return cut - F.when((n < 0) & (n % UNITS[unit] != 0), 1).otherwise(0)
+
+
 def stamps(line: Column, grammar: str) -> Column:
     """All stamps of a line, overlapping ones too."""
     return F.regexp_extract_all(line, F.lit(GRAMMARS[grammar]), F.lit(1))

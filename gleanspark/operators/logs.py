@@ -18,15 +18,21 @@ def levels(line: Column) -> Column:
     return F.transform(F.regexp_extract_all(line, F.lit(LEVEL), F.lit(1)), lambda w: F.when(F.upper(w) == "WARNING", "WARN").when(F.upper(w) == "CRITICAL", "FATAL").otherwise(F.upper(w)))
 
 
-def _is(level: str):
-    return lambda x: x == level
+WORDS = {"DEBUG": ["debug"], "INFO": ["info"], "WARN": ["warning", "warn"], "ERROR": ["error"], "FATAL": ["critical", "fatal"]}
+
+
+def level_count(line: Column, level: str) -> Column:
+    """How many words of a level a line has. Only lines that hold the letters are searched for a bounded word."""
+    low = F.lower(line)
+    held = low.contains(WORDS[level][-1]) if level != "FATAL" else low.contains("critical") | low.contains("fatal")
+    pattern = rf"(?i)(?:^|(?<={BOUND}))(?:{'|'.join(WORDS[level])})(?=$|{BOUND})"
+    return F.when(held, F.regexp_count(line, F.lit(pattern))).otherwise(0)
 
 
 def severity(lines: DataFrame, line: str = "value") -> DataFrame:
     """``level``, ``count`` of words and ``percent`` of all lines, for each of the five levels."""
-    found = lines.select(levels(F.col(line)).alias("l"))
-    # The five counts and the line count in one pass, without a row per word.
-    row = found.agg(F.count(F.lit(1)).alias("lines"), *(F.coalesce(F.sum(F.size(F.filter("l", _is(v)))), F.lit(0)).alias(v) for v in LEVELS))
+    # The five counts and the line count in one pass, without a row or an array per line.
+    row = lines.agg(F.count(F.lit(1)).alias("lines"), *(F.coalesce(F.sum(level_count(F.col(line), v)), F.lit(0)).alias(v) for v in LEVELS))
     return row.select(F.explode(F.array(*(F.struct(F.lit(v).alias("level"), F.col(v).alias("count")) for v in LEVELS))).alias("s"), "lines").select("s.level", "s.count", F.coalesce(F.try_divide(F.col("s.count") * 100.0, F.col("lines")), F.lit(0.0)).alias("percent"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import discard, stored
 from .ranking import values_of_ranks
 
 # Fixed values of the two anomaly rules.
@@ -33,9 +34,14 @@ def top(ranked: DataFrame, keys: list[str], k: int = TOP) -> DataFrame:
 
 
 def baseline_without_top(ranked: DataFrame) -> DataFrame:
-    """One row: the upper median of the metric without one largest value; 0 for one value or none."""
-    n = ranked.count()
-    found = values_of_ranks(ranked, "metric", [(n - 1) // 2])[0] if n > 1 else 0
+    """One row: the upper median of the metric without one largest value; 0 for one value or none.
+
+    Equal values are counted once and the counts stored, so that what ``ranked`` stands for is worked out once.
+    """
+    counts = stored(ranked.groupBy("metric").agg(F.count(F.lit(1)).alias("n")), "metrics")
+    n = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    found = values_of_ranks(counts, "metric", [(n - 1) // 2], "n")[0] if n > 1 else 0
+    discard(counts)
     return ranked.sparkSession.createDataFrame([(found,)], "baseline long")
 
 

@@ -650,3 +650,23 @@ def test_numbers_and_offsets_over_splits_and_bytes(spark, tmp_path, size):
             wanted.append((name, n, at))
             at += len(line) + 1
     assert got == sorted(wanted)
+
+
+def test_wording_shapes_and_units(spark):
+    rows = [("trigger", "app-Deploy.log", 7200), ("trigger", "release.txt", 59), ("trigger", "db.log", 60), ("spike", "deploy.log", 3600), ("trigger", "Shipping", -5), ("trigger", "x", 1)]
+    got = spark.createDataFrame(rows, "k string, s string, n long").select(T.anchor_label(F.col("k"), F.col("s")).alias("a"), T.lag_words(F.col("n")).alias("l"), T.step_verb(F.when(F.col("n") > 60, "decrease").otherwise("increase")).alias("v")).collect()
+    assert [tuple(r) for r in got] == [("Deployment", "2 hours", "drops"), ("Release", "59 seconds", "rises"), ("db.log event", "1 minute", "rises"), ("deploy.log spike", "1 hour", "drops"), ("Release", "0 seconds", "rises"), ("x event", "1 second", "rises")]
+    lines = spark.createDataFrame([(x,) for x in ["ab 12", "c 3", "  xyz 9 ", "", "   ", "1-2", None]], "value string")
+    assert [tuple(r) for r in T.dominant_shape(lines).collect()] == [("ASD", 3)]
+    assert T.dominant_shape(lines.limit(2)).count() == 0
+    raw = spark.createDataFrame([(x,) for x in (0, -1, -1000, -1001, 1999, 9223372036854775807, -9223372036854775808)], "n long")
+    for unit, size in timekey.UNITS.items():
+        assert [r[0] for r in raw.select(timekey.whole_seconds(F.col("n"), unit)).collect()] == [r.n // size for r in raw.collect()]
+
+
+def test_level_counts_are_those_of_the_words(spark):
+    words = ["error", "ERROR:", "Errors", "[warning]", "warn", "x-warn", "critical", "FATAL,", "\"info\"", "debug\tinfo", "terror", "level=error,"]
+    rng = random.Random(4)
+    lines = spark.createDataFrame([(" ".join(rng.choice(words) for _ in range(rng.randrange(6))),) for _ in range(200)] + [("",), (None,)], "value string")
+    both = lines.select(logs.levels(F.col("value")).alias("l"), *(logs.level_count(F.col("value"), v).alias(v) for v in logs.LEVELS)).where("l IS NOT NULL").collect()
+    assert all(r["l"].count(v) == r[v] for r in both for v in logs.LEVELS)
