@@ -168,9 +168,9 @@ class Encoder:
 
     FIRST, SPECIAL = "\ud800", "\ud801"  # before keys; lone surrogates, so no text has them
 
-    def __init__(self, path: str, cached: int = 400_000, longest: int = 64):
+    def __init__(self, path: str, cached: int = 250_000, longest: int = 64):
         import regex
-        from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.vocabulary = v = Vocabulary(path)
         self.cached, self.longest = cached, longest
@@ -191,7 +191,7 @@ class Encoder:
         # The pair table: code of the pair, doubled, plus whether it is compatible.
         self.table = np.full(1 << 18, -1, dtype=np.int64)
         self.pattern = regex.compile(PATTERN)
-        self.library = Tokenizer.from_file(path).pre_tokenizer
+        self.library = ByteLevel(add_prefix_space=False)
         self.special = re.compile("|".join(map(re.escape, sorted(v.added, key=len, reverse=True)))) if v.added else None
         self.seen: set[str] = set()
         self.odd: dict[int, str] = {}
@@ -460,16 +460,17 @@ class Encoder:
             out[i].append(ids[a:b].tobytes())
 
 
-def encoded(text: Column, model: str, batch_bytes: int = 4 << 20) -> Column:
+def encoded(text: Column, model: str, batch_bytes: int = 4 << 20, back: bool = False) -> Column:
     """``text`` as a binary column of ids (little-endian unsigned 32-bit integers); null and empty texts have none.
 
-    ``model`` is the path of a byte-level BPE file that every executor has. The
+    With ``back`` a struct (``ids``, ``decoded``): the ids, and their text again, from
+    the same worker. ``model`` is the path of a byte-level BPE file that every executor has. The
     library's ids without special tokens; the string of an added token inside a
     text becomes that token, as is the library's default. Whole texts: one
     without any blank costs about 12 bytes of memory a byte more.
     """
 
-    @F.arrow_udf("binary")
+    @F.arrow_udf("struct<ids: binary, decoded: string>" if back else "binary")
     def encode(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = Encoder(model)
         for column in columns:
@@ -477,7 +478,11 @@ def encoded(text: Column, model: str, batch_bytes: int = 4 << 20) -> Column:
             ids: list[bytes] = []
             for batch in by_bytes(iter([whole]), "t", batch_bytes):
                 ids += encoder.encode([x or "" for x in batch.column("t").to_pylist()])
-            yield pa.array(ids, pa.binary())
+            out = pa.array(ids, pa.binary())
+            if back:
+                texts = [encoder.vocabulary.decode(np.frombuffer(x, dtype="<u4")) for x in ids]
+                out = pa.StructArray.from_arrays([out, pa.array(texts, pa.string())], ["ids", "decoded"])
+            yield out
 
     return encode(text)
 
@@ -494,14 +499,18 @@ def decoded(ids: Column, model: str) -> Column:
     return decode(ids)
 
 
-def encode_documents(docs: DataFrame, model: str, text: str = "text", ids: str = "ids") -> DataFrame:
+def encode_documents(docs: DataFrame, model: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
     """``docs`` with a binary column ``ids`` (:func:`encoded`), which replaces one of that name.
 
-    Null and empty texts have no ids (an empty value). Each row is encoded by
-    itself, so that repeated rows, ties and empty tables need no care.
+    With ``decoded`` also a column of that name with the ids' text again. Null and
+    empty texts have no ids (an empty value) and decode to an empty text. Each row
+    is encoded by itself, so that repeated rows, ties and empty tables need no care.
     """
     small_batches(docs.sparkSession)
-    return docs.withColumn(ids, encoded(F.col(f"`{text}`"), model))
+    if decoded is None:
+        return docs.withColumn(ids, encoded(F.col(f"`{text}`"), model))
+    both = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), encoded(F.col(f"`{text}`"), model, back=True).alias("both"))
+    return both.select(*(F.col(f"row.`{c}`") for c in docs.columns if c not in (ids, decoded)), F.col("both.ids").alias(ids), F.col("both.decoded").alias(decoded))
 
 
 def decode_documents(docs: DataFrame, model: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -515,5 +524,5 @@ def query(spark, sf_dir: str) -> DataFrame:
 
     model = public_tokenizers.path("byte_bpe_50k.json")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    back = decode_documents(encode_documents(docs, model), model)
+    back = encode_documents(docs, model, decoded="decoded")
     return back.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "utf-8"), 256).alias("decoded_sha256"))

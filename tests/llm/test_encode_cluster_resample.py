@@ -91,6 +91,9 @@ def test_byte_bpe_columns(spark, library):
     got = sorted((str(r["doc_id"]), bytes(r["ids"]), r["decoded"]) for r in out.collect())
     ab = np.array(library.encode("a b").ids, "<u4").tobytes()
     assert got == [("1", ab, "a b"), ("1", ab, "a b"), ("2", b"", ""), ("None", b"", "")]
+    both = byte_bpe.encode_documents(docs, MODEL, decoded="text")
+    assert both.columns == ["doc_id", "ids", "text"]
+    assert sorted((str(r["doc_id"]), bytes(r["ids"]), r["text"]) for r in both.collect()) == got
     assert byte_bpe.encode_documents(docs.limit(0), MODEL).count() == 0
     assert byte_bpe.decode_documents(spark.createDataFrame([(None,), (np.array([0, 99_999_999], "<u4").tobytes(),)], "ids binary"), MODEL).select("decoded").collect() == [(None,), ("!",)]
 
