@@ -33,6 +33,8 @@ BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="
 BLOCK = 4
 #: Estimated costs: a probe row through a shuffle and a join, and a candidate compared, in microseconds.
 PROBE_COST, CANDIDATE_COST = 1.5, 0.02
+#: Rows alike in some bits that are a crowd.
+CROWD = 16
 
 
 def shingle_hashes(text: bytes, width: int) -> np.ndarray:
@@ -193,23 +195,40 @@ def signed(word: int) -> int:
     return word - (1 << 64) if word >= 1 << 63 else word
 
 
-def close_pairs(words: DataFrame, distance: int) -> DataFrame:
+def spanning_links(words: DataFrame, distance: int, partitions: list[Partition]) -> DataFrame:
+    """(``a``, ``b``): links of rows to the least row of the crowds that they are in, a few for each row.
+
+    A crowd is ``CROWD`` rows or more that are alike in the bits of two
+    partitions. Crowds are summed up before they are joined, and each row meets
+    one other in each of its crowds.
+    """
+    masks = {p.mask | q.mask for p, q in combinations(partitions, 2)} if len(partitions) > 2 else {p.mask for p in partitions}
+    keys = F.array(*(F.struct(F.lit(k).cast("byte").alias("part"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("value")) for k, m in enumerate(sorted(masks))))
+    rows = words.select("id", "fp", F.explode(keys).alias("s")).select("id", "fp", "s.part", "s.value")
+    crowds = rows.groupBy("part", "value").agg(F.min(F.struct("id", "fp")).alias("hub"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= CROWD)
+    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("hub.fp"))) <= distance
+    return rows.join(crowds, ["part", "value"]).where((F.col("id") != F.col("hub.id")) & near).select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct()
+
+
+def close_pairs(words: DataFrame, distance: int, partitions: list[Partition] | None = None) -> DataFrame:
     """(``a``, ``b``): ids of all pairs of rows of ``words`` (``id``, distinct ``fp``) within ``distance`` bits.
 
     Values of each partition meet the values that its threshold lets through,
-    and the join keeps the pairs whose whole fingerprints are close enough.
+    and the join keeps the pairs whose whole fingerprints are close enough. If
+    ``words`` has a column ``root``, only pairs of different roots are kept.
     """
-    partitions = plan_partitions(words, distance)
+    partitions = partitions or plan_partitions(words, distance)
+    root = F.col("root") if "root" in words.columns else F.col("id")
 
     def values(flips: bool):
         return F.array(*(F.struct(F.lit(k).cast("byte").alias("part"), (F.col("fp").bitwiseXOR(F.lit(signed(x))).bitwiseAND(F.lit(signed(p.mask)))).alias("value")) for k, p in enumerate(partitions) for x in (p.flips() if flips else [0])))
 
-    plain = words.select("id", "fp", F.explode(values(False)).alias("s")).select("s.part", "s.value", F.col("id").alias("b"), F.col("fp").alias("fb"))
+    plain = words.select("id", "fp", root.alias("root"), F.explode(values(False)).alias("s")).select("s.part", "s.value", F.col("id").alias("b"), F.col("fp").alias("fb"), F.col("root").alias("rb"))
     if all(p.threshold == 0 for p in partitions):
-        probes = plain.select("part", "value", F.col("b").alias("a"), F.col("fb").alias("fa"))
+        probes = plain.select("part", "value", F.col("b").alias("a"), F.col("fb").alias("fa"), F.col("rb").alias("ra"))
     else:
-        probes = words.select("id", "fp", F.explode(values(True)).alias("s")).select("s.part", "s.value", F.col("id").alias("a"), F.col("fp").alias("fa"))
-    near = F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= distance
+        probes = words.select("id", "fp", root.alias("root"), F.explode(values(True)).alias("s")).select("s.part", "s.value", F.col("id").alias("a"), F.col("fp").alias("fa"), F.col("root").alias("ra"))
+    near = (F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= distance) & (F.col("ra") != F.col("rb"))
     met = probes.alias("p").join(plain.alias("q"), (F.col("p.part") == F.col("q.part")) & (F.col("p.value") == F.col("q.value")) & (F.col("a") < F.col("b")) & near)
     return met.select("a", "b").distinct()
 
@@ -218,16 +237,25 @@ def fingerprint_classes(docs: DataFrame, width: int = 4, distance: int = 4, doc:
     """(``doc``, ``fp``, ``root``) for every row: documents link at ``distance`` or fewer differing
     fingerprint bits, and root is the smallest id that links lead to.
 
-    Equal fingerprints become one row first, so copies never meet in pairs.
+    Equal fingerprints become one row first, so copies never meet in pairs. Crowds
+    of alike fingerprints are spanned by a few links a row; pairs are looked for
+    between the classes that are left, so that a crowd's rows are not all paired.
     Texts without words, null ones among them, have fingerprint 0 and link like
     any other. ``doc`` must be an integer; repeated ids are rows of one class.
     Other columns of ``docs`` are not returned.
     """
     prints = stored(fingerprints(docs, width, doc, text), "prints")
     words = stored(prints.groupBy("fp").agg(F.min(doc).alias("id")).where("id IS NOT NULL"), "words")
-    pairs = stored(close_pairs(words, distance), "pairs")
+    partitions = plan_partitions(words, distance)
+    links = stored(spanning_links(words, distance, partitions), "links")
+    spanned = words.withColumn("root", F.col("id"))
+    if not links.isEmpty():
+        spanned = stored(words.join(connected_components(links, "a", "b"), "id", "left").withColumn("root", F.coalesce("root", "id")), "spanned")
+    pairs = stored(close_pairs(spanned, distance, partitions).unionByName(links), "pairs")
     roots = connected_components(pairs, "a", "b")
     named = stored(words.join(roots, "id", "left").select("fp", F.coalesce("root", "id").alias("root")), "named")
+    for table in (links, spanned, pairs, words):
+        discard(table)
     return prints.join(named, "fp", "left").select(doc, "fp", "root")
 
 

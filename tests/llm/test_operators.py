@@ -189,6 +189,27 @@ def test_simhash_classes_against_all_pairs(spark):
     assert simhash.fingerprint_classes(table(spark, [])).count() == 0
 
 
+def test_crowded_fingerprints_are_spanned_not_paired(spark):
+    rng = random.Random(21)
+    centre = rng.getrandbits(64)
+    crowd = {centre}
+    while len(crowd) < 600:
+        crowd.add(centre ^ sum({1 << rng.randrange(64) for _ in range(rng.randint(1, 2))}))
+    prints = [*crowd, *(rng.getrandbits(64) for _ in range(300))]
+    prints += [prints[-1] ^ 0b1111, prints[-2] ^ 0b11111]
+    rng.shuffle(prints)
+    words = spark.createDataFrame([(i, simhash.signed(p)) for i, p in enumerate(prints)], "id long, fp long")
+    partitions = simhash.plan_partitions(words, 4)
+    links = simhash.spanning_links(words, 4, partitions)
+    roots = simhash.connected_components(links, "a", "b")
+    left = simhash.close_pairs(words.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), 4, partitions)
+    every = [(i, j) for i in range(len(prints)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 4]
+    found = [tuple(r) for r in links.union(left).collect()]
+    assert all((prints[i] ^ prints[j]).bit_count() <= 4 for i, j in found)
+    assert classes(found, range(len(prints))) == classes(every, range(len(prints)))
+    assert len(found) < 12 * len(prints) < len(every) / 10
+
+
 def test_near_duplicates_keep_one_of_each(spark):
     rng = random.Random(3)
     texts = [None, "", "short", "short"]
