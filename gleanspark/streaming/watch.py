@@ -9,7 +9,7 @@ from statistics import median
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.timekey import decode, line_epochs, sniff_grammar, stamps
 from ..operators.logs import error_lines, levels
@@ -104,7 +104,86 @@ def quiet_seconds(cascade: Cascade, rate: Rate, since: int, until: int) -> list[
     return alerts
 
 
-def watch(lines: DataFrame, stream: str = "stream", at: str = "ts", line: str = "value", sensitivity: str = "medium", lag: int | None = None, delay: str = "0 seconds") -> DataFrame:
+def judge(cascade: Cascade, rate: Rate, waiting: dict[int, tuple[int, int]], last: int, now: int) -> tuple[list[tuple[str, int]], int]:
+    """Alerts of the seconds up to ``now``, and the last second that was judged; those are taken out of ``waiting``."""
+    alerts = []
+    for second in sorted(s for s in waiting if s <= now):
+        triggers, errors = waiting.pop(second)
+        if second <= last:  # of a second that was judged before
+            continue
+        alerts += quiet_seconds(cascade, rate, last, second) if last >= 0 else []
+        busy = cascade.phase != "idle"
+        alerts += cascade.tick(second, triggers, errors)
+        odd = rate.tick(second, errors)
+        if not busy and cascade.phase == "idle":
+            alerts += odd
+        last = second
+    if last >= 0 and cascade.phase != "idle" and cascade.until <= now:
+        alerts += quiet_seconds(cascade, rate, last, now + 1)
+        last = now
+    return alerts, last
+
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class Watcher(StatefulProcessor):
+    """One stream's watcher: a value for its phase and clocks, a list for the counts of the last seconds, a map for seconds not judged yet.
+
+    A timer stands at the next second to judge, or at the cascade's end; with
+    neither left it stands ``idle`` seconds after the last judged second, and
+    then the stream's state is dropped.
+    """
+
+    def __init__(self, sensitivity: str, lag: int | None, idle: int) -> None:
+        self.sensitivity, self.lag, self.idle = sensitivity, lag, idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("held", "phase string, until long, errors long, streak long, quiet long, last long")
+        self.ring = handle.getListState("ring", "n long")
+        self.waiting = handle.getMapState("waiting", "second long", "triggers long, errors long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for part in rows:
+            for second, row in part.groupby("second")[["triggers", "errors"]].sum().iterrows():
+                before = self.waiting.getValue((int(second),)) if self.waiting.containsKey((int(second),)) else (0, 0)
+                self.waiting.updateValue((int(second),), (int(before[0] + row["triggers"]), int(before[1] + row["errors"])))
+        yield from self.fold(key, timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self.fold(key, timerValues)
+
+    def close(self) -> None:
+        pass
+
+    def fold(self, key, timerValues) -> Iterator[pd.DataFrame]:
+        phase, until, errors, streak, quiet, last = self.held.get() if self.held.exists() else ("idle", 0, 0, 0, 0, -1)
+        ring = [int(n) for (n,) in self.ring.get()] if self.ring.exists() else []
+        waiting = {int(s): (int(t), int(e)) for (s,), (t, e) in self.waiting.iterator()}
+        seconds = list(waiting)
+        cascade, rate = Cascade(self.sensitivity, self.lag, phase, int(until), int(errors)), Rate(self.sensitivity, list(ring), int(streak), int(quiet))
+        watermark = timerValues.getCurrentWatermarkInMs()
+        alerts, last = judge(cascade, rate, waiting, int(last), watermark // 1000)
+        for second in seconds:
+            if second not in waiting:
+                self.waiting.removeKey((second,))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        next_one = min([*waiting, *([cascade.until] if cascade.phase != "idle" else [])], default=None)
+        if next_one is None and last + self.idle <= watermark // 1000:
+            for state in (self.held, self.ring, self.waiting):
+                state.clear()
+        else:
+            self.held.update((cascade.phase, cascade.until, cascade.errors, rate.streak, rate.quiet_until, last))
+            if rate.ring != ring:
+                self.ring.put([(n,) for n in rate.ring])
+            self.handle.registerTimer(max(watermark + 1, 1000 * (last + self.idle if next_one is None else next_one)))
+        if alerts:
+            yield pd.DataFrame([(key[0], k, t) for k, t in alerts], columns=["stream", "kind", "at"]).astype({"at": "int64"})
+
+
+def watch(lines: DataFrame, stream: str = "stream", at: str = "ts", line: str = "value", sensitivity: str = "medium", lag: int | None = None, delay: str = "0 seconds", idle: int = 86_400) -> DataFrame:
     """Alerts ``stream``, ``kind``, ``at`` (Unix seconds) of a streaming DataFrame of lines.
 
     State is kept per stream. Lines are folded by second, and a second is judged
@@ -112,47 +191,14 @@ def watch(lines: DataFrame, stream: str = "stream", at: str = "ts", line: str =
     come late by up to ``delay`` count in order, later ones are dropped. Seconds
     without lines count as such. A cascade that nothing confirms is cleared by
     the watermark, whether or not its stream has another line. Rate alerts are
-    held back while a trigger's cascade is under way.
+    held back while a trigger's cascade is under way. A stream without a line
+    for ``idle`` seconds is forgotten; if it comes back, it warms up anew. The
+    state needs the RocksDB provider, which is set in the session.
     """
+    lines.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     timed = classify(lines, line).select(F.col(stream).alias("stream"), F.col(at).cast("timestamp").alias("ts"), F.col("trigger").cast("int").alias("triggers"), F.col("errors").cast("long").alias("errors")).withWatermark("ts", delay)
     ticks = timed.withColumn("second", F.unix_seconds("ts"))
-
-    def fold(key, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.exists:
-            phase, until, errors, ring, streak, quiet, last, seconds, counts = state.get
-        else:
-            phase, until, errors, ring, streak, quiet, last, seconds, counts = "idle", 0, 0, [], 0, 0, -1, [], []
-        cascade, rate = Cascade(sensitivity, lag, phase, until, errors), Rate(sensitivity, list(ring), streak, quiet)
-        waiting = {s: (int(c[0]), int(c[1])) for s, c in zip(seconds, counts)}
-        for part in parts:
-            for second, row in part.groupby("second")[["triggers", "errors"]].sum().iterrows():
-                before = waiting.get(int(second), (0, 0))
-                waiting[int(second)] = (before[0] + int(row["triggers"]), before[1] + int(row["errors"]))
-        now = state.getCurrentWatermarkMs() // 1000
-        alerts = []
-        for second in sorted(s for s in waiting if s <= now):
-            triggers, errors = waiting.pop(second)
-            if second <= last:  # of a second that was judged before
-                continue
-            alerts += quiet_seconds(cascade, rate, last, second) if last >= 0 else []
-            busy = cascade.phase != "idle"
-            alerts += cascade.tick(second, triggers, errors)
-            odd = rate.tick(second, errors)
-            if not busy and cascade.phase == "idle":
-                alerts += odd
-            last = second
-        if last >= 0 and cascade.phase != "idle" and cascade.until <= now:
-            alerts += quiet_seconds(cascade, rate, last, now + 1)
-            last = now
-        kept = sorted(waiting)
-        state.update((cascade.phase, cascade.until, cascade.errors, rate.ring, rate.streak, rate.quiet_until, last, kept, [list(waiting[s]) for s in kept]))
-        next_one = min([*kept[:1], *([cascade.until] if cascade.phase != "idle" else [])], default=None)
-        if next_one is not None:
-            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, next_one * 1000 - 1))
-        yield pd.DataFrame([(key[0], k, t) for k, t in alerts], columns=["stream", "kind", "at"]).astype({"at": "int64"})
-
-    held = "phase string, until long, errors long, ring array<long>, streak long, quiet long, last long, seconds array<long>, counts array<array<long>>"
-    return ticks.groupBy("stream").applyInPandasWithState(fold, "stream string, kind string, at long", held, "append", GroupStateTimeout.EventTimeTimeout)
+    return ticks.groupBy("stream").transformWithStateInPandas(Watcher(sensitivity, lag, idle), "stream string, kind string, at long", "append", "EventTime")
 
 
 def learned_lag(lines: DataFrame, grammar: str, line: str = "value") -> int | None:

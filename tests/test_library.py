@@ -670,3 +670,18 @@ def test_level_counts_are_those_of_the_words(spark):
     lines = spark.createDataFrame([(" ".join(rng.choice(words) for _ in range(rng.randrange(6))),) for _ in range(200)] + [("",), (None,)], "value string")
     both = lines.select(logs.levels(F.col("value")).alias("l"), *(logs.level_count(F.col("value"), v).alias(v) for v in logs.LEVELS)).where("l IS NOT NULL").collect()
     assert all(r["l"].count(v) == r[v] for r in both for v in logs.LEVELS)
+
+
+def test_the_state_of_dead_streams_is_dropped(spark, tmp_path):
+    schema = "stream string, ts timestamp, value string"
+    folder = tmp_path / "in"
+    for k, rows in enumerate([[("a", 100, "deploy x"), ("b", 100, "ok")], [("b", 100_000, "ERROR")], [("b", 100_001, "ok")], [("b", 102_000, "ok")], [("b", 102_001, "ok")]]):
+        spark.createDataFrame(rows, "stream string, t long, value string").select("stream", F.timestamp_seconds("t").alias("ts"), "value").coalesce(1).write.mode("append").json(str(folder))
+        stream = spark.readStream.schema(schema).json(str(folder))
+        alerts = watch.watch(stream, sensitivity="high", lag=10, idle=1000)
+        started = alerts.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).start(str(tmp_path / "out"))
+        started.processAllAvailable()
+        started.stop()
+    held = spark.read.format("statestore").option("stateVarName", "held").load(str(tmp_path / "c"))
+    assert [r.key[0] for r in held.select("key").collect()] == ["b"]
+    assert {(r.stream, r.kind) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {("a", "predicted"), ("a", "clear")}
