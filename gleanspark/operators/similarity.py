@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normal_line
+from ..session import stored
 
 # Fixed values.
 LEAST, ALIKE, RECENCY_BASE, RECENCY_SHARE = 0.01, 0.85, 0.85, 0.15
@@ -71,47 +72,80 @@ def context(ranked: DataFrame, question: str, k: int, text: str = "text", vector
     return [r[text][:width] + ("..." if len(r[text].encode()) > width else "") for r in without_alike(rows, vector)[:k]]
 
 
-def nearest_of_each(queries: DataFrame, rows: DataFrame, k: int, query_id: str, row_id: str, vector: str = "embedding", block: int = 2048) -> DataFrame:
+def nearest_of_each(queries: DataFrame, rows: DataFrame, k: int, query_id: str, row_id: str, vector: str = "embedding", block: int = 2048, skip: str | None = None) -> DataFrame:
     """``query_id``, ``row_id``, ``score``: the ``k`` rows nearest to each query by cosine, over the least score; ties by ``row_id``.
 
-    Queries are taken in blocks of a bounded size; each task scores its rows
-    against a block as one matrix product and keeps its own ``k`` best of every
-    query, so that what is shuffled is ``k`` rows a query and task.
+    With ``skip``, a column of whole numbers in both tables, a query leaves out the rows that have its own number. Queries
+    are taken in blocks of a bounded size; each task scores its rows against a
+    block as one matrix product and keeps its own ``k`` best of every query, so
+    that what is shuffled is ``k`` rows a query and task. With several blocks the
+    rows, vectors and all, are stored once, and so is what each block finds.
     """
     kind, rkind = queries.schema[query_id].dataType.simpleString(), rows.schema[row_id].dataType.simpleString()
     schema = f"q {kind}, r {rkind}, score double"
     spark, found = queries.sparkSession, None
-    blocks = max(1, -(-queries.count() // block))
-    asked = queries.select(F.col(query_id).alias("q"), F.col(vector).alias("v"))
+    mark = F.col(skip).cast("long") if skip else F.lit(None).cast("long")
+    asked = stored(queries.select(F.col(query_id).alias("q"), F.col(vector).alias("v"), mark.alias("s")), "queries")
+    blocks = max(1, -(-asked.count() // block))
+    own = rows.select(F.col(row_id).alias("r"), F.col(vector).alias("v"), mark.alias("s"))
+    own = stored(own, "rows") if blocks > 1 else own
 
     def unit(m: np.ndarray) -> np.ndarray:
         n = np.linalg.norm(m, axis=1, keepdims=True)
         return m / np.where(n > 0, n, 1)
 
     for b in range(blocks):  # a block of about so many queries comes to the driver at a time
-        part = [(r["q"], r["v"]) for r in asked.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b).orderBy("q").collect()]
+        part = [(r["q"], r["v"], r["s"]) for r in asked.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b).orderBy("q").collect()]
         if not part:
             continue
-        shared = spark.sparkContext.broadcast(([x[0] for x in part], unit(np.array([x[1] for x in part], dtype=float))))
+        marks = np.array([x[2] for x in part], dtype=np.int64) if skip else None
+        shared = spark.sparkContext.broadcast(([x[0] for x in part], unit(np.array([x[1] for x in part], dtype=float)), marks))
 
         def score(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            names, matrix = shared.value
+            names, matrix, marks = shared.value
             for batch in batches:
                 ids = batch["r"].to_numpy()
                 near = unit(np.stack(batch["v"].to_numpy()).astype(float)) @ matrix.T
+                if marks is not None:
+                    near[batch["s"].to_numpy(dtype=np.int64)[:, None] == marks[None, :]] = -1.0
                 order = np.lexsort((np.broadcast_to(ids[:, None], near.shape), -near), axis=0)[:k]
                 at = np.arange(len(names))
                 best = pd.DataFrame({"q": np.tile(np.array(names), len(order)), "r": ids[order].ravel(), "score": near[order, at].ravel()})
                 yield best[best["score"] > LEAST]
 
-        own = rows.select(F.col(row_id).alias("r"), F.col(vector).alias("v")).mapInPandas(score, schema)
-        found = own if found is None else found.unionByName(own)
+        best = own.mapInPandas(score, schema)
+        best = stored(best, "near") if blocks > 1 else best
+        found = best if found is None else found.unionByName(best)
     if found is None:
         found = spark.createDataFrame([], schema)
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "r"))
     return found.withColumn("k", rank).where(F.col("k") <= k).select(F.col("q").alias(query_id), F.col("r").alias(row_id), "score")
 
 
+def recall(questions: DataFrame, memory: DataFrame, k: int, question_id: str = "question_id", row_id: str = "row_id", text: str = "text", vector: str = "embedding", width: int = 100) -> DataFrame:
+    """``question_id``, ``place`` (from 1), ``row_id``, ``score``, ``text``: up to ``k`` remembered texts for each question; :func:`context` for many.
+
+    Of the 2 ``k`` + 1 nearest rows that are not the question's own copies, those like a
+    better one go; texts are cut to ``width`` characters. The 2 ``k`` + 1 rows of a
+    question are compared in one task, all questions in parallel. Null texts are
+    neither asked nor remembered; questions without a near row have no rows.
+    """
+    line = F.xxhash64(normal_line(F.col(text)))
+    asked = questions.where(F.col(text).isNotNull()).withColumn("_line", line)
+    held = memory.where(F.col(text).isNotNull()).withColumn("_line", line)
+    near = nearest_of_each(asked, held, 2 * k + 1, question_id, row_id, vector, skip="_line")
+    told = near.join(held.select(row_id, F.col(text).alias("_text"), F.col(vector).alias("_vector")), row_id)
+    kind, rkind = questions.schema[question_id].dataType.simpleString(), memory.schema[row_id].dataType.simpleString()
+
+    def greedy(rows: pd.DataFrame) -> pd.DataFrame:
+        best = rows.sort_values(["score", row_id], ascending=[False, True]).to_dict("records")
+        kept = without_alike(best, "_vector")[:k]
+        cut = [r["_text"][:width] + ("..." if len(r["_text"].encode()) > width else "") for r in kept]
+        return pd.DataFrame({question_id: [r[question_id] for r in kept], "place": range(1, len(kept) + 1), row_id: [r[row_id] for r in kept], "score": [r["score"] for r in kept], "text": cut})
+
+    return told.groupBy(question_id).applyInPandas(greedy, f"`{question_id}` {kind}, place int, `{row_id}` {rkind}, score double, text string")
+
+
 def embed_texts(texts: DataFrame, text: str = "text", dimensions: int = 64, seed: int = 20_240_229) -> DataFrame:
     """Add ``embedding``: the byte histogram under a signed Hadamard projection, of length 1.
 
