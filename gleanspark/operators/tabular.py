@@ -155,13 +155,18 @@ def profile_texts(table: DataFrame, columns: list[str], top: int = 3) -> DataFra
     return totals.join(listed, "name")
 
 
-def json_leaves(rows: DataFrame, column: str, depth: int = 4) -> DataFrame:
+class Pairs(list):
+    """The pairs of a JSON object in order; a key that is told twice is there twice."""
+
+
+def json_leaves(rows: DataFrame, column: str, depth: int = 4, order: str | None = None) -> DataFrame:
     """``name``, ``value``, ``kind`` (number, text, bool, null) and ``at`` (place in its row) of every scalar
     in the JSON objects in ``column``; nested keys as ``a.b``, down to ``depth`` levels below the first.
 
-    One pass: each object is unfolded within its row, whatever its keys. Arrays
-    are skipped, but for byte arrays under ``MESSAGE``, which are texts. Lines
-    without a quote are no rows.
+    One pass: each object is unfolded within its row, whatever its keys; a key
+    that an object has twice counts twice. Arrays are skipped, but for byte arrays
+    under ``MESSAGE``, which are texts. Lines without a quote are no rows. With
+    ``order``, a whole number of the row, it is there as ``row``.
     """
 
     def kind_of(value: object) -> str | None:
@@ -173,15 +178,15 @@ def json_leaves(rows: DataFrame, column: str, depth: int = 4) -> DataFrame:
 
     def scalars(line: str) -> list[tuple[str, str | None, str]]:
         try:
-            top = json.loads(line)
-        except ValueError:
+            top = json.loads(line, object_pairs_hook=Pairs)
+        except (ValueError, RecursionError):
             return []
         out: list[tuple[str, str | None, str]] = []
 
-        def walk(held: dict, prefix: str, left: int) -> None:
-            for key, value in held.items():
+        def walk(held: Pairs, prefix: str, left: int) -> None:
+            for key, value in held:
                 name = prefix + key
-                if isinstance(value, dict):
+                if isinstance(value, Pairs):
                     if left:
                         walk(value, name + ".", left - 1)
                 elif isinstance(value, list):
@@ -190,18 +195,20 @@ def json_leaves(rows: DataFrame, column: str, depth: int = 4) -> DataFrame:
                 elif kind := kind_of(value):
                     out.append((name, None if value is None else value if kind == "text" else str(value).lower(), kind))
 
-        if isinstance(top, dict):
+        if isinstance(top, Pairs):
             walk(top, "", depth)
         return out
 
     def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(*x, i) for line in batch.column(0).to_pylist() for i, x in enumerate(scalars(line))]
-            columns = list(zip(*found)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.string(), pa.int32()))], names=["name", "value", "kind", "at"])
+            found = [(*x, i, row) for line, row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for i, x in enumerate(scalars(line))]
+            columns = list(zip(*found)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64()))], names=["name", "value", "kind", "at", "row"])
 
-    lines = rows.where(F.col(column).contains('"')).select(F.col(column).cast("string").alias("line"))
-    return lines.mapInArrow(unfold, "name string, value string, kind string, at int")
+    place = F.col(order).cast("long") if order else F.lit(None).cast("long")
+    lines = rows.where(F.col(column).contains('"')).select(F.col(column).cast("string").alias("line"), place.alias("row"))
+    leaves = lines.mapInArrow(unfold, "name string, value string, kind string, at int, row long")
+    return leaves if order else leaves.drop("row")
 
 
 def json_profile(rows: DataFrame, column: str, depth: int = 4, top: int = 3) -> DataFrame:
@@ -257,6 +264,12 @@ def key_order(rows: DataFrame, order: str, column: str, depth: int = 4) -> DataF
     return first.orderBy("f").select("name", F.col("f.o").alias("row"), F.col("f.at").alias("place"))
 
 
+def leaf_order(rows: DataFrame, order: str, column: str, depth: int = 4) -> DataFrame:
+    """``name``, ``row`` and ``place`` of the scalars of :func:`json_leaves`, nested ones too, by their first appearance."""
+    first = json_leaves(rows, column, depth, order).groupBy("name").agg(F.min(F.struct("row", "at")).alias("f"))
+    return first.orderBy("f").select("name", F.col("f.row").alias("row"), F.col("f.at").alias("place"))
+
+
 def telling(fields: DataFrame) -> DataFrame:
     """``fields`` of :func:`json_profile` without the texts whose values are all different."""
     non_null = F.col("count") - F.col("null_count")

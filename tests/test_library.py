@@ -685,3 +685,11 @@ def test_the_state_of_dead_streams_is_dropped(spark, tmp_path):
     held = spark.read.format("statestore").option("stateVarName", "held").load(str(tmp_path / "c"))
     assert [r.key[0] for r in held.select("key").collect()] == ["b"]
     assert {(r.stream, r.kind) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {("a", "predicted"), ("a", "clear")}
+
+
+def test_json_keys_told_twice_and_nested_order(spark):
+    rows = ['{"z":{"b":1,"a":{"k":"v"}},"d":1,"d":2.5,"l":[{"x":1}]}', '{"c":{"d":9223372036854775807},"z":{"b":18446744073709551616,"q":null}}', '{"z":{"z0":1},"z":{"b":2}}', '{"a":' * 3000 + "1" + "}" * 3000]
+    table = lines(spark, *rows)
+    got = {r.name: r for r in tabular.json_profile(table, "value").collect()}
+    assert (got["d"]["count"], got["d"].sum, got["z.b"]["count"], got["z.b"].max, got["c.d"].max) == (2, 3.5, 3, 2.0**64, 2.0**63)
+    assert [r.name for r in tabular.leaf_order(table, "no", "value").collect()][:7] == ["z.b", "z.a.k", "d", "c.d", "z.q", "z.z0"]
