@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType, TimestampType
 
 from ..functions.timekey import auto_width
 from ..session import discard, stored
@@ -299,11 +300,34 @@ def incident_chain(links: list[dict], horizon: int | None = None) -> dict | None
     return {"anchor": root, "steps": steps, "confidence": min(x["score"] for x in steps)} if steps else None
 
 
+#: Stretches of time that rows are dealt into, so that few keys, or none, are many tasks.
+STRETCHES = 1024
+
+
 def latest_before(events: DataFrame, stamps: DataFrame, by: list[str], at: str, stamp: str) -> DataFrame:
-    """As-of join: each event with the latest stamp at or before it; events before the first stamp are dropped."""
-    both = events.select(*by, at, F.lit(1).alias("_e"), F.lit(None).cast(stamps.schema[stamp].dataType).alias("_s")).unionByName(stamps.select(*by, F.col(stamp).alias(at), F.lit(0).alias("_e"), F.col(stamp).alias("_s")))
-    upto = Window.partitionBy(*by).orderBy(at, "_e").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn(stamp, F.last("_s", ignorenulls=True).over(upto)).where(f"_e = 1 AND {stamp} IS NOT NULL").select(*by, at, stamp)
+    """As-of join: each event with the latest stamp at or before it; events before the first stamp are dropped.
+
+    Numbers and timestamps are dealt into ``STRETCHES`` equal stretches: each
+    takes over the latest stamp of those before it (a row a key and stretch), and
+    events look for a later one in their own. Rows without a time or stamp have no match.
+    """
+    both = events.where(F.col(at).isNotNull()).select(*by, at, F.lit(1).alias("_e"), F.lit(None).cast(stamps.schema[stamp].dataType).alias("_s")).unionByName(stamps.where(F.col(stamp).isNotNull()).select(*by, F.col(stamp).alias(at), F.lit(0).alias("_e"), F.col(stamp).alias("_s")))
+    place = F.lit(0)
+    if isinstance(both.schema[at].dataType, (NumericType, TimestampType)):
+        low, high = both.agg(F.min(F.col(at).cast("double")), F.max(F.col(at).cast("double"))).first()
+        if low is not None and high > low:
+            place = F.floor((F.col(at).cast("double") - low) / (high - low) * STRETCHES).cast("int")
+    dealt = both.withColumn("_p", place)
+    lasts = dealt.groupBy(*by, "_p").agg(F.max("_s").alias("_m"))
+    before = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    carried = lasts.withColumn("_c", F.max("_m").over(before)).drop("_m")
+    upto = Window.partitionBy(*by, "_p").orderBy(at, "_e").rowsBetween(Window.unboundedPreceding, 0)
+    own = dealt.withColumn("_l", F.max("_s").over(upto)).where("_e = 1").alias("own")
+    same = F.col("own._p") == F.col("c._p")
+    for b in by:
+        same = same & F.col(f"own.{b}").eqNullSafe(F.col(f"c.{b}"))
+    found = own.join(carried.alias("c"), same, "left").select(*(F.col(f"own.{c}").alias(c) for c in (*by, at)), F.coalesce("own._l", "c._c").alias(stamp))
+    return found.where(F.col(stamp).isNotNull())
 
 
 def first_after(triggers: DataFrame, errors: DataFrame, by: list[str], at: str, tolerance: int = 3600) -> DataFrame:

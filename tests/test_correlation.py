@@ -80,3 +80,15 @@ def test_peaks_and_flags(spark):
     dense = spark.createDataFrame([(i, 60 * i, 50 + i % 3 if i != 30 else 3000) for i in range(60)], "bucket long, start long, n long")
     flagged = series.spike_flags(dense)
     assert flagged.count() == 60 and [r.bucket for r in flagged.where("spike").collect()] == [30]
+
+
+def test_latest_stamp_before_over_stretches(spark):
+    rng = random.Random(5)
+    events = [(rng.choice(["a", "b", None]), rng.randrange(10_000)) for _ in range(400)] + [("z", 5), ("a", None)]
+    stamps = [(rng.choice(["a", "b", None]), rng.randrange(3000, 9000)) for _ in range(40)] + [("b", None)]
+    left, right = spark.createDataFrame(events, "k string, t long"), spark.createDataFrame(stamps, "k string, s long")
+    latest = lambda k, t: max((s for x, s in stamps if s is not None and t is not None and s <= t and (k == x or k == "*")), default=None)
+    wanted = sorted((str(k), t, latest(k, t)) for k, t in events if latest(k, t) is not None)
+    assert sorted((str(r.k), r.t, r.s) for r in series.latest_before(left, right, ["k"], "t", "s").collect()) == wanted
+    assert sorted((r.t, r.s) for r in series.latest_before(left, right, [], "t", "s").collect()) == sorted((t, latest("*", t)) for _, t in events if latest("*", t) is not None)
+    assert series.latest_before(left, right.limit(0), ["k"], "t", "s").count() == 0 == series.latest_before(left.limit(0), right, [], "t", "s").count()
