@@ -123,7 +123,7 @@ def _small_items(items: DataFrame, item: str, text: str, most_bytes: int) -> lis
     return [tuple(r) for r in items.select(item, text).collect()]
 
 
-def containment_pairs(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", shingle: int = 5, threshold: float = 0.8, most_bytes: int = 32 << 20) -> DataFrame:
+def containment_pairs(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", shingle: int = 5, threshold: float = 0.8, most_bytes: int = 4 << 20) -> DataFrame:
     """Pairs (document, item, ``n_shared``, ``n_item``, ``containment``) with containment of ``threshold`` or more.
 
     Containment is the share of an item's distinct ``shingle``-word shingles that
@@ -132,7 +132,8 @@ def containment_pairs(docs: DataFrame, items: DataFrame, doc: str = "doc_id", te
     Repeated documents or items give repeated pairs; null ids are ids like
     others, and rows that share an id are judged each. Extra columns are ignored.
 
-    Items of up to ``most_bytes`` are broadcast; more of them are joined, with
+    Items of up to ``most_bytes`` of text are broadcast (their shingles are about 40 times
+    as much in a worker, 160 MB at most); more of them are joined, with
     the same result.
     """
     spark = docs.sparkSession
@@ -208,7 +209,7 @@ def _by_join(docs: DataFrame, items: DataFrame, text: str, item_text: str, shing
     return shared.where(F.col("n_shared") >= threshold * F.col("n") - 1e-9)
 
 
-def without_items(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", shingle: int = 5, threshold: float = 0.8, most_bytes: int = 32 << 20) -> DataFrame:
+def without_items(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", shingle: int = 5, threshold: float = 0.8, most_bytes: int = 4 << 20) -> DataFrame:
     """The rows of ``docs`` that contain no item to the threshold; columns as they were, null texts stay. Ids play no part."""
     small = _small_items(items, item, item_text, most_bytes)
     if small is None:
