@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import NumericType, TimestampType
 
 from ..functions.timekey import auto_width
@@ -228,6 +229,38 @@ def counts_of(told: dict[str, np.ndarray], i: int) -> np.ndarray:
     return centred + np.rint((told["events"][i] - centred.sum()) / len(centred))
 
 
+def pairs_within(arrays: DataFrame, top: int) -> DataFrame:
+    """``system`` and ``PAIRS``: of all pairs of streams of each system those that can be among its ``top``.
+
+    ``arrays`` has a row a stream: ``system``, ``stream``, its buckets ``b`` with counts ``c``, and
+    its system's number of buckets ``n`` and most ``lags``. A system's streams are dealt into blocks.
+    """
+    kind = arrays.schema["system"].dataType
+    blocks = arrays.groupBy("system").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("stream"), F.col("blocks")).cast("int").alias("own")
+    dealt = arrays.join(blocks, "system").select("system", "stream", "b", "c", "n", "lags", own, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("*", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+    kinds = [to_arrow_type(kind), pa.string(), pa.string(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
+    columns = ["system", *(x.split()[0] for x in PAIRS.split(", "))]
+
+    def compare(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        names: dict[int, list[str]] = {}
+        dense: dict[int, list[np.ndarray]] = {}
+        n, lags = table.column("n")[0].as_py(), table.column("lags")[0].as_py()
+        for name, b, c, block in zip(*(table.column(k).to_pylist() for k in ("stream", "b", "c", "own"))):
+            row = np.zeros(n, dtype=np.int64)
+            row[b] = c
+            names.setdefault(block, []).append(name)
+            dense.setdefault(block, []).append(row)
+        found = []
+        if len(names) == (1 if key[1].as_py() == key[2].as_py() else 2):
+            found = best_pairs(list(names.values()), [np.stack(x) for x in dense.values()], lags, top)
+        told = list(zip(*((key[0].as_py(), *f) for f in found))) or [[]] * 8
+        return pa.table([pa.array(c, k) for c, k in zip(told, kinds)], names=columns)
+
+    return dealt.groupBy("system", "x", "y").applyInArrow(compare, f"system {kind.simpleString()}, {PAIRS}")
+
+
 def correlate(streams: DataFrame, top: int = TOP, grid: Grid | None = None) -> DataFrame:
     """Lagged correlations of the event streams ``stream``, ``epoch``, the best lag of each pair; the ``top`` of them.
 
@@ -249,28 +282,8 @@ def correlate(streams: DataFrame, top: int = TOP, grid: Grid | None = None) -> D
     inside = streams.where(F.col("stream").isNotNull() & F.col("epoch").between(grid.low, grid.high))
     counts = inside.groupBy("stream", F.floor((F.col("epoch") - grid.low) / grid.width).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("c"))
     arrays = counts.groupBy("stream").agg(F.collect_list("b").alias("b"), F.collect_list("c").alias("c"), F.sum("c").alias("n")).where(F.col("n") >= LEAST_EVENTS)
-    arrays = stored(arrays.select("stream", "b", "c"), "streams")
-    blocks = max(1, -(-arrays.count() // BLOCK))
-    own, other = F.pmod(F.xxhash64("stream"), F.lit(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    dealt = arrays.select("stream", "b", "c", own.alias("own"), other.alias("other")).select("*", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
-    n, lags = int(grid.n), int(grid.most_lag)
-
-    def compare(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        names: dict[int, list[str]] = {}
-        dense: dict[int, list[np.ndarray]] = {}
-        for name, b, c, block in zip(*(table.column(k).to_pylist() for k in ("stream", "b", "c", "own"))):
-            row = np.zeros(n, dtype=np.int64)
-            row[b] = c
-            names.setdefault(block, []).append(name)
-            dense.setdefault(block, []).append(row)
-        found = []
-        if len(names) == (1 if key[0].as_py() == key[1].as_py() else 2):
-            found = best_pairs(list(names.values()), [np.stack(x) for x in dense.values()], lags, top)
-        columns = list(zip(*found)) or [[]] * 7
-        kinds = [pa.string(), pa.string(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
-        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=[x.split()[0] for x in PAIRS.split(", ")])
-
-    pairs = dealt.groupBy("x", "y").applyInArrow(compare, PAIRS)
+    arrays = stored(arrays.select(F.lit(0).alias("system"), "stream", "b", "c", F.lit(int(grid.n)).alias("n"), F.lit(int(grid.most_lag)).alias("lags")), "streams")
+    pairs = pairs_within(arrays, top)
     links = pairs.orderBy(F.desc(F.round("r", 4)), "follower", "leader").limit(top)
     return links.select(
         "leader", "follower", (F.col("lag") * grid.width).alias("lag_seconds"), F.round("r", 4).alias("score"), "events_leader", "events_follower", F.lit(grid.width).cast("long").alias("width_seconds"), (F.col("peak") * grid.width + grid.low).cast("long").alias("peak_epoch")
