@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -13,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.timekey import GRAMMARS, decode
 from ..session import stored
-from ..sources.readers import open_input
+from ..sources.readers import file_heads
 from .incident import streams_of, timeline
 from .logs import BOUND
 
@@ -28,18 +27,8 @@ def file_grammars(spark: SparkSession, path: str) -> DataFrame:
 
     Only the heads are read. Files of no bytes are left out.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.col("_metadata.file_path").alias("file"))
-
-    def heads(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            found = []
-            for name in part["file"]:
-                with open_input(name) as f:
-                    found.append(f.read(HEAD_BYTES).decode("utf-8", "replace"))
-            yield part.assign(head=found)
-
     hits = [F.struct(F.least(F.size(F.regexp_extract_all("head", F.lit(p), F.lit(1))), F.lit(MOST_HITS)).alias("n"), F.lit(-k).alias("k"), F.lit(g).alias("grammar")) for k, (g, p) in enumerate(GRAMMARS.items())]
-    return files.mapInPandas(heads, "file string, head string").select("file", F.array_max(F.array(*hits))["grammar"].alias("grammar"))
+    return file_heads(spark, path, HEAD_BYTES).select("file", F.array_max(F.array(*hits))["grammar"].alias("grammar"))
 
 
 def marks(line: Column, grammar: Column) -> Column:

@@ -335,18 +335,13 @@ def dump_dialect(text: str) -> str:
 
 def dump_dialects(spark: SparkSession, path: str) -> DataFrame:
     """``path``, ``dialect`` of each dump: :func:`dump_dialect` with its lines looked through in parallel, and only heads read as a whole."""
-    from .readers import open_input
+    from .readers import file_heads
 
-    files = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("path"))
-
-    def heads(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            found = []
-            for name in part["path"]:
-                with open_input(name) as f:
-                    found.append(dump_dialect(f.read(1 << 20).decode("utf-8", "replace")[: 256 << 10]))
-            yield part.assign(by_head=found)
+    @F.pandas_udf("string")
+    def by_head(heads: pd.Series) -> pd.Series:
+        return heads.map(lambda head: dump_dialect(head[: 256 << 10]))
 
     copies = spark.read.text(path, lineSep="\n").select("value", F.col("_metadata.file_path").alias("path")).where(F.upper(F.substring("value", 1, 5)) == "COPY ").select("path").distinct()
-    told = files.mapInPandas(heads, "path string, by_head string").join(copies.withColumn("copies", F.lit(True)), "path", "left")
+    heads = file_heads(spark, path, 1 << 20).select(F.col("file").alias("path"), by_head("head").alias("by_head"))
+    told = heads.join(copies.withColumn("copies", F.lit(True)), "path", "left")
     return told.select("path", F.when(F.col("copies"), "postgres").otherwise(F.col("by_head")).alias("dialect"))

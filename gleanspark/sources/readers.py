@@ -117,10 +117,25 @@ def history_tail(spark: SparkSession, path: str, most: int = 16 << 20) -> DataFr
     return numbered.where(F.col("offset") >= size - most).select("line", F.regexp_replace("value", "\r$", "").alias("value"))
 
 
+def file_heads(spark: SparkSession, path: str, size: int) -> DataFrame:
+    """``file`` and ``head``, the first ``size`` bytes of each file as text; nothing else of it is read. Files of no bytes are left out."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.col("_metadata.file_path").alias("file"))
+
+    def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            found = []
+            for name in part["file"]:
+                with open_input(name) as f:
+                    found.append(f.read(size).decode("utf-8", "replace"))
+            yield part.assign(head=found)
+
+    return files.mapInPandas(read, "file string, head string")
+
+
 def log_container(spark: SparkSession, path: str, head: int = 4096) -> str:
     """``jsonl`` if over half of the whole lines in a log's first bytes begin with a brace and a level is named, else ``plaintext``."""
-    rows = spark.read.text(path, lineSep="\n").limit(head).collect()
-    text = "".join(r["value"] + "\n" for r in rows).encode()[:head].decode("utf-8", "replace")
+    row = file_heads(spark, path, head).orderBy("file").first()
+    text = row["head"] if row else ""
     lines = text.split("\n")[:-1]
     braced = sum(line.lstrip(" \t").startswith("{") for line in lines)
     return "jsonl" if 2 * braced > len(lines) and ('"level"' in text or '"severity"' in text) else "plaintext"
