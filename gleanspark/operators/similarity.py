@@ -72,13 +72,68 @@ def context(ranked: DataFrame, question: str, k: int, text: str = "text", vector
     return [r[text][:width] + ("..." if len(r[text].encode()) > width else "") for r in without_alike(rows, vector)[:k]]
 
 
-def nearest_of_each(queries: DataFrame, rows: DataFrame, k: int, query_id: str, row_id: str, vector: str = "embedding", block: int = 2048, skip: str | None = None) -> DataFrame:
+#: Scores that a task holds at once, and pairs whose exact scores it takes at once.
+CELLS, PAIRS = 1 << 20, 1 << 15
+#: More than what a product of matrices may round a score of its own by.
+SLACK = 1e-9
+
+
+def unit(m: np.ndarray) -> np.ndarray:
+    n = np.linalg.norm(m, axis=1, keepdims=True)
+    return m / np.where(n > 0, n, 1)
+
+
+class Nearest:
+    """The ``k`` best rows of each query so far (ties by id), as arrays sorted by query; memory is bounded by queries times ``k`` and ``CELLS``."""
+
+    def __init__(self, queries: np.ndarray, k: int) -> None:
+        self.queries, self.k = queries, k
+        self.least = np.full(len(queries), LEAST)
+        self.held: tuple[np.ndarray, ...] | None = None
+
+    def add(self, ids: np.ndarray, rows: np.ndarray, barred: tuple[np.ndarray, np.ndarray] | None = None) -> None:
+        """Try rows of length 1; ``barred``: numbers of the rows and of the queries that must not be equal."""
+        step = max(1, CELLS // len(self.queries))
+        for at in range(0, len(ids), step):
+            part = rows[at : at + step]
+            near = self.queries @ part.T
+            if barred:
+                near[barred[1][:, None] == barred[0][None, at : at + step]] = -1.0
+            least = self.least - SLACK
+            likely = near >= least[:, None]
+            if part.shape[0] > self.k and likely.sum() > 4 * self.k * len(self.queries):
+                least = np.maximum(least, np.partition(near, part.shape[0] - self.k, axis=1)[:, part.shape[0] - self.k] - SLACK)
+                likely = near >= least[:, None]
+            q, r = np.nonzero(likely)
+            for start in range(0, len(q), PAIRS):
+                self.merge(q[start : start + PAIRS], ids[at : at + step], part, r[start : start + PAIRS])
+
+    def merge(self, q: np.ndarray, ids: np.ndarray, rows: np.ndarray, r: np.ndarray) -> None:
+        # Summed pair by pair: equal vectors have equal scores, wherever they stand in a product of matrices.
+        score = np.einsum("ij,ij->i", self.queries[q], rows[r])
+        fits = (score > LEAST) & (score >= self.least[q])
+        q, names, score = q[fits], ids[r[fits]], score[fits]
+        if not len(q):
+            return
+        if self.held:
+            q, names, score = (np.concatenate(x) for x in zip(self.held, (q, names, score)))
+        order = np.lexsort((names, -score, q))
+        q, names, score = q[order], names[order], score[order]
+        start = np.flatnonzero(np.append(True, q[1:] != q[:-1]))
+        rank = np.arange(len(q)) - np.repeat(start, np.diff(np.append(start, len(q))))
+        last = rank == self.k - 1
+        self.least[q[last]] = score[last]
+        kept = rank < self.k
+        self.held = q[kept], names[kept], score[kept]
+
+
+def nearest_of_each(queries: DataFrame, rows: DataFrame, k: int, query_id: str, row_id: str, vector: str = "embedding", block: int = 8192, skip: str | None = None) -> DataFrame:
     """``query_id``, ``row_id``, ``score``: the ``k`` rows nearest to each query by cosine, over the least score; ties by ``row_id``.
 
     With ``skip``, a column of whole numbers in both tables, a query leaves out the rows that have its own number. Queries
     are taken in blocks of a bounded size; each task scores its rows against a
-    block as one matrix product and keeps its own ``k`` best of every query, so
-    that what is shuffled is ``k`` rows a query and task. With several blocks the
+    block in slices of ``CELLS`` scores and keeps its own ``k`` best of every query, so
+    that its memory grows with neither table and what is shuffled is ``k`` rows a query and task. With several blocks the
     rows, vectors and all, are stored once, and so is what each block finds.
     """
     kind, rkind = queries.schema[query_id].dataType.simpleString(), rows.schema[row_id].dataType.simpleString()
@@ -90,10 +145,6 @@ def nearest_of_each(queries: DataFrame, rows: DataFrame, k: int, query_id: str,
     own = rows.select(F.col(row_id).alias("r"), F.col(vector).alias("v"), mark.alias("s"))
     own = stored(own, "rows") if blocks > 1 else own
 
-    def unit(m: np.ndarray) -> np.ndarray:
-        n = np.linalg.norm(m, axis=1, keepdims=True)
-        return m / np.where(n > 0, n, 1)
-
     for b in range(blocks):  # a block of about so many queries comes to the driver at a time
         part = [(r["q"], r["v"], r["s"]) for r in asked.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b).orderBy("q").collect()]
         if not part:
@@ -103,18 +154,21 @@ def nearest_of_each(queries: DataFrame, rows: DataFrame, k: int, query_id: str,
 
         def score(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             names, matrix, marks = shared.value
+            best = Nearest(matrix, k)
             for batch in batches:
-                ids = batch["r"].to_numpy()
-                near = unit(np.stack(batch["v"].to_numpy()).astype(float)) @ matrix.T
-                if marks is not None:
-                    near[batch["s"].to_numpy(dtype=np.int64)[:, None] == marks[None, :]] = -1.0
-                order = np.lexsort((np.broadcast_to(ids[:, None], near.shape), -near), axis=0)[:k]
-                at = np.arange(len(names))
-                best = pd.DataFrame({"q": np.tile(np.array(names), len(order)), "r": ids[order].ravel(), "score": near[order, at].ravel()})
-                yield best[best["score"] > LEAST]
+                for at in range(0, len(batch), 2000):
+                    some = batch.iloc[at : at + 2000]
+                    barred = (some["s"].to_numpy(dtype=np.int64), marks) if marks is not None else None
+                    best.add(some["r"].to_numpy(), unit(np.stack(some["v"].to_numpy()).astype(float)), barred)
+            if best.held:
+                q, r, near = best.held
+                for at in range(0, len(q), 10_000):
+                    yield pd.DataFrame({"q": [names[x] for x in q[at : at + 10_000].tolist()], "r": r[at : at + 10_000], "score": near[at : at + 10_000]})
 
         best = own.mapInPandas(score, schema)
-        best = stored(best, "near") if blocks > 1 else best
+        if blocks > 1:
+            best = stored(best, "near")
+            shared.destroy()
         found = best if found is None else found.unionByName(best)
     if found is None:
         found = spark.createDataFrame([], schema)

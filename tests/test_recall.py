@@ -1,6 +1,7 @@
 """Recall of many questions at once against the one-question path."""
 
 import random
+import tracemalloc
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -44,3 +45,40 @@ def test_blocks_of_queries_find_the_same(spark):
     assert one == sorted(map(tuple, similarity.nearest_of_each(queries, rows, 4, "q", "id", block=7).select("q", "id").collect()))
     skipped = similarity.nearest_of_each(queries, rows, 4, "q", "id", block=7, skip="s").select("q", "id").collect()
     assert len(skipped) > 0 and all(r.q % 5 != r.id % 5 for r in skipped)
+
+
+def test_a_task_holds_few_scores_and_ties_go_by_id():
+    """4000 rows against 300 queries: no array of all scores; copies of a vector have one score and stand by id."""
+    rng = np.random.default_rng(2)
+    own = similarity.unit(rng.normal(size=(4000, 24)))
+    own[rng.integers(0, 4000, 900)] = own[7]
+    queries, ids = np.concatenate([own[:299], own[7:8]]), rng.permutation(4000)
+    best = similarity.Nearest(queries, 5)
+    tracemalloc.start()
+    for at in range(0, 4000, 1000):
+        best.add(ids[at : at + 1000], own[at : at + 1000])
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    q, r, score = best.held
+    assert peak < 40 * similarity.CELLS
+    exact = np.einsum("ik,jk->ij", queries, own)
+    for i in range(len(queries)):
+        assert r[q == i].tolist() == ids[np.lexsort((ids, -np.round(exact[i], 12)))[:5]].tolist()
+    assert sorted(np.bincount(q)) == [5] * 300
+
+
+def test_a_task_gives_k_rows_a_query_over_all_its_batches(spark):
+    rng = np.random.default_rng(4)
+    rows = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=8)]) for i in range(200)], "id long, embedding array<double>").coalesce(1)
+    queries = rows.where("id % 50 = 0").withColumnRenamed("id", "q")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 20)
+    try:
+        seen = []
+        plain = similarity.stored
+        similarity.stored = lambda df, name: seen.append((name, out := plain(df, name))) or out
+        similarity.nearest_of_each(queries, rows, 3, "q", "id", block=2).count()
+    finally:
+        similarity.stored = plain
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sum(t.count() for name, t in seen if name == "near") == 3 * 4
