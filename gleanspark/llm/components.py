@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from ..session import discard, stored
 from .common import fitted
 
+#: Tasks that write a small table of links: rounds are many, and each file costs more than its rows.
+LEAST = 3
+
+
 def connected_components(links: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataFrame:
     """(``id``, ``root``) for every id in ``links``: root is the smallest id that links lead to.
 
@@ -18,18 +22,18 @@ def connected_components(links: DataFrame, a: str, b: str, most_rounds: int = 60
     """
     ends = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u IS NOT NULL AND v IS NOT NULL")
     n = ends.count()
-    ids = stored(fitted(ends.select("u").union(ends.select("v")).distinct(), 2 * n), "ids")
-    edges = stored(fitted(ends.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), n), "edges")
+    ids = stored(fitted(ends.select("u").union(ends.select("v")).distinct(), 2 * n, least=LEAST), "ids")
+    edges = stored(fitted(ends.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), n, least=LEAST), "edges")
     mark = None
     for _ in range(most_rounds):
         # Large stars: a row's larger neighbours point at its smallest neighbour or itself.
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = stored(fitted(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), n), "large")
+        large = stored(fitted(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), n, least=LEAST), "large")
         # Small stars: a row and its smaller neighbours point at the smallest of them.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         hung = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = stored(fitted(hung.union(least.select("u", F.col("m").alias("v"))).distinct(), n), "small")
+        small = stored(fitted(hung.union(least.select("u", F.col("m").alias("v"))).distinct(), n, least=LEAST), "small")
         discard(edges)
         discard(large)
         edges = small

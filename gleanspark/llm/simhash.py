@@ -440,6 +440,38 @@ def whole_keys(batches: Iterator[pa.RecordBatch], least: int = 20_000) -> Iterat
         yield pa.Table.from_batches(held)
 
 
+def sketched(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (``a``, ``b``) of ``words`` (``id``, ``n``, ``sketch``) but for those whose parity sketches show that they are under the similarity."""
+
+    @F.pandas_udf("int")
+    def apart(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([(int.from_bytes(a, "little") ^ int.from_bytes(b, "little")).bit_count() for a, b in zip(x, y)], dtype="int32")
+
+    left, right = (words.select(F.col("id").alias(c), F.col("sketch").alias(f"s{c}"), F.col("n").alias(f"n{c}")) for c in "ab")
+    bound = F.col("na") + F.col("nb") - 2 * F.ceil((F.col("na") + F.col("nb")) * (similarity / (1 + similarity)) - 1e-6)
+    return pairs.join(left, "a").join(right, "b").where(apart("sa", "sb") <= bound).select("a", "b")
+
+
+def fingerprint_pairs(docs: DataFrame, words: DataFrame, width: int, similarity: float, doc: str = "doc_id", text: str = "text", distance: int = 4) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links (``a``, ``b``), their classes (``id``, ``root``), and the pairs left to check, of rows of ``words`` (``id``, ``fp``,
+    ``n``, ``sketch``) whose fingerprints differ in ``distance`` or fewer bits, by the general pigeonhole principle.
+
+    Rows of one fingerprint are tried with the least of them, rows of a crowd with the crowd's; those that
+    have the similarity, counted exactly, are the links. All pairs of fingerprints of different classes are left.
+    """
+    n = words.count()
+    held = words.where("n > 0")
+    prints = stored(fitted(held.groupBy("fp").agg(F.min("id").alias("id")), n), "fingerprints")
+    partitions = plan_partitions(prints, distance)
+    same = held.join(prints.select("fp", F.col("id").alias("a")), "fp").where("id <> a").select("a", F.col("id").alias("b"))
+    pairs = spanning_links(prints, distance, partitions).union(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links = verified(docs, stored(fitted(sketched(pairs, words, similarity), n), "likely"), width, similarity, doc, text)
+    roots = stored(fitted(connected_components(links, "a", "b"), n), "roots")
+    spanned = stored(fitted(prints.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), n), "spanned")
+    discard(prints)
+    return links, roots, close_pairs(spanned, distance, partitions)
+
+
 #: Rows of a key are dealt over so many parts by their ids.
 HUB_BITS = 6
 HUBS = 1 << HUB_BITS
@@ -452,10 +484,11 @@ def similar_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8, do
     copies and of its class; documents link at Jaccard similarity ``similarity`` of their sets of
     ``width``-word shingles.
 
-    At this similarity fingerprints differ in too many bits for a guarantee, so
-    the pairs come from an exact join: with shingles in one order, rare ones
-    first, two sets of the similarity share one of their first shingles. Rows
-    that share one are tried with the least row of one of ``HUBS`` parts of them,
+    First classes come from SimHash, see :func:`fingerprint_pairs`: fingerprints
+    within 4 bits, each link checked exactly. At this similarity others differ in
+    too many bits for a guarantee, so links between these classes come from an
+    exact join: with shingles in one order, rare ones first, two sets of the
+    similarity share one of their first shingles. Rows of different classes that share one are tried with the least row of one of ``HUBS`` parts of them,
     and those with each other, and what passes the exact check makes first
     classes: few links, and short ways between all. Then every pair of rows of different classes
     that share one is tried, but for those whose sizes, places or parity
@@ -469,7 +502,7 @@ def similar_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8, do
     n = docs.count()
     shared = docs.sparkSession.sparkContext.broadcast(shingle_levels(named.select("t"), width, n))
     doc_type = docs.schema[doc].dataType
-    schema = pa.schema([("d", to_arrow_type(doc_type)), ("k1", pa.int64()), ("k2", pa.int64()), ("n", pa.int32()), ("first", pa.binary()), ("sketch", pa.binary())])
+    schema = pa.schema([("d", to_arrow_type(doc_type)), ("k1", pa.int64()), ("k2", pa.int64()), ("n", pa.int32()), ("fp", pa.int64()), ("first", pa.binary()), ("sketch", pa.binary())])
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "t"):
@@ -477,12 +510,12 @@ def similar_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8, do
             for t in utf8(batch.column("t")):
                 key = xxhash.xxh3_128_digest(b" ".join(t.lower().split()))
                 shingles = shingle_set(t, width)
-                rows.append((int.from_bytes(key[:8], "little", signed=True), int.from_bytes(key[8:], "little", signed=True), len(shingles), prefix(shingles, shared.value, similarity).tobytes(), parity_sketch(shingles)))
-            columns = list(zip(*rows)) or [[]] * 5
+                rows.append((int.from_bytes(key[:8], "little", signed=True), int.from_bytes(key[8:], "little", signed=True), len(shingles), signed(fingerprint(shingles)), prefix(shingles, shared.value, similarity).tobytes(), parity_sketch(shingles)))
+            columns = list(zip(*rows)) or [[]] * 6
             yield pa.RecordBatch.from_arrays([batch.column("d").cast(schema.field(0).type), *(pa.array(c, f.type) for c, f in zip(columns, list(schema)[1:]))], schema=schema)
 
-    every = named.mapInArrow(prints, f"d {doc_type.simpleString()}, k1 long, k2 long, n int, first binary, sketch binary")
-    words = every.groupBy("k1", "k2").agg(F.min(F.col("d").cast("long")).alias("id"), F.first("n").alias("n"), F.first("first").alias("first"), F.first("sketch").alias("sketch"))
+    every = named.mapInArrow(prints, f"d {doc_type.simpleString()}, k1 long, k2 long, n int, fp long, first binary, sketch binary")
+    words = every.groupBy("k1", "k2").agg(F.min(F.col("d").cast("long")).alias("id"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("first").alias("first"), F.first("sketch").alias("sketch"))
     words = stored(fitted(words, n, SETS_A_TASK), "words")
     probes = words.agg(F.coalesce(F.sum(F.octet_length("first") / 8), F.lit(0))).first()[0]
 
@@ -532,17 +565,12 @@ def similar_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8, do
 
         return run
 
-    def near(pairs: DataFrame) -> DataFrame:
-        left, right = (words.select(F.col("id").alias(c), F.col("sketch").alias(f"s{c}"), F.col("n").alias(f"n{c}")) for c in "ab")
-        bound = F.col("na") + F.col("nb") - 2 * F.ceil((F.col("na") + F.col("nb")) * (similarity / (1 + similarity)) - 1e-6)
-        return pairs.join(left, "a").join(right, "b").where(apart("sa", "sb") <= bound).select("a", "b")
-
-    @F.pandas_udf("int")
-    def apart(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([(int.from_bytes(a, "little") ^ int.from_bytes(b, "little")).bit_count() for a, b in zip(x, y)], dtype="int32")
-
-    chains = met.where("other IS NOT NULL").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).where("a <> b").distinct()
-    links = verified(docs, stored(fitted(near(chains), meetings), "likely"), width, similarity, doc, text)
+    links, known, pairs = fingerprint_pairs(docs, words, width, similarity, doc, text)
+    chains = met.where("other IS NOT NULL").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).where("a <> b")
+    ra, rb = (known.select(F.col("id").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
+    chains = chains.join(ra, "a", "left").join(rb, "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+    likely = stored(fitted(sketched(chains.union(pairs).distinct(), words, similarity), meetings), "likely")
+    links = links.union(verified(docs, likely, width, similarity, doc, text))
     roots = stored(fitted(connected_components(links, "a", "b"), n), "roots")
     for most in TRIES:
         now = met.select("key", "id", "n", "place").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))

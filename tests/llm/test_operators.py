@@ -243,6 +243,37 @@ def similar_roots(texts):
     return classes([(i, j) for i in range(len(g)) for j in range(i) if len(g[i] & g[j]) >= 0.8 * len(g[i] | g[j])], range(len(g)))
 
 
+def test_near_duplicates_go_through_fingerprints(spark, monkeypatch):
+    """The pipeline's stage: classes of fingerprints within 4 bits, checked exactly, come first; the join adds what they miss."""
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    texts = ["", "one", "two words"]
+    for _ in range(25):
+        w = words(rng, rng.randint(80, 250)).split()
+        for k in range(6):
+            v = list(w)
+            for _ in range(k):
+                v[rng.randrange(len(v))] = f"y{rng.randint(0, 999)}"
+            texts.append(" ".join(v))
+    seen = []
+    plain = simhash.fingerprint_pairs
+    monkeypatch.setattr(simhash, "fingerprint_pairs", lambda *a: seen.append(out := plain(*a)) or out)
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, table(spark, texts), "").collect()}
+    assert kept == set(similar_roots([t or "-" for t in texts]).values())
+    sets = [set(simhash.shingle_set(t.encode(), 5).tolist()) for t in texts]
+    prints = [simhash.fingerprint(np.array(sorted(s), dtype=np.uint64)) for s in sets]
+    alike = lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+    near = [(i, j) for i in range(3, len(texts)) for j in range(3, i) if (prints[i] ^ prints[j]).bit_count() <= 4]
+    ((links, _, left),) = seen
+    links, left = ([tuple(r) for r in x.collect()] for x in (links, left))
+    assert all(alike(i, j) for i, j in links)
+    found = classes(links + [(i, j) for i, j in left if alike(i, j)], range(len(texts)))
+    copies = {i: texts.index(t) for i, t in enumerate(texts)}
+    both = [(i, j) for i, j in near if alike(i, j)]
+    assert len(both) > 10 and all(found[copies[i]] == found[copies[j]] for i, j in both)
+
+
 def test_near_duplicates_in_a_family_just_under_the_similarity(spark):
     rng = random.Random(11)
     base = words(rng, 400).split()
