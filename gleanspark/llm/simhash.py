@@ -35,6 +35,8 @@ BLOCK = 4
 PROBE_COST, CANDIDATE_COST = 1.5, 0.02
 #: Rows alike in some bits that are a crowd.
 CROWD = 16
+#: Tasks that sum up a table of bounded size, whatever the session's number of shuffle partitions.
+FEW = 8
 
 
 def shingle_hashes(text: bytes, width: int) -> np.ndarray:
@@ -106,7 +108,7 @@ def bit_counts(words: DataFrame) -> tuple[int, np.ndarray]:
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(64), 64), pa.int32()), pa.array(np.tile(np.arange(64), 64), pa.int32()), pa.array(total.ravel().astype(np.int64))], names=["i", "j", "n"])
 
     out = np.zeros((64, 64))
-    for r in words.select("fp").mapInArrow(run, "i int, j int, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).collect():
+    for r in words.select("fp").mapInArrow(run, "i int, j int, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).coalesce(FEW).collect():
         out[r["i"], r["j"]] = r["n"]
     return words.count(), out
 
@@ -144,7 +146,7 @@ def block_distances(words: DataFrame, order: list[int]) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(blocks)), 1 << BLOCK), pa.int32()), pa.array(np.tile(np.arange(1 << BLOCK), len(blocks)), pa.int32()), pa.array(total.ravel())], names=["k", "v", "n"])
 
     counts = np.zeros((len(blocks), 1 << BLOCK))
-    for r in words.select("fp").mapInArrow(run, "k int, v int, n long").groupBy("k", "v").agg(F.sum("n").alias("n")).collect():
+    for r in words.select("fp").mapInArrow(run, "k int, v int, n long").groupBy("k", "v").agg(F.sum("n").alias("n")).coalesce(FEW).collect():
         counts[r["k"], r["v"]] = r["n"]
     share = counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)
     v = np.arange(1 << BLOCK)
@@ -205,9 +207,12 @@ def spanning_links(words: DataFrame, distance: int, partitions: list[Partition])
     masks = {p.mask | q.mask for p, q in combinations(partitions, 2)} if len(partitions) > 2 else {p.mask for p in partitions}
     keys = F.array(*(F.struct(F.lit(k).cast("byte").alias("part"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("value")) for k, m in enumerate(sorted(masks))))
     rows = words.select("id", "fp", F.explode(keys).alias("s")).select("id", "fp", "s.part", "s.value")
+    n = words.count()
     crowds = rows.groupBy("part", "value").agg(F.min(F.struct("id", "fp")).alias("hub"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= CROWD)
+    crowds = fitted(crowds, n, SETS_A_TASK)
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("hub.fp"))) <= distance
-    return rows.join(crowds, ["part", "value"]).where((F.col("id") != F.col("hub.id")) & near).select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct()
+    links = rows.join(crowds, ["part", "value"]).where((F.col("id") != F.col("hub.id")) & near).select(F.col("hub.id").alias("a"), F.col("id").alias("b"))
+    return fitted(links, n, SETS_A_TASK).distinct()
 
 
 def close_pairs(words: DataFrame, distance: int, partitions: list[Partition] | None = None) -> DataFrame:
@@ -313,7 +318,7 @@ def shingle_levels(texts: DataFrame, width: int, n: int) -> np.ndarray:
         return (2 * np.log2(1 + total)).astype(np.uint8).tobytes()
 
     levels = np.zeros((1 << bits) // page * page, dtype=np.uint8).reshape(-1, page)
-    for r in texts.mapInArrow(count, "page int, counts binary").groupBy("page").agg(level("counts").alias("x")).collect():
+    for r in texts.mapInArrow(count, "page int, counts binary").groupBy("page").agg(level("counts").alias("x")).coalesce(FEW).collect():
         levels[r["page"]] = np.frombuffer(r["x"], dtype=np.uint8)
     return levels.ravel()
 
@@ -418,7 +423,7 @@ def verified(docs: DataFrame, pairs: DataFrame, width: int, similarity: float, d
         return pd.Series(out, dtype=bool)
 
     left, right = (sets.select(F.col("d").alias(c), F.col("s").alias(f"s{c}")) for c in "ab")
-    found = stored(fitted(pairs.join(left, "a").join(right, "b").where(alike("sa", "sb")).select("a", "b"), n, SETS_A_TASK), "verified")
+    found = stored(fitted(fitted(pairs.join(left, "a"), n, SETS_A_TASK).join(right, "b").where(alike("sa", "sb")).select("a", "b"), n, SETS_A_TASK), "verified")
     discard(sets)
     return found
 
@@ -440,8 +445,8 @@ def whole_keys(batches: Iterator[pa.RecordBatch], least: int = 20_000) -> Iterat
         yield pa.Table.from_batches(held)
 
 
-def sketched(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (``a``, ``b``) of ``words`` (``id``, ``n``, ``sketch``) but for those whose parity sketches show that they are under the similarity."""
+def sketched(pairs: DataFrame, words: DataFrame, similarity: float, rows: int) -> DataFrame:
+    """The pairs (``a``, ``b``), about ``rows``, of ``words`` (``id``, ``n``, ``sketch``) but for those whose parity sketches show that they are under the similarity."""
 
     @F.pandas_udf("int")
     def apart(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -449,7 +454,9 @@ def sketched(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame
 
     left, right = (words.select(F.col("id").alias(c), F.col("sketch").alias(f"s{c}"), F.col("n").alias(f"n{c}")) for c in "ab")
     bound = F.col("na") + F.col("nb") - 2 * F.ceil((F.col("na") + F.col("nb")) * (similarity / (1 + similarity)) - 1e-6)
-    return pairs.join(left, "a").join(right, "b").where(apart("sa", "sb") <= bound).select("a", "b")
+    # Tasks by the rows at each step: a few links are no tasks of every shuffle partition.
+    half = fitted(fitted(pairs, rows, SETS_A_TASK).join(left, "a"), rows, SETS_A_TASK)
+    return half.join(right, "b").where(apart("sa", "sb") <= bound).select("a", "b")
 
 
 def fingerprint_pairs(docs: DataFrame, words: DataFrame, width: int, similarity: float, doc: str = "doc_id", text: str = "text", distance: int = 4) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -465,7 +472,7 @@ def fingerprint_pairs(docs: DataFrame, words: DataFrame, width: int, similarity:
     partitions = plan_partitions(prints, distance)
     same = held.join(prints.select("fp", F.col("id").alias("a")), "fp").where("id <> a").select("a", F.col("id").alias("b"))
     pairs = spanning_links(prints, distance, partitions).union(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = verified(docs, stored(fitted(sketched(pairs, words, similarity), n), "likely"), width, similarity, doc, text)
+    links = verified(docs, stored(fitted(sketched(pairs, words, similarity, n), n), "likely"), width, similarity, doc, text)
     roots = stored(fitted(connected_components(links, "a", "b"), n), "roots")
     spanned = stored(fitted(prints.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), n), "spanned")
     discard(prints)
@@ -569,7 +576,7 @@ def similar_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8, do
     chains = met.where("other IS NOT NULL").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).where("a <> b")
     ra, rb = (known.select(F.col("id").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
     chains = chains.join(ra, "a", "left").join(rb, "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-    likely = stored(fitted(sketched(chains.union(pairs).distinct(), words, similarity), meetings), "likely")
+    likely = stored(fitted(sketched(chains.union(pairs).distinct(), words, similarity, meetings), meetings), "likely")
     links = links.union(verified(docs, likely, width, similarity, doc, text))
     roots = stored(fitted(connected_components(links, "a", "b"), n), "roots")
     for most in TRIES:

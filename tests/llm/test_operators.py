@@ -336,6 +336,26 @@ def test_general_pigeonhole_loses_nothing():
                 assert any(x <= y for x, y in zip(apart, t))
 
 
+def test_components_of_few_links_run_few_tasks(spark):
+    """A round of few links is no task of every shuffle partition, and stars need no round more to be known as such."""
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    links = [(7 * c + k, 7 * c + k + 1) for c in range(40) for k in range(6)] + [(900, 900), (901, None)]
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 211)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.sparkContext.setJobGroup("few", "few")
+        got = connected_components(spark.createDataFrame(links, "a long, b long").coalesce(1), "a", "b").coalesce(3).collect()
+        tracker = spark.sparkContext.statusTracker()
+        stages = {s for j in tracker.getJobIdsForGroup("few") for s in tracker.getJobInfo(j).stageIds}
+        tasks = sum(info.numTasks for s in stages if (info := tracker.getStageInfo(s)))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert {r.id: r.root for r in got} == {x: 7 * (x // 7) for x in range(280)} | {900: 900}
+    assert tasks < 1000, tasks
+
+
 def test_components(spark):
     rng = random.Random(5)
     pairs = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(170)] + [(500, i) for i in range(501, 560)] + [(i, i + 1) for i in range(600, 640)] + [(7, 7)]
