@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import discard, stored
+from .common import fitted
 
 #: Families of closely related languages; a language not named here is a family of its own.
 FAMILIES = {
@@ -22,6 +23,8 @@ FAMILIES = {
 DIMENSIONS = 4096
 #: Languages whose sampling shares are broadcast; more of them are joined.
 MOST_BROADCAST = 10_000
+#: Parts in which the sample comes to the driver at least.
+PARTS = 8
 #: ASCII bytes that are no letters become blanks.
 FOLD = bytes(c if c >= 0x80 or chr(c).isalpha() else 0x20 for c in range(256))
 
@@ -149,9 +152,15 @@ def train(labelled: DataFrame, doc: str = "doc_id", text: str = "text", lang: st
         for texts in parts:
             yield pd.Series([features(t).tobytes() for t in texts])
 
-    sample = chosen.select("h", "l", vector("t").alias("x")).orderBy("h", "l").limit(2 * most_rows).collect()
-    rows = sorted((r["h"], r["l"], bytes(r["x"])) for r in sample)
+    # The vectors come to the driver a part at a time, so that its JVM never holds the sample as a whole.
+    sample = stored(fitted(chosen.select("h", "l", vector("t").alias("x")), most_rows), "sample")
+    few = sample.coalesce(PARTS)
+    if sample.count() > 2 * most_rows:
+        last = sample.select("h", "l").orderBy("h", "l").limit(2 * most_rows).agg(F.max(F.struct("h", "l")).alias("k")).first()["k"]
+        few = few.where((F.col("h") < last["h"]) | (F.col("h") == last["h"]) & (F.col("l") <= last["l"]))
+    rows = sorted((r["h"], r["l"], bytes(r["x"])) for r in few.toLocalIterator())[: 2 * most_rows]
     discard(counts)
+    discard(sample)
     x = np.stack([np.frombuffer(r[2], dtype=np.float32) for r in rows]) if rows else np.zeros((0, DIMENSIONS), dtype=np.float32)
     return fit(x, [r[1] for r in rows], FAMILIES if families is None else families)
 

@@ -363,6 +363,24 @@ def test_components(spark):
     assert got == classes(pairs, {x for p in pairs for x in p})
 
 
+def test_language_sample_comes_in_parts_and_is_bounded(spark, monkeypatch):
+    """No part of the sample that the driver's JVM gets at once is more than a share of it, and the least hashes are taken."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    rng = random.Random(8)
+    rows = [(i, words(rng, 12), "ab"[i % 2], "s", 0) for i in range(120)]
+    docs = spark.createDataFrame(rows, DOCS)
+    seen, collected = [], []
+    monkeypatch.setattr(langid, "fit", lambda x, languages, families: seen.append((len(x), sorted(x.tolist()))))
+    plain = DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda self: collected.append(self.columns) or plain(self))
+    langid.train(docs, most_rows=10_000)
+    langid.train(docs, per_language=10_000, most_rows=30)
+    assert not any("x" in c for c in collected)
+    assert seen[0] == (120, sorted(langid.features(t).tolist() for _, t, *_ in rows))
+    assert 0 < seen[1][0] <= 60 and all(x in seen[0][1] for x in seen[1][1])
+
+
 def test_language_held_out_accuracy_and_unknown(spark):
     rng = random.Random(6)
     alphabets = {"en": "etaoinshrdlu", "de": "enisratdhuläöü", "fr": "esaitnrulodéèê", "es": "eaosrnidlcñóí"}
